@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import host_rules, link_graph
+from tessera.llm import bitplane, host_rules, link_graph, packing
 
 QUERIES = {
+    "op1_bitplane_tokens": bitplane.op1_bitplane_tokens,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_host_rules": host_rules.op7_host_rules,
     "op10_link_graph": link_graph.op10_link_graph,
 }
