@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import bitplane, host_rules, link_graph, packing
+from tessera.llm import bitplane, host_rules, link_graph, media, mixing, packing, toxicity
 
 QUERIES = {
     "op1_bitplane_tokens": bitplane.op1_bitplane_tokens,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_poisson_mix": mixing.op5_poisson_mix,
     "op7_host_rules": host_rules.op7_host_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_media_columns": media.op9_media_columns,
     "op10_link_graph": link_graph.op10_link_graph,
 }
 
 ORACLES = {
+    "op5_poisson_mix": mixing.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
     "op10_link_graph": link_graph.ORACLE,
 }
