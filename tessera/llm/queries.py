@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bitplane, host_rules, link_graph, media, mixing, packing, toxicity
+from tessera.llm import bitplane, host_rules, link_graph, media, mixing, packing, suffix_levels, toxicity, word_windows
 
 QUERIES = {
     "op1_bitplane_tokens": bitplane.op1_bitplane_tokens,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_suffix_levels": suffix_levels.op4_suffix_levels,
     "op5_poisson_mix": mixing.op5_poisson_mix,
+    "op6_word_windows": word_windows.op6_word_windows,
     "op7_host_rules": host_rules.op7_host_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media_columns": media.op9_media_columns,
@@ -16,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_poisson_mix": mixing.ORACLE,
+    "op6_word_windows": word_windows.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
     "op10_link_graph": link_graph.ORACLE,
 }
