@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bitplane, host_rules, link_graph, media, mixing, packing, suffix_levels, toxicity, word_windows
+from tessera.llm import bitplane, host_rules, link_graph, media, mixing, near_dup, packing, suffix_levels, toxicity, word_windows
 
 QUERIES = {
     "op1_bitplane_tokens": bitplane.op1_bitplane_tokens,
+    "op2_near_dup": near_dup.op2_near_dup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_suffix_levels": suffix_levels.op4_suffix_levels,
     "op5_poisson_mix": mixing.op5_poisson_mix,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_dup": near_dup.ORACLE,
     "op5_poisson_mix": mixing.ORACLE,
     "op6_word_windows": word_windows.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
