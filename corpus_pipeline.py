@@ -1,15 +1,70 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline over ``documents``: toxicity, near duplicates, repeated passages,
+source mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of ``documents``. ``run`` writes each result as Parquet
+in the shared folder and reads it again for the next stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import mixing, near_dup, packing, shared, suffix_levels, toxicity
+from tessera.session import table
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned lexicon scores as toxic go."""
+    shared.prepare(spark)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five-word shingles, 0.8)."""
+    shared.prepare(spark)
+    return near_dup.without_near_duplicates(docs, near_dup.NearDup(shingle=5, percent=80))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """400-byte strings that stand at several places are cut out of the texts."""
+    shared.prepare(spark)
+    return suffix_levels.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are replicated to their target weights and shuffled globally."""
+    shared.prepare(spark)
+    return mixing.poisson_mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces are packed into sequences of 2048."""
+    shared.prepare(spark)
+    return packing.pack(shared.stored(packing.pieces(docs, public_tokenizers.path(VOCABULARY)), "pieces"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    from tessera.session import table
-
-    return table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = shared.stored(docs, name.replace(" ", "-"))
+    return docs

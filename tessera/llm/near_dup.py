@@ -299,6 +299,23 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     return out.select("doc_id", "mark", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """One row of ``docs`` per component: the one with the smallest (doc_id, text hash).
+    Rows without words are all kept. Only what goes is joined back, by key."""
+    found = shared.stored(near_duplicates(docs, how).select("doc_id", "mark", "n_shingles", "component_id"), "near-found")
+    linked = found.where("n_shingles > 0 and doc_id is not null")
+    first = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("stays"))
+    gone = linked.join(first, "component_id").where("doc_id <> component_id or mark <> stays").select(F.col("doc_id").alias("gone_doc"), F.col("mark").alias("gone_mark")).distinct()
+    text = shared.whole_text()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("mark"))
+    rows = rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    # The same row several times: only where the slim table shows any.
+    again = linked.where("doc_id = component_id").groupBy("doc_id", "mark").count().where("count > 1")
+    if not again.isEmpty():
+        rows = rows.dropDuplicates(["doc", "mark"])
+    return rows.select("row.*")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=3, percent=85))

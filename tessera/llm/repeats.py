@@ -30,11 +30,11 @@ SMALLEST = -(1 << 63)
 ENTRY = "key long, context long, doc long, mark long, start int, count int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, mark, text."""
+def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to carry, doc_id by default), doc, mark, text."""
     text = shared.whole_text()
     return docs.select(
-        F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("doc"),
+        F.struct(*(F.col(f"`{c}`") for c in carry or ["doc_id"])).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("doc"),
         F.xxhash64("doc_id", text).alias("mark"), text.alias("text"),
     )
 
@@ -103,7 +103,7 @@ def affected_rows(rows: DataFrame, again: DataFrame, tag: str, untouched: Callab
     marks = again.select("doc", "mark").distinct().withColumn("hit", F.lit(True))
     out = rows.join(marks, ["doc", "mark"], "left")
     text = F.when(F.col("hit"), F.col("text"))
-    return shared.stored(out.select("doc_id", "doc", "mark", *untouched(out), text.alias("text")), tag + "-rows")
+    return shared.stored(out.select("row", "doc", "mark", *untouched(out), text.alias("text")), tag + "-rows")
 
 
 def located(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:

@@ -109,10 +109,10 @@ def _resolve(contexts: DataFrame, width: int, most_bytes: int = 24 << 20) -> Dat
     return contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, "doc long, mark long, a int, b int")
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): all rows as ``affected_rows`` has them, and (doc, mark, a, b) byte
-    spans to remove (may overlap)."""
-    rows = repeats.keyed(docs)
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, most_contexts: int = MOST_CONTEXTS, carry: list[str] | None = None, untouched=None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): all rows as ``affected_rows`` has them (with the columns ``carry``),
+    and (doc, mark, a, b) byte spans to remove (may overlap)."""
+    rows = repeats.keyed(docs, carry)
     entries = shared.stored(repeats.anchor_entries(rows, repeats.byte_rows, width, gram), "byte-entries")
     again = repeats.repeated_entries(entries, batches, False, "byte-levels")
     one = F.min(F.struct("doc", "mark", "start", "count")).alias("one")
@@ -121,7 +121,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"])
         .select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
     )
-    affected = repeats.affected_rows(rows, again, "byte", _untouched)
+    affected = repeats.affected_rows(rows, again, "byte", untouched or _untouched)
     many = repeats.with_many_contexts(contexts)
     open_ = contexts.join(many, "key").select("key", "one.*", (F.col("n") == 1).alias("alone"), "n_contexts")
     open_ = shared.stored(open_, "byte-open")
@@ -155,6 +155,50 @@ def cut_spans(data: bytes, spans) -> tuple[bytes, int]:
     return b"".join(data[x:y] for x, y in zip(ends, [*a.tolist(), len(data)])), len(a)
 
 
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with repeated strings taken out of their texts, where a cut would fall
+    inside a character the whole character stays; all other columns are kept, and
+    n_chars, where there is one, is counted anew. Null texts become empty."""
+    others = [c for c in docs.columns if c != text]
+    plain = lambda out: [F.when(F.col("hit").isNull(), F.col("text")).alias("plain")]
+    source = docs if text == "text" else docs.withColumn("text", F.col(text))
+    rows, spans = repeated_bytes(source, carry=others, untouched=plain)
+    joined = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"))
+
+    def work(batches):
+        for batch in batches:
+            for some in shared.text_slices(batch, "text"):
+                kept = []
+                for t, spans in zip(some.column("text").to_pylist(), some.column("spans").to_pylist()):
+                    data = t.encode("utf-8", "surrogatepass")
+                    kept.append(cut_characters(data, spans))
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(kept, pa.string())], ["row", "plain"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    cleaned = joined.select("row", "text", "spans").mapInArrow(work, f"row {kind}, plain string")
+    out = cleaned.unionByName(rows.where("text is null").select("row", "plain"))
+    n_chars = F.length("plain").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*(F.col("plain").alias(c) if c == text else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def cut_characters(data: bytes, spans) -> str:
+    """The text without the spans, which shrink to whole characters."""
+    if not spans:
+        return data.decode("utf-8", "surrogatepass")
+    inner = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    whole, end = [], 0
+    a, b = windows.merge_spans(np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
+    for x, y in zip(a.tolist(), b.tolist()):
+        while inner(x):
+            x += 1
+        while y > x and inner(y):
+            y -= 1
+        whole.append(data[end:x])
+        end = max(x, y)
+    whole.append(data[end:])
+    return b"".join(whole).decode("utf-8", "surrogatepass")
+
+
 def _bytes_result(rows: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
@@ -166,17 +210,17 @@ def _bytes_result(rows: DataFrame) -> DataFrame:
                     out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
                 n, gone, runs, sha = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
+                    [some.column("row").field(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = rows.schema["row"].dataType["doc_id"].dataType.simpleString()
+    return rows.select("row", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
     rows, spans = repeated_bytes(table(spark, sf_dir, "documents"))
     touched = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"))
-    untouched = rows.where("text is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    untouched = rows.where("text is null").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return _bytes_result(touched).unionByName(untouched)

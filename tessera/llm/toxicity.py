@@ -264,9 +264,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of ``docs`` (doc_id by default) plus score and n_matches."""
-
-    kept = columns or ["doc_id"]
+    """(row, score, n_matches); row is a struct of the given columns (doc_id by default),
+    so that none of them can clash."""
 
     def work(batches):
         m = matcher(model)
@@ -274,14 +273,16 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
             for some in shared.text_slices(batch, "text"):
                 got = [m.features(t) for t in some.column("text").to_pylist()]
                 scores = m.score(np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column("row").field(i) for i in range(len(kept))), pa.array(scores), pa.array([len(g[3]) for g in got], pa.int64())],
-                    [*kept, "score", "n_matches"],
-                )
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(scores), pa.array([len(g[3]) for g in got], pa.int64())], ["row", "score", "n_matches"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns or ["doc_id"])).alias("row"), shared.whole_text().alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(work, f"row {kind}, score double, n_matches long")
+
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", score double, n_matches long"
-    return docs.select(F.struct(*kept).alias("row"), shared.whole_text().alias("text")).mapInArrow(work, schema)
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the limit."""
+    return score(docs, model, docs.columns).where(F.col("score") < limit).select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +290,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     how = Training()
     model = learn(docs, table(spark, sf_dir, "labels"), how)
-    return score(docs, model).select(
+    return score(docs, model).select("row.doc_id", "score").select(
         "doc_id", (fold_of("doc_id", how.folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -75,12 +75,12 @@ def _words_result(rows: DataFrame) -> DataFrame:
                     out.append((len(begin), int(len(begin) - keep.sum()), hashlib.sha256(b" ".join(words)).hexdigest()))
                 n, gone, sha = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
+                    [some.column("row").field(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    kind = rows.schema["row"].dataType["doc_id"].dataType.simpleString()
+    return rows.select("row", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op6_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, spans = repeated_words(docs)
     touched = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "word-spans"))
     # Rows without repeated anchors keep all words; their digests need no shuffle.
-    untouched = rows.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    untouched = rows.where("text is null").select("row.doc_id", "n_words", "n_removed", "kept_sha256")
     return _words_result(touched).unionByName(untouched)
 
 
