@@ -131,7 +131,9 @@ def label_speakers(ref_words: DataFrame, asr_words: DataFrame, key: list[str]) -
     labelled = asr_words.join(at, [*key, "pos"], "left").join(refs, [*key, "_rpos"], "left")
     # Only transcripts with reference words are in the result.
     labelled = labelled.join(ref_words.select(*key).distinct(), key, "left_semi")
-    timed = speaker_by_time(asr_words.select(*key, F.col("pos").alias("q"), "s", "e"), ref_words, key).select(*key, F.col("q").alias("pos"), F.col("speaker_true").alias("_timed"))
+    # Only words without a counterpart are looked up by time.
+    open_ = labelled.where(F.col("_said").isNull()).select(*key, F.col("pos").alias("q"), "s", "e")
+    timed = speaker_by_time(open_, ref_words, key).select(*key, F.col("q").alias("pos"), F.col("speaker_true").alias("_timed"))
     out = labelled.join(timed, [*key, "pos"], "left")
     name = F.when(F.col("op") == "hit", "equal").when(F.col("op").isin("sub", "ins"), F.col("op")).otherwise("unmapped")
     return out.select(*asr_words.columns, F.coalesce("_said", "_timed").alias("speaker_true"), name.alias("align_op"), "truth_word", "truth_word_idx")
