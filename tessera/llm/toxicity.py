@@ -13,8 +13,8 @@ doc_id), which also bounds what is broadcast. Scoring covers every row.
 
 Defined results for odd input: null and empty texts have no match and get the score of
 such rows; null labels and doc_ids do not train; several labels of one doc_id count
-as toxic if any is; with no usable labels the score is 0.5 * (matches of nothing) = the
-smoothed base rate; repeated rows score alike; an empty table gives an empty result;
+as toxic if any is; where labels teach no lexicon (none, or of one kind only) all rows
+get the smoothed base rate, at most 0.4; repeated rows score alike; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -199,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     """Three passes over the labelled sample; only bounded tables reach the driver."""
     rows = shared.stored(training_rows(docs, labels, how), "toxic-rows")
     size, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    base = (bad + 0.5) / (size + 1.0)
+    # Without a lexicon nothing tells rows apart, and none is called toxic.
+    base = min((bad + 0.5) / (size + 1.0), 0.4)
     model = Model(bias=float(np.log(base / (1 - base))))
     if not bad or bad == size:
         return model

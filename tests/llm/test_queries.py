@@ -1,0 +1,179 @@
+"""Every query on the odd rows and on empty tables, against SQL or brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tests.conftest import SF
+
+from tessera.llm import queries
+from tests.llm.conftest import odd_rows
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+COLUMNS = {
+    "op1": "doc_id start n_tokens ids_crc32", "op2": "doc_id n_shingles component_id kept", "op3": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op6": "doc_id n_words n_removed kept_sha256", "op7": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op8": "doc_id held_out score predicted", "op9": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op10": "page_id host path rule verdict",
+}
+
+
+def result(spark, folder, op, which="odd"):
+    name = next(k for k in queries.QUERIES if k.startswith(op + "_"))
+    return queries.QUERIES[name](spark, folder[which])
+
+
+def listed(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty(spark, folder, name):
+    df = queries.QUERIES[name](spark, folder["none"])
+    assert df.count() == 0
+    assert set(COLUMNS.get(name.split("_")[0], "").split()) <= set(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, duck, same, name):
+    same(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLES[name]).df())
+
+
+def tokens(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+
+def test_op1(spark, folder):
+    got = result(spark, folder, "op1").orderBy("start").collect()
+    rows = odd_rows()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda x: -1 if x is None else x)
+    want = Counter((i, len(t), zlib.crc32(t.tobytes())) for i, t in ((r[0], tokens(r[1])) for r in rows))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()]
+
+
+def test_op2(spark, folder):
+    rows = [(i, t) for i, t, *_ in odd_rows()]
+    sets = []
+    for i, t in rows:
+        w = WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets.append(frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                both = len(sets[a] & sets[b])
+                if both and rows[a][0] is not None and rows[b][0] is not None and 100 * both >= 85 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b], key=lambda k: rows[k][0])
+    want = sorted(((i, len(s), rows[root[k]][0], rows[root[k]][0] == i) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=repr)
+    assert listed(result(spark, folder, "op2"), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_op3(spark, folder):
+    got = result(spark, folder, "op3").collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [0, *np.cumsum([n for _, n in b])[:-1].tolist()] and sum(n for _, n in b) <= 2048
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 2048) + 1
+    want = Counter()
+    for i, t, *_ in odd_rows():
+        ids, at, k = tokens(t), 0, 0
+        while at < len(ids):
+            n = (len(ids) - at) % 2048 or 2048
+            want[i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+            at, k = at + n, k + 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_op4(spark, folder):
+    rows = [(i, (t or "").encode()) for i, t, *_ in odd_rows()]
+    often = Counter(b[s : s + 400] for _, b in rows for s in range(len(b) - 399))
+    want = []
+    for i, b in rows:
+        keep, runs, until, before = [], 0, 0, False
+        for s in range(len(b)):
+            if often[b[s : s + 400]] > 1 and s + 400 <= len(b):
+                until = s + 400
+            runs += s < until and not before
+            before = s < until
+            if not before:
+                keep.append(b[s])
+        want.append((i, len(b), len(b) - len(keep), runs, hashlib.sha256(bytes(keep)).hexdigest()))
+    assert listed(result(spark, folder, "op4"), *COLUMNS["op4"].split()) == sorted(want, key=repr)
+
+
+def test_op6(spark, folder):
+    rows = [(i, WORD.findall((t or "").encode())) for i, t, *_ in odd_rows()]
+    first = {}
+    low = lambda i: -1 if i is None else i
+    for i, w in rows:
+        for s in range(len(w) - 49):
+            k = tuple(w[s : s + 50])
+            first[k] = min(first.get(k, 10**9), low(i))
+    want = []
+    for i, w in rows:
+        gone = {j for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < low(i) for j in range(s, s + 50)}
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    assert listed(result(spark, folder, "op6"), *COLUMNS["op6"].split()) == sorted(want, key=repr)
+
+
+def test_op7(spark, folder):
+    want = []
+    for i, t, *_ in odd_rows():
+        w = [x.decode() for x in WORD.findall((t or "").encode())]
+        grams = defaultdict(list)
+        for s in range(len(w) - 2):
+            grams[tuple(w[s : s + 3])].append(s)
+        rep = len({p for v in grams.values() if len(v) > 1 for s in v for p in (s, s + 1, s + 2)})
+        lines = [x for x in (t or "").split("\n") if WORD.search(x.encode())]
+        symbols = len(re.findall(r"[#*$%&|<>]", t or ""))
+        want.append((i, len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), rep, len(w) < 50 or 100 * rep > 50 * len(w)))
+    got = result(spark, folder, "op7")
+    assert listed(got, *COLUMNS["op7"].split()[:-1]) == sorted(want, key=repr)
+    assert got.where("base_failed and kept").count() == 0
+
+
+def test_op8(spark, folder):
+    got = result(spark, folder, "op8").collect()
+    assert len(got) == len(odd_rows())
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.doc_id is None or r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_op9(spark, folder):
+    got = {(r.doc_id, r.payload_sha256): r for r in result(spark, folder, "op9").collect()}
+    for i, t, *_ in odd_rows():
+        data = (t or "").encode()
+        pay = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+        r = got[i, hashlib.sha256(pay).hexdigest()]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(data), len(pay), zlib.crc32(pay[-16:]), len(pay) + 44)
+
+
+def test_op10(spark, folder):
+    got = {r.page_id: r for r in result(spark, folder, "op10").collect() if r.page_id is not None}
+    assert (got[2].host, got[2].path, got[2].rule, got[2].verdict) == ("c.net", "/es/1", "net/es/", "block")
+    assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("", "", None, "allow")
+    assert got[5].rule == "www.example.com/en/" and got[6].rule == "example.com/en/" and got[6].verdict == "block"
+    assert (got[8].host, got[8].path) == ("d.org", "") and got[8].verdict == "block"  # it links to a blocked host
+    assert got[7].rule is None
+
+
+def test_op10_sql_with_links(spark, folder, same):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder['odd']}/pages.parquet/*.parquet'")
+    same(result(spark, folder, "op10"), c.sql(queries.ORACLES["op10_link_graph"]).df())
