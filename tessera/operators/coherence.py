@@ -42,7 +42,8 @@ def steady_entropy(vocab: DataFrame) -> DataFrame:
     stats = vocab.agg(F.avg(F.when(~odd, x)).alias("m"), F.stddev_pop(F.when(~odd, x)).alias("sd"), F.max(odd.cast("int")).alias("odd"))
     flat = (F.col("odd") == 1) | (F.col("sd") < 1e-8) | F.col("sd").isNull()
     value = F.when(flat, 1.0).otherwise(1 / (1 + F.exp(-(x - F.col("m")) / (F.col("sd") + 1e-8))))
-    return vocab.crossJoin(F.broadcast(stats)).withColumn("entropy", value).drop("m", "sd", "odd")  # one row
+    one = F.broadcast(stats.withColumn("k", F.lit(1)))  # one row
+    return vocab.withColumn("k", F.lit(1)).join(one, "k").withColumn("entropy", value).drop("k", "m", "sd", "odd")
 
 
 def score_tokens(vectors: list, factors: np.ndarray, ids: np.ndarray, how: Coherence) -> float:
