@@ -38,24 +38,25 @@ def perplexity(grams: DataFrame, unit: list[str], meta: DataFrame, conditions: t
     ``meta`` has (unit's last key, dx); ``within`` are keys that models are kept apart
     by (sources)."""
     within = within or []
-    own = grams.groupBy(*unit, "ctx", "nxt").agg(F.count(F.lit(1)).alias("own"))
-    pooled = own.join(meta, unit[-1])
-    model = pooled.groupBy(*within, "dx", "ctx", "nxt").agg(F.sum("own").alias("cnt"))
-    totals = model.groupBy(*within, "dx", "ctx").agg(F.sum("cnt").alias("total"))
-    out = None
-    for name, dx in zip(("ppl_a", "ppl_b"), conditions):
-        m = model.where(F.col("dx") == dx).drop("dx")
-        t = totals.where(F.col("dx") == dx).drop("dx")
-        met = own.join(m, [*within, "ctx", "nxt"], "left").join(t, [*within, "ctx"], "left").na.fill(0, ["cnt", "total"])
+    own = grams.groupBy(*unit, "ctx", "nxt").agg(F.count(F.lit(1)).alias("own")).join(meta, unit[-1], "left")
+    names = dict(zip(("a", "b"), conditions))
+    # Both conditions' counts side by side: one aggregation, one join each for n-grams and
+    # contexts.
+    pooled = lambda k: F.sum(F.when(F.col("dx") == names[k], F.col("own")).otherwise(0))
+    model = own.where(F.col("dx").isin(*conditions)).groupBy(*within, "ctx", "nxt").agg(pooled("a").alias("cnt_a"), pooled("b").alias("cnt_b"))
+    totals = model.groupBy(*within, "ctx").agg(F.sum("cnt_a").alias("total_a"), F.sum("cnt_b").alias("total_b"))
+    met = own.join(model, [*within, "ctx", "nxt"], "left").join(totals, [*within, "ctx"], "left").na.fill(0, ["cnt_a", "cnt_b", "total_a", "total_b"])
+    if leave_one_out:
+        met = met.join(own.groupBy(*unit, "ctx").agg(F.sum("own").alias("own_total")), [*unit, "ctx"])
+    scores = []
+    for k, dx in names.items():
+        cnt, total = F.col(f"cnt_{k}"), F.col(f"total_{k}")
         if leave_one_out:
-            mine = own.groupBy(*unit, "ctx").agg(F.sum("own").alias("own_total"))
-            met = met.join(mine, [*unit, "ctx"]).join(meta, unit[-1], "left")
             same = F.col("dx").eqNullSafe(F.lit(dx)).cast("long")
-            met = met.withColumns({"cnt": F.col("cnt") - same * F.col("own"), "total": F.col("total") - same * F.col("own_total")})
-        ln = log_probability(F.col("cnt"), F.col("total"), vocabulary, alpha)
-        one = met.groupBy(*unit).agg(F.exp(-F.sum(ln * F.col("own")) / F.sum("own")).alias(name))
-        out = one if out is None else out.join(one, unit)
-    return out.withColumn("P_diff", F.col("ppl_b") - F.col("ppl_a"))
+            cnt, total = cnt - same * F.col("own"), total - same * F.col("own_total")
+        ln = log_probability(cnt, total, vocabulary, alpha)
+        scores.append(F.exp(-F.sum(ln * F.col("own")) / F.sum("own")).alias(f"ppl_{k}"))
+    return met.groupBy(*unit).agg(*scores).withColumn("P_diff", F.col("ppl_b") - F.col("ppl_a"))
 
 
 def seen_contexts(grams: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
