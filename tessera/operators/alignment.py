@@ -64,6 +64,27 @@ def align(ref: list, hyp: list, empty_matches: bool = True) -> list[tuple[str, i
     return out[::-1]
 
 
+def distance(ref: list, hyp: list) -> int:
+    """Substitutions + deletions + insertions alone, bit-parallel: one step of integer
+    arithmetic per token of ``hyp`` over all of ``ref``."""
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    places: dict = {}
+    for i, t in enumerate(ref):
+        places[t] = places.get(t, 0) | 1 << i
+    full, top = (1 << len(ref)) - 1, 1 << (len(ref) - 1)
+    up, down, score = full, 0, len(ref)
+    for t in hyp:
+        equal = places.get(t, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal
+        more, less = (down | ~(diagonal | up)) & full, up & diagonal
+        score += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        vertical = equal | down
+        up, down = (less | ~(vertical | more)) & full, more & vertical & full
+    return score
+
+
 def counts_of(ops: list[tuple]) -> dict[str, int]:
     kinds = [o[0] for o in ops]
     return {"hits": kinds.count("hit"), "subs": kinds.count("sub"), "dels": kinds.count("del"), "ins": kinds.count("ins")}

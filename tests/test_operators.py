@@ -61,7 +61,7 @@ def test_alignment_properties(r, h):
         for j, y in enumerate(h, 1):
             e.append(min(d[j - 1] + (x != y), d[j] + 1, e[-1] + 1))
         d = e
-    assert c["subs"] + c["dels"] + c["ins"] == d[-1]
+    assert c["subs"] + c["dels"] + c["ins"] == d[-1] == alignment.distance(r, h)
     assert [h[j] for _, _, j in got if j is not None] == h
 
 
