@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +44,17 @@ class Profile:
     dels: dict = field(default_factory=dict)
     vocab: dict = field(default_factory=dict)
     lengths: list = field(default_factory=list)
+    #: Words and running sums of the tables drawn from so far, by table.
+    drawn: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def draw(self, rng: random.Random, table: dict):
+        """A weighted draw; None from an empty table."""
+        if not table:
+            return None
+        if id(table) not in self.drawn:
+            self.drawn[id(table)] = (list(table), list(accumulate(table.values())))
+        words, sums = self.drawn[id(table)]
+        return rng.choices(words, cum_weights=sums)[0]
 
 
 def collect_profile(tables: dict[str, DataFrame], most_entries: int = 200_000) -> Profile:
@@ -59,10 +71,6 @@ def collect_profile(tables: dict[str, DataFrame], most_entries: int = 200_000) -
     return p
 
 
-def _draw(rng: random.Random, table: dict):
-    return rng.choices(list(table), list(table.values()))[0] if table else None
-
-
 def corrupt_once(rng: random.Random, tokens: list[str], profile: Profile, lost: int, errors: int) -> list[str]:
     """One attempt: contiguous loss, then deletions, substitutions and insertions in the
     learned proportions."""
@@ -81,9 +89,9 @@ def corrupt_once(rng: random.Random, tokens: list[str], profile: Profile, lost:
         out.pop(rng.choices(range(len(out)), [profile.dels.get(t, 0) + 1 for t in out])[0])
     for _ in range(n_sub if out else 0):
         at = rng.randrange(len(out))
-        out[at] = _draw(rng, profile.subs.get(out[at], {})) or _draw(rng, profile.vocab) or out[at]
+        out[at] = profile.draw(rng, profile.subs.get(out[at], {})) or profile.draw(rng, profile.vocab) or out[at]
     for _ in range(max(0, errors - n_sub - n_del)):
-        at, word = rng.randint(0, len(out)), _draw(rng, profile.ins) or _draw(rng, profile.vocab)
+        at, word = rng.randint(0, len(out)), profile.draw(rng, profile.ins) or profile.draw(rng, profile.vocab)
         if word:
             out.insert(at, word)
     return out
