@@ -10,9 +10,9 @@ the full shingle sets.
 
 Groups of very many near copies are not expanded into pairs. First every class is tested
 against the most central class under its prefix pairs only, and components are formed.
-Then, where a posting list still has several components, its members outside the list's
-largest component are tested against all members of other components, in blocks of
-bounded size. So every pair is either connected already or tested.
+Then, where posting lists still have several components, their members outside the
+largest component are counted against all members on the full sets, in blocks of bounded
+size, and only links leave a block. So every pair is either connected already or tested.
 
 The match threshold is set so that a pair exactly at the similarity limit is missed with
 a probability of at most ``miss`` (1e-7).
@@ -43,8 +43,9 @@ class NearDup:
     percent: int = 80
     coordinates: int = 64
     miss: float = 1e-7
-    #: Most members of a posting list that meet in one block.
+    #: About as many rows and bytes of sets as meet in one block.
     block: int = 2048
+    block_bytes: int = 8 << 20
 
     def matches(self) -> int:
         """Least number of equal coordinates that a pair at the limit has, but for a
@@ -97,7 +98,7 @@ def described(docs: DataFrame, how: NearDup) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for some in shared.text_slices(batch, "text", 4 << 20):
+            for some in shared.text_slices(batch, "text"):
                 sets, sizes = shingle_sets(some.column("text"), how.shingle)
                 has = sizes > 0
                 sig = signatures(sets, sizes, how.coordinates)
@@ -174,7 +175,7 @@ def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for some in shared.text_slices(batch, "text", 4 << 20):
+            for some in shared.text_slices(batch, "text"):
                 sets, sizes = shingle_sets(some.column("text"), how.shingle)
                 raw, ends = sets.tobytes(), np.cumsum(sizes) * 8
                 yield pa.RecordBatch.from_arrays(
@@ -187,89 +188,81 @@ def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
     return shared.stored(found.mapInArrow(work, "class long, set binary"), "near-sets")
 
 
-def remaining_pairs(lists: DataFrame, roots: DataFrame, how: NearDup) -> DataFrame:
-    """Stored distinct (u, v) over the match threshold, in different components, from the
-    posting lists that still have several components. Members outside a list's largest
-    component meet all members of other components, in blocks; a pair is given by the
-    first list that both are in."""
-    least, size, k = how.matches(), how.block, how.coordinates
+def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Stored links (u, v) between components, from the posting lists that still have
+    several. The members of all lists with one largest component meet by it; those
+    outside it are counted against all others on their full sets, in blocks bounded by
+    rows and bytes, and give at most one link to each component. No pair of the same
+    component is looked at and no unlinked pair leaves a task."""
     known = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    known = known.select("class", "root", "tokens", "prefix", "weight")
     posts = known.select("class", "root", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))["t"]).alias("t"))
     per_root = posts.groupBy("t", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = per_root.groupBy("t").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    open_ = shared.stored(open_.select("t", "main", F.ceil(F.col("all") / size).cast("int").alias("right"), F.ceil((F.col("all") - F.col("most")) / size).cast("int").alias("left")), "near-open")
-    member = posts.join(open_, "t")
-    block = F.pmod(F.xxhash64("class"), F.col("right")).cast("int")
-    right = member.select("t", "class", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("outside"))
-    left = member.where("root <> main").select(
-        "t", "class", F.pmod(F.xxhash64("class"), F.col("left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"), F.lit(True).alias("outside")
-    )
-    flat = known.select("class", "root", "prefix", F.col("tokens.t").alias("ts"), F.col("tokens.f").alias("fs"))
+    open_ = per_root.groupBy("t").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most").select("t", "main")
+    member = posts.join(shared.stored(open_, "near-open"), "t").select("main", "class", "root").distinct()
+    member = member.join(sets.select("class", F.octet_length("set").alias("size")), "class").withColumn("outside", F.col("root") != F.col("main"))
+    member = shared.stored(member, "near-members")
+    blocks = lambda test: F.greatest(F.ceil(F.count_if(test) / how.block), F.ceil(F.sum(F.when(test, F.col("size")).otherwise(0)) / how.block_bytes)).cast("int")
+    shape = shared.stored(member.groupBy("main").agg(blocks(F.lit(True)).alias("right"), blocks(F.col("outside")).alias("left")), "near-shape")
+    placed = member.join(shape, "main")
+    mine = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = placed.select("main", "class", "root", every("left").alias("i"), mine("right").alias("j"), F.lit(False).alias("asks"))
+    left = placed.where("outside").select("main", "class", "root", mine("left").alias("i"), every("right").alias("j"), F.lit(True).alias("asks"))
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = right.unionByName(left).join(flat, "class").repartition(parts, "t", "i", "j").sortWithinPartitions("t", "i", "j", "outside")
-
-    def dense(t: pa.Table) -> tuple:
-        """Tokens and frequencies by coordinate (absent: -1), and the prefix mask."""
-        n = t.num_rows
-        ts, fs = t.column("ts").combine_chunks(), t.column("fs").combine_chunks()
-        offs = ts.offsets.to_numpy()
-        lens = np.diff(offs)
-        row = np.repeat(np.arange(n), lens)
-        tok, fre = ts.values.to_numpy()[offs[0] : offs[-1]], fs.values.to_numpy()[fs.offsets[0].as_py() : fs.offsets[-1].as_py()]
-        place = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-        at = (tok >> 32).astype(np.int64)
-        value, rank, early = np.full((n, k), -1, np.int64), np.zeros((n, k), np.int32), np.zeros((n, k), bool)
-        value[row, at], rank[row, at] = tok, fre
-        early[row, at] = place < np.repeat(t.column("prefix").to_numpy(), lens)
-        return value, rank, early
-
-    def solve(t: pa.Table) -> pa.RecordBatch | None:
-        value, rank, early = dense(t)
-        keys = np.stack([t.column(c).to_numpy() for c in ("t", "i", "j")])
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1, [t.num_rows]])
-        cls, root, outside = (t.column(c).to_numpy() for c in ("class", "root", "outside"))
-        us, vs = [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            here = keys[0, a]
-            mid = a + int(np.searchsorted(outside[a:b], True))
-            for x in range(mid, b):
-                equal = (value[a:mid] == value[x]) & (value[a:mid] >= 0)
-                ok = (equal.sum(axis=1) >= least) & (root[a:mid] != root[x])
-                if not ok.any():
-                    continue
+    met = right.unionByName(left).join(sets, "class").repartition(parts, "main", "i", "j").sortWithinPartitions("main", "i", "j", "asks")
+
+    def group(t: pa.Table, us: list, vs: list) -> None:
+        asks = t.column("asks").to_numpy()
+        mid = int(np.searchsorted(asks, True))
+        cls, root = t.column("class").to_numpy(), t.column("root").to_numpy()
+        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        sizes = np.array([len(v) for v in values])
+        # Shingle -> rows that have it, as one sorted array.
+        flat, owner = np.concatenate(values[:mid]) if mid else np.zeros(0, np.uint64), np.repeat(np.arange(mid), sizes[:mid])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for x in range(mid, t.num_rows):
+            lo, hi = np.searchsorted(flat, values[x], "left"), np.searchsorted(flat, values[x], "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=mid)
+            ok = (100 * both >= how.percent * (sizes[:mid] + sizes[x] - both)) & (root[:mid] != root[x])
+            if ok.any():
                 y = np.flatnonzero(ok)
-                common = equal[y] & early[a:mid][y] & early[x]
-                f0 = rank[x][here >> 32]
-                before = common & ((rank[x] < f0) | ((rank[x] == f0) & (value[x] < here)))
-                y = y[~before.any(axis=1)]
-                us.append(np.maximum(cls[a:mid][y], cls[x]))
-                vs.append(np.minimum(cls[a:mid][y], cls[x]))
-        if not us:
-            return None
-        both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+                y = y[np.unique(root[y], return_index=True)[1]]
+                us.append(np.full(len(y), cls[x]))
+                vs.append(cls[y])
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([t.column(c).to_numpy() for c in ("main", "i", "j")])
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), t.num_rows]
+        us: list = []
+        vs: list = []
+        for a, b in zip(cuts, cuts[1:]):
+            group(t.slice(a, b - a), us, vs)
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *us])), pa.array(np.concatenate([none, *vs]))], ["u", "v"])
 
     def work(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
+        size = 0
         for batch in batches:
-            rows += batch.num_rows
-            if rows > 20_000:
-                keys = np.stack([batch.column(c).to_numpy() for c in ("t", "i", "j")])
+            size += batch.nbytes
+            if size > how.block_bytes and batch.num_rows:
+                keys = np.stack([batch.column(c).to_numpy() for c in ("main", "i", "j")])
                 change = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
                 if len(change):
                     cut = int(change[-1])
-                    held.append(batch.slice(0, cut))
-                    if (out := solve(pa.Table.from_batches(held))) is not None:
-                        yield out
+                    yield solve([*held, batch.slice(0, cut)])
                     held, batch = [], batch.slice(cut)
-                    rows = batch.num_rows
-            held.append(batch)
-        if held and (out := solve(pa.Table.from_batches(held))) is not None:
-            yield out
+                    size = batch.nbytes
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield solve(held)
 
-    cols = ["t", "i", "j", "outside", "class", "root", "prefix", "ts", "fs"]
+    cols = ["main", "i", "j", "asks", "class", "root", "set"]
     return shared.stored(met.select(*cols).mapInArrow(work, "u long, v long").distinct(), "near-rest")
 
 
@@ -285,8 +278,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     sets = full_sets(docs, places, how)
     links = shared.stored(confirmed(first, sets, how), "near-links")
     roots = shared.stored(components(links, "near-components"), "near-roots")
-    rest = remaining_pairs(lists, roots, how)
-    more = shared.stored(confirmed(rest, sets, how), "near-links")
+    more = remaining_links(lists, roots, sets, how)
     if not more.isEmpty():
         roots = shared.stored(components(links.unionByName(more), "near-components"), "near-roots")
     slim = rows.select("doc_id", "mark", "n_shingles", "class")
