@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         fs, base = file_system(folder)
         path = f"{base}/part-{part:05d}-{uuid.uuid4().hex}.tbps"
         for batch in batches:
-            for some in shared.text_slices(batch, "text"):
+            for some in shared.text_slices(batch, "text", 8 << 20):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     stream = fs.open_output_stream(path)

@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         enc, part = tokens.encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in shared.text_slices(batch, "text"):
+            for some in shared.text_slices(batch, "text", 8 << 20):
                 ids, lens = tokens.with_end(*enc(some.column("text")), end_id)
                 n = -(-lens // capacity)
                 row = np.repeat(np.arange(len(lens)), n)

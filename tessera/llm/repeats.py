@@ -87,7 +87,9 @@ def repeated_entries(entries: DataFrame, batches: int, between_documents: bool,
         part = index.add(entries.where(number == b).select("key", "doc")).where(keep).select("key")
         found = part if found is None else found.unionByName(part)
     index.close()
-    again = entries.join(found.distinct(), "key")
+    # Written first, so that the join's sides are plain shuffles and AQE can split an
+    # anchor that very many entries share.
+    again = entries.join(shared.stored(found.distinct(), tag + "-keys"), "key")
     return shared.stored(again, tag + "-again")
 
 

@@ -45,6 +45,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_small(big: DataFrame, small: DataFrame, on: str, how: str = "left", most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Join a stored table by a string key. It is broadcast only if its rows and the bytes
+    of its keys, counted first, are within the bounds, so that a hot key of ``big`` needs
+    no shuffle; beyond them the join shuffles both sides and AQE splits hot keys."""
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(on)), F.lit(0))).first()
+    return big.join(F.broadcast(small) if rows <= most_rows and size <= most_bytes else small, on, how)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make this package importable in Python workers."""
     ship_package(spark)
@@ -55,15 +63,9 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def slim_batches(df: DataFrame) -> DataFrame:
-    """Nothing but a marker of intent: Arrow batches of texts are cut by
-    ``text_slices`` below, since the row-count limit alone does not bound bytes."""
-    return df
-
-
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """Cut a record batch so that each slice holds about ``most_bytes`` of text (a
-    single longer text is its own slice)."""
+    single longer text is its own slice): hashing takes some 80 bytes a byte of text."""
     col = batch.column(column)
     if not len(col):
         return
@@ -118,6 +120,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+_kept_powers: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """As ``powers``; arrays of usual length are kept for the next batch."""
+    if n > 4 << 20:
+        return powers(base, n)
+    have = _kept_powers.get(base)
+    if have is None or len(have) < n:
+        _kept_powers[base] = have = powers(base, n)
+    return have[:n]
+
+
 #: Odd multiplier of the rolling hash over bytes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -133,9 +148,9 @@ class Rolling:
         with np.errstate(over="ignore"):
             base = (BASE + 2 * salt * 0x632BE59BD9B4E019) % (1 << 64) | 1
             inv = pow(base, -1, 1 << 64)
-            self.inverse = powers(inv, n + 1)
+            self.inverse = kept_powers(inv, n + 1)
             self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(symbols.astype(np.uint64) * powers(base, n), out=self.prefix[1:])
+            np.cumsum(symbols.astype(np.uint64, copy=False) * kept_powers(base, n), out=self.prefix[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -57,7 +57,7 @@ def _contexts(found: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(work, _CONTEXT)
 
 
-def _resolve(contexts: DataFrame, width: int, most_bytes: int = 24 << 20) -> DataFrame:
+def _resolve(contexts: DataFrame, width: int, most_bytes: int = 4 << 20) -> DataFrame:
     """Spans of strings that occur in several contexts. Rows come sorted by anchor and
     are handled in groups of whole anchors."""
 
