@@ -115,10 +115,10 @@ def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFram
 
 def judge(docs: DataFrame, host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
     """Counts and verdicts for every document. The slim counts are written once, so the
-    texts are read once; host rows join back by key (skewed hosts are split by AQE)."""
+    texts are read once."""
     counts = shared.stored(features(docs, host, rules), "host-rules")
-    hosts = host_verdicts(counts, rules).select("host", "host_rejected")
-    out = counts.join(hosts, "host", "left")
+    hosts = shared.stored(host_verdicts(counts, rules).select("host", "host_rejected"), "host-verdicts")
+    out = shared.with_small(counts, hosts, "host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
 
 

@@ -95,10 +95,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, how: Propagation = Propagation
     if edges.isEmpty():
         return score
     for k in range(how.rounds):
-        flow = (
-            score.join(edges, (score.host == edges.src) & (score.kind == edges.kind))
-            .select(edges.dst.alias("host"), score.kind, (how.damping * score.score * edges.share).alias("score"))
-        )
+        met = score.join(edges.withColumnRenamed("src", "host"), ["host", "kind"])
+        flow = met.select(F.col("dst").alias("host"), "kind", (how.damping * F.col("score") * F.col("share")).alias("score"))
         score = flow.unionByName(base.withColumnRenamed("base", "score")).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if k % 4 == 3:
             score = shared.stored(score, "link-rank")
@@ -132,7 +130,7 @@ def judge(pages: DataFrame, rules=RULES, how: Propagation = Propagation()) -> Da
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
     blocked = per_host.select("host", (F.round(F.col("distrust") - F.col("trust"), 12) > how.margin).alias("host_blocked"))
-    out = rows.join(blocked, "host", "left")
+    out = shared.with_small(rows, shared.stored(blocked, "link-verdicts"), "host")
     method = F.when(F.coalesce("host_blocked", F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
 

@@ -65,7 +65,7 @@ def poisson_mix(docs: DataFrame, source: str = "source", weights: DataFrame | No
     """All columns of ``docs`` plus mix_copy (from 0) and mix_key (the global order).
     Incoming columns of these two names are replaced."""
     spark = docs.sparkSession
-    cdf = rates(docs, source, weights, temperature, expected_rows)
+    cdf = shared.stored(rates(docs, source, weights, temperature, expected_rows), "mix-rates")
     mine = ("mix_copy", "mix_key")
     # The row travels as one struct, so no column of it can clash with the names below.
     keyed = docs.select(
@@ -73,9 +73,8 @@ def poisson_mix(docs: DataFrame, source: str = "source", weights: DataFrame | No
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
         F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("source_key"),
     )
-    # A hot source spreads over all partitions: its rates row is found by a join that
-    # broadcasts the rates when their measured size is small and splits skew otherwise.
-    drawn = keyed.join(cdf, "source_key").select("row", "id", "cdf", uniform(seed, "id").alias("u"))
+    # Some 30 terms a source, for rates near one.
+    drawn = shared.with_small(keyed, cdf, "source_key", "inner", 20_000).select("row", "id", "cdf", uniform(seed, "id").alias("u"))
     drawn = drawn.select("row", "id", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("n")).where("n > 0")
     out = drawn.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
     text = F.concat_ws("|", F.lit(f"{seed}s"), "id", F.col("mix_copy").cast("string"))
