@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shared
-from tessera.llm.components import components
+from tessera.llm.components import components, forest_roots
 from tessera.session import table
 
 
@@ -189,7 +189,7 @@ def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
 
 
 def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Stored links (u, v) between components, from the posting lists that still have
+    """Stored links (u, v) between the roots of components, from the posting lists that still have
     several. The members of all lists with one largest component meet by it; those
     outside it are counted against all others on their full sets, in blocks bounded by
     rows and bytes, and give at most one link to each component. No pair of the same
@@ -214,7 +214,7 @@ def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: Ne
     def group(t: pa.Table, us: list, vs: list) -> None:
         asks = t.column("asks").to_numpy()
         mid = int(np.searchsorted(asks, True))
-        cls, root = t.column("class").to_numpy(), t.column("root").to_numpy()
+        root = t.column("root").to_numpy()
         values = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
         sizes = np.array([len(v) for v in values])
         # Shingle -> rows that have it, as one sorted array.
@@ -230,8 +230,8 @@ def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: Ne
             if ok.any():
                 y = np.flatnonzero(ok)
                 y = y[np.unique(root[y], return_index=True)[1]]
-                us.append(np.full(len(y), cls[x]))
-                vs.append(cls[y])
+                us.append(np.full(len(y), root[x]))
+                vs.append(root[y])
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -262,10 +262,18 @@ def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: Ne
         if held:
             yield solve(held)
 
-    cols = ["main", "i", "j", "asks", "class", "root", "set"]
+    cols = ["main", "i", "j", "asks", "root", "set"]
     return shared.stored(met.select(*cols).mapInArrow(work, "u long, v long").distinct(), "near-rest")
 
 
+def _joined_up(roots: DataFrame, upper: DataFrame) -> DataFrame:
+    """The roots after their own components ``upper`` (node, root) are applied; nodes that
+    only ``upper`` knows were components of one class."""
+    upper = shared.stored(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "near-upper")
+    alone = upper.select(F.col("root").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return roots.unionByName(alone).join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept for every row."""
     rows = described(docs, how)
@@ -277,10 +285,11 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     places = classes.select("class", "place.doc_id", "place.mark").join(lists.select("class"), "class", "left_semi")
     sets = full_sets(docs, places, how)
     links = shared.stored(confirmed(first, sets, how), "near-links")
-    roots = shared.stored(components(links, "near-components"), "near-roots")
+    # A partner is always the more central of the two: these links are a forest.
+    roots = shared.stored(forest_roots(links, "near-forest"), "near-roots")
     more = remaining_links(lists, roots, sets, how)
     if not more.isEmpty():
-        roots = shared.stored(components(links.unionByName(more), "near-components"), "near-roots")
+        roots = shared.stored(_joined_up(roots, components(more, "near-components")), "near-roots")
     slim = rows.select("doc_id", "mark", "n_shingles", "class")
     joined = slim.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "root", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "class"))

@@ -109,6 +109,14 @@ def test_runs_merge(spark):
     index.close()
 
 
+def test_forest_roots(spark):
+    chain = [(i, i + 1) for i in range(1, 40)]
+    hub = [(i, 100) for i in range(50, 90)]
+    got = components.forest_roots(spark.createDataFrame(chain + hub + [(40, 99)], "u long, v long")).collect()
+    assert sorted((r.node, r.root) for r in got) == [(i, 99) for i in range(1, 41)] + [(i, 100) for i in range(50, 90)] + [(99, 99), (100, 100)]
+    assert components.forest_roots(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)]
