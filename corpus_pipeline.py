@@ -15,6 +15,8 @@ from tessera.llm import mixing, near_dup, packing, shared, suffix_levels, toxici
 from tessera.session import table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The shortest passage that counts as repeated has over 50 words.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """400-byte strings that stand at several places are cut out of the texts."""
+    """Passages of over 50 words that stand in several documents, and 400-byte strings
+    that stand at several places, are cut out of the texts."""
     shared.prepare(spark)
-    return suffix_levels.without_repeats(docs)
+    return suffix_levels.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def _each(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + begin[owner], owner
 
 
-def spans_of_rows(rows: DataFrame, spans: DataFrame) -> DataFrame:
+def spans_of_rows(rows: DataFrame, spans: DataFrame, fields: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """Rows with ``spans`` (doc, mark, a, b) gathered per row as an array (null without)."""
-    per_row = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    per_row = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("spans"))
     return rows.join(per_row, ["doc", "mark"], "left")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import repeats, shared, windows
+from tessera.llm import repeats, shared, windows, word_windows
 from tessera.session import table
 
 WIDTH, GRAM, BATCHES = 400, 200, 4
@@ -109,9 +109,10 @@ def _resolve(contexts: DataFrame, width: int, most_bytes: int = 4 << 20) -> Data
     return contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, "doc long, mark long, a int, b int")
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, most_contexts: int = MOST_CONTEXTS, carry: list[str] | None = None, untouched=None) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): all rows as ``affected_rows`` has them (with the columns ``carry``),
-    and (doc, mark, a, b) byte spans to remove (may overlap)."""
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, most_contexts: int = MOST_CONTEXTS, carry: list[str] | None = None, untouched=None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): all rows as ``affected_rows`` has them (with the columns ``carry``;
+    those of (doc, mark) in ``more`` are affected too), and (doc, mark, a, b) byte spans
+    to remove (may overlap)."""
     rows = repeats.keyed(docs, carry)
     entries = shared.stored(repeats.anchor_entries(rows, repeats.byte_rows, width, gram), "byte-entries")
     again = repeats.repeated_entries(entries, batches, False, "byte-levels")
@@ -121,7 +122,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"])
         .select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
     )
-    affected = repeats.affected_rows(rows, again, "byte", untouched or _untouched)
+    hit = again.select("doc", "mark")
+    affected = repeats.affected_rows(rows, hit if more is None else hit.unionByName(more.select("doc", "mark")), "byte", untouched or _untouched)
     many = repeats.with_many_contexts(contexts)
     open_ = contexts.join(many, "key").select("key", "one.*", (F.col("n") == 1).alias("alone"), "n_contexts")
     open_ = shared.stored(open_, "byte-open")
@@ -155,15 +157,21 @@ def cut_spans(data: bytes, spans) -> tuple[bytes, int]:
     return b"".join(data[x:y] for x, y in zip(ends, [*a.tolist(), len(data)])), len(a)
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with repeated strings taken out of their texts, where a cut would fall
     inside a character the whole character stays; all other columns are kept, and
-    n_chars, where there is one, is counted anew. Null texts become empty."""
+    n_chars, where there is one, is counted anew. Null texts become empty. With ``words``
+    passages of so many words that stand in several documents go too, however few bytes
+    they have."""
     others = [c for c in docs.columns if c != text]
     plain = lambda out: [F.when(F.col("hit").isNull(), F.col("text")).alias("plain")]
     source = docs if text == "text" else docs.withColumn("text", F.col(text))
-    rows, spans = repeated_bytes(source, carry=others, untouched=plain)
-    joined = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"))
+    again = word_windows.passage_anchors(repeats.keyed(source, others), words) if words else None
+    rows, spans = repeated_bytes(source, carry=others, untouched=plain, more=again)
+    spans = spans.withColumn("in_words", F.lit(False))
+    if words:
+        spans = spans.unionByName(word_windows.passages(rows, again, words).withColumn("in_words", F.lit(True)))
+    joined = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"), ("a", "b", "in_words"))
 
     def work(batches):
         for batch in batches:
@@ -171,7 +179,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 kept = []
                 for t, spans in zip(some.column("text").to_pylist(), some.column("spans").to_pylist()):
                     data = t.encode("utf-8", "surrogatepass")
-                    kept.append(cut_characters(data, spans))
+                    kept.append(cut_characters(data, in_bytes(data, spans)))
                 yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(kept, pa.string())], ["row", "plain"])
 
     kind = rows.schema["row"].dataType.simpleString()
@@ -181,6 +189,14 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*(F.col("plain").alias(c) if c == text else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
+def in_bytes(data: bytes, spans) -> list[dict]:
+    """The spans with those that count words (``in_words``) turned into bytes."""
+    if not any(s["in_words"] for s in spans or ()):
+        return spans
+    begin, end, _ = shared.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return [{"a": int(begin[s["a"]]), "b": int(end[s["b"] - 1])} if s["in_words"] else s for s in spans]
+
+
 def cut_characters(data: bytes, spans) -> str:
     """The text without the spans, which shrink to whole characters."""
     if not spans:

@@ -47,6 +47,31 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     return affected, whole.unionByName(single)
 
 
+def passage_anchors(rows: DataFrame, width: int, batches: int = BATCHES) -> DataFrame:
+    """The entries of keyed rows whose anchor occurs again, for ``passages``."""
+    entries = shared.stored(repeats.anchor_entries(rows, repeats.word_rows, width, width // 2), "passage-entries")
+    return repeats.repeated_entries(entries, batches, False, "passage-runs")
+
+
+def passages(affected: DataFrame, again: DataFrame, width: int) -> DataFrame:
+    """(doc, mark, a, b) word spans (may overlap) of the windows that stand in several
+    documents, in all of these. Rows of one doc_id and text are one document."""
+    place = F.struct("doc", "mark")
+    contexts = again.groupBy("key", "context").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("doc", "mark", "start", "count")).alias("one"))
+    contexts = shared.stored(contexts.select("key", "context", "one", (F.col("first") == F.col("last")).alias("alone")), "passage-contexts")
+    judged = shared.stored(again.join(contexts.select("key", "context", "alone"), ["key", "context"]), "passage-judged")
+    whole = judged.where("not alone").select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
+    # All entries of a context in one document only; one entry stands for any other context.
+    several = repeats.with_many_contexts(contexts).select("key")
+    fields = ["doc", "mark", "start", "count", "alone"]
+    open_ = judged.where("alone").select("key", *fields).unionByName(contexts.where("not alone").select("key", "one.*", "alone")).join(several, "key").select(*fields)
+    each = repeats.exploded_windows(repeats.located(affected, open_, ["start", "count", "alone"]), repeats.word_rows, width)
+    each = shared.stored(each, "passage-each")
+    ends = each.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.bool_and("alone").alias("alone"))
+    single = each.where("alone").join(ends.where("first < last or not alone").select("window"), "window")
+    return whole.unionByName(single.select("doc", "mark", F.col("start").alias("a"), (F.col("start") + width).alias("b")))
+
+
 def _untouched(out: DataFrame) -> list:
     """The result columns of rows that keep all words, natively."""
     flat = F.trim(F.regexp_replace("text", shared.SPACE_CLASS, " "))

@@ -39,3 +39,22 @@ def test_planted(spark, tmp_path):
     cut = {r.doc_id: r for r in stages["repeated passages"](spark, docs, str(tmp_path)).collect()}
     assert all(passage not in cut[310 + i].text and len(cut[310 + i].text) > 300 for i in range(3))
     assert cut[5].text == rows[5][1] and cut[310].n_chars == len(cut[310].text)
+
+
+def test_short_words_planted(spark, tmp_path):
+    """Passages of 51 words under 400 bytes go from every document, shorter ones and those
+    of a single document stay."""
+    rng = random.Random(12)
+    few = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(n))
+    passage, shorter, own = few(51), few(50), few(51)
+    assert len(passage.encode()) < 400
+    texts = {i: f"{sentence(rng, 60)} {passage} {sentence(rng, 60)}" for i in (1, 2)} | {3: f"{sentence(rng, 60)}  {passage.replace(' ', '  ')}\n{sentence(rng, 60)}"}
+    texts |= {i: f"{sentence(rng, 60)} {shorter} {sentence(rng, 60)}" for i in (4, 5)} | {6: f"{own} {sentence(rng, 9)} {own}"}
+    block = few(30) + " " + passage  # equal surroundings in two documents, others in a third
+    texts |= {7: f"{sentence(rng, 40)} {block} {sentence(rng, 40)}", 8: f"{sentence(rng, 40)} {block} {sentence(rng, 40)}"}
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in texts.items()], SCHEMA)
+    cut = {r.doc_id: r.text for r in dict(pipeline.STAGES)["repeated passages"](spark, docs, str(tmp_path)).collect()}
+    for i in (1, 2, 3, 7, 8):
+        assert not set(passage.split()) & set(cut[i].split()) and len(cut[i]) > 300
+    assert all(cut[i] == texts[i] for i in (4, 5, 6))
+    assert not set(block.split()) & set(cut[7].split())
