@@ -43,7 +43,7 @@ class Profile:
     ins: dict = field(default_factory=dict)
     dels: dict = field(default_factory=dict)
     vocab: dict = field(default_factory=dict)
-    lengths: list = field(default_factory=list)
+    lengths: dict = field(default_factory=dict)
     #: Words and running sums of the tables drawn from so far, by table.
     drawn: dict = field(default_factory=dict, repr=False, compare=False)
 
@@ -57,17 +57,17 @@ class Profile:
         return rng.choices(words, cum_weights=sums)[0]
 
 
-def collect_profile(tables: dict[str, DataFrame], most_entries: int = 200_000) -> Profile:
-    """The profile for generation, which is broadcast: of each table at most
-    ``most_entries`` most frequent entries, in a fixed order."""
-    top = lambda name, *by: tables[name].orderBy(F.desc("n"), *by).limit(most_entries).collect()
-    p = Profile(ops={r.op: r.n for r in top("ops", "op")})
-    for r in top("subs", "ref", "hyp"):
+def collect_profile(tables: dict[str, DataFrame]) -> Profile:
+    """The profile for generation, which is broadcast: every entry of every table, in a
+    fixed order, read partition by partition."""
+    every = lambda name, *by: tables[name].orderBy(F.desc("n"), *by).toLocalIterator()
+    p = Profile(ops={r.op: r.n for r in every("ops", "op")})
+    for r in every("subs", "ref", "hyp"):
         p.subs.setdefault(r.ref, {})[r.hyp] = r.n
-    p.ins = {r.hyp: r.n for r in top("ins", "hyp")}
-    p.dels = {r.ref: r.n for r in top("dels", "ref")}
-    p.vocab = {r.hyp: r.n for r in top("vocab", "hyp")}
-    p.lengths = [r.length for r in top("dropout", "length") for _ in range(r.n)]
+    p.ins = {r.hyp: r.n for r in every("ins", "hyp")}
+    p.dels = {r.ref: r.n for r in every("dels", "ref")}
+    p.vocab = {r.hyp: r.n for r in every("vocab", "hyp")}
+    p.lengths = {r.length: r.n for r in every("dropout", "length")}
     return p
 
 
@@ -76,7 +76,7 @@ def corrupt_once(rng: random.Random, tokens: list[str], profile: Profile, lost:
     learned proportions."""
     out = list(tokens)
     while lost > 0 and out:
-        span = min(rng.choice(profile.lengths or [5, 10, 15]), lost, len(out))
+        span = min(profile.draw(rng, profile.lengths) or rng.choice([5, 10, 15]), lost, len(out))
         at = rng.randint(0, len(out) - span)
         out[at : at + span] = []
         lost -= span

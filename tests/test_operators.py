@@ -157,6 +157,18 @@ def test_synthesis(spark):
     assert a == b and len(a) == 24 and a[0][0] == "Synth_W10_r0"
 
 
+def test_profile_whole(spark):
+    """Every entry counts, however many there are, and each dropout length by its number."""
+    n = 200_050
+    words = spark.range(n).selectExpr("concat('w', id) AS ref", "concat('h', id) AS hyp", "id + 1 AS n")
+    tables = {"ops": spark.createDataFrame([("sub", 3)], "op string, n long"), "subs": words, "ins": words.drop("ref"), "dels": words.drop("hyp"), "vocab": words.drop("ref")}
+    tables["dropout"] = spark.createDataFrame([(4, 1), (7, 10**12)], "length int, n long")
+    p = synthesis.collect_profile(tables)
+    assert [len(t) for t in (p.subs, p.ins, p.dels, p.vocab)] == [n] * 4
+    assert p.subs["w0"] == {"h0": 1} and p.dels["w0"] == 1 and p.lengths == {7: 10**12, 4: 1}
+    assert synthesis.corrupt_once(random.Random(1), ["a"] * 7, p, 7, 0) == []
+
+
 def test_profile_pairing(spark):
     pairs = spark.createDataFrame([(1, 0, ["a", "b"], ["a", "x"]), (1, 1, ["a", "b"], ["b"]), (2, 0, ["a"] * 30, ["a"])], "pID int, src_rank int, ref array<string>, hyp array<string>")
     first = synthesis.profile_tables(pairs)
