@@ -3,8 +3,8 @@
 Method: every url is split into host and path and judged by the longest fitting rule.
 Hosts with allowed pages seed a personalised PageRank along the links between hosts
 (trust); hosts with blocked pages seed one against the links (distrust: who links to
-blocked hosts is suspect). A host whose distrust exceeds its trust by more than a
-margin is blocked for all of its pages that no rule fits.
+blocked hosts is suspect). A host whose distrust exceeds its trust, however small both
+are, is blocked for all of its pages that no rule fits.
 
 Defined results for odd input: a null url, or one without ``://``, has an empty host
 and path, no rule and the verdict allow; null html has no links; repeated rows count
@@ -37,7 +37,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Propagation:
     damping: float = 0.85
     rounds: int = 8
-    #: A host is blocked when distrust - trust exceeds this share of its seed scale.
+    #: A host is blocked when its distrust exceeds its trust by this share of the trust:
+    #: scores shrink as a corpus grows, so no absolute difference decides.
     margin: float = 1e-9
 
 
@@ -129,7 +130,7 @@ def judge(pages: DataFrame, rules=RULES, how: Propagation = Propagation()) -> Da
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
-    blocked = per_host.select("host", (F.round(F.col("distrust") - F.col("trust"), 12) > how.margin).alias("host_blocked"))
+    blocked = per_host.select("host", (F.col("distrust") > F.col("trust") * (1 + how.margin)).alias("host_blocked"))
     out = shared.with_small(rows, shared.stored(blocked, "link-verdicts"), "host")
     method = F.when(F.coalesce("host_blocked", F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tests.conftest import SF
 
-from tessera.llm import queries
+from tessera.llm import link_graph, queries
 from tests.llm.conftest import odd_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -177,3 +177,16 @@ def test_op10_sql_with_links(spark, folder, same):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder['odd']}/pages.parquet/*.parquet'")
     same(result(spark, folder, "op10"), c.sql(queries.ORACLES["op10_link_graph"]).df())
+
+
+def test_op10_scale_free(spark):
+    """Who links to a blocked host by way of popular ones stays suspect, however small the
+    scores become."""
+    rows, links = [("http://bad.net/es/", "")], "bad.net"
+    for level in "xyz":
+        rows += [(f"http://{level}{i}.org/", f'<a href="http://{links}/">') for i in range(1000)]
+        links = f"{level}0.org"
+    rows.append(("http://apart.org/", ""))
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in link_graph.judge(pages).collect()}
+    assert verdicts.pop(len(rows) - 1) == "allow" and set(verdicts.values()) == {"block"}
