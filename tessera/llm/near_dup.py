@@ -313,7 +313,10 @@ def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFr
     # The same row several times: only where the slim table shows any.
     again = linked.where("doc_id = component_id").groupBy("doc_id", "mark").count().where("count > 1")
     if not again.isEmpty():
-        rows = rows.dropDuplicates(["doc", "mark"])
+        # Rows of no such key, among them those without words or doc_id, are left alone.
+        twice = again.select(F.col("doc_id").alias("twice_doc"), F.col("mark").alias("twice_mark"))
+        same = (F.col("doc") == F.col("twice_doc")) & (F.col("mark") == F.col("twice_mark"))
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc", "mark"]))
     return rows.select("row.*")
 
 

@@ -196,3 +196,10 @@ def test_cut_characters():
 def test_keyed_rows(spark):
     df = spark.createDataFrame([(None, None), (1, "x")], "doc_id long, text string")
     assert {r.doc for r in repeats.keyed(df).collect()} == {repeats.SMALLEST, 1}
+
+
+def test_repeated_rows_leave_others(spark):
+    """A row given twice costs its copy only; rows without words or ids all stay."""
+    rows = [(1, "one two three four five six")] * 2 + [(None, "a text without an id")] * 3 + [(None, None)] * 2 + [(7, "")] * 2 + [(8, "something else that is said only once here")]
+    kept = near_dup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.NearDup(shingle=5, percent=80))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows[1:]))
