@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shared, windows
@@ -73,6 +73,12 @@ def anchor_entries(rows: DataFrame, read: Reader, width: int, gram: int) -> Data
     return rows.select("doc", "mark", "text").mapInArrow(work, ENTRY)
 
 
+def batch_number(doc: str, lo: int, step: int, batches: int) -> Column:
+    """0 .. batches - 1, in integers: doubles round where ids span over 2**53. Ids below
+    ``lo`` (null ids) come first."""
+    return F.when(F.col(doc) < lo, 0).otherwise(F.least(F.expr(f"(`{doc}` - {lo}L) div {step}L"), F.lit(batches - 1))).cast("int")
+
+
 def repeated_entries(entries: DataFrame, batches: int, between_documents: bool, tag: str) -> DataFrame:
     """The entries (stored) whose anchor occurs again: in another document, or anywhere
     else. Batches ascend in doc, so what a batch is probed against is what came before."""
@@ -80,7 +86,7 @@ def repeated_entries(entries: DataFrame, batches: int, between_documents: bool,
     if lo is None:
         return entries
     step = max(1, -(-(hi - max(lo, -1) + 1) // batches))
-    number = F.greatest(F.lit(0), F.floor((F.col("doc") - F.lit(max(lo, 0))) / F.lit(step))).cast("int")
+    number = batch_number("doc", max(lo, 0), step, batches)
     index, found = SortedRuns(entries.sparkSession, tag), None
     keep = F.col("lo") < F.col("hi") if between_documents else F.col("n") > 1
     for b in range(batches):

@@ -203,3 +203,14 @@ def test_repeated_rows_leave_others(spark):
     rows = [(1, "one two three four five six")] * 2 + [(None, "a text without an id")] * 3 + [(None, None)] * 2 + [(7, "")] * 2 + [(8, "something else that is said only once here")]
     kept = near_dup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.NearDup(shingle=5, percent=80))
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows[1:]))
+
+
+def test_batches_of_wide_ids(spark):
+    """Every id has a batch, also where the ids span more than doubles can tell apart."""
+    lo, hi = 5, (1 << 62) + 7
+    entries = spark.createDataFrame([(3, 0, d, d, 0, 1) for d in (lo, hi)] + [(4, 0, hi, hi, 0, 1)], repeats.ENTRY)
+    again = repeats.repeated_entries(entries, 4, True, "wide").collect()
+    assert sorted((r.key, r.doc) for r in again) == [(3, lo), (3, hi)]
+    step = -(-(hi - lo + 1) // 4)
+    ids = spark.createDataFrame([(repeats.SMALLEST,), (lo,), (hi // 2,), (hi,)], "doc long")
+    assert [r.n for r in ids.select(repeats.batch_number("doc", lo, step, 4).alias("n")).collect()] == [0, 0, 1, 3]
