@@ -339,7 +339,9 @@ def error_profile(spark, sf_dir):
     t = synthesis.profile_tables(inputs.hypotheses(inputs.references(spark, sf_dir)).where("src_rank > 0"), pairing="all")
     return t["ops"].select(F.lit("op").alias("kind"), F.col("op").alias("a"), F.lit("").alias("b"), "n").unionByName(
         t["subs"].select(F.lit("sub").alias("kind"), F.col("ref").alias("a"), F.col("hyp").alias("b"), "n")
-    ).unionByName(t["dels"].select(F.lit("del").alias("kind"), F.col("ref").alias("a"), F.lit("").alias("b"), "n"))
+    ).unionByName(t["dels"].select(F.lit("del").alias("kind"), F.col("ref").alias("a"), F.lit("").alias("b"), "n")).unionByName(
+        t["ins"].select(F.lit("ins").alias("kind"), F.lit("").alias("a"), F.col("hyp").alias("b"), "n")
+    ).unionByName(t["dropout"].select(F.lit("dropout").alias("kind"), F.col("length").cast("string").alias("a"), F.lit("").alias("b"), "n"))
 
 
 @query()
@@ -347,7 +349,7 @@ def synthetic_transcripts(spark, sf_dir):
     inputs.start(spark)
     refs = inputs.references(spark, sf_dir)
     profile = synthesis.collect_profile(synthesis.profile_tables(inputs.hypotheses(refs).where("src_rank > 0")))
-    return synthesis.synthesise(refs.select("pID", F.col("ref").alias("tokens")), profile, reps=2)
+    return synthesis.synthesise(refs.select("pID", F.col("ref").alias("tokens")), profile)
 
 
 @query()

@@ -169,6 +169,20 @@ def test_profile_whole(spark):
     assert synthesis.corrupt_once(random.Random(1), ["a"] * 7, p, 7, 0) == []
 
 
+def test_profile_queries(spark, tmp_path):
+    """All parts of the profile, and all repetitions of the synthetic sources."""
+    from tests.conftest import SF
+
+    from tessera.plans.queries_text import error_profile, synthetic_transcripts
+
+    parts = {r.kind: r.n for r in error_profile(spark, SF).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.a: r.n for r in error_profile(spark, SF).where("kind = 'op'").collect()}
+    assert parts["ins"] == counts["ins"] > 0 and parts["del"] == counts["del"]
+    talk = spark.createDataFrame([(1, 0, "user", "one text of some nine words to be heard")], "conv_id long, turn long, role string, text string")
+    talk.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert synthetic_transcripts(spark, str(tmp_path)).select("srcID").distinct().count() == 75
+
+
 def test_profile_pairing(spark):
     pairs = spark.createDataFrame([(1, 0, ["a", "b"], ["a", "x"]), (1, 1, ["a", "b"], ["b"]), (2, 0, ["a"] * 30, ["a"])], "pID int, src_rank int, ref array<string>, hyp array<string>")
     first = synthesis.profile_tables(pairs)
