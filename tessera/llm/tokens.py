@@ -4,12 +4,14 @@ A byte-level BPE splits a text before its merges run, so a text's ids are the id
 its units one after the other. Texts whose white space is single spaces and line feeds
 between other characters are cut into units (a word with the space before it, a line
 feed) by Arrow; the library encodes each distinct unit once per worker, and the ids of
-all units are gathered by position. Any other text is encoded whole by the library.
+all units are gathered by position. Any other text, and any that holds the string of an
+added token, is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -32,8 +34,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most_units, self.units = most_units, units
+        # Strings of added tokens are found in the whole text before it is split.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([_ODD, *added])
         vocab = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocab.values()) + 1, bool)
         self.after_space[[v for k, v in vocab.items() if k.startswith("Ġ")]] = True
@@ -100,7 +104,7 @@ class Encoder:
         n = len(col)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False) if self.units else np.ones(n, bool)
+        odd = pc.match_substring_regex(col, self.odd).to_numpy(zero_copy_only=False) if self.units else np.ones(n, bool)
         if not odd.any():
             return self._by_units(col)
         got = self._encode(col.filter(pa.array(odd)).to_pylist())
