@@ -5,6 +5,7 @@ by the ``wave`` module as 8-bit mono samples and read back by it. The samples re
 get a short-time Fourier transform; the strongest bin of each frame that stands out in
 time is a landmark, and each landmark is paired with the next few. A pair is stored as
 one long: frame << 24 | bin << 16 | next bin << 8 | frames between (a time-coded array).
+The media column is written as a table and read again before anything is computed of it.
 
 Defined results for odd input: null and empty texts give one padding frame of blanks;
 repeated rows give repeated results; an empty table gives an empty result; further
@@ -79,41 +80,49 @@ def fingerprint(samples: bytes, most_frames: int = 8192) -> np.ndarray:
 
 
 FIELDS = (
-    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprint array<long>"
 )
 
 
-def media_columns(docs: DataFrame, key: str = "doc_id", keep_media: bool = False) -> DataFrame:
-    """Digest columns per row; with ``keep_media`` also ``media`` (the WAV file) and
-    ``fingerprint`` (array of long)."""
+def stored_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The media column, stored: (key, n_bytes, media), one WAV file per row."""
 
     def work(batches):
         for batch in batches:
             for some in shared.text_slices(batch, "text"):
-                rows, medias, prints = [], [], []
-                for text in some.column("text").to_pylist():
-                    data = text.encode("utf-8", "surrogatepass")
-                    media = to_wav(padded(data))
-                    back = from_wav(media)
-                    pairs = fingerprint(back)
-                    rows.append((
-                        len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),
-                        f"{(len(back) - FRAME) // HOP + 1}f{len(pairs)}p{zlib.crc32(pairs.astype('<i8').tobytes()):08x}",
-                    ))
-                    if keep_media:
-                        medias.append(media)
-                        prints.append(pairs)
-                names = [f.split()[0] for f in FIELDS.split(", ")]
-                kinds = [pa.string() if f.endswith("string") else pa.int64() for f in FIELDS.split(", ")]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                if keep_media:
-                    names += ["media", "fingerprint"]
-                    cols += [pa.array(medias, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column("key"), *cols], [key, *names])
+                raw, offs = shared.utf8(some.column("text"))
+                data = memoryview(raw)
+                medias = [to_wav(padded(bytes(data[a:b]))) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(np.diff(offs)), pa.array(medias, pa.binary())], ["key", "n_bytes", "media"])
 
-    kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), shared.whole_text().alias("text"))
-    return rows.mapInArrow(work, f"{key} {kind}, {FIELDS}" + (", media binary, fingerprint array<long>" if keep_media else ""))
+    return shared.stored(rows.mapInArrow(work, f"key {dict(docs.dtypes)[key]}, n_bytes long, media binary"), "media")
+
+
+def media_columns(docs: DataFrame, key: str = "doc_id", keep_media: bool = False) -> DataFrame:
+    """Digest columns and ``fingerprint`` (array of long) per row, of the stored media
+    column as it is read back; with ``keep_media`` also ``media`` (the WAV file)."""
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media")):
+                media = media.as_py()
+                back = from_wav(media)
+                pairs = fingerprint(back)
+                rows.append((
+                    n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),
+                    f"{(len(back) - FRAME) // HOP + 1}f{len(pairs)}p{zlib.crc32(pairs.astype('<i8').tobytes()):08x}", pairs,
+                ))
+            if not rows:
+                continue
+            names = [f.split()[0] for f in FIELDS.split(", ")]
+            kinds = [pa.string() if f.endswith("string") else pa.list_(pa.int64()) if f.endswith(">") else pa.int64() for f in FIELDS.split(", ")]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *cols, *([batch.column("media")] if keep_media else [])], [key, *names, *(["media"] if keep_media else [])])
+
+    kind = dict(docs.dtypes)[key]
+    return stored_media(docs, key).mapInArrow(work, f"{key} {kind}, {FIELDS}" + (", media binary" if keep_media else ""))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
