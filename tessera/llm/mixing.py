@@ -61,9 +61,17 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
     return both.select("source_key", rate.cast("double").alias("rate")).where("rate > 0").select("source_key", "rate", cumulative(F.col("rate")).alias("cdf"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``poisson_mix`` with the columns of ``docs`` alone, among them its own
+    mix_copy and mix_key, if it has such."""
+    inner = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    keys = docs.select(inner).select("own", F.col("own.doc_id").alias("doc_id"), F.col(f"own.`{how.get('source', 'source')}`").alias(how.get("source", "source")))
+    return poisson_mix(keys, **how).select("own.*")
+
+
 def poisson_mix(docs: DataFrame, source: str = "source", weights: DataFrame | None = None, seed: int = 17, temperature: float = TEMPERATURE, expected_rows: Column | None = None, shuffle: bool = True) -> DataFrame:
     """All columns of ``docs`` plus mix_copy (from 0) and mix_key (the global order).
-    Incoming columns of these two names are replaced."""
+    Incoming columns of these two names are replaced (``mixed`` keeps them)."""
     spark = docs.sparkSession
     cdf = shared.stored(rates(docs, source, weights, temperature, expected_rows), "mix-rates")
     mine = ("mix_copy", "mix_key")
@@ -73,7 +81,7 @@ def poisson_mix(docs: DataFrame, source: str = "source", weights: DataFrame | No
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
         F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("source_key"),
     )
-    # Some 30 terms a source, for rates near one.
+    # A source has about rate + 12 * sqrt(rate) + 24 terms; their bytes are counted before a broadcast.
     drawn = shared.with_small(keyed, cdf, "source_key", "inner", 20_000).select("row", "id", "cdf", uniform(seed, "id").alias("u"))
     drawn = drawn.select("row", "id", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("n")).where("n > 0")
     out = drawn.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
