@@ -1,22 +1,26 @@
 """The common course of the two repeated-window operators: anchor entries of all rows,
-a log-structured index that tells which anchors repeat, and exact resolution of the
-windows around those.
+an index of sorted runs, and exact resolution of the windows around repeated anchors.
 
-1. Every row gives anchor entries (``windows``): (gram, context, row key, start, count).
-2. Batches of entries go through sorted runs; anchors that occur once are gone after it.
+1. One pass over the texts gives anchor entries (``windows``): (key, context, row key,
+   start, count), and what the result says of a text that keeps everything.
+2. Batches of entries go through the index; anchors that occur once are gone after it.
 3. Of the others, entries with equal contexts share all of their windows, whatever the
-   number of copies. Only one entry per distinct context has to be compared further, and
+   number of copies. Only one entry per distinct context has to be looked at further, and
    only where an anchor has several contexts.
-4. For those, the windows are hashed one by one.
-
-Nothing here compares pairs: every step groups by a hash, and the work is linear in the
-entries however large a group of copies is. Rows are identified by (doc, mark): doc_id
-(null as the smallest) and a hash of doc_id and text; identical rows share a mark.
+4. For those, every window is hashed (128 bits) and counted over the cluster.
+
+Nothing here compares pairs or gathers an anchor in one task: every step counts by a
+hash, and the work is linear in the entries however large a group of copies is. Rows are
+identified by (doc, mark): doc_id (null as the smallest) and a hash of doc_id and text;
+identical rows share a mark. Texts are shuffled only where they are touched by a repeat
+(and once to find these), always as the streamed side of a hash join, so they are never
+sorted. Intermediate tables are deleted as soon as nothing reads them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,53 +28,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shared, windows
-from tessera.llm.runs import SortedRuns
+from tessera.llm.runs import SortedRuns, Value
 
 SMALLEST = -(1 << 63)
-ENTRY = "key long, context long, doc long, mark long, start int, count int"
+ROW = ["doc", "mark"]
 
 
-def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """row (a struct of the columns to carry, doc_id by default), doc, mark, text."""
+def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc, mark, text; with ``keep`` also row, a struct of all columns but text."""
     text = shared.whole_text()
-    return docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry or ["doc_id"])).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("doc"),
-        F.xxhash64("doc_id", text).alias("mark"), text.alias("text"),
-    )
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if keep else []
+    return docs.select(*row, F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("doc"), F.xxhash64("doc_id", text).alias("mark"), text.alias("text"))
+
+
+def doc_id(kind: str) -> Column:
+    """The document's own id again."""
+    return F.when(F.col("doc") != SMALLEST, F.col("doc")).cast(kind).alias("doc_id")
 
 
-def byte_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
-    raw, offs = shared.utf8(col)
-    return shared.byte_symbols(raw), offs, (raw, None, None)
+@dataclass(frozen=True)
+class Symbols:
+    """Symbols of string arrays: ``read`` gives all of them and each row's first one,
+    ``describe`` the key and the context of entries, ``digest`` the number of symbols and
+    the digest of a text of which nothing goes."""
 
+    width: int
+    gram: int
+    key: str
+    kinds: str
+    read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    describe: Callable[[np.ndarray, windows.Entries, int, int], list[pa.Array]]
+    digest: Callable[[bytes], tuple[int, str]]
 
-def word_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
-    raw, offs = shared.utf8(col)
-    begin, end, firsts = shared.word_bounds(raw, offs)
-    return shared.word_hashes(raw, begin, end), firsts, (raw, begin, end)
+    def names(self) -> list[str]:
+        return [k.split()[0] for k in self.kinds.split(", ")]
 
 
-Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, tuple]]
+def _entry_batch(symbols: np.ndarray, firsts: np.ndarray, e: windows.Entries, some: pa.RecordBatch, how: Symbols) -> list[pa.Array]:
+    at = pa.array(e.row)
+    return [
+        *how.describe(symbols, e, how.width, how.gram), some.column("doc").take(at), some.column("mark").take(at),
+        pa.array((e.start - firsts[e.row]).astype(np.int32)), pa.array(e.count.astype(np.int32)),
+    ]
 
 
-def anchor_entries(rows: DataFrame, read: Reader, width: int, gram: int) -> DataFrame:
-    def work(batches):
+def scanned(rows: DataFrame, how: Symbols, tag: str, digests: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(entries, digests, the stored table of both): one pass over the texts."""
+    names = [*how.names(), "doc", "mark", "start", "count"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in shared.text_slices(batch, "text"):
-                symbols, firsts, _ = read(some.column("text"))
-                e = windows.entries(symbols, firsts, width, gram)
-                if len(e.row):
-                    at = pa.array(e.row)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(e.gram.view(np.int64)), pa.array(e.context.view(np.int64)),
-                            some.column("doc").take(at), some.column("mark").take(at),
-                            pa.array((e.start - firsts[e.row]).astype(np.int32)), pa.array(e.count.astype(np.int32)),
-                        ],
-                        ["key", "context", "doc", "mark", "start", "count"],
-                    )
-
-    return rows.select("doc", "mark", "text").mapInArrow(work, ENTRY)
+                symbols, firsts = how.read(some.column("text"))
+                cols = _entry_batch(symbols, firsts, windows.entries(symbols, firsts, how.width, how.gram), some, how)
+                m = len(cols[0])
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())], [*names, "n", "sha"])
+                if digests:
+                    raw, offs = shared.utf8(some.column("text"))
+                    data = memoryview(raw)
+                    n, sha = zip(*(how.digest(bytes(data[a:b])) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())))
+                    none = [pa.nulls(len(n), c.type) for c in cols]
+                    none[-4], none[-3] = some.column("doc"), some.column("mark")
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*names, "n", "sha"])
+
+    table = shared.stored(rows.select("doc", "mark", "text").mapInArrow(work, f"{how.kinds}, doc long, mark long, start int, count int, n long, sha string"), tag + "-scan")
+    return table.where("count is not null").select(*names), table.where("n is not null").select("doc", "mark", "n", "sha"), table
 
 
 def batch_number(doc: str, lo: int, step: int, batches: int) -> Column:
@@ -79,75 +101,77 @@ def batch_number(doc: str, lo: int, step: int, batches: int) -> Column:
     return F.when(F.col(doc) < lo, 0).otherwise(F.least(F.expr(f"(`{doc}` - {lo}L) div {step}L"), F.lit(batches - 1))).cast("int")
 
 
-def repeated_entries(entries: DataFrame, batches: int, between_documents: bool, tag: str) -> DataFrame:
-    """The entries (stored) whose anchor occurs again: in another document, or anywhere
-    else. Batches ascend in doc, so what a batch is probed against is what came before."""
+def repeated_entries(entries: DataFrame, how: Symbols, values: dict[str, Value], repeated: Column, batches: int, tag: str) -> DataFrame:
+    """The entries (stored, with ``key``) whose anchor fulfils ``repeated`` after all
+    batches. Batches ascend in doc, so what a batch is probed against came before."""
     lo, hi = entries.agg(F.min("doc"), F.max("doc")).first()
+    columns = list(dict.fromkeys(["key", "context", *ROW, "start", "count"]))
     if lo is None:
-        return entries
+        return entries.select(*columns)
     step = max(1, -(-(hi - max(lo, -1) + 1) // batches))
     number = batch_number("doc", max(lo, 0), step, batches)
-    index, found = SortedRuns(entries.sparkSession, tag), None
-    keep = F.col("lo") < F.col("hi") if between_documents else F.col("n") > 1
+    index, found = SortedRuns(entries.sparkSession, tag, how.key, values), []
     for b in range(batches):
-        part = index.add(entries.where(number == b).select("key", "doc")).where(keep).select("key")
-        found = part if found is None else found.unionByName(part)
+        found.append(index.add(entries.where(number == b).select(how.key, *ROW, "start")))
     index.close()
-    # Written first, so that the join's sides are plain shuffles and AQE can split an
-    # anchor that very many entries share.
-    again = entries.join(shared.stored(found.distinct(), tag + "-keys"), "key")
-    return shared.stored(again, tag + "-again")
+    keys = found[0]
+    for part in found[1:]:
+        keys = keys.unionByName(part)
+    # The slim side is written first, so that the join's sides are plain shuffles and AQE
+    # can split an anchor that very many entries share.
+    keys = shared.stored(keys.where(repeated).select(F.xxhash64("head").alias("key") if how.key == "head" else "key").distinct(), tag + "-keys")
+    again = shared.stored(entries.select(*columns).join(keys, "key", "left_semi"), tag + "-again")
+    shared.discard(*found, keys)
+    return again
 
 
 def with_many_contexts(contexts: DataFrame) -> DataFrame:
-    """(key, n_contexts) of anchors with several distinct contexts."""
-    return contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1")
+    """Anchors with several distinct contexts."""
+    return contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1").select("key")
 
 
-def affected_rows(rows: DataFrame, again: DataFrame, tag: str, untouched: Callable[[DataFrame], list]) -> DataFrame:
-    """All rows, once: with their text where an anchor repeats, otherwise with null and
-    what ``untouched`` computes from the text. The texts are shuffled once here; later
-    steps move only the affected ones."""
-    marks = again.select("doc", "mark").distinct().withColumn("hit", F.lit(True))
-    out = rows.join(marks, ["doc", "mark"], "left")
-    text = F.when(F.col("hit"), F.col("text"))
-    return shared.stored(out.select("row", "doc", "mark", *untouched(out), text.alias("text")), tag + "-rows")
+def touched_rows(rows: DataFrame, again: DataFrame, tag: str) -> DataFrame:
+    """The rows (stored) with a repeated anchor."""
+    return shared.stored(rows.join(again.select(*ROW).distinct().hint("shuffle_hash"), ROW, "left_semi"), tag + "-rows")
 
 
-def located(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
-    """text, doc, mark and ``wanted``'s entries as an array per row (bounded by the
-    row's length)."""
-    per_row = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("at"))
-    return rows.where("text is not null").select("doc", "mark", "text").join(per_row, ["doc", "mark"])
+def per_row(wanted: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """An array per row, bounded by the row's length."""
+    return wanted.groupBy(*ROW).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def exploded_windows(found: DataFrame, read: Reader, width: int) -> DataFrame:
-    """(window, doc, mark, start, alone): the hash of every window of the located
-    entries (fields start, count, alone)."""
+def exploded_windows(touched: DataFrame, wanted: DataFrame, how: Symbols, tag: str) -> DataFrame:
+    """Stored (window, check, doc, mark, start, alone): two hashes of every window of the
+    ``wanted`` entries (doc, mark, start, count, alone)."""
+    names = ["window", "check", "doc", "mark", "start", "alone"]
 
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in shared.text_slices(batch, "text"):
-                symbols, firsts, _ = read(some.column("text"))
-                at = some.column("at")
-                row, flat = _flat(at)
-                begin = firsts[row] + flat.field("start").to_numpy(zero_copy_only=False)
+                symbols, firsts = how.read(some.column("text"))
+                lists = some.column("at")
+                offs = lists.offsets.to_numpy()
+                row, flat = np.repeat(np.arange(len(lists)), np.diff(offs)), lists.values.slice(offs[0], offs[-1] - offs[0])
                 count = flat.field("count").to_numpy(zero_copy_only=False).astype(np.int64)
-                s, owner = _each(begin, count)
-                h = shared.Rolling(symbols, 1).of(s, s + width)
-                r = pa.array(row[owner])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), some.column("doc").take(r), some.column("mark").take(r), pa.array((s - firsts[row[owner]]).astype(np.int32)), flat.field("alone").take(pa.array(owner))],
-                    ["window", "doc", "mark", "start", "alone"],
-                )
-
-    return found.mapInArrow(work, "window long, doc long, mark long, start int, alone boolean")
-
+                begin = firsts[row] + flat.field("start").to_numpy(zero_copy_only=False)
+                # Some windows at a time, however long a row is.
+                ends = np.cumsum(count)
+                i = 0
+                while i < len(count):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + windows.SEGMENT, "right")))
+                    s, owner = _each(begin[i:j], count[i:j])
+                    r = row[i:j][owner]
+                    one, two = windows.hashes_at(symbols, s, how.width, (1, 2))
+                    at = pa.array(r)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), some.column("doc").take(at), some.column("mark").take(at),
+                         pa.array((s - firsts[r]).astype(np.int32)), flat.field("alone").take(pa.array(owner + i))],
+                        names,
+                    )
+                    i = j
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row number of each list element, and the elements."""
-    offs = lists.offsets.to_numpy()
-    return np.repeat(np.arange(len(lists)), np.diff(offs)), lists.values.slice(offs[0], offs[-1] - offs[0])
+    found = touched.select(*ROW, "text").join(per_row(wanted, ["start", "count", "alone"], "at").hint("shuffle_hash"), ROW)
+    return shared.stored(found.mapInArrow(work, "window long, check long, doc long, mark long, start int, alone boolean"), tag + "-each")
 
 
 def _each(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +181,35 @@ def _each(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + begin[owner], owner
 
 
-def spans_of_rows(rows: DataFrame, spans: DataFrame, fields: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """Rows with ``spans`` (doc, mark, a, b) gathered per row as an array (null without)."""
-    per_row = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("spans"))
-    return rows.join(per_row, ["doc", "mark"], "left")
+def spans(entries: DataFrame, width: int) -> DataFrame:
+    """(doc, mark, a, b) of the symbols that all windows of entries cover."""
+    return entries.select(*ROW, F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
+
+
+def window_spans(each: DataFrame, width: int) -> DataFrame:
+    return each.select(*ROW, F.col("start").alias("a"), (F.col("start") + width).alias("b"))
+
+
+def digested(docs: DataFrame, touched: DataFrame, digests: DataFrame, found: DataFrame, cut: Callable[[bytes, list], tuple], gone: str, untouched: list[Column]) -> DataFrame:
+    """The digest columns of all rows: for touched ones (with their spans ``found``) by
+    ``cut`` (types in ``gone``), for all others from the first pass."""
+    kind = dict(docs.dtypes)["doc_id"]
+    names = [g.split()[0] for g in gone.split(", ")]
+    kinds = [pa.string() if g.endswith("string") else pa.int64() for g in gone.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in shared.text_slices(batch, "text"):
+                raw, offs = shared.utf8(some.column("text"))
+                data, lists = memoryview(raw), some.column("spans")
+                out = []
+                for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                    at = lists[i].values if lists[i].is_valid else None
+                    merged = windows.merge_spans(*(at.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("a", "b"))) if at is not None else None
+                    out.append(cut(bytes(data[a:b]), merged))
+                yield pa.RecordBatch.from_arrays([some.column("doc"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc", *names])
+
+    joined = touched.join(per_row(found, ["a", "b"], "spans").hint("shuffle_hash"), ROW, "left").select("doc", "text", "spans")
+    some = joined.mapInArrow(work, f"doc long, {gone}").select(doc_id(kind), *names)
+    others = digests.join(touched.select(*ROW).distinct(), ROW, "left_anti").select(doc_id(kind), *untouched)
+    return some.unionByName(others)

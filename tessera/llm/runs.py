@@ -1,18 +1,19 @@
 """A family of immutable sorted runs, merged geometrically.
 
-A run is a Parquet table bucketed and sorted by its key, so probing and merging are
-merge joins of sorted buckets without a shuffle. Every new batch becomes a run of level
-0 after it has been probed against all older runs; two runs of one level merge into one
-of the next, so n batches leave at most log2(n) + 1 runs and each entry is rewritten at
-most log2(n) times.
+A run is a Parquet table bucketed by its key and sorted by it inside each bucket, so
+probing and merging are merge joins of sorted buckets without a shuffle. Every new batch
+becomes a run of level 0 after it has been probed against all older runs; two runs of
+one level merge into one of the next, so n batches leave at most log2(n) + 1 runs and
+each entry is rewritten at most log2(n) times. Runs that were merged are deleted.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shared
@@ -21,56 +22,83 @@ from tessera.llm import shared
 @dataclass
 class Run:
     name: str
+    folder: str
     level: int
 
 
+@dataclass(frozen=True)
+class Value:
+    """A column of a run: how it is gathered from a batch, and from two runs."""
+
+    gather: Callable[[], Column]
+    merge: Callable[[Column, Column], Column]
+
+
+def added(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
+#: How often a key occurs, its smallest and its largest document.
+BY_DOCUMENT = {
+    "n": Value(lambda: F.count(F.lit(1)), added),
+    "lo": Value(lambda: F.min("doc"), F.least),
+    "hi": Value(lambda: F.max("doc"), F.greatest),
+}
+#: How often a key occurs, and the first of its positions.
+BY_POSITION = {
+    "n": Value(lambda: F.count(F.lit(1)), added),
+    "at": Value(lambda: F.min(F.struct("doc", "mark", "start")), F.least),
+}
+
+
 class SortedRuns:
-    """Entries (key, n, lo, hi): how often a key occurs, its smallest and its largest
-    document."""
+    """Runs of (key, the columns of ``values``)."""
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.tag = spark, tag
+    def __init__(self, spark: SparkSession, tag: str, key: str, values: dict[str, Value]):
+        self.spark, self.tag, self.key, self.values = spark, tag, key, values
         self.folder = shared.new_folder(spark, tag)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[Run] = []
 
     def _write(self, entries: DataFrame, level: int) -> Run:
         name = f"{self.tag}_{uuid.uuid4().hex}".replace("-", "_")
+        folder = f"{self.folder}/{name}"
         (
-            entries.write.bucketBy(self.buckets, "key").sortBy("key")
-            .option("path", f"{self.folder}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+            entries.write.bucketBy(self.buckets, self.key).sortBy(self.key).option("path", folder)
+            .option("compression", "zstd").option("parquet.block.size", 16 << 20).format("parquet").saveAsTable(name)
         )
-        return Run(name, level)
+        return Run(name, folder, level)
+
+    def _drop(self, run: Run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+        shared.remove(self.spark, run.folder)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """``batch`` has (key, doc) rows. Returns (key, n, lo, hi) over this batch and
-        all earlier ones for the keys of the batch."""
-        entries = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        new = self._write(entries.repartition(self.buckets, "key"), 0)
+        """Stored (key, values) over ``batch`` and all earlier ones for the keys of the
+        batch that occur twice or more."""
+        # The aggregation's own exchange has as many partitions as there are buckets.
+        new = self._write(batch.groupBy(self.key).agg(*(v.gather().alias(c) for c, v in self.values.items())), 0)
         found = self.spark.table(new.name)
         for old in self.runs:
             found = self._join(found, self.spark.table(old.name), "left")
-        found = shared.stored(found.where("n > 1 or lo < hi"), self.tag + "-found")
+        found = shared.stored(found.where("n > 1"), self.tag + "-found")
         self.runs.append(new)
         while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
             b, a = self.runs.pop(), self.runs.pop()
             merged = self._join(self.spark.table(a.name), self.spark.table(b.name), "full")
             self.runs.append(self._write(merged, a.level + 1))
-            for gone in (a, b):
-                self.spark.sql(f"DROP TABLE {gone.name}")
+            self._drop(a)
+            self._drop(b)
         return found
 
-    @staticmethod
-    def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        b = b.select("key", *(F.col(c).alias(c + "_") for c in ("n", "lo", "hi")))
-        return a.hint("merge").join(b, "key", how).select(
-            "key",
-            (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"),
-            F.least("lo", "lo_").alias("lo"),
-            F.greatest("hi", "hi_").alias("hi"),
-        )
+    def _join(self, a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        b = b.select(self.key, *(F.col(c).alias(c + "_") for c in self.values))
+        both = a.hint("merge").join(b, self.key, how)
+        return both.select(self.key, *(v.merge(F.col(c), F.col(c + "_")).alias(c) for c, v in self.values.items()))
 
     def close(self) -> None:
+        """Delete the index; without it, later batches could be added."""
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+            self._drop(run)
         self.runs = []
+        shared.remove(self.spark, self.folder)

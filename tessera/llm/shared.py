@@ -3,6 +3,7 @@ and vectorised reading of words out of Arrow string batches."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -17,15 +18,21 @@ from tessera.session import ship_package
 #: The word and space classes of the contracts (ASCII white space only).
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that a Python worker gets.
+BATCH_BYTES = 8 << 20
+
 _local_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; only where it is unset (local tests) a temporary folder stands in."""
+    session. Where it is unset, a local session (tests) gets a temporary folder; on a
+    cluster there is no folder to choose, and it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="tessera-shared-"))
     return "file://" + _local_root[0]
@@ -38,24 +45,57 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut,
-    and a lost executor costs a re-read, not a recomputation."""
+    and a lost executor costs a re-read, not a recomputation. Small row groups keep the
+    writers' memory low."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in frames:
+        if getattr(df, "_stored_at", None):
+            remove(df.sparkSession, df._stored_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all stored tables, once no result of this subpackage is read any more."""
+    remove(spark, f"{shared_root(spark)}/tessera")
+
+
+def _row_bytes(small: DataFrame) -> Column:
+    """About the bytes of a row: 8 a number, the bytes of strings, 8 an array element."""
+    size = F.lit(0)
+    for f in small.schema.fields:
+        kind = f.dataType.simpleString()
+        own = F.octet_length(f.name) if kind in ("string", "binary") else 8 * F.size(f.name) if kind.startswith("array") else F.lit(8)
+        size = size + F.coalesce(own, F.lit(0))
+    return size.cast("long")
 
 
 def with_small(big: DataFrame, small: DataFrame, on: str, how: str = "left", most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
-    """Join a stored table by a string key. It is broadcast only if its rows and the bytes
-    of its keys, counted first, are within the bounds, so that a hot key of ``big`` needs
-    no shuffle; beyond them the join shuffles both sides and AQE splits hot keys."""
-    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(on)), F.lit(0))).first()
+    """Join a stored table by a string key. It is broadcast only if its rows and their
+    bytes, counted first, are within the bounds, so that a hot key of ``big`` needs no
+    shuffle; beyond them the join shuffles both sides and AQE splits hot keys."""
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(small)), F.lit(0))).first()
     return big.join(F.broadcast(small) if rows <= most_rows and size <= most_bytes else small, on, how)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers."""
+    """Make this package importable in Python workers, and bound the bytes of an Arrow
+    batch between the JVM and Python."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def whole_text(col: str = "text") -> Column:
@@ -63,7 +103,7 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a record batch so that each slice holds about ``most_bytes`` of text (a
     single longer text is its own slice): hashing takes some 80 bytes a byte of text."""
     col = batch.column(column)
@@ -125,7 +165,7 @@ _kept_powers: dict[int, np.ndarray] = {}
 
 def kept_powers(base: int, n: int) -> np.ndarray:
     """As ``powers``; arrays of usual length are kept for the next batch."""
-    if n > 4 << 20:
+    if n > 3 << 19:
         return powers(base, n)
     have = _kept_powers.get(base)
     if have is None or len(have) < n:
@@ -139,8 +179,8 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 class Rolling:
-    """Hashes of any stretch of a symbol array from prefix sums: the hash of
-    [a, b) is mix64((P[b] - P[a]) * BASE**-a), so equal stretches agree wherever they
+    """Hashes of any stretch of a symbol array (64-bit hashes, or bytes, which are mixed
+    first) from prefix sums: the hash of [a, b) is mix64((P[b] - P[a]) * BASE**-a), so equal stretches agree wherever they
     stand."""
 
     def __init__(self, symbols: np.ndarray, salt: int = 0):
@@ -150,18 +190,14 @@ class Rolling:
             inv = pow(base, -1, 1 << 64)
             self.inverse = kept_powers(inv, n + 1)
             self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(symbols.astype(np.uint64, copy=False) * kept_powers(base, n), out=self.prefix[1:])
+            values = _BYTE_TABLE[symbols] if symbols.dtype == np.uint8 else symbols
+            np.cumsum(values * kept_powers(base, n), out=self.prefix[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.prefix[b] - self.prefix[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
 
-def byte_symbols(raw: np.ndarray) -> np.ndarray:
-    """Bytes as well-mixed 64-bit symbols."""
-    return _BYTE_TABLE[raw]
-
-
 _BYTE_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
@@ -190,11 +226,27 @@ def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Words are hashed over about so many bytes at a time; longer words one by one.
+WORD_BYTES = 1 << 20
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of every word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    return Rolling(byte_symbols(_LOWER[raw] if lower else raw), salt).of(starts, ends)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + WORD_BYTES, "right"))
+        if j <= i:
+            word = raw[lo : int(ends[i])]
+            digest = hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8, salt=salt.to_bytes(16, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
+            i += 1
+            continue
+        part = raw[lo : int(ends[j - 1])]
+        out[i:j] = Rolling(_LOWER[part] if lower else part, salt).of(starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
 
 
 def crc32(data: bytes) -> int:

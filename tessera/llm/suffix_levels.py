@@ -1,22 +1,25 @@
 """Byte-exact removal of repeated 400-byte strings: a logarithmic family of suffix
-indexes.
+arrays.
 
 Each batch of documents gets a sparse suffix array: its suffixes that start at
-content-defined anchors, sorted by the fingerprint of their leading stretch (equal
-stretches stand together, which is all a match needs; the order among different ones is
-that of the fingerprints, not of the bytes). A new batch is merge-scanned against the
-sorted levels for long matches and becomes a level itself; levels of equal size merge.
-Matches are then extended to the exact byte with the strings themselves: the distinct
-surroundings of each matching anchor are brought together and every 400-byte string in
-them is hashed. A string is removed wherever it stands if it starts at two places or
-more; strings are judged on the input.
-
-Anchors with more distinct surroundings than ``most_contexts`` are resolved by grouping
-single strings over the cluster instead of in one task, with the same result.
+content-defined anchors, in the order of their leading 96 bytes (``head``), each with
+its position; suffixes with equal heads are one entry with their number and first
+position. An anchor lies in every 400-byte string, at a place that only the string's
+bytes decide, so a string that stands twice has an anchor whose suffixes share their
+heads. A new batch is merge-scanned in suffix order against the levels for matches of
+that length and becomes a level itself; levels of equal size merge. The arrays are
+partitioned: buckets by a hash of the head, in byte order inside each.
+
+Matching suffixes are then extended in both directions to the exact byte. The surroundings
+of an anchor (all strings that have it) are compared as a whole by a 128-bit digest;
+where they differ between the suffixes of one head, each 400-byte string in them is
+compared by 128 bits of two hashes, counted over the cluster, so a head that very many
+texts share is nobody's single task. A string is removed wherever it stands if it starts
+at two places or more; strings are judged on the input.
 
 Defined results for odd input: null and empty texts have no bytes; repeated rows are
 each other's matches; null doc_ids are rows like any other; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored. Texts of any length are read in segments.
 """
 
 from __future__ import annotations
@@ -29,181 +32,138 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats, shared, windows, word_windows
+from tessera.llm.runs import BY_POSITION
 from tessera.session import table
 
-WIDTH, GRAM, BATCHES = 400, 200, 4
-MOST_CONTEXTS = 20_000
-
-_CONTEXT = "key long, doc long, mark long, start int, count int, alone boolean, bytes binary"
-
-
-def _contexts(found: DataFrame, width: int) -> DataFrame:
-    """The bytes that the windows of each located entry cover."""
-
-    def work(batches):
-        for batch in batches:
-            for some in shared.text_slices(batch, "text"):
-                raw, offs = shared.utf8(some.column("text"))
-                row, flat = repeats._flat(some.column("at"))
-                begin = offs[row] + flat.field("start").to_numpy(zero_copy_only=False)
-                end = begin + flat.field("count").to_numpy(zero_copy_only=False) - 1 + width
-                data, r = raw.tobytes(), pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field("key"), some.column("doc").take(r), some.column("mark").take(r), flat.field("start"), flat.field("count"), flat.field("alone"),
-                     pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
-                    ["key", "doc", "mark", "start", "count", "alone", "bytes"],
-                )
-
-    return found.mapInArrow(work, _CONTEXT)
-
-
-def _resolve(contexts: DataFrame, width: int, most_bytes: int = 4 << 20) -> DataFrame:
-    """Spans of strings that occur in several contexts. Rows come sorted by anchor and
-    are handled in groups of whole anchors."""
-
-    def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
-        col = t.column("bytes")
-        offs = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
-        raw = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-        begin, count = offs[:-1] - offs[0], t.column("count").to_numpy().astype(np.int64)
-        s, owner = repeats._each(begin, count)
-        h = shared.Rolling(shared.byte_symbols(raw), 1).of(s, s + width)
-        key = shared.mix64(t.column("key").to_numpy().view(np.uint64))
-        _, which, n = np.unique(h ^ key[owner], return_inverse=True, return_counts=True)
-        again = (n[which] > 1) & t.column("alone").to_numpy(zero_copy_only=False)[owner]
-        if not again.any():
-            return None
-        at, who = s[again], owner[again]
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(who) != 0)) + 1
-        first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
-        base = t.column("start").to_numpy()[who[first]] - begin[who[first]]
-        r = pa.array(who[first])
-        return pa.RecordBatch.from_arrays(
-            [t.column("doc").take(r), t.column("mark").take(r), pa.array((at[first] + base).astype(np.int32)), pa.array((at[last] + width + base).astype(np.int32))],
-            ["doc", "mark", "a", "b"],
-        )
-
-    def work(batches):
-        held, size = [], 0
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            size += batch.nbytes
-            if size > most_bytes and len(keys):
-                # Close the group at the last change of anchor.
-                change = np.flatnonzero(np.diff(keys)) + 1
-                cut = int(change[-1]) if len(change) else (0 if held and held[-1].column("key")[-1].as_py() != keys[0] else None)
-                if cut is not None:
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                    if held and (out := solve(held)) is not None:
-                        yield out
-                    batch = batch.slice(cut)
-                    held, size = [], batch.nbytes
-            if batch.num_rows:
-                held.append(batch)
-        if held and (out := solve(held)) is not None:
-            yield out
-
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, "doc long, mark long, a int, b int")
-
-
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, most_contexts: int = MOST_CONTEXTS, carry: list[str] | None = None, untouched=None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): all rows as ``affected_rows`` has them (with the columns ``carry``;
-    those of (doc, mark) in ``more`` are affected too), and (doc, mark, a, b) byte spans
-    to remove (may overlap)."""
-    rows = repeats.keyed(docs, carry)
-    entries = shared.stored(repeats.anchor_entries(rows, repeats.byte_rows, width, gram), "byte-entries")
-    again = repeats.repeated_entries(entries, batches, False, "byte-levels")
+#: Bytes of a repeated string, leading bytes of a suffix that order it, batches.
+WIDTH, HEAD, BATCHES = 400, 96, 8
+
+
+def _suffixes(raw: np.ndarray, e: windows.Entries, width: int, gram: int) -> list[pa.Array]:
+    """head, key, context: the suffix's leading bytes, a hash of them, and a digest of
+    the bytes that the windows cover."""
+    m = len(e.row)
+    heads = np.lib.stride_tricks.sliding_window_view(raw, gram)[e.anchor] if m else np.zeros((0, gram), np.uint8)
+    head = pa.FixedSizeBinaryArray.from_buffers(pa.binary(gram), m, [None, pa.py_buffer(np.ascontiguousarray(heads))]).cast(pa.binary())
+    data, digest = memoryview(raw), hashlib.blake2b
+    context = [digest(data[a:b], digest_size=16).digest() for a, b in zip(e.start.tolist(), (e.start + e.count - 1 + width).tolist())]
+    return [head, pa.array(context, pa.binary())]
+
+
+def _whole(data: bytes) -> tuple[int, str]:
+    return len(data), hashlib.sha256(data).hexdigest()
+
+
+def suffixes(width: int = WIDTH, head: int = HEAD) -> repeats.Symbols:
+    return repeats.Symbols(width, head, "head", "head binary, context binary", shared.utf8, _suffixes, _whole)
+
+
+def repeated_bytes(entries: DataFrame, how: repeats.Symbols, batches: int = BATCHES) -> DataFrame:
+    """The stored entries whose head stands at two places or more."""
+    return repeats.repeated_entries(entries.withColumn("key", F.xxhash64("head")), how, BY_POSITION, F.col("n") > 1, batches, "byte-levels")
+
+
+def byte_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
+    """Stored (doc, mark, a, b) byte spans (may overlap) of the strings that stand twice."""
     one = F.min(F.struct("doc", "mark", "start", "count")).alias("one")
     contexts = shared.stored(again.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), one), "byte-contexts")
-    whole = (
-        again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"])
-        .select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
-    )
-    hit = again.select("doc", "mark")
-    affected = repeats.affected_rows(rows, hit if more is None else hit.unionByName(more.select("doc", "mark")), "byte", untouched or _untouched)
-    many = repeats.with_many_contexts(contexts)
-    open_ = contexts.join(many, "key").select("key", "one.*", (F.col("n") == 1).alias("alone"), "n_contexts")
-    open_ = shared.stored(open_, "byte-open")
-    usual = repeats.located(affected, open_.where(F.col("n_contexts") <= most_contexts), ["key", "start", "count", "alone"])
-    spans = whole.unionByName(_resolve(_contexts(usual, width), width))
-    hot = open_.where(F.col("n_contexts") > most_contexts)
-    if not hot.isEmpty():
-        each = repeats.exploded_windows(repeats.located(affected, hot, ["start", "count", "alone"]), repeats.byte_rows, width)
-        each = shared.stored(each, "byte-each")
-        often = each.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-        single = each.join(often, "window").where("alone")
-        spans = spans.unionByName(single.select("doc", "mark", F.col("start").alias("a"), (F.col("start") + width).alias("b")))
-    return affected, spans
-
-
-def _untouched(out: DataFrame) -> list:
-    alone = F.col("hit").isNull()
-    zero = F.lit(0).cast("long")
-    return [
-        F.when(alone, F.octet_length("text").cast("long")).alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-        F.when(alone, F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"),
-    ]
+    whole = repeats.spans(again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi"), how.width)
+    open_ = contexts.join(repeats.with_many_contexts(contexts), "key", "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
+    each = repeats.exploded_windows(touched, open_, how, "byte")
+    often = each.groupBy("window", "check").agg(F.count(F.lit(1)).alias("n"), F.bool_or("alone").alias("any")).where("n > 1 and any").select("window", "check")
+    single = each.where("alone").join(often, ["window", "check"], "left_semi")
+    found = shared.stored(whole.unionByName(repeats.window_spans(single, how.width)), "byte-spans")
+    shared.discard(contexts, each)
+    return found
+
+
+def _cut(data: bytes, merged) -> tuple[int, int, int, str]:
+    if merged is None:
+        return len(data), 0, 0, hashlib.sha256(data).hexdigest()
+    kept, n = cut_spans(data, *merged)
+    return len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest()
 
 
-def cut_spans(data: bytes, spans) -> tuple[bytes, int]:
-    """What is left without the spans, and the number of maximal removed runs."""
-    if not spans:
-        return data, 0
-    a, b = windows.merge_spans(np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
+def cut_spans(data: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int]:
+    """What is left without the merged spans, and their number."""
     ends = [0, *b.tolist()]
     return b"".join(data[x:y] for x, y in zip(ends, [*a.tolist(), len(data)])), len(a)
 
 
+def removed_bytes(docs: DataFrame, how: repeats.Symbols | None = None, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    how = how or suffixes()
+    rows = repeats.keyed(docs)
+    entries, digests, _ = repeats.scanned(rows, how, "byte")
+    again = repeated_bytes(entries, how, batches)
+    touched = repeats.touched_rows(rows, again, "byte")
+    found = byte_spans(touched, again, how)
+    shared.discard(again)
+    zero = F.lit(0).cast("long")
+    untouched = [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")]
+    return repeats.digested(docs, touched, digests, found, _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", untouched)
+
+
 def without_repeats(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with repeated strings taken out of their texts, where a cut would fall
     inside a character the whole character stays; all other columns are kept, and
     n_chars, where there is one, is counted anew. Null texts become empty. With ``words``
     passages of so many words that stand in several documents go too, however few bytes
     they have."""
-    others = [c for c in docs.columns if c != text]
-    plain = lambda out: [F.when(F.col("hit").isNull(), F.col("text")).alias("plain")]
     source = docs if text == "text" else docs.withColumn("text", F.col(text))
-    again = word_windows.passage_anchors(repeats.keyed(source, others), words) if words else None
-    rows, spans = repeated_bytes(source, carry=others, untouched=plain, more=again)
-    spans = spans.withColumn("in_words", F.lit(False))
+    how, rows = suffixes(), repeats.keyed(source)
+    entries, _, scan = repeats.scanned(rows, how, "byte", digests=False)
+    again = repeated_bytes(entries, how)
+    shared.discard(scan)
+    marks = again.select(*repeats.ROW)
+    if words:
+        reader = word_windows.words(words, words // 2)
+        passages = word_windows.passage_anchors(rows, reader)
+        marks = marks.unionByName(passages.select(*repeats.ROW))
+    touched = repeats.touched_rows(rows, marks, "byte")
+    found = [byte_spans(touched, again, how).withColumn("in_words", F.lit(False))]
     if words:
-        spans = spans.unionByName(word_windows.passages(rows, again, words).withColumn("in_words", F.lit(True)))
-    joined = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"), ("a", "b", "in_words"))
-
-    def work(batches):
-        for batch in batches:
-            for some in shared.text_slices(batch, "text"):
-                kept = []
-                for t, spans in zip(some.column("text").to_pylist(), some.column("spans").to_pylist()):
-                    data = t.encode("utf-8", "surrogatepass")
-                    kept.append(cut_characters(data, in_bytes(data, spans)))
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(kept, pa.string())], ["row", "plain"])
-
-    kind = rows.schema["row"].dataType.simpleString()
-    cleaned = joined.select("row", "text", "spans").mapInArrow(work, f"row {kind}, plain string")
-    out = cleaned.unionByName(rows.where("text is null").select("row", "plain"))
-    n_chars = F.length("plain").cast(dict(docs.dtypes).get("n_chars", "long"))
-    return out.select(*(F.col("plain").alias(c) if c == text else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-
-
-def in_bytes(data: bytes, spans) -> list[dict]:
-    """The spans with those that count words (``in_words``) turned into bytes."""
-    if not any(s["in_words"] for s in spans or ()):
-        return spans
-    begin, end, _ = shared.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    return [{"a": int(begin[s["a"]]), "b": int(end[s["b"] - 1])} if s["in_words"] else s for s in spans]
-
-
-def cut_characters(data: bytes, spans) -> str:
+        found.append(word_windows.passages(touched, passages, reader).withColumn("in_words", F.lit(True)))
+        shared.discard(passages)
+    shared.discard(again, touched)
+    spans = found[0].unionByName(found[-1]) if words else found[0]
+    return _without(source, docs.columns, text, spans)
+
+
+def _without(source: DataFrame, columns: list[str], text: str, spans: DataFrame) -> DataFrame:
+    @F.pandas_udf("string")
+    def cut(texts, spans):
+        out = []
+        for t, at in zip(texts, spans):
+            if t is None or at is None:
+                out.append(None)
+                continue
+            data = t.encode("utf-8", "surrogatepass")
+            out.append(cut_characters(data, in_bytes(data, at)))
+        import pandas as pd
+
+        return pd.Series(out, dtype=object)
+
+    joined = repeats.keyed(source, keep=True).join(repeats.per_row(spans, ["a", "b", "in_words"], "spans").hint("shuffle_hash"), repeats.ROW, "left")
+    # Only touched texts go to Python.
+    joined = joined.withColumn("cut", cut(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
+    out = joined.withColumn("plain", F.coalesce("cut", "text"))
+    n_chars = F.length("plain").cast(dict(source.dtypes).get("n_chars", "long"))
+    return out.select(*(F.col("plain").alias(c) if c == text else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
+def in_bytes(data: bytes, spans) -> list[tuple[int, int]]:
+    """The spans as byte positions; those that count words (``in_words``) are turned."""
+    if any(s["in_words"] for s in spans):
+        begin, end, _ = shared.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return [(int(begin[s["a"]]), int(end[s["b"] - 1])) if s["in_words"] else (s["a"], s["b"]) for s in spans]
+
+
+def cut_characters(data: bytes, spans: list[tuple[int, int]]) -> str:
     """The text without the spans, which shrink to whole characters."""
-    if not spans:
-        return data.decode("utf-8", "surrogatepass")
     inner = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
     whole, end = [], 0
-    a, b = windows.merge_spans(np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
+    a, b = windows.merge_spans(np.array([s[0] for s in spans]), np.array([s[1] for s in spans]))
     for x, y in zip(a.tolist(), b.tolist()):
         while inner(x):
             x += 1
@@ -215,28 +175,6 @@ def cut_characters(data: bytes, spans) -> str:
     return b"".join(whole).decode("utf-8", "surrogatepass")
 
 
-def _bytes_result(rows: DataFrame) -> DataFrame:
-    def work(batches):
-        for batch in batches:
-            for some in shared.text_slices(batch, "text"):
-                out = []
-                for text, spans in zip(some.column("text").to_pylist(), some.column("spans").to_pylist()):
-                    data = text.encode("utf-8", "surrogatepass")
-                    kept, runs = cut_spans(data, spans)
-                    out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-                n, gone, runs, sha = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("row").field(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
-
-    kind = rows.schema["row"].dataType["doc_id"].dataType.simpleString()
-    return rows.select("row", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
-    rows, spans = repeated_bytes(table(spark, sf_dir, "documents"))
-    touched = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "byte-spans"))
-    untouched = rows.where("text is null").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return _bytes_result(touched).unionByName(untouched)
+    return removed_bytes(table(spark, sf_dir, "documents"))

@@ -34,52 +34,74 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+#: Windows are found over so many symbols at a time, which bounds memory (some 80 bytes a
+#: symbol) however long a text is. A run of windows may be cut there: the windows and
+#: their anchors stay the same.
+SEGMENT = 1 << 20
+
+
 @dataclass
 class Entries:
     """One entry per run of windows with the same anchor: row number, first window
-    start and number of windows (in symbols, relative to the batch), the hash of the
-    anchor's stretch, and the hash of all symbols those windows cover."""
+    start, number of windows and the anchor's position (in symbols of the batch), and
+    the hash of the anchor's stretch."""
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    anchor: np.ndarray
     gram: np.ndarray
-    context: np.ndarray
 
 
-def entries(symbols: np.ndarray, firsts: np.ndarray, width: int, gram: int, rolling: shared.Rolling | None = None) -> Entries:
+def entries(symbols: np.ndarray, firsts: np.ndarray, width: int, gram: int, segment: int | None = None) -> Entries:
     """Anchor entries of a batch; row i has symbols firsts[i] .. firsts[i + 1] - 1."""
-    n = len(symbols)
-    if n >= 1 << 28:
-        raise ValueError("a batch holds fewer than 2**28 symbols")
+    segment = segment or SEGMENT
+    found = [_segment(symbols[lo : lo + segment + width - 1], lo, segment, firsts, width, gram) for lo in range(0, len(symbols) - width + 1, segment)]
     none = np.zeros(0, np.int64)
-    lens = np.diff(firsts)
-    windows = np.maximum(lens - width + 1, 0)
-    if not windows.sum():
-        return Entries(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    rolling = rolling or shared.Rolling(symbols)
-    at = np.arange(n - gram + 1)
-    hashes = rolling.of(at, at + gram)
-    keys = (hashes & ~_LOW) | at.astype(np.uint64)
-    # Stretches across rows are never inside a window of one row: windows over them are
-    # dropped below, and all others do not see them.
-    best = sliding_min(keys, width - gram + 1)
-    valid = np.zeros(n - width + 1, bool)
+    parts = [np.concatenate(x) for x in zip(*found)] or [none, none, none, none.astype(np.uint64)]
+    return Entries(np.searchsorted(firsts, parts[0], "right") - 1, *parts)
+
+
+def _segment(symbols: np.ndarray, lo: int, segment: int, firsts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """start, count, anchor, gram hash of the windows that start in [lo, lo + segment)."""
+    n = len(symbols)
+    # Windows that lie in one row.
+    first, last = np.maximum(firsts[:-1] - lo, 0), np.minimum(firsts[1:] - width + 1 - lo, segment)
+    has = last > first
     step = np.zeros(n + 2, np.int32)
-    has = windows > 0
-    np.add.at(step, firsts[:-1][has], 1)
-    np.add.at(step, firsts[:-1][has] + windows[has], -1)
-    valid = np.cumsum(step)[: n - width + 1] > 0
-    starts = np.flatnonzero(valid)
+    np.add.at(step, first[has], 1)
+    np.add.at(step, last[has], -1)
+    starts = np.flatnonzero(np.cumsum(step)[: n - width + 1] > 0)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    at = np.arange(n - gram + 1)
+    hashes = shared.Rolling(symbols).of(at, at + gram)
+    # Stretches across rows are never inside a window of one row.
+    best = sliding_min((hashes & ~_LOW) | at.astype(np.uint64), width - gram + 1)
     anchor = (best[starts] & _LOW).astype(np.int64)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-    row = np.searchsorted(firsts, starts, "right") - 1
-    fresh[1:] |= row[1:] != row[:-1]
     head = np.flatnonzero(fresh)
-    count = np.diff(np.append(head, len(starts)))
-    first = starts[head]
-    return Entries(row[head], first, count, hashes[anchor[head]], rolling.of(first, first + count - 1 + width))
+    return starts[head] + lo, np.diff(np.append(head, len(starts))), anchor[head] + lo, hashes[anchor[head]]
+
+
+def hashes_at(symbols: np.ndarray, starts: np.ndarray, width: int, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """For every salt the hashes of the stretches [s, s + width), a segment at a time."""
+    out = [np.empty(len(starts), np.uint64) for _ in salts]
+    order = None if len(symbols) <= SEGMENT else np.argsort(starts, kind="stable")
+    for lo in range(0, max(len(symbols), 1), SEGMENT):
+        if order is None:
+            which = slice(None)
+        else:
+            a, b = np.searchsorted(starts, [lo, lo + SEGMENT], sorter=order)
+            which = order[a:b]
+        s = starts[which] - lo
+        if len(s):
+            part = symbols[lo : lo + SEGMENT + width]
+            for hashed, salt in zip(out, salts):
+                hashed[which] = shared.Rolling(part, salt).of(s, s + width)
+    return out
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

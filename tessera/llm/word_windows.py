@@ -3,8 +3,8 @@
 Batches in ascending doc_id order are merge-joined with sorted immutable runs of the
 fingerprints of earlier windows and then become runs themselves, which are compacted.
 The runs hold one fingerprint per group of neighbouring windows (their anchor); hits
-are verified with hashes of the whole windows, so the result is that of comparing every
-window. A word goes if a window over it also starts in a document with a smaller
+are verified with digests of all the words around an anchor or 128 bits of every window, so
+the result is that of comparing every window. A word goes if a window over it also starts in a document with a smaller
 doc_id; windows are judged on the input.
 
 Defined results for odd input: null and empty texts have no words and stay; a null
@@ -22,100 +22,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats, shared, windows
+from tessera.llm.runs import BY_DOCUMENT
 from tessera.session import table
 
 WIDTH, GRAM, BATCHES = 50, 25, 4
 
 
-def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): all rows as ``affected_rows`` has them, and (doc, mark, a, b) word
-    spans to remove (may overlap)."""
-    rows = repeats.keyed(docs)
-    entries = shared.stored(repeats.anchor_entries(rows, repeats.word_rows, width, gram), "word-entries")
-    again = repeats.repeated_entries(entries, batches, True, "word-runs")
-    contexts = again.groupBy("key", "context").agg(F.min("doc").alias("first"))
-    contexts = shared.stored(contexts, "word-contexts")
-    judged = shared.stored(again.join(contexts, ["key", "context"]), "word-judged")
-    whole = judged.where("first < doc").select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
-    affected = repeats.affected_rows(rows, again, "word", _untouched)
-    # Entries in the first document of their context may still repeat window by window.
-    open_ = judged.where("first = doc").join(repeats.with_many_contexts(contexts).select("key"), "key").select("doc", "mark", "start", "count", F.lit(True).alias("alone"))
-    each = repeats.exploded_windows(repeats.located(affected, open_, ["start", "count", "alone"]), repeats.word_rows, width)
-    each = shared.stored(each, "word-each")
-    earliest = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    single = each.join(earliest, "window").where("first < doc").select("doc", "mark", F.col("start").alias("a"), (F.col("start") + width).alias("b"))
-    return affected, whole.unionByName(single)
+def _read(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offs = shared.utf8(col)
+    begin, end, firsts = shared.word_bounds(raw, offs)
+    return shared.word_hashes(raw, begin, end), firsts
+
+
+def _fingerprints(symbols: np.ndarray, e: windows.Entries, width: int, gram: int) -> list[pa.Array]:
+    """key, context: the anchor's hash, and a digest of the words that the windows cover."""
+    data, digest = memoryview(symbols.view(np.uint8)), hashlib.blake2b
+    context = [digest(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(e.start.tolist(), (e.start + e.count - 1 + width).tolist())]
+    return [pa.array(e.gram.view(np.int64)), pa.array(context, pa.binary())]
 
 
-def passage_anchors(rows: DataFrame, width: int, batches: int = BATCHES) -> DataFrame:
-    """The entries of keyed rows whose anchor occurs again, for ``passages``."""
-    entries = shared.stored(repeats.anchor_entries(rows, repeats.word_rows, width, width // 2), "passage-entries")
-    return repeats.repeated_entries(entries, batches, False, "passage-runs")
+def _whole(data: bytes) -> tuple[int, str]:
+    found = data.split()
+    return len(found), hashlib.sha256(b" ".join(found)).hexdigest()
 
 
-def passages(affected: DataFrame, again: DataFrame, width: int) -> DataFrame:
-    """(doc, mark, a, b) word spans (may overlap) of the windows that stand in several
-    documents, in all of these. Rows of one doc_id and text are one document."""
+def words(width: int = WIDTH, gram: int = GRAM) -> repeats.Symbols:
+    return repeats.Symbols(width, gram, "key", "key long, context binary", _read, _fingerprints, _whole)
+
+
+def word_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
+    """Stored (doc, mark, a, b) word spans (may overlap) of the windows that also start in
+    a document with a smaller doc_id."""
+    contexts = shared.stored(again.groupBy("key", "context").agg(F.min("doc").alias("first")), "word-contexts")
+    judged = shared.stored(again.join(contexts, ["key", "context"]), "word-judged")
+    whole = repeats.spans(judged.where("first < doc"), how.width)
+    # Entries in the first document of their context may still repeat window by window.
+    open_ = judged.where("first = doc").join(repeats.with_many_contexts(contexts), "key", "left_semi").select(*repeats.ROW, "start", "count", F.lit(True).alias("alone"))
+    each = repeats.exploded_windows(touched, open_, how, "word")
+    earliest = each.groupBy("window", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "check", "first")
+    single = each.join(earliest, ["window", "check"]).where("first < doc")
+    found = shared.stored(whole.unionByName(repeats.window_spans(single, how.width)), "word-spans")
+    shared.discard(contexts, judged, each)
+    return found
+
+
+def _cut(data: bytes, merged) -> tuple[int, int, str]:
+    found = data.split()
+    keep = found
+    if merged is not None:
+        ends = [0, *merged[1].tolist()]
+        keep = [w for x, y in zip(ends, [*merged[0].tolist(), len(found)]) for w in found[x:y]]
+    return len(found), len(found) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest()
+
+
+def removed_words(docs: DataFrame, how: repeats.Symbols | None = None, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+    how = how or words()
+    rows = repeats.keyed(docs)
+    entries, digests, _ = repeats.scanned(rows, how, "word")
+    again = repeats.repeated_entries(entries, how, BY_DOCUMENT, F.col("lo") < F.col("hi"), batches, "word-runs")
+    touched = repeats.touched_rows(rows, again, "word")
+    found = word_spans(touched, again, how)
+    shared.discard(again)
+    untouched = [F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")]
+    return repeats.digested(docs, touched, digests, found, _cut, "n_words long, n_removed long, kept_sha256 string", untouched)
+
+
+def passage_anchors(rows: DataFrame, how: repeats.Symbols, batches: int = BATCHES) -> DataFrame:
+    """The stored entries of keyed rows whose anchor occurs again, for ``passages``."""
+    entries, _, scan = repeats.scanned(rows, how, "passage", digests=False)
+    again = repeats.repeated_entries(entries, how, BY_DOCUMENT, F.col("n") > 1, batches, "passage-runs")
+    shared.discard(scan)
+    return again
+
+
+def passages(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
+    """Stored (doc, mark, a, b) word spans (may overlap) of the windows that stand in
+    several documents, in all of these. Rows of one doc_id and text are one document."""
     place = F.struct("doc", "mark")
     contexts = again.groupBy("key", "context").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("doc", "mark", "start", "count")).alias("one"))
     contexts = shared.stored(contexts.select("key", "context", "one", (F.col("first") == F.col("last")).alias("alone")), "passage-contexts")
     judged = shared.stored(again.join(contexts.select("key", "context", "alone"), ["key", "context"]), "passage-judged")
-    whole = judged.where("not alone").select("doc", "mark", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + width).alias("b"))
+    whole = repeats.spans(judged.where("not alone"), how.width)
     # All entries of a context in one document only; one entry stands for any other context.
-    several = repeats.with_many_contexts(contexts).select("key")
+    several = repeats.with_many_contexts(contexts)
     fields = ["doc", "mark", "start", "count", "alone"]
-    open_ = judged.where("alone").select("key", *fields).unionByName(contexts.where("not alone").select("key", "one.*", "alone")).join(several, "key").select(*fields)
-    each = repeats.exploded_windows(repeats.located(affected, open_, ["start", "count", "alone"]), repeats.word_rows, width)
-    each = shared.stored(each, "passage-each")
-    ends = each.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.bool_and("alone").alias("alone"))
-    single = each.where("alone").join(ends.where("first < last or not alone").select("window"), "window")
-    return whole.unionByName(single.select("doc", "mark", F.col("start").alias("a"), (F.col("start") + width).alias("b")))
-
-
-def _untouched(out: DataFrame) -> list:
-    """The result columns of rows that keep all words, natively."""
-    flat = F.trim(F.regexp_replace("text", shared.SPACE_CLASS, " "))
-    n = F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.translate(flat, " ", "")) + 1)
-    alone = F.col("hit").isNull()
-    return [
-        F.when(alone, n.cast("long")).alias("n_words"),
-        F.lit(0).cast("long").alias("n_removed"),
-        F.when(alone, F.sha2(flat.cast("binary"), 256)).alias("kept_sha256"),
-    ]
-
-
-def _words_result(rows: DataFrame) -> DataFrame:
-    def work(batches):
-        for batch in batches:
-            for some in shared.text_slices(batch, "text"):
-                out = []
-                for text, spans in zip(some.column("text").to_pylist(), some.column("spans").to_pylist()):
-                    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                    begin, end, _ = shared.word_bounds(data, np.array([0, len(data)]))
-                    keep = np.ones(len(begin), bool)
-                    for s in spans or ():
-                        keep[s["a"] : s["b"]] = False
-                    raw = data.tobytes()
-                    words = [raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist())]
-                    out.append((len(begin), int(len(begin) - keep.sum()), hashlib.sha256(b" ".join(words)).hexdigest()))
-                n, gone, sha = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("row").field(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256"],
-                )
-
-    kind = rows.schema["row"].dataType["doc_id"].dataType.simpleString()
-    return rows.select("row", "text", "spans").mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    open_ = judged.where("alone").select("key", *fields).unionByName(contexts.where("not alone").select("key", "one.*", "alone")).join(several, "key", "left_semi").select(*fields)
+    each = repeats.exploded_windows(touched, open_, how, "passage")
+    ends = each.groupBy("window", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.bool_and("alone").alias("alone"))
+    single = each.where("alone").join(ends.where("first < last or not alone").select("window", "check"), ["window", "check"], "left_semi")
+    found = shared.stored(whole.unionByName(repeats.window_spans(single, how.width)), "passage-spans")
+    shared.discard(contexts, judged, each)
+    return found
 
 
 def op6_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
-    docs = table(spark, sf_dir, "documents")
-    rows, spans = repeated_words(docs)
-    touched = repeats.spans_of_rows(rows.where("text is not null"), shared.stored(spans, "word-spans"))
-    # Rows without repeated anchors keep all words; their digests need no shuffle.
-    untouched = rows.where("text is null").select("row.doc_id", "n_words", "n_removed", "kept_sha256")
-    return _words_result(touched).unionByName(untouched)
+    return removed_words(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

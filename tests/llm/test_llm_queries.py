@@ -1,6 +1,8 @@
 """Every query on the odd rows and on empty tables, against SQL or brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +13,8 @@ import public_tokenizers
 import pytest
 from tests.conftest import SF
 
-from tessera.llm import link_graph, queries
+from tessera.llm import link_graph, mixing, queries, toxicity
+from tessera.llm.toxicity import fold
 from tests.llm.conftest import odd_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,7 +50,6 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -147,6 +149,53 @@ def test_op7(spark, folder):
     assert got.where("base_failed and kept").count() == 0
 
 
+def naive_score(model, text):
+    """The score by looking for every entry at every word."""
+    t = fold(text)
+    total, n = 0.0, 0
+    for at in [i for i, c in enumerate(t[:-1]) if c == " "]:
+        hits = [w for k, w in model.weights.items() if t.startswith(k, at) and w > 0]
+        safe = any(t.startswith(p, s) and s <= at < s + len(p) - 1 for p in model.exceptions for s in range(max(0, at - len(p) + 2), at + 1))
+        if hits and not safe:
+            total, n = total + max(hits), n + 1
+    words = len(t.split())
+    x = model.bias + model.slopes[0] * math.log1p(total) + model.slopes[1] * math.log1p(10 * total / math.sqrt(max(words, 1)))
+    return 1 / (1 + math.exp(-x)), n
+
+
+def test_op8_scores(spark, odd):
+    """Scores of the odd rows and of made-up texts against a search without automaton."""
+    rng = random.Random(6)
+    model = toxicity.Model({" lor": 1.5, " amet ": 2.0, " word ": 0.7, " idiot ": 3.0, " lorem ": 0.5, " changed ": 1.0}, [" sit amet ", " amet sit ", " two words "], -1.0, (0.8, 0.4))
+    texts = [r[1] for r in odd_rows()] + [" ".join(rng.choice(["lor", "lorem", "sit", "amet", "1d10t", "ІDIOT", "x", "word", "Amet.", "-"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(rows, model).select("row.doc_id", "score", "n_matches").collect():
+        want, n = naive_score(model, texts[r.doc_id] or "")
+        assert abs(r.score - want) < 1e-9 and r.n_matches == n
+    kept = toxicity.without_toxic(odd, model)
+    assert kept.columns == odd.columns
+    assert sorted(map(repr, (r[:5] for r in kept.collect()))) == sorted(repr(r) for r in map(tuple, odd_rows()) if naive_score(model, r[1] or "")[0] < 0.5)
+
+
+def test_op5_odd(spark, odd):
+    """Copies of the odd rows against an inversion by hand; own columns stay as they are."""
+    rows = odd_rows()
+    of = Counter(r[3] for r in rows)
+    weight = {s: n**0.5 for s, n in of.items()}
+    want = Counter()
+    for r in rows:
+        rate = len(rows) * weight[r[3]] / sum(weight.values()) / of[r[3]]
+        u = int(hashlib.md5(f"17|{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        n, total, term = 0, math.exp(-rate), math.exp(-rate)
+        while total <= u:
+            n, term = n + 1, term * rate / (n + 1)
+            total += term
+        want[r] += n
+    got = mixing.mixed(odd)
+    assert got.columns == odd.columns and got.select("mix_copy").distinct().collect() == [("clash",)]
+    assert Counter(tuple(r[:5]) for r in got.collect()) == +want
+
+
 def test_op8(spark, folder):
     got = result(spark, folder, "op8").collect()
     assert len(got) == len(odd_rows())
@@ -155,6 +204,19 @@ def test_op8(spark, folder):
         assert r.doc_id is None or r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def naive_pairs(samples):
+    """Landmarks and their pairs frame by frame."""
+    frames = [np.frombuffer(samples[i : i + 192], np.uint8).astype(np.float32) - 128 for i in range(0, len(samples) - 191, 96)]
+    peaks = []
+    for x in frames:
+        level = np.rint(16 * np.log2(np.abs(np.fft.rfft(x * np.hanning(192).astype(np.float32)))[1:] + 1)).astype(int).tolist()
+        peaks.append((max(level), level.index(max(level)) + 1))
+    heights = [-1, *(h for h, _ in peaks), -1]
+    marks = [i for i in range(len(peaks)) if heights[i + 1] > heights[i] and heights[i + 1] >= heights[i + 2]]
+    pairs = [(a, b) for k, a in enumerate(marks) for b in marks[k + 1 : k + 4] if b - a <= 255]
+    return sorted(a << 24 | peaks[a][1] << 16 | peaks[b][1] << 8 | b - a for a, b in pairs)
+
+
 def test_op9(spark, folder):
     got = {(r.doc_id, r.payload_sha256): r for r in result(spark, folder, "op9").collect()}
     for i, t, *_ in odd_rows():
@@ -162,6 +224,11 @@ def test_op9(spark, folder):
         pay = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
         r = got[i, hashlib.sha256(pay).hexdigest()]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(data), len(pay), zlib.crc32(pay[-16:]), len(pay) + 44)
+        head = b"RIFF" + (len(pay) + 36).to_bytes(4, "little") + b"WAVEfmt " + b"".join(x.to_bytes(n, "little") for x, n in ((16, 4), (1, 2), (1, 2), (8000, 4), (8000, 4), (1, 2), (8, 2)))
+        assert r.media_sha256 == hashlib.sha256(head + b"data" + len(pay).to_bytes(4, "little") + pay).hexdigest()
+        pairs = naive_pairs(pay)
+        assert r.fingerprint == pairs
+        assert r.feature == f"{len(pay) // 96 - 1}f{len(pairs)}p{zlib.crc32(np.array(pairs, '<i8').tobytes()):08x}"
 
 
 def test_op10(spark, folder):

@@ -1,15 +1,18 @@
 """Parts of the operators on their own."""
 
+import hashlib
 import io
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.llm import bitplane, components, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, toxicity, windows
+from tessera.llm import bitplane, components, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, toxicity, windows, word_windows
 
 
 @settings(max_examples=50, deadline=None)
@@ -72,7 +75,7 @@ def test_plan_is_optimal_on_small_cases():
 @given(st.lists(st.text("ab", max_size=60), max_size=6))
 def test_anchors_cover_all_windows(texts):
     raw, offs = shared.utf8(pa.array(texts, pa.string()))
-    e = windows.entries(shared.byte_symbols(raw), offs, 12, 6)
+    e = windows.entries(raw, offs, 12, 6)
     got = sorted((int(s) + k) for s, c in zip(e.start, e.count) for k in range(int(c)))
     want = [int(o) + s for t, o in zip(texts, offs) for s in range(len(t) - 11)]
     assert got == sorted(want)
@@ -85,23 +88,53 @@ def test_anchors_cover_all_windows(texts):
             assert place.setdefault(w, g) == g
 
 
-def test_hot_contexts_take_the_other_path(spark):
+def test_segments_change_nothing():
+    """Windows that are found a segment at a time have the same anchors; only runs are cut."""
+    rng = random.Random(8)
+    raw, offs = shared.utf8(pa.array(["".join(rng.choice("abc") for _ in range(n)) for n in (300, 5, 0, 90, 700)]))
+    each = lambda e: sorted((int(s) + k, int(a), int(g), int(r)) for r, s, c, a, g in zip(e.row, e.start, e.count, e.anchor, e.gram) for k in range(int(c)))
+    assert each(windows.entries(raw, offs, 12, 6)) == each(windows.entries(raw, offs, 12, 6, segment=50))
+
+
+def test_window_hashes_by_segments(monkeypatch):
+    raw = np.frombuffer(("abcde" * 100 + "xyz" * 70).encode(), np.uint8)
+    starts = np.array([600, 3, 0, 498, 250, 8, 3])
+    whole = windows.hashes_at(raw, starts, 20, (1, 2))
+    monkeypatch.setattr(windows, "SEGMENT", 64)
+    assert all((a == b).all() for a, b in zip(whole, windows.hashes_at(raw, starts, 20, (1, 2))))
+    assert whole[0][1] == whole[0][5] and whole[0][1] != whole[0][0]
+
+
+def test_words_hash_alike_in_pieces(monkeypatch):
+    raw, offs = shared.utf8(pa.array(["a bb " + "c" * 400 + " bb", "C bb"]))
+    begin, end, _ = shared.word_bounds(raw, offs)
+    monkeypatch.setattr(shared, "WORD_BYTES", 100)
+    h = shared.word_hashes(raw, begin, end)
+    assert h[1] == h[3] == h[5] and len(set(h.tolist())) == 4
+
+
+def test_hot_head(spark):
+    """A passage in many surroundings, over more batches than one level holds, against a
+    comparison of all strings."""
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdef") for _ in range(60))
-    rows = [(i, "".join(rng.choice("xyz") for _ in range(30)) + passage + "".join(rng.choice("uvw") for _ in range(30))) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = []
-    for most in (1, 10_000):
-        _, s = suffix_levels.repeated_bytes(docs, 40, 20, most_contexts=most)
-        got: dict = {}
-        for r in s.collect():
-            got.setdefault(r.mark, set()).update(range(r.a, r.b))
-        spans.append(got)
-    assert spans[0] == spans[1] and len(spans[0]) == 30 and all(len(v) >= 60 for v in spans[0].values())
+    texts = ["".join(rng.choice("xyz") for _ in range(30)) + passage + "".join(rng.choice("uvw") for _ in range(30)) for i in range(60)]
+    texts += [texts[3], texts[4][:50] + texts[5][50:], passage[5:44], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [(t or "").encode() for t in texts]
+    often = Counter(b[s : s + 40] for b in data for s in range(len(b) - 39))
+    want = {}
+    for i, b in enumerate(data):
+        gone = {x for s in range(len(b) - 39) if often[b[s : s + 40]] > 1 for x in range(s, s + 40)}
+        kept = bytes(c for x, c in enumerate(b) if x not in gone)
+        want[i] = (len(b), len(gone), sum(x - 1 not in gone for x in gone), hashlib.sha256(kept).hexdigest())
+    for batches in (1, 11):
+        got = {r.doc_id: tuple(r)[1:] for r in suffix_levels.removed_bytes(docs, suffix_levels.suffixes(40, 12), batches).collect()}
+        assert got == want
 
 
 def test_runs_merge(spark):
-    index = runs.SortedRuns(spark, "test-runs")
+    index = runs.SortedRuns(spark, "test-runs", "key", runs.BY_DOCUMENT)
     for b in range(5):
         found = {r.key: r.n for r in index.add(spark.createDataFrame([(k, b) for k in (1, 10 + b)], "key long, doc long")).collect()}
         assert found == ({1: b + 1} if b else {})
@@ -189,8 +222,8 @@ def test_media_round_trip():
 
 
 def test_cut_characters():
-    assert suffix_levels.cut_characters("aéb".encode(), [{"a": 2, "b": 4}]) == "aé"
-    assert suffix_levels.cut_spans(b"abcdef", [{"a": 1, "b": 3}, {"a": 2, "b": 4}]) == (b"aef", 1)
+    assert suffix_levels.cut_characters("aéb".encode(), [(2, 4)]) == "aé"
+    assert suffix_levels.cut_spans(b"abcdef", *windows.merge_spans(np.array([1, 2]), np.array([3, 4]))) == (b"aef", 1)
 
 
 def test_keyed_rows(spark):
@@ -208,8 +241,8 @@ def test_repeated_rows_leave_others(spark):
 def test_batches_of_wide_ids(spark):
     """Every id has a batch, also where the ids span more than doubles can tell apart."""
     lo, hi = 5, (1 << 62) + 7
-    entries = spark.createDataFrame([(3, 0, d, d, 0, 1) for d in (lo, hi)] + [(4, 0, hi, hi, 0, 1)], repeats.ENTRY)
-    again = repeats.repeated_entries(entries, 4, True, "wide").collect()
+    entries = spark.createDataFrame([(3, b"", d, d, 0, 1) for d in (lo, hi)] + [(4, b"", hi, hi, 0, 1)], "key long, context binary, doc long, mark long, start int, count int")
+    again = repeats.repeated_entries(entries, word_windows.words(), runs.BY_DOCUMENT, F.col("lo") < F.col("hi"), 4, "wide").collect()
     assert sorted((r.key, r.doc) for r in again) == [(3, lo), (3, hi)]
     step = -(-(hi - lo + 1) // 4)
     ids = spark.createDataFrame([(repeats.SMALLEST,), (lo,), (hi // 2,), (hi,)], "doc long")
