@@ -9,7 +9,10 @@ match inside one does not count. The summed weight is normalised by the length a
 turned into a probability by a logistic curve fitted to the labelled rows.
 
 Training uses at most ``most_labels`` labelled rows (those with the smallest hash of
-doc_id), which also bounds what is broadcast. Scoring covers every row.
+doc_id), which also bounds what is broadcast; of several texts of one labelled doc_id the
+smallest trains. The lexicon keeps the ``most_entries`` entries and ``most_exceptions``
+phrases that tell most: the size of the model, not a cut of the rows. Scoring covers
+every row.
 
 Defined results for odd input: null and empty texts have no match and get the score of
 such rows; null labels and doc_ids do not train; several labels of one doc_id count
@@ -25,9 +28,11 @@ import json
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,7 +163,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: Training) -> DataFram
         .limit(how.most_labels)
     )
     rows = docs.select(F.col("doc_id").alias("id"), shared.whole_text().alias("text"))
-    return rows.join(F.broadcast(known), "id").select("text", "toxic")  # most_labels rows at most
+    # most_labels rows at most are broadcast, and come back: one text of each id.
+    return rows.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _entry_counts(rows: DataFrame, how: Training) -> DataFrame:
@@ -264,21 +270,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
     return float(w[0]), tuple(float(v) for v in w[1:])
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """(row, score, n_matches); row is a struct of the given columns (doc_id by default),
-    so that none of them can clash."""
+def scored(text: str, model: Model) -> Column:
+    """A struct (score, n_matches) of a text column. Only the texts go to Python; the
+    rows they belong to stay in the JVM."""
 
-    def work(batches):
+    @F.pandas_udf("score double, n_matches long")
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = matcher(model)
-        for batch in batches:
-            for some in shared.text_slices(batch, "text"):
-                got = [m.features(t) for t in some.column("text").to_pylist()]
-                scores = m.score(np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(scores), pa.array([len(g[3]) for g in got], pa.int64())], ["row", "score", "n_matches"])
+        for texts in batches:
+            total, words, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for i, t in enumerate(texts):
+                total[i], words[i], _, found = m.features(t)
+                n[i] = len(found)
+            yield pd.DataFrame({"score": m.score(total, words), "n_matches": n})
+
+    return work(text)
 
+
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+    """(row, score, n_matches); row is a struct of the given columns (doc_id by default),
+    so that none of them can clash."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns or ["doc_id"])).alias("row"), shared.whole_text().alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(work, f"row {kind}, score double, n_matches long")
+    return rows.select("row", scored("text", model).alias("found")).select("row", "found.score", "found.n_matches")
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
