@@ -7,7 +7,8 @@ an index of sorted runs, and exact resolution of the windows around repeated anc
 3. Of the others, entries with equal contexts share all of their windows, whatever the
    number of copies. Only one entry per distinct context has to be looked at further, and
    only where an anchor has several contexts.
-4. For those, every window is hashed (128 bits) and counted over the cluster.
+4. For those, every window is hashed (128 bits) and counted over the cluster, in
+   ``suffix_levels`` after the same step with blocks of neighbouring windows.
 
 Nothing here compares pairs or gathers an anchor in one task: every step counts by a
 hash, and the work is linear in the entries however large a group of copies is. Rows are
@@ -32,6 +33,8 @@ from tessera.llm.runs import SortedRuns, Value
 
 SMALLEST = -(1 << 63)
 ROW = ["doc", "mark"]
+#: A run of windows: its first start, their number, and the anchor's distance from the start.
+RUN = ["start", "count", "lead"]
 
 
 def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -68,13 +71,13 @@ def _entry_batch(symbols: np.ndarray, firsts: np.ndarray, e: windows.Entries, so
     at = pa.array(e.row)
     return [
         *how.describe(symbols, e, how.width, how.gram), some.column("doc").take(at), some.column("mark").take(at),
-        pa.array((e.start - firsts[e.row]).astype(np.int32)), pa.array(e.count.astype(np.int32)),
+        pa.array((e.start - firsts[e.row]).astype(np.int32)), pa.array(e.count.astype(np.int32)), pa.array((e.anchor - e.start).astype(np.int32)),
     ]
 
 
 def scanned(rows: DataFrame, how: Symbols, tag: str, digests: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(entries, digests, the stored table of both): one pass over the texts."""
-    names = [*how.names(), "doc", "mark", "start", "count"]
+    names = [*how.names(), *ROW, *RUN]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +91,10 @@ def scanned(rows: DataFrame, how: Symbols, tag: str, digests: bool = True) -> tu
                     data = memoryview(raw)
                     n, sha = zip(*(how.digest(bytes(data[a:b])) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())))
                     none = [pa.nulls(len(n), c.type) for c in cols]
-                    none[-4], none[-3] = some.column("doc"), some.column("mark")
+                    none[-5], none[-4] = some.column("doc"), some.column("mark")
                     yield pa.RecordBatch.from_arrays([*none, pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*names, "n", "sha"])
 
-    table = shared.stored(rows.select("doc", "mark", "text").mapInArrow(work, f"{how.kinds}, doc long, mark long, start int, count int, n long, sha string"), tag + "-scan")
+    table = shared.stored(rows.select("doc", "mark", "text").mapInArrow(work, f"{how.kinds}, doc long, mark long, start int, count int, lead int, n long, sha string"), tag + "-scan")
     return table.where("count is not null").select(*names), table.where("n is not null").select("doc", "mark", "n", "sha"), table
 
 
@@ -105,7 +108,7 @@ def repeated_entries(entries: DataFrame, how: Symbols, values: dict[str, Value],
     """The entries (stored, with ``key``) whose anchor fulfils ``repeated`` after all
     batches. Batches ascend in doc, so what a batch is probed against came before."""
     lo, hi = entries.agg(F.min("doc"), F.max("doc")).first()
-    columns = list(dict.fromkeys(["key", "context", *ROW, "start", "count"]))
+    columns = list(dict.fromkeys(["key", "context", *ROW, *RUN]))
     if lo is None:
         return entries.select(*columns)
     step = max(1, -(-(hi - max(lo, -1) + 1) // batches))
@@ -140,10 +143,11 @@ def per_row(wanted: DataFrame, fields: list[str], name: str) -> DataFrame:
     return wanted.groupBy(*ROW).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def exploded_windows(touched: DataFrame, wanted: DataFrame, how: Symbols, tag: str) -> DataFrame:
-    """Stored (window, check, doc, mark, start, alone): two hashes of every window of the
-    ``wanted`` entries (doc, mark, start, count, alone)."""
-    names = ["window", "check", "doc", "mark", "start", "alone"]
+def _located(touched: DataFrame, wanted: DataFrame, how: Symbols, fields: list[str], work_on: Callable, schema: str) -> DataFrame:
+    """``work_on`` over the texts with the ``fields`` of the wanted entries: symbols, row,
+    first symbol of its row, and the fields of every entry; it yields the rows' entry
+    numbers and the columns of ``schema`` before (doc, mark)."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,26 +156,55 @@ def exploded_windows(touched: DataFrame, wanted: DataFrame, how: Symbols, tag: s
                 lists = some.column("at")
                 offs = lists.offsets.to_numpy()
                 row, flat = np.repeat(np.arange(len(lists)), np.diff(offs)), lists.values.slice(offs[0], offs[-1] - offs[0])
-                count = flat.field("count").to_numpy(zero_copy_only=False).astype(np.int64)
-                begin = firsts[row] + flat.field("start").to_numpy(zero_copy_only=False)
-                # Some windows at a time, however long a row is.
-                ends = np.cumsum(count)
-                i = 0
-                while i < len(count):
-                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + windows.SEGMENT, "right")))
-                    s, owner = _each(begin[i:j], count[i:j])
-                    r = row[i:j][owner]
-                    one, two = windows.hashes_at(symbols, s, how.width, (1, 2))
-                    at = pa.array(r)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), some.column("doc").take(at), some.column("mark").take(at),
-                         pa.array((s - firsts[r]).astype(np.int32)), flat.field("alone").take(pa.array(owner + i))],
-                        names,
-                    )
-                    i = j
-
-    found = touched.select(*ROW, "text").join(per_row(wanted, ["start", "count", "alone"], "at").hint("shuffle_hash"), ROW)
-    return shared.stored(found.mapInArrow(work, "window long, check long, doc long, mark long, start int, alone boolean"), tag + "-each")
+                values = {f: flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields if f != "alone"}
+                for owner, cols in work_on(symbols, firsts[row], **values):
+                    at, who = pa.array(row[owner]), pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([*cols, some.column("doc").take(at), some.column("mark").take(at), flat.field("alone").take(who)], names)
+
+    found = touched.select(*ROW, "text").join(per_row(wanted, fields, "at").hint("shuffle_hash"), ROW)
+    return found.mapInArrow(work, schema)
+
+
+def exploded_windows(touched: DataFrame, wanted: DataFrame, how: Symbols, tag: str) -> DataFrame:
+    """Stored (window, check, doc, mark, start, alone): two hashes of every window of the
+    ``wanted`` entries (doc, mark, start, count, alone)."""
+
+    def work_on(symbols, base, start, count):
+        # Some windows at a time, however long a row is.
+        ends, i = np.cumsum(count), 0
+        while i < len(count):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + windows.SEGMENT, "right")))
+            s, owner = _each(base[i:j] + start[i:j], count[i:j])
+            owner += i
+            one, two = windows.hashes_at(symbols, s, s + how.width, (1, 2))
+            yield owner, [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array((s - base[owner]).astype(np.int32))]
+            i = j
+
+    return shared.stored(_located(touched, wanted, how, ["start", "count", "alone"], work_on, "window long, check long, start int, doc long, mark long, alone boolean"), tag + "-each")
+
+
+def blocks(touched: DataFrame, wanted: DataFrame, how: Symbols, size: int, tag: str) -> DataFrame:
+    """Stored (key, key2, context, context2, doc, mark, start, count, alone): the windows of
+    the ``wanted`` entries (doc, mark, start, count, lead, alone) in blocks of up to ``size``
+    whose bounds depend on the distance from the anchor alone. The key is a hash of what all
+    windows that a block can have share, the context one of all they cover: equal windows
+    have equal keys, and equal contexts have equal windows."""
+
+    def work_on(symbols, base, start, count, lead):
+        # Distances of an entry's windows from their anchor: lead, lead - 1, ..., lead - count + 1.
+        top, low = lead // size, (lead - count + 1) // size
+        k, owner = _each(low, top - low + 1)
+        near, far = np.maximum(size * k, (lead - count + 1)[owner]), np.minimum(size * k + size - 1, lead[owner])
+        anchor = (base + start + lead)[owner]
+        core = windows.hashes_at(symbols, anchor - size * k, anchor - size * k - size + 1 + how.width, (1, 2))
+        cover = windows.hashes_at(symbols, anchor - far, anchor - near + how.width, (1, 2))
+        yield owner, [
+            *(pa.array(h.view(np.int64)) for h in (*core, *cover)),
+            pa.array((anchor - far - base[owner]).astype(np.int32)), pa.array((far - near + 1).astype(np.int32)),
+        ]
+
+    schema = "key long, key2 long, context long, context2 long, start int, count int, doc long, mark long, alone boolean"
+    return shared.stored(_located(touched, wanted, how, [*RUN, "alone"], work_on, schema), tag + "-blocks")
 
 
 def _each(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

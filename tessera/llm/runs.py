@@ -59,6 +59,8 @@ class SortedRuns:
         self.folder = shared.new_folder(spark, tag)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[Run] = []
+        # Each bucket is one sorted file: scans need not sort it again.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, entries: DataFrame, level: int) -> Run:
         name = f"{self.tag}_{uuid.uuid4().hex}".replace("-", "_")

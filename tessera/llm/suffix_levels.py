@@ -12,9 +12,10 @@ partitioned: buckets by a hash of the head, in byte order inside each.
 
 Matching suffixes are then extended in both directions to the exact byte. The surroundings
 of an anchor (all strings that have it) are compared as a whole by a 128-bit digest;
-where they differ between the suffixes of one head, each 400-byte string in them is
-compared by 128 bits of two hashes, counted over the cluster, so a head that very many
-texts share is nobody's single task. A string is removed wherever it stands if it starts
+where they differ between the suffixes of one head, blocks of 16 neighbouring strings are
+compared by what they share and what they cover, and where only the former is equal each
+string, by 128 bits of two hashes. All are counted over the cluster, so a head that very
+many texts share is nobody's single task. A string is removed wherever it stands if it starts
 at two places or more; strings are judged on the input.
 
 Defined results for odd input: null and empty texts have no bytes; repeated rows are
@@ -35,8 +36,9 @@ from tessera.llm import repeats, shared, windows, word_windows
 from tessera.llm.runs import BY_POSITION
 from tessera.session import table
 
-#: Bytes of a repeated string, leading bytes of a suffix that order it, batches.
-WIDTH, HEAD, BATCHES = 400, 96, 8
+#: Bytes of a repeated string, leading bytes of a suffix that order it, batches, strings
+#: that are compared together before each is.
+WIDTH, HEAD, BATCHES, BLOCK = 400, 96, 8, 16
 
 
 def _suffixes(raw: np.ndarray, e: windows.Entries, width: int, gram: int) -> list[pa.Array]:
@@ -65,15 +67,25 @@ def repeated_bytes(entries: DataFrame, how: repeats.Symbols, batches: int = BATC
 
 def byte_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
     """Stored (doc, mark, a, b) byte spans (may overlap) of the strings that stand twice."""
-    one = F.min(F.struct("doc", "mark", "start", "count")).alias("one")
+    one = F.min(F.struct(*repeats.ROW, *repeats.RUN)).alias("one")
     contexts = shared.stored(again.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), one), "byte-contexts")
-    whole = repeats.spans(again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi"), how.width)
+    found = repeats.spans(again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi"), how.width)
     open_ = contexts.join(repeats.with_many_contexts(contexts), "key", "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
-    each = repeats.exploded_windows(touched, open_, how, "byte")
+    # The same with blocks of windows: keys that stand once can hold no repeated string.
+    parts = repeats.blocks(touched, open_, how, BLOCK, "byte")
+    key, context = ["key", "key2"], ["context", "context2"]
+    one = F.min(F.struct(*repeats.ROW, "start", "count")).alias("one")
+    covers = parts.groupBy(*key, *context).agg(F.count(F.lit(1)).alias("n"), one, F.bool_or("alone").alias("any"))
+    covers = shared.stored(covers, "byte-covers")
+    twice = parts.where("alone").join(covers.where("n > 1 and any").select(*key, *context), key + context, "left_semi")
+    found = found.unionByName(repeats.spans(twice, how.width))
+    several = covers.groupBy(*key).agg(F.count(F.lit(1)).alias("n_covers")).where("n_covers > 1").select(*key)
+    rest = covers.join(several, key, "left_semi").select("one.*", (F.expr("n = 1 and any")).alias("alone"))
+    each = repeats.exploded_windows(touched, rest, how, "byte")
     often = each.groupBy("window", "check").agg(F.count(F.lit(1)).alias("n"), F.bool_or("alone").alias("any")).where("n > 1 and any").select("window", "check")
     single = each.where("alone").join(often, ["window", "check"], "left_semi")
-    found = shared.stored(whole.unionByName(repeats.window_spans(single, how.width)), "byte-spans")
-    shared.discard(contexts, each)
+    found = shared.stored(found.unionByName(repeats.window_spans(single, how.width)), "byte-spans")
+    shared.discard(contexts, parts, covers, each)
     return found
 
 

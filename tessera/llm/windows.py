@@ -86,8 +86,8 @@ def _segment(symbols: np.ndarray, lo: int, segment: int, firsts: np.ndarray, wid
     return starts[head] + lo, np.diff(np.append(head, len(starts))), anchor[head] + lo, hashes[anchor[head]]
 
 
-def hashes_at(symbols: np.ndarray, starts: np.ndarray, width: int, salts: tuple[int, ...]) -> list[np.ndarray]:
-    """For every salt the hashes of the stretches [s, s + width), a segment at a time."""
+def hashes_at(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """For every salt the hashes of the stretches [start, end), a segment at a time."""
     out = [np.empty(len(starts), np.uint64) for _ in salts]
     order = None if len(symbols) <= SEGMENT else np.argsort(starts, kind="stable")
     for lo in range(0, max(len(symbols), 1), SEGMENT):
@@ -96,11 +96,11 @@ def hashes_at(symbols: np.ndarray, starts: np.ndarray, width: int, salts: tuple[
         else:
             a, b = np.searchsorted(starts, [lo, lo + SEGMENT], sorter=order)
             which = order[a:b]
-        s = starts[which] - lo
+        s, e = starts[which] - lo, ends[which] - lo
         if len(s):
-            part = symbols[lo : lo + SEGMENT + width]
+            part = symbols[lo : lo + int(e.max())]
             for hashed, salt in zip(out, salts):
-                hashed[which] = shared.Rolling(part, salt).of(s, s + width)
+                hashed[which] = shared.Rolling(part, salt).of(s, e)
     return out
 
 

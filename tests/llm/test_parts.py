@@ -99,9 +99,9 @@ def test_segments_change_nothing():
 def test_window_hashes_by_segments(monkeypatch):
     raw = np.frombuffer(("abcde" * 100 + "xyz" * 70).encode(), np.uint8)
     starts = np.array([600, 3, 0, 498, 250, 8, 3])
-    whole = windows.hashes_at(raw, starts, 20, (1, 2))
+    whole = windows.hashes_at(raw, starts, starts + 20, (1, 2))
     monkeypatch.setattr(windows, "SEGMENT", 64)
-    assert all((a == b).all() for a, b in zip(whole, windows.hashes_at(raw, starts, 20, (1, 2))))
+    assert all((a == b).all() for a, b in zip(whole, windows.hashes_at(raw, starts, starts + 20, (1, 2))))
     assert whole[0][1] == whole[0][5] and whole[0][1] != whole[0][0]
 
 
@@ -241,7 +241,7 @@ def test_repeated_rows_leave_others(spark):
 def test_batches_of_wide_ids(spark):
     """Every id has a batch, also where the ids span more than doubles can tell apart."""
     lo, hi = 5, (1 << 62) + 7
-    entries = spark.createDataFrame([(3, b"", d, d, 0, 1) for d in (lo, hi)] + [(4, b"", hi, hi, 0, 1)], "key long, context binary, doc long, mark long, start int, count int")
+    entries = spark.createDataFrame([(3, b"", d, d, 0, 1, 0) for d in (lo, hi)] + [(4, b"", hi, hi, 0, 1, 0)], "key long, context binary, doc long, mark long, start int, count int, lead int")
     again = repeats.repeated_entries(entries, word_windows.words(), runs.BY_DOCUMENT, F.col("lo") < F.col("hi"), 4, "wide").collect()
     assert sorted((r.key, r.doc) for r in again) == [(3, lo), (3, hi)]
     step = -(-(hi - lo + 1) // 4)
