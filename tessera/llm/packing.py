@@ -32,43 +32,58 @@ from tessera.session import table
 CAPACITY = 2048
 
 
+def dominated(items: list[tuple[int, int]], waste: int, lengths: list[int], counts: dict[int, int]) -> bool:
+    """Whether some of the items (length, number), or none of them, can be exchanged for
+    one longer length that is left over, inside the waste: the exchange fills more and
+    gives shorter items back."""
+    if not waste:
+        return False
+    sums = 1  # bit t: some of the items have t tokens
+    for size, n in items:
+        step = 1
+        while n:  # n copies as 1, 2, 4, ... of them
+            take = min(step, n)
+            sums |= sums << size * take
+            n -= take
+            step *= 2
+    used, window = dict(items), (1 << waste) - 1
+    return any(counts[x] > used.get(x, 0) and (sums >> (x - waste) if x >= waste else sums << (waste - x)) & window for x in lengths)
+
+
 def fillings(space: int, lengths: list[int], counts: dict[int, int], most: int, nodes: int = 4000) -> list[list[int]]:
     """Up to ``most`` fillings of ``space``, least waste first and, at equal waste, with
-    larger items first. A filling is kept only if no unused length still fits (it would
-    be dominated by the filling with it). ``lengths`` ascend. An exact filling found in
-    descending order ends the search when one filling is asked for."""
-    found: list[tuple[int, list[int]]] = []
+    larger items first; dominated ones only where no other is found. ``lengths`` ascend.
+    Each step takes a number of items of one length, so the search is as deep as a
+    filling has lengths. ``nodes`` bounds its steps, never what is packed: every piece is
+    in some filling in the end. ``most`` exact fillings end it early."""
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    poor: list[tuple[int, list[tuple[int, int]]]] = []
     left = [nodes]
-    used: dict[int, int] = {}
-    chosen: list[int] = []
+    chosen: list[tuple[int, int]] = []
 
     def search(space: int, top: int) -> bool:
         left[0] -= 1
         k = bisect_right(lengths, space, 0, top)
         took = False
         while k:
-            size = lengths[k - 1]
             k -= 1
-            if counts[size] - used.get(size, 0) <= 0:
-                continue
-            took = True
-            used[size] = used.get(size, 0) + 1
-            chosen.append(size)
-            stop = search(space - size, k + 1)
-            chosen.pop()
-            used[size] -= 1
-            if stop or left[0] <= 0:
-                return stop or bool(found)
+            for n in range(min(counts[lengths[k]], space // lengths[k]), 0, -1):
+                took = True
+                chosen.append((lengths[k], n))
+                stop = search(space - n * lengths[k], k)
+                chosen.pop()
+                if stop or left[0] <= 0:
+                    return stop or bool(found)
         if not took:
-            # Smaller lengths than the last one chosen are all too large or used up.
-            found.append((space, list(chosen)))
-            found.sort(key=lambda x: x[0])
-            del found[most:]
+            kept = poor if dominated(chosen, space, lengths, counts) else found
+            kept.append((space, list(chosen)))
+            kept.sort(key=lambda x: x[0])
+            del kept[most:]
             return most <= len(found) and found[-1][0] == 0
         return False
 
     search(space, len(lengths))
-    return [x[1] for x in found]
+    return [[size for size, n in items for _ in range(n)] for _, items in found or poor]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 20_000, width: int = 3) -> tuple[list[tuple[list[int], int]], int]:

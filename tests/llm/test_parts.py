@@ -71,6 +71,24 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(t for _, t in packing.plan(hist, 10)[0]) == best(items)
 
 
+def test_many_tiny_pieces():
+    """More pieces in a sequence than a call stack is deep."""
+    steps, bound = packing.plan({1: 50_000, 2: 3, 2000: 4, 2048: 1})
+    packed = Counter()
+    for items, times in steps:
+        assert sum(items) <= 2048
+        packed.update({x: n * times for x, n in Counter(items).items()})
+    assert packed == {1: 50_000, 2: 3, 2000: 4, 2048: 1} and sum(t for _, t in steps) == bound
+
+
+def test_dominated_fillings():
+    # 3 can be exchanged for the 4 that is left, 5 fits beside; nothing longer is left over.
+    assert packing.dominated([(3, 1)], 1, [3, 4], {3: 1, 4: 1})
+    assert packing.dominated([(3, 1)], 5, [3, 5], {3: 1, 5: 1})
+    assert not packing.dominated([(4, 2)], 1, [3, 4], {3: 2, 4: 2})
+    assert not packing.dominated([(4, 1)], 0, [3, 4, 9], {3: 2, 4: 2, 9: 1})
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), max_size=6))
 def test_anchors_cover_all_windows(texts):
