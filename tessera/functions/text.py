@@ -24,6 +24,25 @@ SENTENCE_STEPS = (
     ("hafta", "have to"), ("over flowing", "overflowing"), (" ok ", " okay "), (" ok,", " okay,"),
     ("'s", " is"),
 )
+#: The English stop words that keep their form among part-of-speech tags.
+STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or",
+    "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now",
+    "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn",
+    "hadn't", "hasn", "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't",
+    "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
+)
+#: The Penn Treebank word tags.
+PENN_TAGS = (
+    "CC", "CD", "DT", "EX", "FW", "IN", "JJ", "JJR", "JJS", "LS", "MD", "NN", "NNS", "NNP", "NNPS", "PDT", "POS", "PRP", "PRP$", "RB", "RBR", "RBS",
+    "RP", "SYM", "TO", "UH", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB",
+)
 #: Typographic characters and their plain forms.
 TYPOGRAPHIC = ("’‘“”–— ", "''\"\"-- ")
 #: Accented Latin letters by their plain letter (the built-in stand-in for NFKD).
@@ -88,6 +107,11 @@ def clean_utterance(x: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.regexp_replace(F.lower(w), f"[^{WORD}]", "")), " ")
 
 
+def long_enough(x: Column, least: int = 2) -> Column:
+    """Whether a text has so many characters without outer white space."""
+    return F.length(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))) >= least
+
+
 def word_count(x: Column) -> Column:
     """Pieces between single blanks; the empty string counts one."""
     return F.size(F.split(x, " "))

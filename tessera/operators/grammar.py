@@ -67,6 +67,12 @@ def rule_tag_sql(word: str) -> str:
     return f"CASE {' '.join(out)} ELSE 'NN' END"
 
 
+def recode(tokens: Column, tagger=rule_tag, keep_stop_words: bool = True) -> Column:
+    """Every token as its tag; stop words keep their form unless told otherwise."""
+    tag = lambda t: F.when(t.isin(*text.STOP_WORDS), t).otherwise(tagger(t)) if keep_stop_words else tagger(t)
+    return F.transform(tokens, tag)
+
+
 def word_tokens(x: Column) -> Column:
     """Words (with inner apostrophes) and single marks."""
     return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"), F.lit(0))

@@ -63,3 +63,10 @@ def seen_contexts(grams: DataFrame, totals: DataFrame, by: list[str]) -> DataFra
     """How many n-grams have a context that the model knows."""
     met = grams.join(totals.select("ctx", "total"), "ctx", "left")
     return met.groupBy(*by).agg(F.count_if(F.coalesce("total", F.lit(0)) > 0).alias("seen"), F.count_if(F.coalesce("total", F.lit(0)) == 0).alias("unseen"))
+
+
+def size_log(grams: DataFrame, unit: str) -> DataFrame:
+    """One row: how many units have n-grams, and the sum, least, most and mean of their
+    numbers."""
+    n = grams.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("ngrams"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))

@@ -18,6 +18,23 @@ def stratified_fold(label: str, key: str, k: int) -> Column:
     return F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 31)), key)) - 1, F.lit(k)).cast("int")
 
 
+def group_fold(group: str) -> Column:
+    """Leave one group out: every group is a fold of its own. Groups are few (sources,
+    sites), and only one row of each is ranked."""
+    return (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int")
+
+
+def leave_groups_out(df: DataFrame, group: str) -> DataFrame:
+    """``df`` with a ``fold`` per group; a null group has a fold of its own."""
+    folds = df.select(group).distinct().withColumn("fold", group_fold(group))
+    return df.join(folds.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def one_hot(df: DataFrame, label: str, classes: list) -> DataFrame:
+    """A 0/1 column is_<class> for every class, in sorted order."""
+    return df.select("*", *(F.col(label).eqNullSafe(F.lit(c)).cast("int").alias(f"is_{c}") for c in sorted(classes)))
+
+
 def _prepared(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Median-imputed and standardised by the training rows."""
     with np.errstate(all="ignore"):
@@ -54,6 +71,61 @@ def fit_logistic_l1(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int =
     return w
 
 
+def fit_softmax_l1(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, rounds: int = 2000, tol: float = 1e-6) -> np.ndarray:
+    """Balanced L1 logistic regression over several classes (0 .. classes - 1), a column
+    of weights each, by accelerated proximal gradient."""
+    seen = np.bincount(y, minlength=classes)
+    weight = len(y) / ((seen > 0).sum() * seen[y])
+    a, hot = np.column_stack([np.ones(len(x)), x]), np.eye(classes)[y]
+    step = 2 / (np.linalg.norm(a * np.sqrt(weight)[:, None], 2) ** 2 * c)
+    w = z = np.zeros((a.shape[1], classes))
+    t = 1.0
+    for _ in range(rounds):
+        new = z - step * c * a.T @ (weight[:, None] * (softmax(a @ z) - hot))
+        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step, 0)
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z = new + (t - 1) / t2 * (new - w)
+        done = np.abs(new - w).max() < tol
+        w, t = new, t2
+        if done:
+            break
+    return w
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def out_of_fold_classes(df: DataFrame, group: str, key: str, label: str, columns: list[str], classes: list[str]) -> DataFrame:
+    """(group, key, y_true, oof_pred, fold, oof_proba): as ``out_of_fold`` for any number of
+    classes; the probabilities are in the sorted order of ``classes``, 0 for a class that
+    the training folds lack."""
+    types, names = dict(df.dtypes), sorted(classes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        x, t, f = pdf[columns].to_numpy(float), pdf[label].map({c: i for i, c in enumerate(names)}).to_numpy(), pdf["fold"].to_numpy()
+        p = np.full((len(pdf), len(names)), np.nan)
+        for k in np.unique(f):
+            if not (f != k).any():
+                continue
+            a, b = _prepared(x[f != k], x[f == k])
+            have, y = np.unique(t[f != k], return_inverse=True)
+            w = fit_softmax_l1(a, y, len(have))
+            p[f == k] = 0.0
+            p[np.ix_(f == k, have)] = softmax(np.column_stack([np.ones(len(b)), b]) @ w)
+        res = pdf[[group, key]].copy()
+        res["y_true"], res["fold"] = pdf[label], f
+        known = ~np.isnan(p[:, 0])
+        res["oof_pred"] = [names[i] if ok else None for i, ok in zip(np.where(known[:, None], p, 0).argmax(axis=1), known)]
+        res["oof_proba"] = list(p)
+        return res[[group, key, "y_true", "oof_pred", "fold", "oof_proba"]]
+
+    schema = f"{group} {types[group]}, {key} {types[key]}, y_true string, oof_pred string, fold int, oof_proba array<double>"
+    return df.where(F.col(label).isin(*names)).select(group, key, label, "fold", *columns).groupBy(group).applyInPandas(solve, schema)
+
+
 def out_of_fold(df: DataFrame, group: str, key: str, y: str, columns: list[str], kind: str, clip: tuple[float, float] | None = None) -> DataFrame:
     """(group, key, y_true, oof_pred, fold[, oof_proba_pos]) for rows with a ``fold``
     column; one model per group (source) and fold. A group is one source's feature table,

@@ -159,7 +159,8 @@ def mann_whitney_p(u: float, n1: int, n0: int, tie_term: float = 0.0) -> float:
         return min(1.0, 2 * sum(ways[int(round(top)) :]) / sum(ways))
     n = n1 + n0
     sd = sqrt(n1 * n0 / 12 * ((n + 1) - tie_term / (n * (n - 1))))
-    return min(1.0, normal_two_sided((top - n1 * n0 / 2 - 0.5) / sd)) if sd else 1.0
+    # The correction may turn the sign of a U next to its mean; such a p is 1.
+    return min(1.0, erfc((top - n1 * n0 / 2 - 0.5) / sd / sqrt(2))) if sd else 1.0
 
 
 def box_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -174,6 +175,58 @@ def box_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return q.join(ends, group)
 
 
+def tie_terms(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, tie_term): the sum of t^3 - t over values that t rows share."""
+    t = df.select(group, value).na.drop().groupBy(group, value).agg(F.count(F.lit(1)).cast("double").alias("t"))
+    return t.groupBy(group).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie_term"))
+
+
+@F.pandas_udf(T.DoubleType())
+def mann_whitney_p_of(u, n1, n0, tie_term):
+    """Vector form for summary tables."""
+    import pandas as pd
+
+    return pd.Series([mann_whitney_p(float(a), int(b), int(c), float(d)) for a, b, c, d in zip(u, n1, n0, tie_term)], dtype="float64")
+
+
+def group_cells(df: DataFrame, group: str, flag: str, value: str) -> DataFrame:
+    """Per group: mean and deviation in percent of flag = 0 and flag = 1 as text cells,
+    their difference, U, the sizes and the tie term."""
+    of = lambda k: 100 * F.when(F.col(flag) == k, F.col(value))
+    cell = lambda k: F.format_string("%.1f $\\pm$ %.1f", F.avg(of(k)), F.stddev_samp(of(k)))
+    cells = df.groupBy(group).agg(cell(0).alias("cn_cell"), cell(1).alias("ad_cell"), (F.avg(of(1)) - F.avg(of(0))).alias("delta"))
+    return cells.join(rank_sum(df, group, flag, value).select(group, "u", "n1", "n0"), group).join(tie_terms(df, group, value), group)
+
+
+def classification_metrics(df: DataFrame, by: list[str], y: str, proba: str) -> DataFrame:
+    """Accuracy, F1 of the positive class (predicted at 0.5 or more) and AUC per group;
+    F1 is 0 without a true positive, AUC null with one class only."""
+    w = Window.partitionBy(*by)
+    rows = df.select(*by, F.col(y).alias("_y"), F.col(proba).alias("_p")).na.drop()
+    ties = Window.partitionBy(*by, "_p")
+    rows = rows.withColumn("rk", F.rank().over(w.orderBy("_p")) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    yes, hit = F.col("_y") == 1, F.col("_p") >= 0.5
+    n = lambda test: F.sum(test.cast("double"))
+    u = F.sum(F.when(yes, F.col("rk")).otherwise(0.0)) - n(yes) * (n(yes) + 1) / 2
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((yes == hit).cast("double")).alias("acc"),
+        F.coalesce(F.try_divide(2 * n(yes & hit), n(yes) + n(hit)), F.lit(0.0)).alias("f1"), F.try_divide(u, n(yes) * n(~yes)).alias("auc"),
+    )
+
+
+def fold_spread(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """(metric, mean, sd) over the rows (folds) of a table of metrics; sd with ddof 0."""
+    return long_form(metrics, [], columns).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+
+
+def regression_metrics_by(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
+    """As ``regression_metrics``, per group."""
+    e = F.col(y) - F.col(pred)
+    return df.select(*by, y, pred).na.drop().groupBy(*by).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), safe_corr(F.col(y), F.col(pred)).alias("r")
+    )
+
+
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     e = F.col(y) - F.col(pred)
     r2 = 1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))

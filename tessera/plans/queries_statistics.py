@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numeric import clamp, r6, safe_corr
+from tessera.functions.numeric import clamp, r6, safe_corr, stars
 from tessera.operators import models, statistics
 from tessera.plans import inputs
 from tessera.plans.inputs import META_SQL, PAIRS_SQL
@@ -170,7 +170,8 @@ def fold_assign(spark, sf_dir):
 def _oof(spark, sf_dir, kind):
     inputs.start(spark)
     b = _base(spark, sf_dir).withColumn("y", F.col("mmse") if kind == "linear" else (F.col("dx") == "ProbableAD").cast("double"))
-    folded = b.withColumn("fold", models.stratified_fold("dx", "pID", 5))
+    # Plain folds for numbers, stratified ones for classes.
+    folded = b.withColumn("fold", models.fold("pID", 5) if kind == "linear" else models.stratified_fold("dx", "pID", 5))
     return models.out_of_fold(folded, "lang", "pID", "y", ["gc", "pd", "n_chars"], kind, (0.0, 30.0) if kind == "linear" else None)
 
 
@@ -189,6 +190,127 @@ def oof_metrics(spark, sf_dir):
     return statistics.regression_metrics(_oof(spark, sf_dir, "linear"), "y_true", "oof_pred")
 
 
+@query()
+def oof_leave_group_out(spark, sf_dir):
+    inputs.start(spark)
+    b = _base(spark, sf_dir).withColumns({"y": F.col("mmse"), "all": F.lit("all")})
+    return models.out_of_fold(models.leave_groups_out(b, "lang"), "srcID", "pID", "y", ["gc", "pd", "n_chars"], "linear", (0.0, 30.0))
+
+
+@query()
+def oof_multiclass(spark, sf_dir):
+    inputs.start(spark)
+    b = _base(spark, sf_dir).withColumn("fold", models.fold("pID", 5))
+    return models.out_of_fold_classes(b, "dx", "pID", "lang", ["gc", "pd", "n_chars"], [r.lang for r in b.select("lang").distinct().collect() if r.lang])
+
+
+PRED_SQL = f"{META_SQL}, p AS (SELECT pID, CAST((pID * 2654435761) % 5 AS INTEGER) AS fold, CASE WHEN dx = 'ProbableAD' THEN 1 ELSE 0 END AS y, mmse, (n_chars % 101) / 100.0::DOUBLE AS proba, CAST(n_chars % 29 AS DOUBLE) AS pred FROM meta)"
+CLASS_SQL = f"""{PRED_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY proba) + (count(*) OVER (PARTITION BY fold, proba) - 1) / 2.0 AS rk, proba >= 0.5 AS hit FROM p),
+c AS (SELECT fold, count(*) AS n, avg(CASE WHEN (y = 1) = hit THEN 1.0 ELSE 0.0 END) AS acc, coalesce(2.0 * sum(CASE WHEN y = 1 AND hit THEN 1 ELSE 0 END) / nullif(sum(y) + sum(hit::INT), 0), 0) AS f1,
+(sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM k GROUP BY fold)"""
+
+
+def _predicted(spark, sf_dir):
+    m = inputs.meta(spark, sf_dir)
+    return m.select("pID", models.fold("pID", 5).alias("fold"), (F.col("dx") == "ProbableAD").cast("int").alias("y"), "mmse", (F.col("n_chars") % 101 / 100.0).alias("proba"), (F.col("n_chars") % 29).cast("double").alias("pred"))
+
+
+@query(f"WITH {CLASS_SQL} SELECT fold, n, round(acc, 6) + 0 AS acc, round(f1, 6) + 0 AS f1, round(auc, 6) + 0 AS auc FROM c")
+def class_metrics_by_fold(spark, sf_dir):
+    m = statistics.classification_metrics(_predicted(spark, sf_dir), ["fold"], "y", "proba")
+    return m.select("fold", "n", *(r6(F.col(c)).alias(c) for c in ("acc", "f1", "auc")))
+
+
+@query(f"WITH {CLASS_SQL}, l AS (SELECT 'acc' AS metric, acc AS v FROM c UNION ALL SELECT 'f1', f1 FROM c UNION ALL SELECT 'auc', auc FROM c) SELECT metric, round(avg(v), 6) + 0 AS mean, round(stddev_pop(v), 6) + 0 AS sd FROM l GROUP BY metric")
+def class_metrics_spread(spark, sf_dir):
+    s = statistics.fold_spread(statistics.classification_metrics(_predicted(spark, sf_dir), ["fold"], "y", "proba"), ["acc", "f1", "auc"])
+    return s.select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
+
+
+@query(f"""WITH {PRED_SQL} SELECT fold, round(sqrt(avg((mmse - pred) ** 2)), 6) + 0 AS rmse, round(avg(abs(mmse - pred)), 6) + 0 AS mae, round(1 - sum((mmse - pred) ** 2) / nullif(var_pop(mmse) * count(*), 0), 6) + 0 AS r2,
+round({_r('mmse', 'pred')}, 6) + 0 AS r FROM p WHERE mmse IS NOT NULL GROUP BY fold""")
+def regression_metrics_by_fold(spark, sf_dir):
+    m = statistics.regression_metrics_by(_predicted(spark, sf_dir), ["fold"], "mmse", "pred")
+    return m.select("fold", *(r6(F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "r")))
+
+
+@query(f"WITH {META_SQL} SELECT pID, " + ", ".join(f"CAST(CASE WHEN lang = '{c}' THEN 1 ELSE 0 END AS INTEGER) AS is_{c}" for c in ("de", "en", "es", "fr")) + " FROM meta")
+def one_hot_labels(spark, sf_dir):
+    return models.one_hot(inputs.meta(spark, sf_dir).select("pID", "lang"), "lang", ["de", "en", "es", "fr"]).drop("lang")
+
+
+def _wer_flagged(spark, sf_dir):
+    from tessera.plans.queries_text import _wer
+
+    return _wer(spark, sf_dir).withColumn("ad", (F.col("pID") % 2 == 1).cast("int"))
+
+
+CELL_SQL = f"""{PAIRS_SQL}, w AS (SELECT srcID, pID, 100 * wer AS wer, CASE WHEN pID % 2 = 1 THEN 1 ELSE 0 END AS ad FROM wer), k AS (SELECT *, rank() OVER (PARTITION BY srcID ORDER BY wer) + (count(*) OVER (PARTITION BY srcID, wer) - 1) / 2.0 AS rk FROM w),
+t AS (SELECT srcID, sum(t ** 3 - t) AS tie_term FROM (SELECT srcID, wer, count(*)::DOUBLE AS t FROM w GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {CELL_SQL} SELECT k.srcID, format('{{:.1f}} $\\pm$ {{:.1f}}', avg(CASE WHEN ad = 0 THEN wer END), stddev_samp(CASE WHEN ad = 0 THEN wer END)) AS cn_cell,
+format('{{:.1f}} $\\pm$ {{:.1f}}', avg(CASE WHEN ad = 1 THEN wer END), stddev_samp(CASE WHEN ad = 1 THEN wer END)) AS ad_cell, round(avg(CASE WHEN ad = 1 THEN wer END) - avg(CASE WHEN ad = 0 THEN wer END), 6) + 0 AS delta,
+round(sum(CASE WHEN ad = 1 THEN rk END) - sum(ad) * (sum(ad) + 1) / 2.0, 6) + 0 AS u, CAST(sum(ad) AS BIGINT) AS n1, CAST(sum(1 - ad) AS BIGINT) AS n0, any_value(tie_term) AS tie_term, round({_r('wer', 'CAST(pID % 31 AS DOUBLE)')}, 6) + 0 AS r
+FROM k JOIN t ON k.srcID = t.srcID GROUP BY k.srcID""")
+def wer_table_cells(spark, sf_dir):
+    w = _wer_flagged(spark, sf_dir)
+    r = w.groupBy("srcID").agg(r6(safe_corr(100 * F.col("wer"), (F.col("pID") % 31).cast("double"))).alias("r"))
+    c = statistics.group_cells(w, "srcID", "ad", "wer").join(r, "srcID")
+    return c.withColumns({"delta": r6(F.col("delta")), "u": r6(F.col("u"))})
+
+
+@query()
+def wer_table_rows(spark, sf_dir):
+    """The table's rows with significance marks: Mann-Whitney for the difference, Pearson
+    for the correlation with the score."""
+    inputs.start(spark)
+    c = wer_table_cells(spark, sf_dir)
+    p = statistics.mann_whitney_p_of("u", "n1", "n0", "tie_term")
+    mark = lambda x: stars(F.col(x))
+    c = c.withColumn("p", p).withColumn("p_r", statistics.pearson_p_of("r", (F.col("n1") + F.col("n0")).cast("long")))
+    return c.select(
+        "srcID", "cn_cell", "ad_cell", F.concat(F.format_string("%.1f", "delta"), mark("p")).alias("delta"),
+        F.when(F.col("r").isNull(), "NaN").otherwise(F.concat(F.format_string("%.2f", "r"), mark("p_r"))).alias("r_score"), "p", "p_r",
+    )
+
+
+@query()
+def agreement_p_values(spark, sf_dir):
+    inputs.start(spark)
+    a = statistics.agreement(inputs.measures(spark, sf_dir), "srcID", "pID", "value", "view")
+    return a.withColumns({"pearson_p": statistics.pearson_p_of("pearson_r", "n"), "spearman_p": statistics.pearson_p_of("spearman_rho", "n")})
+
+
+@query()
+def corr_matrix_labels(spark, sf_dir):
+    """Correlations as labels: r with two places and its stars, over complete rows."""
+    inputs.start(spark)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("srcID"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_discount").cast("double").alias("discount")).na.drop()
+    pairs = [("quantity", "price"), ("quantity", "discount"), ("price", "discount")]
+    wide = li.groupBy("srcID").agg(F.count(F.lit(1)).alias("n"), *(safe_corr(F.col(x), F.col(y)).alias(f"{x}|{y}") for x, y in pairs))
+    long = statistics.long_form(wide, ["srcID", "n"], [f"{x}|{y}" for x, y in pairs], "pair", "r").withColumn("p", statistics.pearson_p_of("r", "n"))
+    return long.select("srcID", F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "p", F.concat(F.format_string("%.2f", F.round("r", 2) + 0.0), stars(F.col("p"))).alias("label"))
+
+
+@query(f"""WITH {BASE_SQL}, c AS (SELECT srcID, avg(wer) AS wer, abs({_r('gc', 'mmse')}) AS gc, abs({_r('pd', 'mmse')}) AS pd FROM base GROUP BY srcID HAVING count(*) >= 2),
+x AS (SELECT srcID, wer, unnest(['gc', 'pd']) AS metric, unnest([gc, pd]) AS v FROM c),
+z AS (SELECT *, CASE WHEN v < 1 THEN atanh(v) END AS z FROM x),
+o AS (SELECT metric, {_r('v', 'CASE WHEN v IS NOT NULL THEN wer END')} AS rv, {_r('z', 'CASE WHEN z IS NOT NULL THEN wer END')} AS rz FROM z GROUP BY metric)
+SELECT srcID, metric, round(wer, 4) + 0 AS wer, round(v, 4) + 0 AS r_value, round(z, 4) + 0 AS z_value, round(rv, 4) + 0 AS r_vs_wer, round(rz, 4) + 0 AS z_vs_wer
+FROM z JOIN o USING (metric) ORDER BY metric, wer, srcID""")
+def meta_correlation_tables(spark, sf_dir):
+    """The four tables side by side, as column groups r_ and z_: each source's value, and the
+    metric's correlation with the sources' word error rates."""
+    b = _base(spark, sf_dir)
+    c = statistics.correlate_by(b, "srcID", "mmse", ["gc", "pd"]).join(b.groupBy("srcID").agg(F.avg("wer").alias("wer")), "srcID")
+    long = statistics.long_form(c, ["srcID", "wer"], ["gc", "pd"]).withColumn("z", F.when(F.col("value") < 1, F.atanh("value")))
+    over = long.groupBy("metric").agg(safe_corr(F.col("value"), F.col("wer")).alias("r_vs_wer"), safe_corr(F.col("z"), F.col("wer")).alias("z_vs_wer"))
+    r4 = lambda x: F.round(F.col(x), 4) + 0.0
+    joined = long.join(over, "metric").orderBy("metric", "wer", "srcID")
+    return joined.select("srcID", "metric", r4("wer").alias("wer"), r4("value").alias("r_value"), r4("z").alias("z_value"), r4("r_vs_wer").alias("r_vs_wer"), r4("z_vs_wer").alias("z_vs_wer"))
+
+
 @query("""SELECT o_orderpriority AS grp, round(avg(p), 6) + 0 AS loo_mean, round(max(z), 6) + 0 AS top_z FROM (
 SELECT o_orderpriority, (sum(x) OVER w - x) / nullif(count(*) OVER w - 1, 0) AS p, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS z FROM (SELECT o_orderpriority, CAST(o_custkey AS DOUBLE) AS x FROM orders) WINDOW w AS (PARTITION BY o_orderpriority)) GROUP BY 1""")
 def leave_one_out_mean(spark, sf_dir):

@@ -42,10 +42,16 @@ t AS (SELECT srcID, avg(wer) AS trimmed FROM r WHERE rn > floor(n * 0.1) AND rn
 SELECT w.srcID, round(avg(wer), 6) + 0 AS mean_wer, round(coalesce(stddev_samp(wer), 0), 6) + 0 AS sd_wer, round(median(wer), 6) + 0 AS median_wer, round(any_value(trimmed), 6) + 0 AS trimmed_wer
 FROM wer w JOIN t ON w.srcID = t.srcID GROUP BY w.srcID""")
 def wer_summary(spark, sf_dir):
-    w = _wer(spark, sf_dir)
-    t = statistics.trimmed_by_rank(w, "srcID", "wer")
-    s = w.groupBy("srcID").agg(r6(F.avg("wer")).alias("mean_wer"), r6(F.coalesce(F.stddev_samp("wer"), F.lit(0.0))).alias("sd_wer"), r6(F.median("wer")).alias("median_wer"))
-    return s.join(t, "srcID").select("srcID", "mean_wer", "sd_wer", "median_wer", r6(F.col("trimmed")).alias("trimmed_wer"))
+    from pyspark.sql import Window
+
+    # The distances are computed once: ranks and sizes by window, one aggregation.
+    w = Window.partitionBy("srcID")
+    ranked = _wer(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy("wer")), "n": F.count(F.lit(1)).over(w)})
+    cut = F.floor(F.col("n") * 0.1)
+    inside = F.when((F.col("rn") > cut) & (F.col("rn") <= F.col("n") - cut), F.col("wer"))
+    return ranked.groupBy("srcID").agg(
+        r6(F.avg("wer")).alias("mean_wer"), r6(F.coalesce(F.stddev_samp("wer"), F.lit(0.0))).alias("sd_wer"), r6(F.median("wer")).alias("median_wer"), r6(F.avg(inside)).alias("trimmed_wer")
+    )
 
 
 @query()
@@ -204,23 +210,24 @@ def lm_context_totals(spark, sf_dir):
     return language_model.counts(grams.join(meta, "pID"), ["dx"])[1]
 
 
-VOCABULARY = 215
+#: Part-of-speech tags and stop words.
+VOCABULARY = len(text.PENN_TAGS) + len(text.STOP_WORDS)
 
 
-def _ppl_sql(loo: bool) -> str:
+def _ppl_sql(loo: bool, gram_sql: str = GRAM_SQL) -> str:
     def one(name: str, dx: str) -> str:
         own = f" - CASE WHEN o.dx = '{dx}' THEN {{}} ELSE 0 END" if loo else ""
         c = "coalesce(m.cnt, 0)" + own.format("o.own")
         t = "coalesce(t.total, 0)" + own.format("o.own_total")
         return f"{name} AS (SELECT o.pID, exp(-sum(ln(({c} + 10.0) / ({t} + {VOCABULARY} * 10.0)) * o.own) / sum(o.own)) AS p FROM o LEFT JOIN m ON m.dx = '{dx}' AND m.ctx = o.ctx AND m.nxt = o.nxt LEFT JOIN t ON t.dx = '{dx}' AND t.ctx = o.ctx GROUP BY o.pID)"
 
-    return f"""WITH {GRAM_SQL}, o1 AS (SELECT pID, dx, ctx, nxt, count(*) AS own FROM gram GROUP BY 1, 2, 3, 4), o AS (SELECT *, sum(own) OVER (PARTITION BY pID, ctx) AS own_total FROM o1),
+    return f"""WITH {gram_sql}, o1 AS (SELECT pID, dx, ctx, nxt, count(*) AS own FROM gram GROUP BY 1, 2, 3, 4), o AS (SELECT *, sum(own) OVER (PARTITION BY pID, ctx) AS own_total FROM o1),
 m AS (SELECT dx, ctx, nxt, sum(own) AS cnt FROM o1 GROUP BY 1, 2, 3), t AS (SELECT dx, ctx, sum(own) AS total FROM o1 GROUP BY 1, 2), {one('a', 'ProbableAD')}, {one('b', 'Control')}
 SELECT a.pID, round(a.p, 4) + 0 AS ppl_ad, round(b.p, 4) + 0 AS ppl_cn, round(b.p - a.p, 4) + 0 AS P_diff FROM a JOIN b ON a.pID = b.pID"""
 
 
-def _ppl(spark, sf_dir, loo):
-    grams, meta = _grams(spark, sf_dir)
+def _ppl(spark, sf_dir, loo, read=_grams):
+    grams, meta = read(spark, sf_dir)
     p = language_model.perplexity(grams, ["pID"], meta, ("ProbableAD", "Control"), VOCABULARY, leave_one_out=loo)
     r4 = lambda c: F.round(c, 4) + 0.0
     return p.select("pID", r4(F.col("ppl_a")).alias("ppl_ad"), r4(F.col("ppl_b")).alias("ppl_cn"), r4(F.col("P_diff")).alias("P_diff"))
@@ -236,6 +243,70 @@ def perplexity_diff_loo(spark, sf_dir):
     return _ppl(spark, sf_dir, True)
 
 
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+#: The same over tags: cleaned user utterances of three words or more, every word but stop
+#: words as its tag, padded one by one.
+TAG_GRAM_SQL = rf"""
+said AS (SELECT conv_id AS pID, turn, CASE WHEN conv_id % 2 = 1 THEN 'ProbableAD' ELSE 'Control' END AS dx,
+         list_transform(string_split(trim(text), ' '), lambda w: regexp_replace(lower(w), '[^\p{{L}}\p{{N}}_]', '', 'g')) AS w
+         FROM conversations WHERE lower(role) = 'user' AND text IS NOT NULL AND len(string_split(trim(text), ' ')) >= 3),
+word AS (SELECT pID, turn, dx, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM said),
+coded AS (SELECT pID, turn, dx, i, n, CASE WHEN w IN ({_quoted(text.STOP_WORDS)}) THEN w ELSE {grammar.rule_tag_sql('w')} END AS t FROM word
+          UNION ALL SELECT pID, turn, dx, k, len(w), CASE WHEN k < 1 THEN '<START>' ELSE '<STOP>' END FROM said, unnest([-1, 0, len(w) + 1, len(w) + 2]) AS x(k)),
+lead_ AS (SELECT pID, dx, t, lead(t) OVER v AS t2, lead(t, 2) OVER v AS t3 FROM coded WINDOW v AS (PARTITION BY pID, turn ORDER BY i)),
+gram AS (SELECT pID, dx, t || ' ' || t2 AS ctx, t3 AS nxt FROM lead_ WHERE t3 IS NOT NULL)
+"""
+
+
+def _tag_grams(spark, sf_dir):
+    u = inputs.utterances(spark, sf_dir).where((F.lower("speaker") == "user") & F.col("full_text").isNotNull() & (text.word_count(F.trim("full_text")) >= 3))
+    words = F.split(text.clean_utterance(F.col("full_text")), " ")
+    tokens = u.select("pID", grammar.recode(words).alias("tokens"))
+    meta = u.select("pID").distinct().select("pID", F.when(F.col("pID") % 2 == 1, "ProbableAD").otherwise("Control").alias("dx"))
+    return language_model.ngram_rows(tokens, ["pID"]), meta
+
+
+@query(f"WITH {TAG_GRAM_SQL} SELECT dx, ctx, nxt, count(*) AS cnt FROM gram GROUP BY 1, 2, 3")
+def ngram_lm_tags(spark, sf_dir):
+    grams, meta = _tag_grams(spark, sf_dir)
+    return language_model.counts(grams.join(meta, "pID"), ["dx"])[0]
+
+
+@query(f"WITH {TAG_GRAM_SQL}, n AS (SELECT pID, count(*) AS n FROM gram GROUP BY 1) SELECT count(*) AS units, CAST(sum(n) AS BIGINT) AS ngrams, min(n) AS least, max(n) AS most, round(avg(n), 6) + 0 AS mean FROM n")
+def ngram_size_log(spark, sf_dir):
+    return language_model.size_log(_tag_grams(spark, sf_dir)[0], "pID").withColumn("mean", r6(F.col("mean")))
+
+
+@query(_ppl_sql(False, TAG_GRAM_SQL))
+def perplexity_diff_tags(spark, sf_dir):
+    return _ppl(spark, sf_dir, False, _tag_grams)
+
+
+@query(_ppl_sql(True, TAG_GRAM_SQL))
+def perplexity_diff_tags_loo(spark, sf_dir):
+    return _ppl(spark, sf_dir, True, _tag_grams)
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_pos FROM l)
+SELECT doc_id, CAST(line_pos AS BIGINT) AS line_pos, CAST(length(trim(regexp_replace(line, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS n_chars FROM x WHERE length(trim(regexp_replace(line, '^\s+|\s+$', '', 'g'))) >= 2""")
+def utterance_lines(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_pos", "line")).where(text.long_enough(F.col("line")))
+    return x.select("doc_id", F.col("line_pos").cast("long").alias("line_pos"), F.length(F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).cast("long").alias("n_chars"))
+
+
+@query(f"""WITH u AS (SELECT conv_id AS pID, turn AS utt_pos, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*|[^\\s\\p{{L}}\\p{{N}}]') AS tok FROM conversations WHERE lower(role) = 'user' AND length(trim(text)) > 1),
+x AS (SELECT pID, utt_pos, unnest(tok) AS w FROM u), g AS (SELECT pID, utt_pos, lower(w) AS lw, {grammar.rule_tag_sql('w')} AS t, regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AS is_word FROM x)
+SELECT pID, utt_pos, round(sum(CASE WHEN t IN {"(" + ", ".join(f"'{t}'" for t in grammar.NOUN_TAGS) + ")"} THEN 1 ELSE 0 END) / sum(is_word::INT)::DOUBLE, 6) + 0 AS noun_ratio,
+round(count(DISTINCT CASE WHEN is_word THEN lw END) / sum(is_word::INT)::DOUBLE, 6) + 0 AS unique_words FROM g GROUP BY 1, 2 HAVING sum(is_word::INT) > 0""")
+def utterance_features(spark, sf_dir):
+    u = inputs.utterances(spark, sf_dir).where((F.lower("speaker") == "user") & (F.length(F.trim("full_text")) > 1))
+    f = grammar.features(u.select("pID", "utt_pos", grammar.tagged(grammar.word_tokens(F.col("full_text"))).alias("tagged")), ["pID", "utt_pos"])
+    return f.select("pID", "utt_pos", r6(F.col("noun_ratio")).alias("noun_ratio"), r6(F.col("unique_words")).alias("unique_words"))
+
+
 @query(f"WITH {GRAM_SQL}, k AS (SELECT DISTINCT ctx FROM gram WHERE dx = 'Control') SELECT dx, count(k.ctx) AS seen, count(*) - count(k.ctx) AS unseen FROM gram LEFT JOIN k ON k.ctx = gram.ctx GROUP BY dx")
 def seen_contexts(spark, sf_dir):
     grams, meta = _grams(spark, sf_dir)

@@ -244,3 +244,45 @@ def test_streams(spark, tmp_path):
     q = transcripts.talk_sessions(transcripts.read_utterances(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("talk").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("talk").first().n_tokens == 2
+
+
+def test_recode_keeps_stop_words(spark):
+    from tessera.functions import text
+    from tessera.operators import grammar
+
+    df = spark.createDataFrame([(["the", "dogs", "ran", "quickly", "to", "me", "", "42"],)], "w array<string>")
+    r = df.select(grammar.recode(F.col("w")).alias("a"), grammar.recode(F.col("w"), keep_stop_words=False).alias("b")).first()
+    assert r.a == ["the", "NNS", "NN", "RB", "to", "me", ".", "CD"]
+    assert r.b == ["DT", "NNS", "NN", "RB", "TO", "PRP", ".", "CD"]
+    assert len(text.PENN_TAGS) + len(set(text.STOP_WORDS)) == 215
+
+
+def test_mann_whitney_p():
+    from tessera.operators.statistics import mann_whitney_p
+
+    # Exact: groups of 3 and 3 fully apart have 2 of 20 arrangements as extreme.
+    assert abs(mann_whitney_p(9, 3, 3) - 0.1) < 1e-12
+    assert abs(mann_whitney_p(4.5, 3, 3, 6.0) - 1.0) < 1e-12
+    # Normal with continuity correction, 10 and 10 without ties: z = (80 - 50 - 0.5) / sqrt(175).
+    import math
+
+    assert abs(mann_whitney_p(80, 10, 10) - math.erfc(29.5 / math.sqrt(175) / math.sqrt(2))) < 1e-12
+
+
+def test_folds_of_groups_and_classes(spark):
+    import numpy as np
+    from tessera.operators import models, statistics
+
+    rng = np.random.default_rng(0)
+    rows = [(i, "abc"[i % 3], ["x", "y", None][i // 60 % 3], float(rng.normal() + 4 * (i % 3 == 0)), float(rng.normal() + 4 * (i % 3 == 1))) for i in range(180)]
+    df = spark.createDataFrame(rows, "id long, label string, site string, u double, v double")
+    out = models.leave_groups_out(df, "site")
+    assert out.count() == 180 and out.select("site", "fold").distinct().count() == 3
+    got = models.out_of_fold_classes(out.withColumn("g", F.lit("all")), "g", "id", "label", ["u", "v"], ["c", "a", "b"]).collect()
+    assert len(got) == 180 and sum(r.y_true == r.oof_pred for r in got) > 150
+    assert all(abs(sum(r.oof_proba) - 1) < 1e-9 and "abc"[int(np.argmax(r.oof_proba))] == r.oof_pred for r in got)
+    m = statistics.classification_metrics(spark.createDataFrame([(0, 1, 0.9), (0, 0, 0.2), (0, 1, 0.4), (0, 0, 0.4), (1, 1, 0.1), (1, 1, 0.7)], "f int, y int, p double"), ["f"], "y", "p")
+    got = {r.f: (r.n, r.acc, round(r.f1, 6), r.auc) for r in m.collect()}
+    assert got == {0: (4, 0.75, 0.666667, 0.875), 1: (2, 0.5, 0.666667, None)}
+    spread = {r.metric: (r["mean"], round(r.sd, 6)) for r in statistics.fold_spread(m, ["acc"]).collect()}
+    assert spread == {"acc": (0.625, 0.125)}
