@@ -257,3 +257,12 @@ def test_op10_scale_free(spark):
     pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
     verdicts = {r.page_id: r.verdict for r in link_graph.judge(pages).collect()}
     assert verdicts.pop(len(rows) - 1) == "allow" and set(verdicts.values()) == {"block"}
+
+
+def test_registered():
+    """All ten operators and the pipeline are registered beside the other queries."""
+    import __spark_entry__ as entry
+    from tessera.plans import catalogue
+
+    names = set(entry.queries()) - set(catalogue.QUERIES)
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names - {"pipeline"}} == set(range(1, 11)) and len(names) == 11
