@@ -110,7 +110,7 @@ def repeated_entries(entries: DataFrame, how: Symbols, values: dict[str, Value],
     lo, hi = entries.agg(F.min("doc"), F.max("doc")).first()
     columns = list(dict.fromkeys(["key", "context", *ROW, *RUN]))
     if lo is None:
-        return entries.select(*columns)
+        return shared.stored(entries.select(*columns), tag + "-again")
     step = max(1, -(-(hi - max(lo, -1) + 1) // batches))
     number = batch_number("doc", max(lo, 0), step, batches)
     index, found = SortedRuns(entries.sparkSession, tag, how.key, values), []
