@@ -56,13 +56,13 @@ def positional_join(spark, sf_dir):
     return p.select(F.col("a_nation").alias("nation"), F.col("_rn").cast("long").alias("place"), "c_custkey", "s_suppkey")
 
 
-@query(f"""WITH {META_SQL}, g AS (SELECT doc_id AS pID, source AS srcID, CAST(length(text) AS DOUBLE) AS gc FROM documents), p AS (SELECT doc_id AS pID, source AS srcID, CASE WHEN doc_id % 5 <> 0 THEN CAST(n_chars AS DOUBLE) / 7 END AS P_diff FROM documents)
+@query(f"""WITH {META_SQL}, g AS (SELECT doc_id AS pID, source AS srcID, CAST(length(text) AS DOUBLE) AS gc FROM documents), p AS (SELECT doc_id AS pID, source AS srcID, CAST(n_chars AS DOUBLE) / 7 AS P_diff FROM documents)
 SELECT m.srcID, m.pID, m.dx, m.mmse, round(p.P_diff, 6) + 0 AS P_diff, g.gc FROM meta m LEFT JOIN g ON m.srcID = g.srcID AND m.pID = g.pID LEFT JOIN p ON m.srcID = p.srcID AND m.pID = p.pID WHERE p.P_diff IS NOT NULL AND g.gc IS NOT NULL AND m.mmse IS NOT NULL""")
 def combined_results(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     key = [F.col("doc_id").alias("pID"), F.col("source").alias("srcID")]
     g = d.select(*key, F.length("text").cast("double").alias("gc"))
-    p = d.select(*key, F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") / 7).alias("P_diff"))
+    p = d.select(*key, (F.col("n_chars") / 7).alias("P_diff"))
     m = inputs.meta(spark, sf_dir).select("srcID", "pID", "dx", "mmse")
     return relational.combine(m, [g, p], ["srcID", "pID"], ["mmse", "P_diff", "gc"]).select("srcID", "pID", "dx", "mmse", r6(F.col("P_diff")).alias("P_diff"), "gc")
 
