@@ -10,9 +10,12 @@ the full shingle sets.
 
 Groups of very many near copies are not expanded into pairs. First every class is tested
 against the most central class under its prefix pairs only, and components are formed.
-Then, where posting lists still have several components, their members outside the
-largest component are counted against all members on the full sets, in blocks of bounded
-size, and only links leave a block. So every pair is either connected already or tested.
+Then, where posting lists still have several components, the collisions of their members
+outside the largest component with all members are counted in the same way (prefix, skip,
+threshold, full sets), in blocks of bounded size, and only links leave a block. So every
+pair is either connected already or counted. A value that most documents share is never
+joined on: it comes last in the order, and the last ``matches - 1`` pairs of a class are
+outside its prefix.
 
 The match threshold is set so that a pair exactly at the similarity limit is missed with
 a probability of at most ``miss`` (1e-7).
@@ -188,12 +191,29 @@ def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
     return shared.stored(found.mapInArrow(work, "class long, set binary"), "near-sets")
 
 
+def _inverted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the rows in order, and the row that has each."""
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(rows)), np.array([len(x) for x in rows], np.int64))[order]
+
+
+def _found(flat: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places in the ordered ``flat`` of every occurrence of the values."""
+    lo = np.searchsorted(flat, values, "left")
+    n = np.searchsorted(flat, values, "right") - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """Stored links (u, v) between the roots of components, from the posting lists that still have
     several. The members of all lists with one largest component meet by it; those
-    outside it are counted against all others on their full sets, in blocks bounded by
-    rows and bytes, and give at most one link to each component. No pair of the same
-    component is looked at and no unlinked pair leaves a task."""
+    outside it are counted against all others by their collisions, in blocks bounded by
+    rows and bytes, and give at most one link to each component: classes that meet under a
+    prefix pair are counted on all their shared pairs, and those over the match threshold
+    on the full sets. No pair of the same component is looked at and no unlinked pair
+    leaves a task."""
+    least = how.matches()
     known = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     posts = known.select("class", "root", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))["t"]).alias("t"))
     per_root = posts.groupBy("t", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -209,26 +229,38 @@ def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: Ne
     right = placed.select("main", "class", "root", every("left").alias("i"), mine("right").alias("j"), F.lit(False).alias("asks"))
     left = placed.where("outside").select("main", "class", "root", mine("left").alias("i"), every("right").alias("j"), F.lit(True).alias("asks"))
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = right.unionByName(left).join(sets, "class").repartition(parts, "main", "i", "j").sortWithinPartitions("main", "i", "j", "asks")
+    marked = lists.select("class", "prefix", F.col("tokens.t").alias("token"))
+    met = right.unionByName(left).join(sets, "class").join(marked, "class").repartition(parts, "main", "i", "j").sortWithinPartitions("main", "i", "j", "asks")
 
     def group(t: pa.Table, us: list, vs: list) -> None:
         asks = t.column("asks").to_numpy()
         mid = int(np.searchsorted(asks, True))
         root = t.column("root").to_numpy()
-        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
-        sizes = np.array([len(v) for v in values])
-        # Shingle -> rows that have it, as one sorted array.
-        flat, owner = np.concatenate(values[:mid]) if mid else np.zeros(0, np.uint64), np.repeat(np.arange(mid), sizes[:mid])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        tokens = [x.values.to_numpy() for x in t.column("token")]
+        prefix = t.column("prefix").to_numpy()
+        heads = [x[:n] for x, n in zip(tokens, prefix.tolist())]
+        flat, owner = _inverted(heads[:mid])
+        long = np.array([len(x) for x in tokens])
+        places, first = np.concatenate(tokens), np.cumsum(long) - long
+        sets: list = []
         for x in range(mid, t.num_rows):
-            lo, hi = np.searchsorted(flat, values[x], "left"), np.searchsorted(flat, values[x], "right")
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=mid)
-            ok = (100 * both >= how.percent * (sizes[:mid] + sizes[x] - both)) & (root[:mid] != root[x])
-            if ok.any():
-                y = np.flatnonzero(ok)
+            met = np.unique(owner[_found(flat, heads[x])])
+            met = met[root[met] != root[x]]
+            if not len(met):
+                continue
+            # Skipped to: the other places of the classes that met.
+            at = np.repeat(first[met] - (np.cumsum(long[met]) - long[met]), long[met]) + np.arange(long[met].sum())
+            same = np.add.reduceat(np.isin(places[at], tokens[x]).astype(np.int64), np.cumsum(long[met]) - long[met])
+            met = met[same >= least]
+            if not len(met):
+                continue
+            if not sets:
+                values = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")]
+                sets = [values, np.array([len(v) for v in values]), *_inverted(values[:mid])]
+            values, sizes, shingles, holder = sets
+            both = np.bincount(holder[_found(shingles, values[x])], minlength=mid)[met]
+            y = met[100 * both >= how.percent * (sizes[met] + sizes[x] - both)]
+            if len(y):
                 y = y[np.unique(root[y], return_index=True)[1]]
                 us.append(np.full(len(y), root[x]))
                 vs.append(root[y])
@@ -262,7 +294,7 @@ def remaining_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, how: Ne
         if held:
             yield solve(held)
 
-    cols = ["main", "i", "j", "asks", "root", "set"]
+    cols = ["main", "i", "j", "asks", "root", "prefix", "token", "set"]
     return shared.stored(met.select(*cols).mapInArrow(work, "u long, v long").distinct(), "near-rest")
 
 
@@ -274,6 +306,22 @@ def _joined_up(roots: DataFrame, upper: DataFrame) -> DataFrame:
     return roots.unionByName(alone).join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
+#: A group with over one in so many rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the component of their group, by the stored ``groups`` (on, component_id, n), n
+    being the group's rows. Groups with over 1 / ``HOT_SHARE`` of all rows are fewer than
+    ``HOT_SHARE`` at any size: those are broadcast, so no task gets a whole hot group; the
+    others meet by a shuffle."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    large = F.broadcast(groups.where(hot).select(on, "component_id"))
+    small = groups.where(~hot).select(on, "component_id")
+    return rows.join(large, on).unionByName(rows.join(large.select(on), on, "left_anti").join(small, on))
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept for every row."""
     rows = described(docs, how)
@@ -290,14 +338,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     more = remaining_links(lists, roots, sets, how)
     if not more.isEmpty():
         roots = shared.stored(_joined_up(roots, components(more, "near-components")), "near-roots")
-    slim = rows.select("doc_id", "mark", "n_shingles", "class")
-    joined = slim.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "root", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "class"))
-    )
-    joined = shared.stored(joined.drop("class"), "near-joined")
-    smallest = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    out = joined.join(smallest, "root", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
-    return out.select("doc_id", "mark", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+    own = usable.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    own = own.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    own = shared.stored(own, "near-classes")
+    groups = shared.stored(own.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-groups")
+    named = shared.stored(_with_group(own.select("class", "root", F.col("n").alias("rows")), groups, "root"), "near-named")
+    slim = ["doc_id", "mark", "n_shingles"]
+    linked = _with_group(usable.select(*slim, "class"), named.select("class", "component_id", F.col("rows").alias("n")), "class")
+    alone = rows.where("not (n_shingles > 0 and doc_id is not null)").select(*slim, F.col("doc_id").alias("component_id"))
+    out = linked.select(*slim, "component_id").unionByName(alone)
+    return out.select(*slim, "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:

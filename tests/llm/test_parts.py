@@ -206,6 +206,68 @@ def test_large_groups_of_near_copies(spark):
     assert got == dict(enumerate(root))
 
 
+def by_brute_force(rows, percent=85):
+    """Component of every row, by all pairs of sets of three-word shingles."""
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and top(a) != top(b):
+                lo, hi = sorted((top(a), top(b)))
+                root[hi] = lo
+    return {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("common, own, n", [(3, 12, 1500), (60, 12, 300), (60, 7, 300)])
+def test_near_copies_under_common_shingles(spark, common, own, n):
+    """One shingle (or a long template) in every document, and hundreds of components."""
+    rng = random.Random(11)
+    template = [f"c{i}" for i in range(common)]
+    rows = []
+    for i in range(n):
+        w = template + [f"w{rng.randrange(99999)}" for _ in range(own)]
+        if i % 3 == 0 and rows:
+            w = rng.choice(rows)[1].split()
+            w[-1] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_brute_force(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, near_dup.NearDup(3, 85, block=32)).collect()}
+    assert got == want and len(set(want.values())) < n
+
+
+def test_blocks_alone_find_every_link(spark, monkeypatch):
+    """Without central partners all links come from the collisions counted in blocks."""
+    rng = random.Random(13)
+    template, rows = [f"c{i}" for i in range(40)], []
+    for i in range(160):
+        w = template + [f"w{rng.randrange(99999)}" for _ in range(12)]
+        if i % 2 and rows:
+            w = rng.choice(rows)[1].split()
+            w[rng.randrange(52)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dup, "hub_pairs", lambda lists, how: lists.selectExpr("class u", "class v").where("false"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, near_dup.NearDup(3, 85, block=24)).collect()}
+    want = by_brute_force(rows)
+    assert got == want and len(set(want.values())) < 150
+
+
+def test_hot_groups_are_named_whole(spark):
+    """One class and one component hold most rows; both joins by group give every row."""
+    rows = [(i, "one two three four five six seven") for i in range(900)] + [(900 + i, f"a{i} b{i} c{i} d{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, near_dup.NearDup(3, 85)).collect()}
+    assert got == {i: 0 if i < 900 else i for i, _ in rows}
+
+
 def test_poisson_rates(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "CASE WHEN id < 15000 THEN 'big' ELSE 'small' END AS source")
     w = spark.createDataFrame([("big", 1.0), ("small", 1.0)], "source string, weight double")
