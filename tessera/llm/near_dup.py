@@ -306,22 +306,6 @@ def _joined_up(roots: DataFrame, upper: DataFrame) -> DataFrame:
     return roots.unionByName(alone).join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-#: A group with over one in so many rows is joined by broadcast.
-HOT_SHARE = 1000
-
-
-def _with_group(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
-    """``rows`` with the component of their group, by the stored ``groups`` (on, component_id, n), n
-    being the group's rows. Groups with over 1 / ``HOT_SHARE`` of all rows are fewer than
-    ``HOT_SHARE`` at any size: those are broadcast, so no task gets a whole hot group; the
-    others meet by a shuffle."""
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT_SHARE > total
-    large = F.broadcast(groups.where(hot).select(on, "component_id"))
-    small = groups.where(~hot).select(on, "component_id")
-    return rows.join(large, on).unionByName(rows.join(large.select(on), on, "left_anti").join(small, on))
-
-
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept for every row."""
     rows = described(docs, how)
@@ -342,9 +326,9 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     own = own.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     own = shared.stored(own, "near-classes")
     groups = shared.stored(own.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-groups")
-    named = shared.stored(_with_group(own.select("class", "root", F.col("n").alias("rows")), groups, "root"), "near-named")
+    named = shared.stored(shared.with_groups(own.select("class", "root", F.col("n").alias("rows")), groups, "root"), "near-named")
     slim = ["doc_id", "mark", "n_shingles"]
-    linked = _with_group(usable.select(*slim, "class"), named.select("class", "component_id", F.col("rows").alias("n")), "class")
+    linked = shared.with_groups(usable.select(*slim, "class"), named.select("class", "component_id", F.col("rows").alias("n")), "class")
     alone = rows.where("not (n_shingles > 0 and doc_id is not null)").select(*slim, F.col("doc_id").alias("component_id"))
     out = linked.select(*slim, "component_id").unionByName(alone)
     return out.select(*slim, "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bitplane, host_rules, link_graph, media, mixing, near_dup, packing, suffix_levels, toxicity, word_windows
+from tessera.llm import bitplane, cross_polytope, host_rules, lexical, link_graph, media, merkle, mixing, near_dup, packing, suffix_levels, toxicity, word_windows
 
 QUERIES = {
     "op1_bitplane_tokens": bitplane.op1_bitplane_tokens,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media_columns": media.op9_media_columns,
     "op10_link_graph": link_graph.op10_link_graph,
+    "op11_embedding_dup": cross_polytope.op11_embedding_dup,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op6_word_windows": word_windows.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
     "op10_link_graph": link_graph.ORACLE,
+    "op11_embedding_dup": cross_polytope.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

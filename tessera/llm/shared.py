@@ -91,6 +91,22 @@ def with_small(big: DataFrame, small: DataFrame, on: str, how: str = "left", mos
     return big.join(F.broadcast(small) if rows <= most_rows and size <= most_bytes else small, on, how)
 
 
+#: A group with over one in so many rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of their group, by the stored ``groups`` (on, n, others), n
+    being the group's rows. Groups with over 1 / ``HOT_SHARE`` of all rows are fewer than
+    ``HOT_SHARE`` at any size: those are broadcast, so no task gets a whole hot group; the
+    others meet by a shuffle."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    large = F.broadcast(groups.where(hot).drop("n"))
+    small = groups.where(~hot).drop("n")
+    return rows.join(large, on).unionByName(rows.join(large.select(on), on, "left_anti").join(small, on))
+
+
 def prepare(spark: SparkSession) -> None:
     """Make this package importable in Python workers, and bound the bytes of an Arrow
     batch between the JVM and Python."""
