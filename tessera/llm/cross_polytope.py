@@ -62,6 +62,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def width_for(length: int) -> int:
+    """A power of two; short vectors are padded, as few axes have few rotations."""
+    return max(16, 1 << max(length - 1, 0).bit_length())
+
+
 #: Axes of a rotated vector that are looked at for probes, and most places of a bucket's
 #: hashes that a probe changes.
 NEXT_AXES, CHANGES = 4, 2
@@ -85,7 +90,7 @@ class Tables:
     """The tables for vectors of one length."""
 
     def __init__(self, length: int, hashes: int, tables: int, probes: int):
-        self.width = 1 << max(length - 1, 0).bit_length()
+        self.width = width_for(length)
         self.length, self.hashes, self.tables = length, hashes, tables
         self.axes = min(NEXT_AXES, self.width)
         self.choices = _choices(hashes, self.axes)
@@ -134,7 +139,7 @@ def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache
 def tables_for(length: int, vectors: int, how: CrossPolytope) -> Tables:
     """Hashes a bucket by the number of vectors, tables by simulated pairs at the limit."""
-    width = 1 << max(length - 1, 0).bit_length()
+    width = width_for(length)
     hashes = max(1, ceil(log(max(vectors * how.spread, 2)) / log(2 * width) - 1e-9))
     rng = np.random.default_rng(length)
     a, b = rng.normal(size=(2, 4000, length))

@@ -36,10 +36,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Propagation:
     damping: float = 0.85
-    rounds: int = 8
+    #: Rounds go on until no score has grown by more than this share of itself in
+    #: ``CHECKED`` rounds, however far a host is from a seed.
+    tolerance: float = 1e-7
     #: A host is blocked when its distrust exceeds its trust by this share of the trust:
     #: scores shrink as a corpus grows, so no absolute difference decides.
-    margin: float = 1e-9
+    margin: float = 1e-5
+
+
+#: After so many rounds the scores are written and compared.
+CHECKED = 4
 
 
 def host_of(url: Column) -> Column:
@@ -89,19 +95,25 @@ def propagate(seeds: DataFrame, edges: DataFrame, how: Propagation = Propagation
     is lost, as in the usual damped form without redistribution.
 
     Each round is one join on the source host and one pre-aggregated sum; every fourth
-    round is written to the shared folder so that lineage stays short. Without edges no
-    round changes anything, and none is run."""
-    base = seeds.select("host", "kind", ((1 - how.damping) * F.col("seed")).alias("base"))
-    score = base.withColumnRenamed("base", "score")
+    round is written to the shared folder, so that lineage stays short, and compared with
+    the last one written. Scores only grow from round to round, by at most ``damping`` of
+    the last growth, so the rounds end: about 110 after the last host is reached in a graph
+    with cycles, at once in one without. Without edges no round is run."""
+    base = seeds.select("host", "kind", ((1 - how.damping) * F.col("seed")).alias("score"))
     if edges.isEmpty():
-        return score
-    for k in range(how.rounds):
-        met = score.join(edges.withColumnRenamed("src", "host"), ["host", "kind"])
-        flow = met.select(F.col("dst").alias("host"), "kind", (how.damping * F.col("score") * F.col("share")).alias("score"))
-        score = flow.unionByName(base.withColumnRenamed("base", "score")).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            score = shared.stored(score, "link-rank")
-    return score
+        return base
+    base = shared.stored(base, "link-base")
+    links, last = edges.withColumnRenamed("src", "host"), base
+    while True:
+        score = last
+        for _ in range(CHECKED):
+            flow = score.join(links, ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (how.damping * F.col("score") * F.col("share")).alias("score"))
+            score = flow.unionByName(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        score = shared.stored(score, "link-rank")
+        grown = score.join(last.withColumnRenamed("score", "before"), ["host", "kind"], "left").where(F.col("before").isNull() | (F.col("score") > F.col("before") * (1 + how.tolerance)))
+        if grown.isEmpty():
+            return score
+        last = score
 
 
 def judge(pages: DataFrame, rules=RULES, how: Propagation = Propagation()) -> DataFrame:
@@ -141,22 +153,16 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-def _oracle(rounds: int = Propagation.rounds, damping: float = Propagation.damping) -> str:
+def _oracle(rounds: int = 200, damping: float = Propagation.damping, margin: float = Propagation.margin) -> str:
+    # Flows by the length of their way; far more rounds than it takes to settle.
     fits = {h + p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in RULES}
     verdicts = {h + p: v for v, h, p in RULES}
     order = sorted(fits, key=lambda r: -len(r))
     rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in order) + " END"
     ruled = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{verdicts[r]}'" for r in order) + " END"
     host = "translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    steps = ["r0 AS (SELECT host, kind, %r * seed AS score FROM seeds)" % (1 - damping)]
-    for k in range(rounds):
-        steps.append(
-            f"r{k + 1} AS (SELECT host, kind, sum(score) AS score FROM ("
-            f"SELECT e.dst AS host, e.kind, {damping} * r.score * e.share AS score FROM r{k} r JOIN edges e ON r.host = e.src AND r.kind = e.kind"
-            f" UNION ALL SELECT host, kind, score FROM r0) GROUP BY host, kind)"
-        )
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 s AS (SELECT page_id, {host.format(u='url')} AS host, regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's') AS path, html FROM u),
 q AS (SELECT *, {rule} AS rule FROM s),
 rows_ AS (SELECT *, {ruled} AS ruled FROM q),
@@ -168,9 +174,10 @@ hops AS (SELECT src, {host.format(u="CASE WHEN starts_with(link, '//') THEN 'htt
 links AS (SELECT src, dst, count(*) AS n FROM hops WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 both_ AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
 edges AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_),
-{", ".join(steps)},
-blocked AS (SELECT host FROM r{rounds} GROUP BY host
-            HAVING round(sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) - sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END), 12) > 1e-9)
+flows AS (SELECT 0 AS k, host, kind, {1 - damping} * seed AS score FROM seeds
+          UNION ALL SELECT k + 1, e.dst, e.kind, sum({damping} * f.score * e.share) FROM flows f JOIN edges e ON f.host = e.src AND f.kind = e.kind WHERE k < {rounds} GROUP BY k, e.dst, e.kind),
+blocked AS (SELECT host FROM flows GROUP BY host
+            HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0) * {1 + margin})
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM rows_
 """

@@ -174,7 +174,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
-    """Stored (class, set) of the classes in ``places`` (class, doc_id, mark)."""
+    """Stored (class, set) of the classes in ``places`` (class, doc_id, mark, many), one row
+    a class: a row that is repeated (only where the class has ``many`` rows) gives its set
+    several times, of which one is kept."""
 
     def work(batches):
         for batch in batches:
@@ -182,13 +184,15 @@ def full_sets(docs: DataFrame, places: DataFrame, how: NearDup) -> DataFrame:
                 sets, sizes = shingle_sets(some.column("text"), how.shingle)
                 raw, ends = sets.tobytes(), np.cumsum(sizes) * 8
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("class"), pa.array([raw[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["class", "set"]
+                    [some.column("class"), some.column("many"), pa.array([raw[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["class", "many", "set"]
                 )
 
     text = shared.whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = rows.join(places, ["doc_id", "mark"]).select("class", "text")
-    return shared.stored(found.mapInArrow(work, "class long, set binary"), "near-sets")
+    found = rows.join(places, ["doc_id", "mark"]).select("class", "many", "text")
+    found = shared.stored(found.mapInArrow(work, "class long, many boolean, set binary"), "near-sets")
+    once = shared.stored(found.where("many").select("class", "set").dropDuplicates(["class"]), "near-once")
+    return found.where("not many").select("class", "set").unionByName(once)
 
 
 def _inverted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,11 +314,11 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept for every row."""
     rows = described(docs, how)
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("class", "class2").agg(F.min(F.struct("doc_id", "mark")).alias("place"), F.min("sig").alias("sig"))
+    classes = usable.groupBy("class", "class2").agg(F.min(F.struct("doc_id", "mark")).alias("place"), F.min("sig").alias("sig"), (F.count(F.lit(1)) > 1).alias("many"))
     lists = posting_lists(classes.select("class", "sig"), how)
     first = shared.stored(hub_pairs(lists, how), "near-hubs")
     # Every class that can have a partner; the texts are shuffled once for all of them.
-    places = classes.select("class", "place.doc_id", "place.mark").join(lists.select("class"), "class", "left_semi")
+    places = classes.select("class", "place.doc_id", "place.mark", "many").join(lists.select("class"), "class", "left_semi")
     sets = full_sets(docs, places, how)
     links = shared.stored(confirmed(first, sets, how), "near-links")
     # A partner is always the more central of the two: these links are a forest.

@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,17 +164,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rolling hashes are polynomials modulo this prime, in two lanes with bases of their own.
+PRIME = (1 << 31) - 1
+_PRIME, _SHIFT = np.uint64(PRIME), np.uint64(31)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is equal modulo the prime."""
+    return (x & _PRIME) + (x >> _SHIFT)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     done = 1
-    step = np.uint64(base)
+    step = base % PRIME
     while done < n:
         take = min(done, n - done)
-        out[done : done + take] = out[:take] * step
+        out[done : done + take] = out[:take] * np.uint64(step) % _PRIME
         done += take
-        step = step * step
-    return out[:n]
+        step = step * step % PRIME
+    return out[:n].astype(np.uint32)
 
 
 _kept_powers: dict[int, np.ndarray] = {}
@@ -189,32 +200,42 @@ def kept_powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-#: Odd multiplier of the rolling hash over bytes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
+@lru_cache
+def _lane(salt: int, lane: int) -> tuple[int, int, np.ndarray]:
+    """The base of a lane, its inverse, and the lane's values of the 256 bytes."""
+    seed = mix64(np.arange(257, dtype=np.uint64) + np.uint64((2 * salt + lane + 1) << 32))
+    base = 2 + int(seed[256]) % (PRIME - 3)
+    return base, pow(base, -1, PRIME), 1 + seed[:256] % np.uint64(PRIME - 1)
 
 
 class Rolling:
-    """Hashes of any stretch of a symbol array (64-bit hashes, or bytes, which are mixed
-    first) from prefix sums: the hash of [a, b) is mix64((P[b] - P[a]) * BASE**-a), so equal stretches agree wherever they
-    stand."""
+    """Hashes of any stretch of a symbol array (bytes, or 64-bit hashes) from prefix sums:
+    in each of two lanes a polynomial in a base modulo a prime, divided by the power of
+    the start, so equal stretches agree wherever they stand. Hashes under different salts
+    have different bases. Of symbols with two columns, a salt takes one."""
 
     def __init__(self, symbols: np.ndarray, salt: int = 0):
+        if symbols.ndim == 2:
+            symbols = np.ascontiguousarray(symbols[:, salt % 2])
         n = len(symbols)
-        with np.errstate(over="ignore"):
-            base = (BASE + 2 * salt * 0x632BE59BD9B4E019) % (1 << 64) | 1
-            inv = pow(base, -1, 1 << 64)
-            self.inverse = kept_powers(inv, n + 1)
-            self.prefix = np.zeros(n + 1, np.uint64)
-            values = _BYTE_TABLE[symbols] if symbols.dtype == np.uint8 else symbols
-            np.cumsum(values * kept_powers(base, n), out=self.prefix[1:])
+        self.lanes = []
+        for lane in (0, 1):
+            base, inverse, table = _lane(salt, lane)
+            values = table[symbols] if symbols.dtype == np.uint8 else (symbols >> np.uint64(31 * lane)) & _PRIME
+            prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(_folded(values * kept_powers(base, n)), out=prefix[1:])
+            self.lanes.append((prefix, kept_powers(inverse, n + 1)))
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.prefix[b] - self.prefix[a]) * self.inverse[a] + (b - a).astype(np.uint64))
+        out = (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for lane, (prefix, inverse) in enumerate(self.lanes):
+            x = _folded(_folded(prefix[b] - prefix[a])) * inverse[a]
+            x = _folded(_folded(x))
+            x[x >= _PRIME] -= _PRIME
+            out ^= x << np.uint64(32 * lane)
+        return mix64(out)
 
 
-_BYTE_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -31,13 +31,14 @@ WIDTH, GRAM, BATCHES = 50, 25, 4
 def _read(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offs = shared.utf8(col)
     begin, end, firsts = shared.word_bounds(raw, offs)
-    return shared.word_hashes(raw, begin, end), firsts
+    # Two independent hashes of a word: windows that differ in one word differ in both.
+    return np.stack([shared.word_hashes(raw, begin, end, salt=k) for k in (3, 4)], axis=1), firsts
 
 
 def _fingerprints(symbols: np.ndarray, e: windows.Entries, width: int, gram: int) -> list[pa.Array]:
     """key, context: the anchor's hash, and a digest of the words that the windows cover."""
-    data, digest = memoryview(symbols.view(np.uint8)), hashlib.blake2b
-    context = [digest(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(e.start.tolist(), (e.start + e.count - 1 + width).tolist())]
+    data, digest = memoryview(symbols.view(np.uint8).reshape(-1)), hashlib.blake2b
+    context = [digest(data[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(e.start.tolist(), (e.start + e.count - 1 + width).tolist())]
     return [pa.array(e.gram.view(np.int64)), pa.array(context, pa.binary())]
 
 

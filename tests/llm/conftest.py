@@ -44,6 +44,25 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def odd_vectors():
+    """Nulls in every column, zero and broken vectors, copies, scaled and near copies,
+    rows of one id, another length."""
+    rng = random.Random(9)
+    draw = lambda n=16: [rng.gauss(0, 1) for _ in range(n)]
+    near = lambda v, by: [x + rng.gauss(0, by) for x in v]
+    a, b, short = draw(), draw(), draw(3)
+    rows = [(1, a), (2, a), (2, a), (3, [2 * x for x in a]), (4, [-x for x in a]), (5, [0.0] * 16), (6, [0.0] * 16), (7, None), (8, []), (9, [*a[:-1], None]), (10, [*a[:-1], float("nan")])]
+    rows += [(11, [*a[:-1], float("inf")]), (None, a), (12, short), (13, [1e-30 * x for x in short]), (14, [0.0, 1.0, -0.0]), (15, [-0.0, 1.0, 0.0]), (16, b), (16, draw())]
+    rows += [(100 + i, near(b, 0.1)) for i in range(40)] + [(200 + i, draw()) for i in range(200)]
+    return [(i, v, None if i is None else i % 3, "clash") for i, v in rows]
+
+
+def odd_items():
+    words = odd_rows()[0][1].split()
+    texts = [" ".join(words[:30]), "word", "WORD word Word", "nowhere at-all", "", None, "  . ", "lor1 ipsum2 dolor3 " * 40, "naïve7 straße8 Éclair9", "two words no id here", "word"]
+    return [(k if k < 9 else (None if k == 9 else 1), t, "clash") for k, t in enumerate(texts)]
+
+
 @pytest.fixture(scope="session")
 def folder(odd, none, tmp_path_factory, spark):
     """Folders as the queries read them: the odd rows, and empty tables."""
@@ -56,8 +75,12 @@ def folder(odd, none, tmp_path_factory, spark):
         ],
         "page_id long, url string, html string",
     )
+    vectors = spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<float>, label int, class string")
+    items = spark.createDataFrame(odd_items(), "item_id long, text string, term string")
     for name, docs, la, pg in (("odd", odd, labels, pages), ("none", none, labels.limit(0), pages.limit(0))):
         d = str(tmp_path_factory.mktemp(name))
+        (vectors if name == "odd" else vectors.limit(0)).write.parquet(f"{d}/embeddings.parquet")
+        (items if name == "odd" else items.limit(0)).write.parquet(f"{d}/benchmark.parquet")
         docs.write.parquet(f"{d}/documents.parquet")
         la.write.parquet(f"{d}/labels.parquet")
         pg.write.parquet(f"{d}/pages.parquet")

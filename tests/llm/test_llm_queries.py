@@ -15,13 +15,14 @@ from tests.conftest import SF
 
 from tessera.llm import link_graph, mixing, queries, toxicity
 from tessera.llm.toxicity import fold
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_items, odd_rows, odd_vectors
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 COLUMNS = {
     "op1": "doc_id start n_tokens ids_crc32", "op2": "doc_id n_shingles component_id kept", "op3": "doc_id piece start length ids_crc32 sequence_id offset",
     "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op6": "doc_id n_words n_removed kept_sha256", "op7": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8": "doc_id held_out score predicted", "op9": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op10": "page_id host path rule verdict",
+    "op11": "vec_id n_links component_id kept", "op12": "item_id rank doc_id score", "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -259,10 +260,134 @@ def test_op10_scale_free(spark):
     assert verdicts.pop(len(rows) - 1) == "allow" and set(verdicts.values()) == {"block"}
 
 
+def test_op10_chain(spark, same, tmp_path):
+    """A host twelve links away from a blocked one, and a cycle: the same as by SQL."""
+    rows = [("http://h0.net/es/", "")] + [(f"http://h{i}.org/", f'<a href="http://h{i - 1}.{"net" if i == 1 else "org"}/">') for i in range(1, 13)]
+    rows += [(f"http://c{i}.org/", f'<a href="http://c{(i + 1) % 3}.org/"> <a href="http://t.com/">') for i in range(3)] + [("http://t.com/", '<a href="http://c0.org/"> <a href="http://h12.org/">'), ("http://h0.net/fr/", None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op10_link_graph"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(got, c.sql(queries.ORACLES["op10_link_graph"]).df())
+    verdicts = {r.host: r.verdict for r in got.collect()}
+    # Trust reaches h12 from t.com; the hosts below it are nearer to the blocked one.
+    assert verdicts["h1.org"] == verdicts["h6.org"] == "block" and verdicts["c0.org"] == "allow"
+
+
+def test_op11(spark, folder):
+    rows = [(i, np.array([np.nan if x is None else np.float32(x) for x in v or []], float)) for i, v, *_ in odd_vectors()]
+    fine = [k for k, (i, v) in enumerate(rows) if i is not None and len(v) and np.isfinite(v).all() and v.any()]
+    links, root = Counter(), list(range(len(rows)))
+    for a in fine:
+        for b in fine:
+            x, y = rows[a][1], rows[b][1]
+            if a != b and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
+                links[a] += 1
+    for _ in rows:
+        for a in fine:
+            for b in fine:
+                x, y = rows[a][1], rows[b][1]
+                if len(x) == len(y) and root[a] != root[b] and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
+                    root[a] = root[b] = min(root[a], root[b], key=lambda k: rows[k][0])
+    want = sorted(((i, links[k], rows[root[k]][0], rows[root[k]][0] == i) for k, (i, _) in enumerate(rows)), key=repr)
+    assert listed(result(spark, folder, "op11"), *COLUMNS["op11"].split()) == want
+
+
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def naive_ranking(docs, items, best=20):
+    terms = lambda t: TERM.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    bags = [(i, terms(t)) for i, t in docs]
+    N, L = sum(bool(b) for _, b in bags), sum(len(b) for _, b in bags)
+    df = Counter(t for _, b in bags for t in set(b))
+    out = []
+    for item, text in items:
+        scores = []
+        for i, b in bags:
+            tf, m = Counter(b), 75 + 25 * len(b) * N // max(L, 1)
+            s = sum(math.floor(1000 * math.log((2 * N + 2) / (2 * df[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 12 * m)) for t in terms(text) if tf[t])
+            if s > 0:
+                scores.append((-s, i is not None, i or 0))
+        out += [(item, k + 1, i if known else None, -s) for k, (s, known, i) in enumerate(sorted(scores)[:best])]
+    return sorted(out, key=repr)
+
+
+def test_op12(spark, folder):
+    want = naive_ranking([r[:2] for r in odd_rows()], [r[:2] for r in odd_items()])
+    assert listed(result(spark, folder, "op12"), *COLUMNS["op12"].split()) == want
+
+
+@pytest.mark.parametrize("entries", [500_000, 40])
+def test_op12_pruning(spark, entries):
+    """Many documents, few terms, more ties than places; items in one block and in several."""
+    from tessera.llm import lexical
+
+    rng = random.Random(3)
+    words = [f"w{int(60 * rng.random() ** 3)}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.sample(words, rng.randrange(1, 30)))) for i in range(700)] + [(1000 + i, "w1 w2 w50") for i in range(30)]
+    items = [(i, " ".join(rng.sample(words, rng.randrange(1, 12)))) for i in range(25)] + [(99, "w1 w2 w50")]
+    got = lexical.ranked(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), lexical.Ranking(block_entries=entries, cells=2000))
+    assert listed(got, *COLUMNS["op12"].split()) == naive_ranking(docs, items)
+
+
+def naive_tree(leaves, fanout):
+    """The root, and for every leaf its levels of (before, after)."""
+    H = lambda xs: hashlib.sha256("".join(xs).encode()).hexdigest()
+    ways, at, nodes = [[] for _ in leaves], list(range(len(leaves))), leaves
+    while len(nodes) > 1:
+        for k, j in enumerate(at):
+            run = j // fanout * fanout
+            ways[k].append(("".join(nodes[run:j]), "".join(nodes[j + 1 : run + fanout])))
+        at = [j // fanout for j in at]
+        nodes = [H(nodes[j : j + fanout]) for j in range(0, len(nodes), fanout)]
+    return nodes[0], ways
+
+
+def test_op13(spark, folder):
+    H = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda i, t, la, s, n: H("".join(map(field, (i, s, la, n, t))))
+    groups = defaultdict(list)
+    for i, t, la, s, n in odd_rows():
+        hit = i is not None and zlib.crc32(str(i).encode()) % 7 == 0 and n is not None
+        groups[la].append((i is not None, i or 0, leaf(i, t, la, s, n), leaf(i, t, la, s, n + hit if n is not None else None), i))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: naive_tree([x[2] for x in sorted(groups[g])], 2) for g in order}
+    root, crown = naive_tree([trees[g][0] for g in order], 2)
+    want = []
+    for g, above in zip(order, crown):
+        for (_, _, own, claimed, i), way in zip(sorted(groups[g]), trees[g][1]):
+            path, fold = way + above, claimed
+            for before, after in path:
+                fold = H(before + fold + after)
+            want.append((i, own, trees[g][0], root, H("".join(b + a for b, a in path)), fold, fold == root))
+    assert listed(result(spark, folder, "op13"), *COLUMNS["op13"].split()) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("fanout,depth,n", [(2, 2, 37), (3, 1, 30), (3, 2, 81), (4, 1, 5), (2, 3, 1)])
+def test_merkle_shapes(spark, fanout, depth, n):
+    """Other fanouts and several tiers of blocks, the last ones not full."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import merkle
+
+    rows = [(f"={g}", k, hashlib.sha256(f"{g}{k}".encode()).hexdigest()) for g, m in (("a", n), ("b", 1), ("c", fanout)) for k in range(m)]
+    made = merkle.manifest(spark.createDataFrame(rows, "tree string, k long, leaf string").repartition(5), ["k"], merkle.Shape(fanout, depth), {"k": "bigint"})
+    found = merkle.proofs(made).withColumn("folded", merkle.folded(F.col("leaf"), F.col("path"))).collect()
+    trees = {g: naive_tree([x[2] for x in rows if x[0] == g], fanout) for g in ("=a", "=b", "=c")}
+    root, crown = naive_tree([t[0] for t in trees.values()], fanout)
+    above = dict(zip(trees, crown))
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.subroot, r.root, r.folded, r.pos) == (trees[r.tree][0], root, root, r.k)
+        assert [(x.before, x.after) for x in r.path] == trees[r.tree][1][r.k] + above[r.tree]
+
+
 def test_registered():
-    """All ten operators and the pipeline are registered beside the other queries."""
+    """All operators and the pipeline are registered beside the other queries."""
     import __spark_entry__ as entry
     from tessera.plans import catalogue
 
     names = set(entry.queries()) - set(catalogue.QUERIES)
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names - {"pipeline"}} == set(range(1, 11)) and len(names) == 11
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names - {"pipeline"}} == set(range(1, 14)) and len(names) == 14

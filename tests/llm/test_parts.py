@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bitplane, components, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, toxicity, windows, word_windows
+from tessera.llm import bitplane, components, cross_polytope, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, toxicity, windows, word_windows
 
 
 @settings(max_examples=50, deadline=None)
@@ -327,3 +327,97 @@ def test_batches_of_wide_ids(spark):
     step = -(-(hi - lo + 1) // 4)
     ids = spark.createDataFrame([(repeats.SMALLEST,), (lo,), (hi // 2,), (hi,)], "doc long")
     assert [r.n for r in ids.select(repeats.batch_number("doc", lo, step, 4).alias("n")).collect()] == [0, 0, 1, 3]
+
+
+def test_thue_morse_words(spark):
+    """Words on which polynomial hashes modulo a power of two collide are told apart: two
+    texts that differ in such a word only share no window."""
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    for salt in range(5):
+        raw = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+        a, b = shared.word_hashes(raw, np.array([0, 1025]), np.array([1024, 2049]), salt=salt)
+        assert a != b
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:30] + [x] + words[30:59]) for x in (one, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in word_windows.removed_words(docs).collect()} == {0}
+    # Byte strings of 1024 symbols that differ everywhere have no common string of 400 by hash.
+    assert len(set(windows.hashes_at(np.frombuffer((one + other).encode(), np.uint8), np.array([0, 1024]), np.array([1024, 2048]), (1,))[0].tolist())) == 2
+
+
+def test_lanes():
+    """Hashes are the polynomials that they stand for, whatever stands before."""
+    rng = np.random.default_rng(1)
+    for symbols in (rng.integers(0, 256, 3000).astype(np.uint8), rng.integers(0, 1 << 63, 3000).astype(np.uint64)):
+        a, b = np.array([0, 7, 2000, 2999]), np.array([3000, 400, 2900, 2999])
+        got = shared.Rolling(symbols, 2).of(a, b)
+        for x, y, h in zip(a.tolist(), b.tolist(), got.tolist()):
+            word = (y - x) * 0x9E3779B97F4A7C15 % (1 << 64)
+            for lane in (0, 1):
+                base, _, table = shared._lane(2, lane)
+                values = [int(table[s]) if symbols.dtype == np.uint8 else int(s) >> 31 * lane & shared.PRIME for s in symbols[x:y].tolist()]
+                word ^= sum(v * pow(base, k, shared.PRIME) for k, v in enumerate(values)) % shared.PRIME << 32 * lane
+            assert shared.mix64(np.array([word], np.uint64))[0] == h
+
+
+def test_repeated_rows_are_one_set(spark):
+    """Rows that are repeated very often give one set a class, not one a row."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(4)) for _ in range(300)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 50, "doc_id long, text string")
+    how = near_dup.NearDup(shingle=1, percent=85)
+    rows = near_dup.described(docs, how)
+    classes = rows.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("place"), (F.count(F.lit(1)) > 1).alias("many"))
+    sets = near_dup.full_sets(docs, classes.select("class", "place.doc_id", "place.mark", "many"), how)
+    assert sets.count() == sets.select("class").distinct().count() == classes.count()
+
+
+def naive_links(x, cosine):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= cosine
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_embedding_recall(spark, block):
+    """Links and components of planted groups, among them one of very many near copies and
+    pairs at the limit, against brute force; in whole buckets and in many small blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.12
+    for k in range(300, 700, 2):
+        y = x[k + 1] - (x[k] @ x[k + 1]) / (x[k] @ x[k]) * x[k]
+        x[k + 1] = 0.905 * x[k] / np.linalg.norm(x[k]) + (1 - 0.905**2) ** 0.5 * y / np.linalg.norm(y)
+    x = x.astype(np.float32).astype(float)
+    hit = naive_links(x, 0.9)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(cross_polytope.near_vectors(docs, cross_polytope.CrossPolytope(block=block)).collect())
+    links = np.array([r.n_links for r in got])
+    assert (links <= hit.sum(axis=1)).all() and links.sum() >= 0.99 * hit.sum()
+    if links.sum() == hit.sum():
+        a, b = np.nonzero(hit)
+        assert [r.component_id for r in got] == cross_polytope.forest(a, b, len(x)).tolist()
+
+
+def test_tables_reach_the_limit():
+    """Pairs exactly at the cosine limit meet but for the stated share."""
+    rng = np.random.default_rng(5)
+    for length, vectors in ((64, 500), (64, 50_000), (20, 10**6), (3, 1000)):
+        tables = cross_polytope.tables_for(length, vectors, cross_polytope.CrossPolytope())
+        a, b = rng.normal(size=(2, 1500, length))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + (1 - 0.81) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+        met, where = cross_polytope.meeting(tables(a), tables(b))
+        assert met.mean() > 0.985 and (cross_polytope.meeting(tables(b), tables(a))[1] == where).all()
+
+
+def test_hadamard():
+    x = np.random.default_rng(0).normal(size=(5, 8))
+    h = np.array([[1]])
+    for _ in range(3):
+        h = np.block([[h, h], [h, -h]])
+    assert np.allclose(cross_polytope.hadamard(x), x @ h.T)
