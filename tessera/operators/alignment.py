@@ -1,27 +1,36 @@
 """Unit-cost sequence alignment and word error metrics.
 
 The distance alone needs no UDF: the tokens of a pair are numbered within the pair,
-written as one character each, and compared by the built-in ``levenshtein``. Operations
-come from one Arrow-batched kernel with ties broken as match/substitution, then
-deletion, then insertion.
+written as one character each, and compared by the built-in ``levenshtein``. Error counts
+come from a kernel that carries them along one row of the cost table, for many pairs at
+once; operations from one that keeps every sqrt(n)th row and works out the rows between
+again on the way back. Ties are broken as match/substitution, then deletion, then insertion
+in all of them. Memory is a row a pair for counts, and 2 sqrt(n) rows for operations.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FIRST_CODE = 19968
+#: Codes of tokens start at one block of characters and leave out the surrogates.
+FIRST_CODE, SURROGATES, N_SURROGATES = 19968, 55296, 2048
 
 
 def encoded_distance(ref: Column, hyp: Column) -> Column:
-    """Substitutions + deletions + insertions between two token arrays (up to about
-    35 000 distinct tokens a pair)."""
+    """Substitutions + deletions + insertions between two token arrays (up to about a
+    million distinct tokens a pair)."""
     both = F.array_distinct(F.concat(ref, hyp))
-    code = lambda a: F.array_join(F.transform(a, lambda t: F.format_string("%c", F.lit(FIRST_CODE) + F.array_position(both, t).cast("int"))), "")
+
+    def code(a: Column) -> Column:
+        number = lambda t: F.lit(FIRST_CODE) + F.array_position(both, t).cast("int")
+        return F.array_join(F.transform(a, lambda t: F.format_string("%c", F.when(number(t) < SURROGATES, number(t)).otherwise(number(t) + N_SURROGATES))), "")
+
     return F.levenshtein(code(ref), code(hyp))
 
 
@@ -31,37 +40,115 @@ def wer_from(errors: Column, ref_size: Column, hyp_size: Column) -> Column:
     return F.when(ref_size > 0, errors.cast("double") / ref_size).when(hyp_size == 0, 0.0).otherwise(1.0)
 
 
-def align(ref: list, hyp: list, empty_matches: bool = True) -> list[tuple[str, int | None, int | None]]:
-    """Operations (hit, sub, del, ins) with the positions they use, in order. With
-    ``empty_matches`` off, empty tokens are never equal."""
-    n, m = len(ref), len(hyp)
-    codes: dict = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in ref], np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], np.int64)
-    if not empty_matches and "" in codes:
-        a = np.where(a == codes[""], -1, a)
-    cost = np.empty((n + 1, m + 1), np.int32)
-    steps = np.arange(m + 1, dtype=np.int32)
-    cost[0] = steps
+def _next_row(row: np.ndarray, i: int, token: int, hyp: np.ndarray) -> np.ndarray:
+    """The costs of the first ``i`` reference tokens against every start of ``hyp``."""
+    steps = np.arange(len(row), dtype=row.dtype)
+    best = np.empty_like(row)
+    best[0] = i
+    best[1:] = np.minimum(row[:-1] + (hyp[: len(row) - 1] != token), row[1:] + 1)
+    # Insertions chain along the row: a running minimum of cost minus position.
+    return np.minimum.accumulate(best - steps) + steps
+
+
+HIT, SUB, DEL, INS = range(4)
+OP_NAMES = ("hit", "sub", "del", "ins")
+
+
+def align_codes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Operations and the positions they use (-1: none), in order, of two arrays of token
+    numbers; equal numbers match unless they are negative."""
+    n, m = len(a), len(b)
+    gap = max(1, isqrt(n))
+    kept = [np.arange(m + 1, dtype=np.int32)]
+    row = kept[0]
     for i in range(1, n + 1):
-        best = np.empty(m + 1, np.int32)
-        best[0] = i
-        best[1:] = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
-        # Insertions chain along the row: a running minimum of cost minus position.
-        cost[i] = np.minimum.accumulate(best - steps) + steps
-    out, i, j = [], n, m
+        row = _next_row(row, i, a[i - 1], b)
+        if i % gap == 0:
+            kept.append(row)
+    kinds, at_ref, at_hyp = (np.empty(n + m, t) for t in (np.int8, np.int32, np.int32))
+    used, i, j, low, rows = n + m, n, m, n + 1, []
     while i or j:
-        here = cost[i, j]
-        if i and j and here == cost[i - 1, j - 1] + (b[j - 1] != a[i - 1]):
+        if i <= low and i:
+            # The rows up to here, as far right as the way can still go.
+            low = (i - 1) // gap * gap
+            rows = [kept[low // gap][: j + 1]]
+            for k in range(low + 1, i + 1):
+                rows.append(_next_row(rows[-1], k, a[k - 1], b))
+        used -= 1
+        if not i:
+            j -= 1
+            kinds[used], at_ref[used], at_hyp[used] = INS, -1, j
+            continue
+        here, above = rows[i - low], rows[i - low - 1]
+        if j and here[j] == above[j - 1] + (b[j - 1] != a[i - 1]):
             i, j = i - 1, j - 1
-            out.append(("hit" if a[i] == b[j] else "sub", i, j))
-        elif i and here == cost[i - 1, j] + 1:
+            kinds[used], at_ref[used], at_hyp[used] = HIT if a[i] == b[j] else SUB, i, j
+        elif here[j] == above[j] + 1:
             i -= 1
-            out.append(("del", i, None))
+            kinds[used], at_ref[used], at_hyp[used] = DEL, i, -1
         else:
             j -= 1
-            out.append(("ins", None, j))
-    return out[::-1]
+            kinds[used], at_ref[used], at_hyp[used] = INS, -1, j
+    return kinds[used:], at_ref[used:], at_hyp[used:]
+
+
+def _numbered(ref: list, hyp: list, empty_matches: bool) -> tuple[np.ndarray, np.ndarray]:
+    codes: dict = {}
+    a = np.array([codes.setdefault(t, len(codes)) for t in ref], np.int64)
+    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], np.int64)
+    if not empty_matches and "" in codes:
+        a = np.where(a == codes[""], -1, a)
+    return a, b
+
+
+def align(ref: list, hyp: list, empty_matches: bool = True) -> list[tuple[str, int | None, int | None]]:
+    """Operations (hit, sub, del, ins) with the positions they use, in order. With
+    ``empty_matches`` off, empty tokens are never equal."""
+    found = zip(*(x.tolist() for x in align_codes(*_numbered(ref, hyp, empty_matches))))
+    return [(OP_NAMES[k], None if i < 0 else i, None if j < 0 else j) for k, i, j in found]
+
+
+#: Cells of a row that pairs counted together have.
+CELLS = 1 << 20
+
+
+def error_counts(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """hits, subs, dels, ins of every pair of token numbers (rows), those that ``align_codes``
+    finds. Pairs go together in the order of their length, a row of the table each."""
+    out = np.zeros((len(refs), 4), np.int64)
+    n, m = (np.array([len(x) for x in xs], np.int64) for xs in (refs, hyps))
+    order, at = np.lexsort((-m, -n)), 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // (int(m[order[at:]].max(initial=0)) + 1))]
+        at += len(some)
+        width = int(m[some].max(initial=0))
+        a, b = np.full((len(some), int(n[some[0]])), -2, np.int64), np.full((len(some), width), -3, np.int64)
+        for k, p in enumerate(some.tolist()):
+            a[k, : n[p]], b[k, : m[p]] = refs[p], hyps[p]
+        steps = np.arange(width + 1, dtype=np.int32)
+        cost, subs = np.tile(steps, (len(some), 1)), np.zeros((len(some), width + 1), np.int32)
+        ends = np.stack([m[some], np.zeros(len(some), np.int64)], axis=1)
+        live = int((n[some] > 0).sum())
+        for i in range(1, a.shape[1] + 1):
+            # Shorter references end first; they stand last.
+            live = int(np.searchsorted(-n[some], -i, "right"))
+            old, wrong = cost[:live], b[:live] != a[:live, i - 1 : i]
+            diagonal, above = old[:, :-1] + wrong, old[:, 1:] + 1
+            best = np.concatenate([np.full((live, 1), i, np.int32), np.minimum(diagonal, above)], axis=1)
+            new = np.minimum.accumulate(best - steps, axis=1) + steps
+            straight = new[:, 1:] == diagonal
+            from_left = ~straight & (new[:, 1:] != above)
+            carried = np.concatenate([subs[:live, :1], np.where(straight, subs[:live, :-1] + wrong, subs[:live, 1:])], axis=1)
+            source = np.concatenate([np.zeros((live, 1), np.int64), np.where(from_left, 0, np.arange(1, width + 1))], axis=1)
+            subs[:live] = np.take_along_axis(carried, np.maximum.accumulate(source, axis=1), 1)
+            cost[:live] = new
+            done = np.flatnonzero(n[some[:live]] == i)
+            ends[done] = np.stack([new[done, m[some[done]]], subs[done, m[some[done]]]], axis=1)
+        # Substitutions + deletions + insertions, and how many of them are substitutions.
+        total, swapped = ends.T
+        gone = (total - swapped + n[some] - m[some]) // 2
+        out[some] = np.stack([n[some] - swapped - gone, swapped, gone, total - swapped - gone], axis=1)
+    return out
 
 
 def distance(ref: list, hyp: list) -> int:
@@ -90,40 +177,80 @@ def counts_of(ops: list[tuple]) -> dict[str, int]:
     return {"hits": kinds.count("hit"), "subs": kinds.count("sub"), "dels": kinds.count("del"), "ins": kinds.count("ins")}
 
 
-OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_idx", T.IntegerType()), T.StructField("hyp_idx", T.IntegerType())]))
+def _batch_codes(ref: pa.Array, hyp: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """The token numbers of every list of two list arrays, and the number of the empty
+    token (-1: there is none)."""
+    values = pa.concat_arrays([x.values.slice(x.offsets[0].as_py(), x.offsets[len(x)].as_py() - x.offsets[0].as_py()).cast(pa.string()) for x in (ref, hyp)])
+    coded = values.dictionary_encode(null_encoding="encode")
+    codes, out, start = coded.indices.to_numpy().astype(np.int64), [], 0
+    for x in (ref, hyp):
+        offs = x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py() + start
+        out.append([codes[i:j] for i, j in zip(offs[:-1], offs[1:])])
+        start = int(offs[-1])
+    empty = coded.dictionary.index("").as_py()
+    return out[0], out[1], empty
 
 
-@F.pandas_udf(OPS)
-def alignment_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The operations of every pair; look tokens up by index."""
-    return pd.Series([[{"op": o, "ref_idx": i, "hyp_idx": j} for o, i, j in align(list(r), list(h))] for r, h in zip(ref, hyp)])
+def _op_lists(found: list[tuple], fields: dict[str, pa.Array]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _joined(found: list[tuple], k: int, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(f[k] for f in found)])
+
+
+def _placed(x: np.ndarray) -> pa.Array:
+    return pa.array(x, pa.int32(), mask=x < 0)
 
 
-PLACED_OPS = T.ArrayType(T.StructType([
-    T.StructField("op", T.StringType()), T.StructField("ref_idx", T.IntegerType()), T.StructField("ref_pos", T.LongType()), T.StructField("pos", T.LongType()),
-]))
+def _names(kinds: np.ndarray) -> pa.Array:
+    return pa.array(OP_NAMES).take(pa.array(kinds.astype(np.int32)))
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+@F.arrow_udf(T.ArrayType(_struct(op=T.StringType(), ref_idx=T.IntegerType(), hyp_idx=T.IntegerType())))
+def alignment_ops(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The operations of every pair; look tokens up by index."""
+    refs, hyps, _ = _batch_codes(ref, hyp)
+    found = [align_codes(a, b) for a, b in zip(refs, hyps)]
+    return _op_lists(found, {"op": _names(_joined(found, 0, np.int8)), "ref_idx": _placed(_joined(found, 1, np.int32)), "hyp_idx": _placed(_joined(found, 2, np.int32))})
 
 
-@F.pandas_udf(PLACED_OPS)
-def word_ops(ref: pd.Series, ref_pos: pd.Series, hyp: pd.Series, hyp_pos: pd.Series) -> pd.Series:
-    """As above for words, where empty words never match; with the words' positions."""
-    out = []
-    for r, rp, h, hp in zip(ref, ref_pos, hyp, hyp_pos):
-        got = [o for o in align(list(r), list(h), False) if o[0] != "del"]
-        out.append([{"op": o, "ref_idx": i, "ref_pos": None if i is None else int(rp[i]), "pos": int(hp[j])} for o, i, j in got])
-    return pd.Series(out)
+@F.arrow_udf(_struct(hits=T.IntegerType(), subs=T.IntegerType(), dels=T.IntegerType(), ins=T.IntegerType()))
+def alignment_counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The numbers of operations of every pair."""
+    refs, hyps, _ = _batch_codes(ref, hyp)
+    counts = error_counts(refs, hyps).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(4)], ["hits", "subs", "dels", "ins"])
 
 
-def edit_counts(ops: Column) -> dict[str, Column]:
-    n = lambda k: F.size(F.filter(ops, lambda o: o["op"] == k))
-    return {"hits": n("hit"), "subs": n("sub"), "dels": n("del"), "ins": n("ins")}
+@F.arrow_udf(T.ArrayType(_struct(op=T.StringType(), ref_idx=T.IntegerType(), ref_pos=T.LongType(), pos=T.LongType())))
+def word_ops(ref: pa.Array, ref_pos: pa.Array, hyp: pa.Array, hyp_pos: pa.Array) -> pa.Array:
+    """As above for words, where empty words never match; with the words' positions, for
+    all operations that have a word of ``hyp``."""
+    refs, hyps, empty = _batch_codes(ref, hyp)
+    found, places = [], []
+    for k, (a, b) in enumerate(zip(refs, hyps)):
+        kinds, i, j = align_codes(np.where(a == empty, -1, a) if empty >= 0 else a, b)
+        kept = kinds != DEL
+        kinds, i, j = kinds[kept], i[kept], j[kept]
+        at, to = (p.values.slice(p.offsets[k].as_py(), p.offsets[k + 1].as_py() - p.offsets[k].as_py()).to_numpy() for p in (ref_pos, hyp_pos))
+        found.append((kinds, i, np.where(i < 0, 0, at[i] if len(at) else 0), to[j]))
+    i = _joined(found, 1, np.int32)
+    return _op_lists(found, {
+        "op": _names(_joined(found, 0, np.int8)), "ref_idx": _placed(i), "ref_pos": pa.array(_joined(found, 2, np.int64), pa.int64(), mask=i < 0), "pos": pa.array(_joined(found, 3, np.int64), pa.int64()),
+    })
 
 
 def wer_components(pairs: DataFrame) -> DataFrame:
     """WER, MER, WIL, WIP and the shares of each error for (srcID, pID, ref, hyp)
     token arrays."""
-    ops = pairs.withColumn("_ops", alignment_ops("ref", "hyp"))
-    c = ops.select("srcID", "pID", F.size("ref").alias("n"), F.size("hyp").alias("m"), *(v.alias(k) for k, v in edit_counts(F.col("_ops")).items()))
+    counted = pairs.select("srcID", "pID", F.size("ref").alias("n"), F.size("hyp").alias("m"), alignment_counts("ref", "hyp").alias("c"))
+    c = counted.select("srcID", "pID", "n", "m", "c.*")
     errors = F.col("subs") + F.col("dels") + F.col("ins")
     share = lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("n")), F.lit(0.0))
     wip = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("n")) * F.try_divide(F.col("hits").cast("double"), F.col("m")), F.lit(0.0))

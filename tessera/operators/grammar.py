@@ -109,12 +109,15 @@ def features(df: DataFrame, keys: list[str], tags: str = "tagged", window: int =
         lambda hit: hit,
     )
     types = F.array_distinct(w)
-    once = _count(types, lambda t: F.size(F.filter(w, lambda o: o == t)) == 1)
+    # Sorted, a word stands once where both neighbours differ.
+    ordered = F.array_sort(w)
+    once = F.size(F.filter(F.transform(ordered, lambda t, i: ((i == 0) | (F.get(ordered, i - 1) != t)) & ((i == size - 1) | (F.get(ordered, i + 1) != t))), lambda alone: alone)).cast("double")
     v = F.size(types).cast("double")
     mattr_starts = F.when(size > window, F.sequence(F.lit(1), size - window))
     mattr = F.when(
         size > window,
-        F.aggregate(F.transform(mattr_starts, lambda i: F.size(F.array_distinct(F.slice(w, i, window))) / float(window)), F.lit(0.0), lambda s, x: s + x) / (size - window),
+        # Whole numbers are summed and divided once, so the order of windows does not show.
+        F.aggregate(F.transform(mattr_starts, lambda i: F.size(F.array_distinct(F.slice(w, i, window)))), F.lit(0), lambda s, x: s + x) / (float(window) * (size - window)),
     ).otherwise(n / v)
     reps = lambda k: _count(F.transform(w, lambda t, i: F.array_contains(F.slice(w, i + 2, k), t)), lambda hit: hit)
     pairs = F.when(F.size(pos) > 1, F.transform(F.sequence(F.lit(1), F.size(pos) - 1), lambda i: F.array_join(F.slice(pos, i, 2), " "))).otherwise(F.array().cast("array<string>"))

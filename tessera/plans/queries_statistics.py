@@ -161,23 +161,47 @@ def ml_features(spark, sf_dir):
     return m.join(codes, "lang").select("pID", (F.col("dx") == "ProbableAD").cast("int").alias("y_cls"), F.col("mmse").alias("y_reg"), clamp(F.col("n_chars").cast("double") / 100, 0.0, 25.0).alias("size"), F.col("lang_code").cast("int").alias("lang_code"))
 
 
-@query(f"WITH {META_SQL} SELECT pID, CAST((pID * 2654435761) % 5 AS INTEGER) AS fold, CAST((row_number() OVER (PARTITION BY dx ORDER BY (pID * 2654435761) % 2147483648, pID) - 1) % 5 AS INTEGER) AS strat_fold FROM meta")
+#: The 52 bits of a key that folds go by.
+FOLD_SQL = "CAST('0x' || substr(md5(CAST(pID AS VARCHAR)), 1, 13) AS BIGINT)"
+
+
+@query(f"WITH {META_SQL} SELECT pID, CAST({FOLD_SQL} % 5 AS INTEGER) AS fold, CAST((row_number() OVER (PARTITION BY dx ORDER BY {FOLD_SQL}, CAST(pID AS VARCHAR)) - 1) % 5 AS INTEGER) AS strat_fold FROM meta")
 def fold_assign(spark, sf_dir):
     m = inputs.meta(spark, sf_dir)
-    return m.select("pID", models.fold("pID", 5).alias("fold"), models.stratified_fold("dx", "pID", 5).alias("strat_fold"))
+    return models.stratified_folds(m.select("pID", "dx", models.fold("pID", 5).alias("fold")), "dx", "pID", 5, "strat_fold").drop("dx")
 
 
 def _oof(spark, sf_dir, kind):
     inputs.start(spark)
     b = _base(spark, sf_dir).withColumn("y", F.col("mmse") if kind == "linear" else (F.col("dx") == "ProbableAD").cast("double"))
     # Plain folds for numbers, stratified ones for classes.
-    folded = b.withColumn("fold", models.fold("pID", 5) if kind == "linear" else models.stratified_fold("dx", "pID", 5))
+    folded = b.withColumn("fold", models.fold("pID", 5)) if kind == "linear" else models.stratified_folds(b, "dx", "pID", 5)
     return models.out_of_fold(folded, "lang", "pID", "y", ["gc", "pd", "n_chars"], kind, (0.0, 30.0) if kind == "linear" else None)
 
 
-@query()
+#: Ordinary least squares on three centred features by Cramer's rule, for each language and
+#: held-out fold on all other folds, and the clipped predictions of the held-out rows.
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+
+
+def _ols_sql() -> str:
+    x = ("gc", "pd", "len")
+    cov = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    cols = ", ".join([*(f"avg({c}) AS m{i}" for i, c in enumerate(x)), "avg(mmse) AS my", *(f"covar_pop({x[i]}, {x[j]}) AS c{i}{j}" for i in range(3) for j in range(i, 3)), *(f"covar_pop({c}, mmse) AS y{i}" for i, c in enumerate(x))])
+    det = _DET.format(*sum(cov, []))
+    slopes = ", ".join(f"{_DET.format(*(f'y{i}' if j == k else cov[i][j] for i in range(3) for j in range(3)))} / {det} AS b{k}" for k in range(3))
+    value = " + ".join(["my", *(f"b{i} * ({c} - m{i})" for i, c in enumerate(x))])
+    return f"""{BASE_SQL}, f AS (SELECT *, n_chars::DOUBLE AS len, CAST({FOLD_SQL} % 5 AS INTEGER) AS fold FROM base WHERE mmse IS NOT NULL),
+    t AS (SELECT k.lang, k.fold, {cols} FROM (SELECT DISTINCT lang, fold FROM f) k JOIN f ON f.lang = k.lang AND f.fold <> k.fold GROUP BY k.lang, k.fold),
+    w AS (SELECT *, {slopes} FROM t), oof AS (SELECT f.lang, pID, mmse AS y_true, greatest(0, least(30, {value})) AS oof_pred, f.fold FROM f JOIN w ON f.lang = w.lang AND f.fold = w.fold)"""
+
+
+OLS_SQL = _ols_sql()
+
+
+@query(f"WITH {OLS_SQL} SELECT lang, pID, y_true, round(oof_pred, 6) + 0 AS oof_pred, fold FROM oof")
 def oof_regression(spark, sf_dir):
-    return _oof(spark, sf_dir, "linear")
+    return _oof(spark, sf_dir, "linear").withColumn("oof_pred", r6(F.col("oof_pred")))
 
 
 @query()
@@ -185,15 +209,37 @@ def oof_classification(spark, sf_dir):
     return _oof(spark, sf_dir, "logistic")
 
 
-@query()
+@query(f"WITH {OLS_SQL} SELECT round(sqrt(avg((y_true - oof_pred) ** 2)), 6) + 0 AS rmse, round(avg((y_true - oof_pred) ** 2), 6) + 0 AS mse, round(avg(abs(y_true - oof_pred)), 6) + 0 AS mae, round(1 - sum((y_true - oof_pred) ** 2) / nullif(var_pop(y_true) * count(*), 0), 6) + 0 AS r2, round({_r('y_true', 'oof_pred')}, 6) + 0 AS r FROM oof")
 def oof_metrics(spark, sf_dir):
-    return statistics.regression_metrics(_oof(spark, sf_dir, "linear"), "y_true", "oof_pred")
+    m = statistics.regression_metrics(_oof(spark, sf_dir, "linear"), "y_true", "oof_pred")
+    return m.select(*(r6(F.col(c)).alias(c) for c in m.columns))
+
+
+@query(f"WITH {OLS_SQL} SELECT lang, fold, round(sqrt(avg((y_true - oof_pred) ** 2)), 6) + 0 AS rmse, round(avg(abs(y_true - oof_pred)), 6) + 0 AS mae, round(1 - sum((y_true - oof_pred) ** 2) / nullif(var_pop(y_true) * count(*), 0), 6) + 0 AS r2, round({_r('y_true', 'oof_pred')}, 6) + 0 AS r FROM oof GROUP BY lang, fold")
+def oof_regression_by_fold(spark, sf_dir):
+    """Regression metrics of the out-of-fold predictions themselves, per language and fold."""
+    m = statistics.regression_metrics_by(_oof(spark, sf_dir, "linear"), ["lang", "fold"], "y_true", "oof_pred")
+    return m.select("lang", "fold", *(r6(F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "r")))
+
+
+@query()
+def oof_class_metrics(spark, sf_dir):
+    """Accuracy, F1 and AUC of the out-of-fold probabilities themselves, per language and fold."""
+    m = statistics.classification_metrics(_oof(spark, sf_dir, "logistic"), ["lang", "fold"], "y_true", "oof_proba_pos")
+    return m.select("lang", "fold", "n", *(r6(F.col(c)).alias(c) for c in ("acc", "f1", "auc")))
+
+
+@query()
+def oof_class_spread(spark, sf_dir):
+    """Mean and deviation over the folds of the same metrics, all languages together."""
+    m = statistics.classification_metrics(_oof(spark, sf_dir, "logistic"), ["fold"], "y_true", "oof_proba_pos")
+    return statistics.fold_spread(m, ["acc", "f1", "auc"]).select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 @query()
 def oof_leave_group_out(spark, sf_dir):
     inputs.start(spark)
-    b = _base(spark, sf_dir).withColumns({"y": F.col("mmse"), "all": F.lit("all")})
+    b = _base(spark, sf_dir).withColumn("y", F.col("mmse"))
     return models.out_of_fold(models.leave_groups_out(b, "lang"), "srcID", "pID", "y", ["gc", "pd", "n_chars"], "linear", (0.0, 30.0))
 
 
@@ -204,7 +250,7 @@ def oof_multiclass(spark, sf_dir):
     return models.out_of_fold_classes(b, "dx", "pID", "lang", ["gc", "pd", "n_chars"], [r.lang for r in b.select("lang").distinct().collect() if r.lang])
 
 
-PRED_SQL = f"{META_SQL}, p AS (SELECT pID, CAST((pID * 2654435761) % 5 AS INTEGER) AS fold, CASE WHEN dx = 'ProbableAD' THEN 1 ELSE 0 END AS y, mmse, (n_chars % 101) / 100.0::DOUBLE AS proba, CAST(n_chars % 29 AS DOUBLE) AS pred FROM meta)"
+PRED_SQL = f"{META_SQL}, p AS (SELECT pID, CAST({FOLD_SQL} % 5 AS INTEGER) AS fold, CASE WHEN dx = 'ProbableAD' THEN 1 ELSE 0 END AS y, mmse, (n_chars % 101) / 100.0::DOUBLE AS proba, CAST(n_chars % 29 AS DOUBLE) AS pred FROM meta)"
 CLASS_SQL = f"""{PRED_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY proba) + (count(*) OVER (PARTITION BY fold, proba) - 1) / 2.0 AS rk, proba >= 0.5 AS hit FROM p),
 c AS (SELECT fold, count(*) AS n, avg(CASE WHEN (y = 1) = hit THEN 1.0 ELSE 0.0 END) AS acc, coalesce(2.0 * sum(CASE WHEN y = 1 AND hit THEN 1 ELSE 0 END) / nullif(sum(y) + sum(hit::INT), 0), 0) AS f1,
 (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM k GROUP BY fold)"""
@@ -314,7 +360,9 @@ def meta_correlation_tables(spark, sf_dir):
 @query("""SELECT o_orderpriority AS grp, round(avg(p), 6) + 0 AS loo_mean, round(max(z), 6) + 0 AS top_z FROM (
 SELECT o_orderpriority, (sum(x) OVER w - x) / nullif(count(*) OVER w - 1, 0) AS p, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS z FROM (SELECT o_orderpriority, CAST(o_custkey AS DOUBLE) AS x FROM orders) WINDOW w AS (PARTITION BY o_orderpriority)) GROUP BY 1""")
 def leave_one_out_mean(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority")
     x = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").cast("double").alias("x"))
-    p = x.select("o_orderpriority", F.try_divide(F.sum("x").over(w) - F.col("x"), F.count(F.lit(1)).over(w) - 1).alias("p"), F.try_divide(F.col("x") - F.avg("x").over(w), F.stddev_pop("x").over(w)).alias("z"))
+    # One row a group is joined back; no window holds a group.
+    sums = x.groupBy("o_orderpriority").agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
+    met = x.join(sums, "o_orderpriority")
+    p = met.select("o_orderpriority", F.try_divide(F.col("s") - F.col("x"), F.col("n") - 1).alias("p"), F.try_divide(F.col("x") - F.col("m"), F.col("d")).alias("z"))
     return p.groupBy(F.col("o_orderpriority").alias("grp")).agg(r6(F.avg("p")).alias("loo_mean"), r6(F.max("z")).alias("top_z"))

@@ -42,16 +42,16 @@ t AS (SELECT srcID, avg(wer) AS trimmed FROM r WHERE rn > floor(n * 0.1) AND rn
 SELECT w.srcID, round(avg(wer), 6) + 0 AS mean_wer, round(coalesce(stddev_samp(wer), 0), 6) + 0 AS sd_wer, round(median(wer), 6) + 0 AS median_wer, round(any_value(trimmed), 6) + 0 AS trimmed_wer
 FROM wer w JOIN t ON w.srcID = t.srcID GROUP BY w.srcID""")
 def wer_summary(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # The distances are computed once: ranks and sizes by window, one aggregation.
-    w = Window.partitionBy("srcID")
-    ranked = _wer(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy("wer")), "n": F.count(F.lit(1)).over(w)})
-    cut = F.floor(F.col("n") * 0.1)
-    inside = F.when((F.col("rn") > cut) & (F.col("rn") <= F.col("n") - cut), F.col("wer"))
-    return ranked.groupBy("srcID").agg(
-        r6(F.avg("wer")).alias("mean_wer"), r6(F.coalesce(F.stddev_samp("wer"), F.lit(0.0))).alias("sd_wer"), r6(F.median("wer")).alias("median_wer"), r6(F.avg(inside)).alias("trimmed_wer")
-    )
+    # The distances are computed once, and only their distinct values are ordered.
+    placed = statistics.positions(_wer(spark, sf_dir), ["srcID"], "wer")
+    n, x = F.col("n"), F.col("wer")
+    mean = F.sum(n * x) / F.sum(n)
+    median = statistics.quantiles_of(placed, ["srcID"], "wer", [0.5]).select("srcID", r6(F.col("q")[0]).alias("median_wer"))
+    trimmed = statistics.rank_trimmed_of(placed, ["srcID"], "wer", 0.1).select("srcID", r6(F.col("trimmed")).alias("trimmed_wer"))
+    means = placed.groupBy("srcID").agg(mean.alias("m"), F.sum(n).alias("rows"))
+    spread = placed.join(means, "srcID").groupBy("srcID", "m", "rows").agg(F.sum(n * (x - F.col("m")) * (x - F.col("m"))).alias("s"))
+    sd = F.coalesce(F.sqrt(F.try_divide(F.col("s"), F.col("rows") - 1)), F.lit(0.0))
+    return spread.select("srcID", r6(F.col("m")).alias("mean_wer"), r6(sd).alias("sd_wer")).join(median, "srcID").join(trimmed, "srcID")
 
 
 @query()
@@ -331,8 +331,8 @@ size_ AS (SELECT pID, count(*) AS n FROM words GROUP BY pID)
 
 @query(f"""WITH {TAG_SQL}, c AS (SELECT pID, lw, count(*) AS k FROM words GROUP BY 1, 2), v AS (SELECT pID, count(*)::DOUBLE AS v, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END)::DOUBLE AS once FROM c GROUP BY pID),
 l AS (SELECT pID, avg(length(lw)) AS len FROM words GROUP BY pID),
-win AS (SELECT a.pID, a.i, count(DISTINCT b.lw) / 20.0 AS ttr FROM words a JOIN words b ON a.pID = b.pID AND b.i BETWEEN a.i AND a.i + 19 WHERE a.n > 20 AND a.i <= a.n - 20 GROUP BY 1, 2),
-m AS (SELECT pID, avg(ttr) AS mattr FROM win GROUP BY pID)
+win AS (SELECT a.pID, a.i, count(DISTINCT b.lw) AS types FROM words a JOIN words b ON a.pID = b.pID AND b.i BETWEEN a.i AND a.i + 19 WHERE a.n > 20 AND a.i <= a.n - 20 GROUP BY 1, 2),
+m AS (SELECT pID, sum(types)::DOUBLE / (20::DOUBLE * count(*)) AS mattr FROM win GROUP BY pID)
 SELECT s.pID, round(len, 6) + 0 AS avg_word_length, round(v / n, 6) + 0 AS type_token_ratio, round(coalesce(mattr, n / v), 6) + 0 AS mattr,
 round(CASE WHEN once = v THEN 100 * ln(n) ELSE 100 * ln(n) / (1 - once / v) END, 4) + 0 AS honores_statistic, round(pow(n, pow(v, -0.165)), 6) + 0 AS brunets_index
 FROM size_ s JOIN v ON s.pID = v.pID JOIN l ON s.pID = l.pID LEFT JOIN m ON s.pID = m.pID""")

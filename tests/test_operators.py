@@ -204,18 +204,6 @@ def test_statistics(spark):
     assert statistics.correlate_by(flat, "g", "y", ["x"]).first().x is None
 
 
-def test_models():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 3))
-    w = models.fit_linear(x, 1 + x @ [1, 2, 0])
-    assert np.allclose(w, [1, 1, 2, 0])
-    y = (x[:, 0] + 0.2 * rng.normal(size=300) > 0).astype(float)
-    b = models.fit_logistic_l1(x, y)
-    assert b[1] > 1 and abs(b[3]) < b[1]
-
-
 def test_canonical(spark):
     df = spark.createDataFrame([(1, "w")], "start int, content string")
     assert relational.canonical(df, {"s": ["s_ts", "start"], "word": ["text", "content"]}).columns == ["s", "word"]
