@@ -419,11 +419,13 @@ def error_profile(spark, sf_dir):
 def synthetic_transcripts(spark, sf_dir):
     inputs.start(spark)
     refs = inputs.references(spark, sf_dir)
-    profile = synthesis.collect_profile(synthesis.profile_tables(inputs.hypotheses(refs).where("src_rank > 0")))
+    profile = synthesis.profile_tables(inputs.hypotheses(refs).where("src_rank > 0"))
     return synthesis.synthesise(refs.select("pID", F.col("ref").alias("tokens")), profile)
 
 
 @query()
 def synthetic_wer(spark, sf_dir):
     s = synthetic_transcripts(spark, sf_dir)
-    return s.groupBy("target").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("wer")).alias("mean_wer"), r6(F.median("wer")).alias("median_wer"))
+    placed = statistics.positions(s, ["target"], "wer")
+    middle = statistics.quantiles_of(placed, ["target"], "wer", [0.5]).select("target", r6(F.col("q")[0]).alias("median_wer"))
+    return placed.groupBy("target").agg(F.sum("n").alias("n"), r6(F.sum(F.col("n") * F.col("wer")) / F.sum("n")).alias("mean_wer")).join(middle, "target")

@@ -1,7 +1,6 @@
 """Hand-computed cases and properties."""
 
-import random
-
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,26 +146,68 @@ def test_coherence(spark):
         coherence.Coherence(weighting="other")
 
 
+def profile(spark, **given):
+    none = {"subs": "ref string, hyp string, n long", "ins": "hyp string, n long", "dels": "ref string, n long", "vocab": "hyp string, n long", "ops": "op string, n long", "dropout": "length int, n long"}
+    return {k: spark.createDataFrame(given.get(k, []), s) for k, s in none.items()}
+
+
 def test_synthesis(spark):
-    p = synthesis.Profile(ops={"hit": 8, "sub": 2, "del": 1, "ins": 1}, vocab={"z": 1})
+    p = profile(spark, ops=[("hit", 8), ("sub", 2), ("del", 1), ("ins", 1)], vocab=[("z", 1)], subs=[("t1", "u", 3), ("t1", "v", 1)], dels=[("t2", 5)])
     toks = [f"t{i}" for i in range(40)]
-    gaps = [sum(abs(synthesis.corrupt(toks, 0.3, s, p, attempts=a)[1] - 0.3) for s in range(20)) for a in (1, 10)]
-    assert gaps[1] <= gaps[0] and synthesis.corrupt([], 0.3, 1, p) == ("", 0.0)
-    refs = spark.createDataFrame([(i, toks) for i in range(6)], "pID int, tokens array<string>")
+    refs = spark.createDataFrame([(i, toks) for i in range(6)] + [(7, []), (8, None)], "pID int, tokens array<string>")
     a, b = (sorted(map(tuple, synthesis.synthesise(refs.repartition(n), p, (0.1, 0.3), 2).collect())) for n in (1, 5))
-    assert a == b and len(a) == 24 and a[0][0] == "Synth_W10_r0"
-
-
-def test_profile_whole(spark):
-    """Every entry counts, however many there are, and each dropout length by its number."""
-    n = 200_050
-    words = spark.range(n).selectExpr("concat('w', id) AS ref", "concat('h', id) AS hyp", "id + 1 AS n")
-    tables = {"ops": spark.createDataFrame([("sub", 3)], "op string, n long"), "subs": words, "ins": words.drop("ref"), "dels": words.drop("hyp"), "vocab": words.drop("ref")}
-    tables["dropout"] = spark.createDataFrame([(4, 1), (7, 10**12)], "length int, n long")
-    p = synthesis.collect_profile(tables)
-    assert [len(t) for t in (p.subs, p.ins, p.dels, p.vocab)] == [n] * 4
-    assert p.subs["w0"] == {"h0": 1} and p.dels["w0"] == 1 and p.lengths == {7: 10**12, 4: 1}
-    assert synthesis.corrupt_once(random.Random(1), ["a"] * 7, p, 7, 0) == []
+    assert a == b and len(a) == 32 and a[0][0] == "Synth_W10_r0"
+    for _, pid, target, _, text, wer in a:
+        made = text.split()
+        assert wer == (alignment.distance(toks, made) / 40 if pid < 7 else 0.0)
+        assert set(made) <= {*toks, "u", "v", "z"} and (pid < 7 or text == "")
+    # More attempts are never farther from the target, and the first is among them.
+    gaps = [sum(abs(r.wer - r.target) for r in synthesis.synthesise(refs, p, (0.3,), 5, attempts=n).where("pID < 7").collect()) for n in (1, 10)]
+    assert gaps[1] <= gaps[0]
+
+
+def test_synthesis_with_a_seed(spark):
+    """A fixed seed gives fixed transcripts."""
+    p = profile(spark, ops=[("hit", 8), ("sub", 2), ("del", 1), ("ins", 1)], vocab=[("z", 1), ("y", 2)], subs=[("b", "u", 3)], ins=[("er", 1)], dropout=[(2, 1)])
+    refs = spark.createDataFrame([(1, list("abcdefghij"))], "pID int, tokens array<string>")
+    got = [(r.srcID, r.text, r.wer) for r in synthesis.synthesise(refs, p, (0.2, 0.5), 1, seed=3).orderBy("srcID").collect()]
+    assert got == GOLDEN
+
+
+GOLDEN = [("Synth_W20_r0", "a b c d e f z h er i j", 0.2), ("Synth_W50_r0", "z c d y g h er i j", 0.5)]
+
+
+def test_plans_keep_the_rule():
+    """Numbers of errors of each kind, stretches that are lost, and words that cannot be drawn."""
+    s = object.__new__(synthesis.Settings)
+    s.subs, s.dels, s.lost, s.often, s.vocab, s.ins = 0.5, 0.25, np.array([3]), np.array([1]), 10, 4
+    zero, rng = np.zeros(40, np.int64), np.random.default_rng(0)
+    for _ in range(50):
+        items, line, point = synthesis.plan_attempt(rng, 40, 0.4, 0.25, zero, zero, zero, s)
+        # 16 errors: 4 lost, then 12 with 6 substituted, 3 deleted, 3 inserted.
+        assert len(items) == 40 - 4 - 3 + 3 and (items >= 0).sum() == 40 - 4 - 3 - 6
+        assert sorted(-1 - items[items < 0]) == list(range(9)) and line.tolist() == [synthesis.VOCAB] * 6 + [synthesis.INS] * 3
+        assert (point < np.where(line == synthesis.INS, 4, 10)).all() and (np.diff(items[items >= 0]) > 0).all()
+    often = np.where(np.arange(40) == 7, 10**9, 0)
+    assert all(7 not in synthesis.plan_attempt(rng, 40, 0.1, 0.0, zero, zero, often, s)[0] for _ in range(20))
+    s.vocab = s.ins = 0
+    items, line, _ = synthesis.plan_attempt(rng, 40, 0.4, 0.0, zero, zero, zero, s)
+    assert len(items) == 36 and not len(line)
+    assert len(synthesis.plan_attempt(rng, 7, 1.0, 1.0, zero[:7], zero[:7], zero[:7], s)[0]) == 0
+
+
+def test_profile_lines(spark):
+    """Every entry has its place on a line and in a bounded number of slots, however uneven
+    the counts are."""
+    n = 5000
+    words = spark.range(n).selectExpr("concat('w', id % 50) AS ref", "concat('h', id) AS hyp", "if(id = 17, 1000000000, id + 1) AS n")
+    slots, places, lengths = synthesis.lines({**profile(spark), "subs": words, "vocab": words.drop("ref")})
+    assert slots.count() <= 4 * n + 4 and set(lengths) == {synthesis.SUBS, synthesis.VOCAB}
+    ends = {(r.line, r.lo, r.hi, r.word) for r in slots.select("line", "lo", "hi", "word").collect()}
+    for line in (synthesis.SUBS, synthesis.VOCAB):
+        spans = sorted((lo, hi) for k, lo, hi, _ in ends if k == line)
+        assert len(spans) == n and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == lengths[line][0]
+    assert {r.word: r.subs for r in places.collect()} == {r.ref: r.n for r in words.groupBy("ref").agg(F.sum("n").alias("n")).collect()}
 
 
 def test_profile_queries(spark, tmp_path):
