@@ -1,4 +1,4 @@
-"""Text rules as Column -> Column expressions (no Python UDF on any path but exact NFKD).
+"""Text rules as Column -> Column expressions, without a Python UDF on any path.
 
 Word classes are written with explicit Unicode categories, since the JVM's ``\\w`` is
 ASCII-only.
@@ -6,6 +6,10 @@ ASCII-only.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,13 +47,22 @@ PENN_TAGS = (
     "CC", "CD", "DT", "EX", "FW", "IN", "JJ", "JJR", "JJS", "LS", "MD", "NN", "NNS", "NNP", "NNPS", "PDT", "POS", "PRP", "PRP$", "RB", "RBR", "RBS",
     "RP", "SYM", "TO", "UH", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB",
 )
+#: All that ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: The Penn Treebank's rules for words, in order (pattern, replacement), for a
+#: sentence in lower case with a blank on either side.
+TREEBANK_RULES = (
+    (r"^( *)\"", "$1`` "), (r"([ (\[{<])\"", "$1`` "),
+    (r"([:,])([^0-9])", " $1 $2"), (r"([:,])$", " $1 "), (r"\.\.\.", " ... "), (r"[;@#$%&]", " $0 "),
+    (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "), (r"[?!]", " $0 "), (r"([^'])' ", "$1 ' "),
+    (r"[\]\[(){}<>]", " $0 "), (r"--", " -- "),
+    (r"\"", " '' "), (r"(\S)('')", "$1 $2 "), (r"([^' ])('s|'m|'d|') ", "$1 $2 "), (r"([^' ])('ll|'re|'ve|n't) ", "$1 $2 "),
+    (r"\b(can)(not)\b", " $1 $2 "), (r"\b(d)('ye)\b", " $1 $2 "), (r"\b(gim)(me)\b", " $1 $2 "), (r"\b(gon)(na)\b", " $1 $2 "),
+    (r"\b(got)(ta)\b", " $1 $2 "), (r"\b(lem)(me)\b", " $1 $2 "), (r"\b(more)('n)\b", " $1 $2 "), (r"\b(wan)(na)(?=\s)", " $1 $2 "),
+    (r" ('t)(is)\b", " $1 $2 "), (r" ('t)(was)\b", " $1 $2 "),
+)
 #: Typographic characters and their plain forms.
 TYPOGRAPHIC = ("’‘“”–— ", "''\"\"-- ")
-#: Accented Latin letters by their plain letter (the built-in stand-in for NFKD).
-ACCENTED = "àáâãäåāăąçćčďèéêëēĕėęěìíîïĩīĭįñńňòóôõöōŏőùúûüũūŭůűýÿžźżšśřťğ"
-PLAIN = "aaaaaaaaacccdeeeeeeeeeiiiiiiiinnnoooooooouuuuuuuuuyyzzzssrtg"
-
-
 def normalize(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9']+", " "))
 
@@ -64,19 +77,53 @@ def segment(x: Column, mode: str = "newline") -> Column:
         return F.array(x)
     if mode not in ("newline", "paragraph"):
         raise ValueError(f"unknown segment mode: {mode}")
-    pieces = F.split(x, r"\R" if mode == "newline" else r"\n\s*\n")
+    pieces = F.split(x, LINE_END if mode == "newline" else r"\n\s*\n")
     return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def strip_accents(x: Column) -> Column:
-    return F.translate(x, ACCENTED, PLAIN)
+@lru_cache
+def plain_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition (NFKD) has ASCII characters,
+    by the Unicode database: those that have one of them and that one, and the others with
+    all of theirs."""
+    ones, plain, several = [], [], {}
+    for code in range(128, sys.maxunicode + 1):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c < "\x80") if not 0xD800 <= code < 0xE000 else ""
+        if len(kept) == 1:
+            ones.append(chr(code))
+            plain.append(kept)
+        elif kept:
+            several[chr(code)] = kept
+    return "".join(ones), "".join(plain), several
+
+
+def _char_class(chars) -> str:
+    """A regular expression class of single characters, as ranges of code points."""
+    codes, runs = sorted(map(ord, chars)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def ascii_decomposed(x: Column) -> Column:
+    """The ASCII characters of a text's compatibility decomposition. Characters that stand
+    for several (ligatures, fractions, units) are replaced one kind after the other, only in
+    texts that have any."""
+    ones, plain, several = plain_forms()
+    one = F.translate(x, ones, plain)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()))
+    every = F.aggregate(pairs, one, lambda t, p: F.replace(t, p["a"], p["b"]))
+    full = F.when(one.rlike(_char_class(several)), every).otherwise(one)
+    return F.regexp_replace(full, r"[^\x00-\x7F]", "")
 
 
 def strip_unsupported(x: Column) -> Column:
-    """Typographic characters mapped, accents stripped, everything else outside the
-    supported set blanked, white space collapsed. Input is expected in lower case."""
-    t = strip_accents(F.translate(x, *TYPOGRAPHIC))
-    t = F.regexp_replace(t, r"[^\x00-\x7F]", "")
+    """Typographic characters mapped, all others decomposed and cut to ASCII, what is
+    outside the supported set blanked, white space collapsed. Input is expected in lower case."""
+    t = ascii_decomposed(F.translate(x, *TYPOGRAPHIC))
     t = F.regexp_replace(t, r"[^a-z0-9\s.?!,;:'\"-]", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -101,6 +148,20 @@ def split_sentences(x: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[^.!?]*[.!?]|[^.!?]+$"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def treebank_tokens(x: Column) -> Column:
+    """Words and marks of a cleaned lower-case text by the Treebank's rules. A full stop is a
+    token where a sentence ends: at the end and before white space."""
+
+    def words(sentence: Column) -> Column:
+        t = F.concat(F.lit(" "), F.trim(sentence), F.lit(" "))
+        for pattern, to in TREEBANK_RULES:
+            t = F.regexp_replace(t, pattern, to)
+        return F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
+
+    sentences = F.split(F.trim(x), r"(?<=[.?!])\s+")
+    return F.flatten(F.transform(sentences, words))
+
+
 def clean_utterance(x: Column) -> Column:
     """Lower-cased words without other characters (may leave empty words)."""
     words = F.split(F.trim(x), " ")

@@ -3,16 +3,18 @@ functions.
 
 Tags come from a strategy. The default is a small rule tagger written as an expression
 (closed-class words and endings), so its tags are approximate; the feature definitions
-are exact for whatever tags come in. A lexicon of (word, tag) or (word, syllables) can
-be joined instead.
+are exact for whatever tags come in. ``tag_by_weights`` tags with an injected table of
+weights instead, and ``syllable_counts`` takes an injected table of pronunciations.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.session import stored
 
 #: Penn tag sets and word lists of the feature definitions.
 FUNCTION_TAGS = ("CC", "DT", "EX", "IN", "LS", "MD", "PDT", "POS", "PRP", "PRP$", "RP", "TO", "UH", "WDT", "WP", "WP$", "WRB")
@@ -83,6 +85,120 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.lower(word), F.lit("[aeiouy]+")))
 
 
+#: Letters by falling sonority; all others but marks and digits count as vowels.
+SONORITY = (("lmnrw", 2), ("zvsf", 1), ("bcdgtkpqxhj", 0))
+
+
+def sonority_syllables(word: Column) -> Column:
+    """Syllables of a word by the sonority of its letters. One ends before a letter that is
+    less sonorous than both neighbours, and behind one that is as sonorous as the next and no
+    more than the last; marks and digits stand alone. Stretches without a vowel belong to a
+    neighbour, so those with a vowel count; a word has at least one."""
+    letters = F.filter(F.split(F.lower(word), ""), lambda c: c != "")
+    rank = lambda c: F.when(c.rlike(r"[0-9\p{Punct}]"), -1).when(c.isin(*SONORITY[0][0]), SONORITY[0][1]).when(c.isin(*SONORITY[1][0]), SONORITY[1][1]).when(c.isin(*SONORITY[2][0]), SONORITY[2][1]).otherwise(3)
+    v = F.transform(letters, rank)
+    at = lambda i: F.get(v, i)
+    inner = lambda i: (i >= 1) & (i <= F.size(v) - 2)
+    behind = lambda i: inner(i) & ((at(i) == -1) | ((at(i - 1) >= at(i)) & (at(i) == at(i + 1))))
+    before = lambda i: inner(i) & ((at(i) == -1) | ((at(i - 1) > at(i)) & (at(i) < at(i + 1))))
+    marked = F.transform(v, lambda x, i: F.struct((x == 3).alias("vowel"), F.coalesce(before(i) | behind(i - 1), F.lit(False)).alias("cut")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("has"))
+
+    def step(s, x):
+        has = s["has"] & ~x["cut"]
+        return F.struct((s["n"] + (x["vowel"] & ~has).cast("int")).alias("n"), (has | x["vowel"]).alias("has"))
+
+    return F.greatest(F.lit(1), F.aggregate(marked, start, step, lambda s: s["n"]))
+
+
+def pronounced(pronunciations: DataFrame) -> DataFrame:
+    """(word, n_syllables) of (word, phones): the phones that end in a digit are stressed or
+    unstressed vowels; of several pronunciations the longest counts."""
+    n = F.size(F.filter("phones", lambda p: p.rlike("[0-9]$")))
+    return pronunciations.groupBy(F.lower("word").alias("word")).agg(F.max(n).alias("n_syllables"))
+
+
+def syllable_counts(words: DataFrame, pronunciations: DataFrame, word: str = "word") -> DataFrame:
+    """``words`` with n_syllables: by the dictionary, else by sonority. Only distinct words
+    are looked up."""
+    known = words.select(F.lower(word).alias("_w")).distinct().join(pronounced(pronunciations).withColumnRenamed("word", "_w"), "_w", "left")
+    counted = known.select("_w", F.coalesce("n_syllables", sonority_syllables(F.col("_w"))).alias("n_syllables"))
+    return words.withColumn("_w", F.lower(word)).join(counted, "_w", "left").drop("_w")
+
+
+def word_features(tokens: Column, i: Column) -> Column:
+    """Names of the features of token ``i`` that its neighbourhood alone gives."""
+    w = lambda k: F.coalesce(F.get(tokens, i + k), F.when(F.lit(k) < 0, F.lit("-START-")).otherwise(F.lit("-END-")))
+    end = lambda x: F.substring(x, -3, 3)
+    named = lambda name, x: F.concat(F.lit(name + " "), x)
+    return F.array(
+        F.lit("bias"), named("i suffix", end(w(0))), named("i pref1", F.substring(w(0), 1, 1)), named("i word", w(0)), named("i-1 word", w(-1)), named("i-1 suffix", end(w(-1))),
+        named("i-2 word", w(-2)), named("i+1 word", w(1)), named("i+1 suffix", end(w(1))), named("i+2 word", w(2)),
+    )
+
+
+def decode(scores: list[dict], with_word: list[dict], tags: list[str], one: dict, two: dict, both: dict) -> list[str]:
+    """The best tag of each token from left to right: its own scores by tag, and weights by
+    the last tag, the one before, both of them, and the last tag with the word. Equal
+    sums go to the tag that sorts last."""
+    out, first, second = [], "-START-", "-START2-"
+    for own, word in zip(scores, with_word):
+        total = {t: own.get(t, 0.0) for t in tags}
+        for weights in (one.get(first), two.get(second), both.get((first, second)), word.get(first)):
+            for t, x in (weights or {}).items():
+                total[t] = total.get(t, 0.0) + x
+        best = max(total, key=lambda t: (total[t], t)) if total else None
+        out.append(best)
+        first, second = best, first
+    return out
+
+
+def tag_by_weights(df: DataFrame, keys: list[str], weights: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``keys`` and ``tagged`` (an array of (w, t)) of token arrays, by an injected table of
+    weights (feature, tag, weight). Features that words give are joined and added up per
+    token and tag; those of earlier tags ("i-1 tag x", "i-2 tag x", "i tag+i-2 tag x y") are as
+    many as tags allow and go along; "i-1 tag+i word x w" comes by the word."""
+    kind = F.regexp_extract("feature", r"^(i-1 tag|i-2 tag|i tag\+i-2 tag) ", 1)
+    # At most a square and a cube of the number of tags.
+    links = weights.where(kind != "").select("feature", "tag", "weight").collect()
+    tags = sorted(r.tag for r in weights.select("tag").distinct().collect())
+    one, two, both = {}, {}, {}
+    for r in links:
+        if r.feature.startswith("i tag+i-2 tag "):
+            both.setdefault(tuple(r.feature[len("i tag+i-2 tag ") :].split(" ")), {})[r.tag] = r.weight
+        else:
+            (one if r.feature.startswith("i-1") else two).setdefault(r.feature[len("i-1 tag ") :], {})[r.tag] = r.weight
+    row = df.select(*keys, F.col(tokens).alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
+    row = stored(row, "tag-rows")
+    each = row.select("_row", "_tokens", F.posexplode("_tokens").alias("_i", "_w"))
+    features = each.select("_row", "_i", F.explode(word_features(F.col("_tokens"), F.col("_i"))).alias("feature"))
+    own = features.join(weights, "feature").groupBy("_row", "_i", "tag").agg(F.sum("weight").alias("x"))
+    own = own.groupBy("_row", "_i").agg(F.map_from_entries(F.collect_list(F.struct("tag", "x"))).alias("own"))
+    pair = weights.where("feature like 'i-1 tag+i word %'").select(F.split(F.substring("feature", 16, 1 << 20), " ", 2).alias("p"), "tag", "weight")
+    by_word = pair.groupBy(F.col("p")[1].alias("_w")).agg(F.collect_list(F.struct(F.col("p")[0].alias("last"), "tag", "weight")).alias("word"))
+    met = each.select("_row", "_i", "_w").join(own, ["_row", "_i"], "left").join(by_word, "_w", "left")
+    packed = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce(F.to_json("own"), F.lit("{}")).alias("own"), F.coalesce(F.to_json("word"), F.lit("[]")).alias("word")))).alias("x"))
+
+    @F.arrow_udf("array<string>")
+    def best(own: pa.Array, word: pa.Array) -> pa.Array:
+        import json
+
+        out = []
+        for a, b in zip(own.to_pylist(), word.to_pylist()):
+            words = []
+            for x in b:
+                by_last: dict = {}
+                for w in json.loads(x):
+                    by_last.setdefault(w["last"], {})[w["tag"]] = w["weight"]
+                words.append(by_last)
+            out.append(decode([json.loads(x) for x in a], words, tags, one, two, both))
+        return pa.array(out, pa.list_(pa.string()))
+
+    found = packed.select("_row", best(F.col("x.own"), F.col("x.word")).alias("t"))
+    joined = row.join(found, "_row", "left")
+    return joined.select(*keys, F.coalesce(F.zip_with("_tokens", "t", lambda w, t: F.struct(w.alias("w"), t.alias("t"))), F.array().cast("array<struct<w:string,t:string>>")).alias("tagged"))
+
+
 def tagged(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("w"), rule_tag(t).alias("t")))
 

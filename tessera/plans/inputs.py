@@ -9,6 +9,10 @@ from tessera.functions import text
 from tessera.session import ship_package, table
 
 
+#: More turns than a conversation, and more words than an utterance, can have.
+TURNS = 1 << 32
+
+
 def start(spark: SparkSession) -> None:
     ship_package(spark)
 
@@ -22,7 +26,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pID (one per user turn) and its normalised tokens."""
     u = utterances(spark, sf_dir).where("speaker = 'user'")
-    return u.select((F.col("pID") * 1000 + F.col("utt_pos")).alias("pID"), text.tokenize(text.normalize(F.col("full_text"))).alias("ref"))
+    return u.select((F.col("pID") * TURNS + F.col("utt_pos")).alias("pID"), text.tokenize(text.normalize(F.col("full_text"))).alias("ref"))
 
 
 def hypotheses(refs: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def hypotheses(refs: DataFrame) -> DataFrame:
 #: The same as SQL, one relation per step.
 PAIRS_SQL = r"""
 ref AS (
-  SELECT conv_id * 1000 + turn AS pID, regexp_extract_all(trim(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g')), '[a-z0-9]+(?:''[a-z0-9]+)?') AS ref
+  SELECT conv_id * 4294967296 + turn AS pID, regexp_extract_all(trim(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g')), '[a-z0-9]+(?:''[a-z0-9]+)?') AS ref
   FROM conversations WHERE role = 'user'
 ), pairs AS (
   SELECT 'Hand' AS srcID, pID, ref, ref AS hyp FROM ref

@@ -3,6 +3,8 @@ synthesis."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -54,6 +56,15 @@ def wer_summary(spark, sf_dir):
     return spread.select("srcID", r6(F.col("m")).alias("mean_wer"), r6(sd).alias("sd_wer")).join(median, "srcID").join(trimmed, "srcID")
 
 
+@query(f"WITH {PAIRS_SQL} SELECT srcID, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS ref_words, CAST(sum(m) AS BIGINT) AS hyp_words FROM errors GROUP BY srcID")
+def wer_totals(spark, sf_dir):
+    """Errors and words of a source, added up from the aligned counts."""
+    inputs.start(spark)
+    c = inputs.hypotheses(inputs.references(spark, sf_dir)).select("srcID", alignment.alignment_counts("ref", "hyp").alias("c")).select("srcID", "c.*")
+    total = lambda x: F.sum(x).cast("long")
+    return c.groupBy("srcID").agg(total(F.expr("subs + dels + ins")).alias("errors"), total(F.expr("hits + subs + dels")).alias("ref_words"), total(F.expr("hits + subs + ins")).alias("hyp_words"))
+
+
 @query()
 def wer_components(spark, sf_dir):
     inputs.start(spark)
@@ -115,9 +126,91 @@ def sentence_forms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.drop_punctuation(x).alias("bare"), text.close_sentence(x).alias("closed"))
 
 
-@query()
+def _contraction_sql(t: str) -> str:
+    return "CASE {} {} ELSE {} END".format(t, " ".join("WHEN '{}' THEN '{}'".format(k.replace("'", "''"), v) for k, v in text.CONTRACTIONS.items()), t)
+
+
+def _plain_sql(x: str) -> str:
+    """Only letters whose accents SQL knows are decomposed, which is all these tables have."""
+    old, new = (v.replace("'", "''") for v in text.TYPOGRAPHIC)
+    x = f"regexp_replace(strip_accents(translate(lower({x}), '{old}', '{new}')), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9\\s.?!,;:''\"-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_plain_sql('html')} AS plain, array_to_string(list_transform(string_split(lower(html), ' '), lambda t: {_contraction_sql('t')}), '|') AS tokens FROM pages")
 def text_cleanup(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.col("html")).alias("plain"), text.expand_contractions(F.split(F.lower("html"), " ")).alias("tokens"))
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.col("html")).alias("plain"), F.array_join(text.expand_contractions(F.split(F.lower("html"), " ")), "|").alias("tokens"))
+
+
+def _treebank_sql(x: str) -> str:
+    """The same rules, where the engine has no look-around."""
+    for pattern, to in text.TREEBANK_RULES:
+        pattern, to = pattern.replace(r"(?=\s)", r"\s").replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", to).replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_plain_sql('text')} AS x FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT conv_id, turn, list_transform(string_split(regexp_replace(x, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: ' ' || trim(y) || ' ') AS s FROM p)
+SELECT conv_id, turn, array_to_string(list_transform(flatten(list_transform(s, lambda y: list_filter(regexp_split_to_array(trim({_treebank_sql('y')}), '\\s+'), lambda w: w <> ''))), lambda t: {_contraction_sql('t')}), ' ') AS tokens FROM s""")
+def treebank_tokens(spark, sf_dir):
+    """Cleaned utterances as Treebank words and marks, contractions as full words."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    words = text.expand_contractions(text.treebank_tokens(text.normalize_text(F.col("text"))))
+    return c.select("conv_id", "turn", F.array_join(words, " ").alias("tokens"))
+
+
+def _pronunciations(spark, sf_dir):
+    """A dictionary out of the items' words, with two pronunciations of a word: every vowel
+    letter as a phone of its own, and every second letter left out."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    phones = lambda xs: F.transform(xs, lambda c: F.when(c.isin(*"aeiou"), F.concat(F.upper(c), F.lit("1"))).otherwise(F.upper(c)))
+    both = F.array(phones(letters), phones(F.filter(letters, lambda c, i: i % 2 == 0)))
+    return words.select("word", F.explode(both).alias("phones"))
+
+
+def _talk_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+
+
+@query(r"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)
+SELECT w.word, count(*) AS n, CAST(max(len(regexp_extract_all(w.word, '[aeiou]'))) AS INTEGER) AS n_syllables FROM w JOIN k ON w.word = k.word GROUP BY w.word""")
+def dictionary_syllables(spark, sf_dir):
+    """Words of the dictionary with their largest number of syllables, and how often they were said."""
+    counted = grammar.syllable_counts(_talk_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n")), _pronunciations(spark, sf_dir))
+    return counted.join(_pronunciations(spark, sf_dir).select("word").distinct(), "word", "left_semi").select("word", "n", "n_syllables")
+
+
+@query()
+def syllables_per_word(spark, sf_dir):
+    """Mean syllables of a conversation's words, by the dictionary or by sonority."""
+    counted = grammar.syllable_counts(_talk_words(spark, sf_dir), _pronunciations(spark, sf_dir))
+    return counted.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_words"), r6(F.avg("n_syllables")).alias("mean_syllables"))
+
+
+def _tag_weights(spark, sf_dir):
+    """Weights out of how often the rule tagger gives a tag after a tag, for a word and for an
+    ending in the documents: logarithms of counts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(grammar.tagged(grammar.word_tokens(F.lower("text")))).alias("i", "x"))
+    d = d.select("doc_id", "i", F.col("x.w").alias("w"), F.col("x.t").alias("t"))
+    nxt = d.select("doc_id", (F.col("i") + 1).alias("i"), F.col("t").alias("last"))
+    count = lambda df, feature: df.groupBy(feature.alias("feature"), F.col("t").alias("tag")).agg(F.log1p(F.count(F.lit(1))).alias("weight"))
+    named = lambda name, c: F.concat(F.lit(name + " "), F.col(c))
+    ends = d.withColumn("end", F.substring("w", -3, 3))
+    return count(d, named("i word", "w")).unionByName(count(ends, named("i suffix", "end"))).unionByName(count(d.join(nxt, ["doc_id", "i"]), named("i-1 tag", "last")))
+
+
+@query()
+def tags_by_weights(spark, sf_dir):
+    """How often each tag follows each other one in the conversations, tagged by weights that
+    the documents give."""
+    inputs.start(spark)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", grammar.word_tokens(F.lower("text")).alias("tokens"))
+    tagged = grammar.tag_by_weights(c, ["conv_id", "turn"], _tag_weights(spark, sf_dir))
+    pairs = tagged.select(F.explode(F.zip_with(F.col("tagged.t"), F.slice("tagged.t", F.lit(2), F.size("tagged")), lambda a, b: F.struct(a.alias("tag"), b.alias("next")))).alias("x"))
+    return pairs.where("x.next is not null").groupBy("x.tag", "x.next").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH c AS (SELECT conv_id AS pID, turn AS utt_pos, role, text, lag(role) OVER w AS r, lag(text) OVER w AS t, row_number() OVER w AS rn
@@ -176,7 +269,7 @@ def label_speakers(spark, sf_dir):
     inputs.start(spark)
     u = inputs.utterances(spark, sf_dir)
     words = u.select("pID", "speaker", F.posexplode(F.split("full_text", " ")).alias("i", "word"), "utt_pos")
-    words = words.select("pID", (F.col("utt_pos") * 1000 + F.col("i")).alias("pos"), "word", "speaker")
+    words = words.select("pID", (F.col("utt_pos") * inputs.TURNS + F.col("i")).alias("pos"), "word", "speaker")
     timed = words.withColumns({"s": F.col("pos").cast("double"), "e": F.col("pos") + 0.9})
     heard = timed.where("pos % 7 <> 3").drop("speaker").withColumn("word", F.when(F.col("pos") % 5 == 1, F.reverse("word")).otherwise(F.col("word")))
     return alignment.label_speakers(timed, heard, ["pID"])
@@ -316,12 +409,12 @@ def seen_contexts(spark, sf_dir):
 
 def _tagged(spark, sf_dir):
     u = inputs.utterances(spark, sf_dir).where("speaker = 'user'")
-    return u.select((F.col("pID") * 1000 + F.col("utt_pos")).alias("pID"), grammar.tagged(grammar.word_tokens(F.col("full_text"))).alias("tagged"))
+    return u.select((F.col("pID") * inputs.TURNS + F.col("utt_pos")).alias("pID"), grammar.tagged(grammar.word_tokens(F.col("full_text"))).alias("tagged"))
 
 
 _IN = lambda tags: "(" + ", ".join(f"'{t}'" for t in tags) + ")"
 TAG_SQL = rf"""
-u AS (SELECT conv_id * 1000 + turn AS pID, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]') AS tok FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id * 4294967296 + turn AS pID, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]') AS tok FROM conversations WHERE role = 'user'),
 x AS (SELECT pID, unnest(tok) AS w, generate_subscripts(tok, 1) AS i FROM u),
 g AS (SELECT pID, i, w, lower(w) AS lw, {grammar.rule_tag_sql('w')} AS t FROM x),
 words AS (SELECT pID, lw, row_number() OVER (PARTITION BY pID ORDER BY i) AS i, count(*) OVER (PARTITION BY pID) AS n FROM g WHERE regexp_matches(w, '[\p{{L}}\p{{N}}]')),
@@ -395,7 +488,7 @@ def coherence_scores(spark, sf_dir):
     inputs.start(spark)
     u = inputs.utterances(spark, sf_dir).where("speaker = 'user'")
     tokens = u.select("pID", "utt_pos", F.posexplode(text.coherence_tokens(F.col("full_text"))).alias("i", "token"))
-    tokens = tokens.select("pID", (F.col("utt_pos") * 100000 + F.col("i")).alias("pos"), "token")
+    tokens = tokens.select("pID", (F.col("utt_pos") * inputs.TURNS + F.col("i")).alias("pos"), "token")
     seen = tokens.groupBy("token").agg(F.countDistinct("pID").cast("double").alias("entropy"))
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.agg(F.max("vec_id").alias("m")).withColumn("k", F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import canonical
+from tessera.sources import workbooks
 
 #: Synonyms of the canonical transcript columns, in order.
 SYNONYMS = {
@@ -31,26 +32,29 @@ class Source:
 
 
 def read_files(spark: SparkSession, path: str, ext: str, header: bool = True, sep: str = ",") -> DataFrame:
-    """Files of one kind below a folder; csv, tsv and parquet."""
+    """Files of one kind below a folder; csv, tsv, parquet and xlsx."""
     kind = ext.lstrip(".").lower()
     if kind == "parquet":
         return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
     if kind in ("csv", "tsv"):
         return spark.read.option("pathGlobFilter", f"*.{kind}").option("header", header).option("sep", "\t" if kind == "tsv" else sep).csv(path)
+    if kind == "xlsx":
+        return workbooks.read_workbooks(spark, path)
     raise ValueError(f"unsupported file type: {ext}")
 
 
-def participant(source: str) -> Column:
+def participant(source: str, file: str = "_metadata.file_name") -> Column:
     """The participant id in a file's name: all before the first dot; for source IU the
     first three parts between underscores, in lower case."""
-    name = F.split(F.col("_metadata.file_name"), r"\.")[0]
+    name = F.split(F.col(file), r"\.")[0]
     return F.lower(F.concat_ws("_", F.slice(F.split(name, "_"), 1, 3))) if source == "IU" else name
 
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
     """srcID, pID and the canonical columns; numbers that cannot be read are null."""
     raw = read_files(spark, source.path, source.ext)
-    df = raw.select(participant(source.name).alias("_pid"), *raw.columns)
+    file = workbooks.FILE if workbooks.FILE in raw.columns else "_metadata.file_name"
+    df = raw.select(participant(source.name, file).alias("_pid"), *(c for c in raw.columns if c != workbooks.FILE))
     df = canonical(df, SYNONYMS).withColumns({"srcID": F.lit(source.name)}).withColumnRenamed("_pid", "_participant")
     for c in ("s", "e"):
         if c in df.columns:
