@@ -20,12 +20,13 @@ sorted. Intermediate tables are deleted as soon as nothing reads them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shared, windows
@@ -104,26 +105,30 @@ def batch_number(doc: str, lo: int, step: int, batches: int) -> Column:
     return F.when(F.col(doc) < lo, 0).otherwise(F.least(F.expr(f"(`{doc}` - {lo}L) div {step}L"), F.lit(batches - 1))).cast("int")
 
 
-def repeated_entries(entries: DataFrame, how: Symbols, values: dict[str, Value], repeated: Column, batches: int, tag: str) -> DataFrame:
+def repeated_entries(entries: DataFrame, how: Symbols, values: dict[str, Value], repeated: Column, batches: int, tag: str, index: SortedRuns | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """The entries (stored, with ``key``) whose anchor fulfils ``repeated`` after all
-    batches. Batches ascend in doc, so what a batch is probed against came before."""
+    batches. Batches ascend in doc, so what a batch is probed against came before. With
+    an ``index`` that has the ``earlier`` entries, the new ones are added to it, and the
+    result has entries of both at the anchors of new ones."""
     lo, hi = entries.agg(F.min("doc"), F.max("doc")).first()
     columns = list(dict.fromkeys(["key", "context", *ROW, *RUN]))
     if lo is None:
         return shared.stored(entries.select(*columns), tag + "-again")
     step = max(1, -(-(hi - max(lo, -1) + 1) // batches))
     number = batch_number("doc", max(lo, 0), step, batches)
-    index, found = SortedRuns(entries.sparkSession, tag, how.key, values), []
+    kept, index, found = index, index or SortedRuns(entries.sparkSession, tag, how.key, values), []
     for b in range(batches):
         found.append(index.add(entries.where(number == b).select(how.key, *ROW, "start")))
-    index.close()
+    if kept is None:
+        index.close()
     keys = found[0]
     for part in found[1:]:
         keys = keys.unionByName(part)
     # The slim side is written first, so that the join's sides are plain shuffles and AQE
     # can split an anchor that very many entries share.
-    keys = shared.stored(keys.where(repeated).select(F.xxhash64("head").alias("key") if how.key == "head" else "key").distinct(), tag + "-keys")
-    again = shared.stored(entries.select(*columns).join(keys, "key", "left_semi"), tag + "-again")
+    keys = shared.stored(keys.where(repeated).select(entry_key(how).alias("key")).distinct(), tag + "-keys")
+    every = entries if earlier is None else earlier.unionByName(entries)
+    again = shared.stored(every.select(*columns).join(keys, "key", "left_semi"), tag + "-again")
     shared.discard(*found, keys)
     return again
 
@@ -246,3 +251,44 @@ def digested(docs: DataFrame, touched: DataFrame, digests: DataFrame, found: Dat
     some = joined.mapInArrow(work, f"doc long, {gone}").select(doc_id(kind), *names)
     others = digests.join(touched.select(*ROW).distinct(), ROW, "left_anti").select(doc_id(kind), *untouched)
     return some.unionByName(others)
+
+
+class History:
+    """An index that outlives a call: runs, entries, texts and digests of all documents added
+    so far, in the shared folder. ``save`` writes what ``opened`` needs to go on, in this
+    session or another one."""
+
+    PARTS = ("rows", "entries", "digests")
+
+    def __init__(self, spark: SparkSession, how: Symbols, values: dict[str, Value], tag: str):
+        self.spark, self.how, self.values, self.tag = spark, how, values, tag
+        self.index = SortedRuns(spark, tag + "-runs", how.key, values)
+        self.folders: dict[str, list[str]] = {p: [] for p in self.PARTS}
+
+    def part(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(*self.folders[name]) if self.folders[name] else None
+
+    def add(self, docs: DataFrame, repeated: Column, batches: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(rows, digests, touched, again): the new rows and the digests of untouched ones, and the
+        touched rows and repeated entries of new and earlier documents."""
+        rows = shared.stored(keyed(docs), self.tag + "-history")
+        found, sums, _ = scanned(rows, self.how, self.tag)
+        entries, digests = shared.stored(found.withColumn("key", entry_key(self.how)), self.tag + "-entries"), shared.stored(sums, self.tag + "-digests")
+        again = repeated_entries(entries, self.how, self.values, repeated, batches, self.tag + "-runs", self.index, self.part("entries"))
+        for p, df in zip(self.PARTS, (rows, entries, digests)):
+            self.folders[p].append(df._stored_at)
+        return rows, digests, touched_rows(self.part("rows"), again, self.tag), again
+
+    def save(self, folder: str) -> None:
+        state = json.dumps({"index": self.index.state(), "folders": self.folders})
+        self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(folder)
+
+    def restore(self, folder: str) -> None:
+        state = json.loads(self.spark.read.parquet(folder).first().state)
+        self.index = SortedRuns.restored(self.spark, state["index"], self.values)
+        self.folders = state["folders"]
+
+
+def entry_key(how: Symbols) -> Column:
+    """The anchor's key, a hash where the index is ordered by more than 64 bits."""
+    return F.xxhash64(how.key) if how.key != "key" else F.col("key")

@@ -9,12 +9,14 @@ each entry is rewritten at most log2(n) times. Runs that were merged are deleted
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import shared
 
@@ -44,15 +46,13 @@ BY_DOCUMENT = {
     "lo": Value(lambda: F.min("doc"), F.least),
     "hi": Value(lambda: F.max("doc"), F.greatest),
 }
-#: How often a key occurs, and the first of its positions.
-BY_POSITION = {
-    "n": Value(lambda: F.count(F.lit(1)), added),
-    "at": Value(lambda: F.min(F.struct("doc", "mark", "start")), F.least),
-}
+#: How often a key occurs.
+BY_NUMBER = {"n": Value(lambda: F.count(F.lit(1)), added)}
 
 
 class SortedRuns:
-    """Runs of (key, the columns of ``values``)."""
+    """Runs of (key, the columns of ``values``). ``state`` describes them; with it another
+    session goes on where this one stopped."""
 
     def __init__(self, spark: SparkSession, tag: str, key: str, values: dict[str, Value]):
         self.spark, self.tag, self.key, self.values = spark, tag, key, values
@@ -62,6 +62,20 @@ class SortedRuns:
         # Each bucket is one sorted file: scans need not sort it again.
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
+    def state(self) -> dict:
+        return {"tag": self.tag, "key": self.key, "folder": self.folder, "buckets": self.buckets, "runs": [[r.name, r.folder, r.level, self.spark.table(r.name).schema.json()] for r in self.runs]}
+
+    @staticmethod
+    def restored(spark: SparkSession, state: dict, values: dict[str, Value]) -> SortedRuns:
+        """The runs of another session, whose tables this one has to be told of."""
+        out = SortedRuns(spark, state["tag"], state["key"], values)
+        out.folder, out.buckets = state["folder"], state["buckets"]
+        for name, folder, level, schema in state["runs"]:
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(schema)))
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet CLUSTERED BY (`{out.key}`) SORTED BY (`{out.key}`) INTO {out.buckets} BUCKETS LOCATION '{folder}'")
+            out.runs.append(Run(name, folder, level))
+        return out
+
     def _write(self, entries: DataFrame, level: int) -> Run:
         name = f"{self.tag}_{uuid.uuid4().hex}".replace("-", "_")
         folder = f"{self.folder}/{name}"
@@ -79,7 +93,7 @@ class SortedRuns:
         """Stored (key, values) over ``batch`` and all earlier ones for the keys of the
         batch that occur twice or more."""
         # The aggregation's own exchange has as many partitions as there are buckets.
-        new = self._write(batch.groupBy(self.key).agg(*(v.gather().alias(c) for c, v in self.values.items())), 0)
+        new = self._write(self._dealt(batch).groupBy(self.key).agg(*(v.gather().alias(c) for c, v in self.values.items())), 0)
         found = self.spark.table(new.name)
         for old in self.runs:
             found = self._join(found, self.spark.table(old.name), "left")
@@ -93,6 +107,12 @@ class SortedRuns:
             self._drop(b)
         return found
 
+    def _dealt(self, batch: DataFrame) -> DataFrame:
+        """By key into as many partitions as there are buckets, where the session's own number
+        of partitions is another one."""
+        same = int(self.spark.conf.get("spark.sql.shuffle.partitions")) == self.buckets
+        return batch if same else batch.repartition(self.buckets, self.key)
+
     def _join(self, a: DataFrame, b: DataFrame, how: str) -> DataFrame:
         b = b.select(self.key, *(F.col(c).alias(c + "_") for c in self.values))
         both = a.hint("merge").join(b, self.key, how)

@@ -2,9 +2,9 @@
 arrays.
 
 Each batch of documents gets a sparse suffix array: its suffixes that start at
-content-defined anchors, in the order of their leading 96 bytes (``head``), each with
-its position; suffixes with equal heads are one entry with their number and first
-position. An anchor lies in every 400-byte string, at a place that only the string's
+content-defined anchors, in the order of their leading 96 bytes (``head``); suffixes with
+equal heads are one entry of the index with their number, and their positions are kept
+beside it. An anchor lies in every 400-byte string, at a place that only the string's
 bytes decide, so a string that stands twice has an anchor whose suffixes share their
 heads. A new batch is merge-scanned in suffix order against the levels for matches of
 that length and becomes a level itself; levels of equal size merge. The arrays are
@@ -29,11 +29,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats, shared, windows, word_windows
-from tessera.llm.runs import BY_POSITION
+from tessera.llm.runs import BY_NUMBER
 from tessera.session import table
 
 #: Bytes of a repeated string, leading bytes of a suffix that order it, batches, strings
@@ -62,7 +62,7 @@ def suffixes(width: int = WIDTH, head: int = HEAD) -> repeats.Symbols:
 
 def repeated_bytes(entries: DataFrame, how: repeats.Symbols, batches: int = BATCHES) -> DataFrame:
     """The stored entries whose head stands at two places or more."""
-    return repeats.repeated_entries(entries.withColumn("key", F.xxhash64("head")), how, BY_POSITION, F.col("n") > 1, batches, "byte-levels")
+    return repeats.repeated_entries(entries.withColumn("key", repeats.entry_key(how)), how, BY_NUMBER, F.col("n") > 1, batches, "byte-levels")
 
 
 def byte_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
@@ -102,6 +102,14 @@ def cut_spans(data: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int]:
     return b"".join(data[x:y] for x, y in zip(ends, [*a.tolist(), len(data)])), len(a)
 
 
+GONE = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _untouched() -> list[Column]:
+    zero = F.lit(0).cast("long")
+    return [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")]
+
+
 def removed_bytes(docs: DataFrame, how: repeats.Symbols | None = None, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     how = how or suffixes()
@@ -111,9 +119,30 @@ def removed_bytes(docs: DataFrame, how: repeats.Symbols | None = None, batches:
     touched = repeats.touched_rows(rows, again, "byte")
     found = byte_spans(touched, again, how)
     shared.discard(again)
-    zero = F.lit(0).cast("long")
-    untouched = [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")]
-    return repeats.digested(docs, touched, digests, found, _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", untouched)
+    return repeats.digested(docs, touched, digests, found, _cut, GONE, _untouched())
+
+
+class SuffixIndex:
+    """Incremental removal: the levels of all batches so far stay. A string that stands in an
+    earlier and in a new batch goes from both, so every ``add`` gives the rows of the documents
+    that it adds and of the earlier ones that share a head with them."""
+
+    def __init__(self, spark: SparkSession, how: repeats.Symbols | None = None, saved: str | None = None):
+        self.history = repeats.History(spark, how or suffixes(), BY_NUMBER, "byte")
+        if saved:
+            self.history.restore(saved)
+
+    def add(self, docs: DataFrame, batches: int = 1) -> DataFrame:
+        rows, digests, touched, again = self.history.add(docs, F.col("n") > 1, batches)
+        # Strings that only earlier documents share count as well: all entries of touched rows.
+        heads = self.history.part("entries").join(touched.select(*repeats.ROW).distinct(), repeats.ROW, "left_semi").select("key").distinct()
+        again = shared.stored(self.history.part("entries").join(heads, "key", "left_semi"), "byte-again")
+        every = repeats.touched_rows(self.history.part("rows"), again, "byte")
+        found = byte_spans(every, again, self.history.how)
+        return repeats.digested(docs, touched, digests, found.join(touched.select(*repeats.ROW).distinct(), repeats.ROW, "left_semi"), _cut, GONE, _untouched())
+
+    def save(self, folder: str) -> None:
+        self.history.save(folder)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:

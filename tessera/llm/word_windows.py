@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats, shared, windows
@@ -76,6 +76,13 @@ def _cut(data: bytes, merged) -> tuple[int, int, str]:
     return len(found), len(found) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest()
 
 
+GONE = "n_words long, n_removed long, kept_sha256 string"
+
+
+def _untouched() -> list[Column]:
+    return [F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")]
+
+
 def removed_words(docs: DataFrame, how: repeats.Symbols | None = None, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     how = how or words()
@@ -85,8 +92,31 @@ def removed_words(docs: DataFrame, how: repeats.Symbols | None = None, batches:
     touched = repeats.touched_rows(rows, again, "word")
     found = word_spans(touched, again, how)
     shared.discard(again)
-    untouched = [F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")]
-    return repeats.digested(docs, touched, digests, found, _cut, "n_words long, n_removed long, kept_sha256 string", untouched)
+    return repeats.digested(docs, touched, digests, found, _cut, GONE, _untouched())
+
+
+class WindowIndex:
+    """Incremental removal: the runs of all batches so far stay, and every ``add`` gives the rows
+    of its own documents, as one call over all of them would. New ids are above earlier ones."""
+
+    def __init__(self, spark: SparkSession, how: repeats.Symbols | None = None, saved: str | None = None):
+        self.history = repeats.History(spark, how or words(), BY_DOCUMENT, "word")
+        if saved:
+            self.history.restore(saved)
+
+    def add(self, docs: DataFrame, batches: int = 1) -> DataFrame:
+        earlier, how = self.history.part("rows"), self.history.how
+        if earlier is not None:
+            top, low = earlier.agg(F.max("doc")).first()[0], docs.agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.SMALLEST)))).first()[0]
+            if top is not None and low is not None and low <= top:
+                raise ValueError("new documents must have larger ids than those in the index")
+        rows, digests, touched, again = self.history.add(docs, F.col("lo") < F.col("hi"), batches)
+        found = word_spans(touched, again, how)
+        own = touched.join(rows.select(*repeats.ROW).distinct(), repeats.ROW, "left_semi")
+        return repeats.digested(docs, own, digests, found, _cut, GONE, _untouched())
+
+    def save(self, folder: str) -> None:
+        self.history.save(folder)
 
 
 def passage_anchors(rows: DataFrame, how: repeats.Symbols, batches: int = BATCHES) -> DataFrame:

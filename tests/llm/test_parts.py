@@ -421,3 +421,55 @@ def test_hadamard():
     for _ in range(3):
         h = np.block([[h, h], [h, -h]])
     assert np.allclose(cross_polytope.hadamard(x), x @ h.T)
+
+
+def test_word_index_in_calls(spark, tmp_path):
+    """Batches added one by one, with the index saved and opened again between them, give what
+    one call over all of them gives."""
+    rng = random.Random(21)
+    draw = lambda n: " ".join(rng.choice("abc") + str(rng.randrange(60)) for _ in range(n))
+    passages = [draw(30) for _ in range(4)]
+    texts = [f"{draw(rng.randrange(30))} {passages[i % 4]} {draw(20)}" for i in range(40)] + ["", None, passages[0]]
+    texts[30] = texts[2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    how = word_windows.words(12, 6)
+    want = sorted(map(tuple, word_windows.removed_words(docs, how).collect()))
+    index, got = word_windows.WindowIndex(spark, how), []
+    for k, (lo, hi) in enumerate(((0, 9), (9, 10), (10, 35), (35, 99))):
+        got += map(tuple, index.add(docs.where(f"doc_id >= {lo} and doc_id < {hi}")).collect())
+        index.save(f"{tmp_path}/{k}")
+        index = word_windows.WindowIndex(spark, how, saved=f"{tmp_path}/{k}")
+    assert sorted(got) == want and any(r[2] for r in want)
+    assert len(index.history.index.runs) <= 3
+    with pytest.raises(ValueError):
+        index.add(docs.where("doc_id = 3"))
+
+
+def test_suffix_index_in_calls(spark, tmp_path):
+    rng = random.Random(22)
+    draw = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    passages = [draw(70) for _ in range(4)]
+    texts = [draw(rng.randrange(50)) + passages[i % 4][: rng.randrange(30, 71)] + draw(30) for i in range(30)] + ["", None, passages[1], passages[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    how = suffix_levels.suffixes(40, 12)
+    want = sorted(map(tuple, suffix_levels.removed_bytes(docs, how).collect()))
+    index, got = suffix_levels.SuffixIndex(spark, how), {}
+    for k, (lo, hi) in enumerate(((0, 5), (5, 20), (20, 99))):
+        got |= {r.doc_id: tuple(r) for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {hi}"), 2).collect()}
+        index.save(f"{tmp_path}/{k}")
+        index = suffix_levels.SuffixIndex(spark, how, saved=f"{tmp_path}/{k}")
+    assert sorted(got.values()) == want and any(r[2] for r in want)
+
+
+def test_texts_over_a_slice(spark):
+    """Texts longer than a slice and a segment, next to short ones, with passages in common."""
+    rng = random.Random(23)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    long = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(190_000)) for c in "xy"]
+    assert all(len(t) > 1 << 20 for t in long)
+    texts = [f"{long[0]} {passage} end", "short one", f"{passage} {long[1]}", passage, long[0][:2000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = {r.doc_id: r.n_removed for r in word_windows.removed_words(docs).collect()}
+    assert words == {0: 0, 1: 0, 2: 80, 3: 80, 4: len(long[0][:2000].split()) - (not long[0][1999].isspace() and not long[0][2000].isspace())}
+    cut = {r.doc_id: r.n_removed for r in suffix_levels.removed_bytes(docs).collect()}
+    assert cut[1] == 0 and cut[0] >= 2000 + len(passage) and cut[3] == len(passage) and cut[4] == 2000 and len(passage) <= cut[2] <= len(passage) + 2
