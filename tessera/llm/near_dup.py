@@ -311,7 +311,8 @@ def _joined_up(roots: DataFrame, upper: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """doc_id, mark, n_shingles, component_id, kept for every row."""
+    """doc_id, mark, n_shingles, root, component_id, kept for every row. The root tells components
+    apart that have the same smallest doc_id, as two texts of one doc_id can."""
     rows = described(docs, how)
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("class", "class2").agg(F.min(F.struct("doc_id", "mark")).alias("place"), F.min("sig").alias("sig"), (F.count(F.lit(1)) > 1).alias("many"))
@@ -332,19 +333,20 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     groups = shared.stored(own.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-groups")
     named = shared.stored(shared.with_groups(own.select("class", "root", F.col("n").alias("rows")), groups, "root"), "near-named")
     slim = ["doc_id", "mark", "n_shingles"]
-    linked = shared.with_groups(usable.select(*slim, "class"), named.select("class", "component_id", F.col("rows").alias("n")), "class")
-    alone = rows.where("not (n_shingles > 0 and doc_id is not null)").select(*slim, F.col("doc_id").alias("component_id"))
-    out = linked.select(*slim, "component_id").unionByName(alone)
-    return out.select(*slim, "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+    linked = shared.with_groups(usable.select(*slim, "class"), named.select("class", "root", "component_id", F.col("rows").alias("n")), "class")
+    alone = rows.where("not (n_shingles > 0 and doc_id is not null)").select(*slim, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    out = linked.select(*slim, "root", "component_id").unionByName(alone)
+    return out.select(*slim, "root", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """One row of ``docs`` per component: the one with the smallest (doc_id, text hash).
+    """One row of ``docs`` per component: the one with the smallest (doc_id, text hash). Texts of
+    one doc_id that are not linked are components of their own.
     Rows without words are all kept. Only what goes is joined back, by key."""
-    found = shared.stored(near_duplicates(docs, how).select("doc_id", "mark", "n_shingles", "component_id"), "near-found")
+    found = shared.stored(near_duplicates(docs, how).select("doc_id", "mark", "n_shingles", "root", "component_id"), "near-found")
     linked = found.where("n_shingles > 0 and doc_id is not null")
-    first = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("stays"))
-    gone = linked.join(first, "component_id").where("doc_id <> component_id or mark <> stays").select(F.col("doc_id").alias("gone_doc"), F.col("mark").alias("gone_mark")).distinct()
+    first = linked.where("doc_id = component_id").groupBy("root").agg(F.min("mark").alias("stays"))
+    gone = linked.join(first, "root").where("doc_id <> component_id or mark <> stays").select(F.col("doc_id").alias("gone_doc"), F.col("mark").alias("gone_mark")).distinct()
     text = shared.whole_text()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("mark"))
     rows = rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
