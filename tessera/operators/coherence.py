@@ -84,6 +84,23 @@ def score_tokens(vectors: list, factors: np.ndarray, ids: np.ndarray, how: Coher
     return float((kept if len(kept) else cos).mean())
 
 
+def checked(vocab: DataFrame) -> DataFrame:
+    """``vocab`` if its vectors have one length and no missing or infinite component, and no
+    token or id is missing; an error otherwise."""
+    broken = F.col("token").isNull() | F.col("id").isNull() | F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    r = vocab.agg(F.count_if(F.coalesce(broken, F.lit(True))).alias("broken"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if r.broken:
+        raise ValueError(f"{r.broken} entries of the vocabulary have no token, id or finite vector")
+    if r.least != r.most or r.least == 0:
+        raise ValueError(f"vectors have {r.least} to {r.most} dimensions")
+    return vocab
+
+
+def without_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
+    """Token rows that are not in the list (token)."""
+    return tokens.join(stop.select("token"), "token", "left_anti").select(*tokens.columns)
+
+
 def coherence(tokens: DataFrame, vocab: DataFrame, keys: list[str], how: Coherence = Coherence()) -> DataFrame:
     """(keys, gc) from (keys, pos, token) rows and vocab (token, id, vec, entropy).
     A token that stands twice in the vocabulary takes its largest id."""

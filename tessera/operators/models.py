@@ -131,6 +131,24 @@ def linear_weights(s: Scaled) -> np.ndarray:
     return np.concatenate([[s.targets[0] / s.n - b @ s.mean], b])
 
 
+def ridge_weights(s: Scaled, alpha: float) -> np.ndarray:
+    """As above with ``alpha`` times the squared slopes on the standardised features."""
+    r, xy = s.n * s.cov / np.outer(s.sd, s.sd), s.n * s.with_targets[:, 0] / s.sd
+    b = np.linalg.solve(r + alpha * np.eye(len(xy)), xy) / s.sd
+    return np.concatenate([[s.targets[0] / s.n - b @ s.mean], b])
+
+
+def lasso_weights(s: Scaled, alpha: float) -> np.ndarray:
+    """Half the mean squared error plus ``alpha`` times the absolute slopes."""
+    r, xy = s.cov / np.outer(s.sd, s.sd), s.with_targets[:, 0] / s.sd
+    b = newton_step(np.zeros(len(xy)), -xy / alpha, r / alpha, np.zeros(len(xy), bool)) / s.sd
+    return np.concatenate([[s.targets[0] / s.n - b @ s.mean], b])
+
+
+#: Regressions by name; more can be given to ``out_of_fold`` as functions of ``Scaled``.
+REGRESSIONS = {"linear": lambda s, alpha: linear_weights(s), "ridge": ridge_weights, "lasso": lasso_weights}
+
+
 class Features:
     """The rows as the passes read them: _g (the group as text), fold, the columns less their
     overall mean, targets."""
@@ -175,17 +193,22 @@ def _of(row_sums, medians, targets: int) -> Scaled:
     return Scaled(np.array(row_sums, float), np.array(medians, float), targets)
 
 
-def out_of_fold(df: DataFrame, group: str, key: str, y: str, columns: list[str], kind: str, clip: tuple[float, float] | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, group: str, key: str, y: str, columns: list[str], kind="linear", clip: tuple[float, float] | None = None, alpha: float = 1.0, penalty: str = "l1") -> DataFrame:
     """(group, key, y_true, oof_pred, fold[, oof_proba_pos]) for rows with a ``fold`` column
-    and a known y; one model per group (source) and fold, null where it cannot be trained."""
-    if kind != "linear":
-        return _out_of_fold_binary(df, group, key, y, columns)
+    and a known y; one model per group (source) and fold, null where it cannot be trained.
+    ``kind`` is a regression by name or a function of ``Scaled`` and ``alpha`` that gives intercept and
+    slopes, or ``logistic`` with an absolute (``l1``) or squared (``l2``) penalty."""
+    if kind == "logistic":
+        return _out_of_fold_binary(df, group, key, y, columns, penalty)
+    if isinstance(kind, str) and kind not in REGRESSIONS:
+        raise ValueError(f"unknown model: {kind}")
+    fit = REGRESSIONS[kind] if isinstance(kind, str) else kind
     f = Features(df.where(F.col(y).isNotNull()), group, columns, [F.col(y)], [key])
 
     @F.pandas_udf("array<double>")
     def solve(sums: pd.Series, medians: pd.Series) -> pd.Series:
         scales = [_of(s, m, 1) for s, m in zip(sums, medians)]
-        return pd.Series([linear_weights(s).tolist() if s.n > 0.5 else None for s in scales], dtype=object)
+        return pd.Series([np.asarray(fit(s, alpha)).tolist() if s.n > 0.5 else None for s in scales], dtype=object)
 
     models = f.scaled().select("_g", "fold", "medians", solve("sums", "medians").alias("w"))
     met = f.rows.join(models, ["_g", "fold"], "left")
@@ -225,9 +248,13 @@ def loss_terms(a: np.ndarray, hot: np.ndarray, weight: np.ndarray, w: np.ndarray
     return np.concatenate([[loss], grad.ravel(), curve.ravel()])
 
 
-def newton_step(w: np.ndarray, grad: np.ndarray, curve: np.ndarray, free: np.ndarray) -> np.ndarray:
+def newton_step(w: np.ndarray, grad: np.ndarray, curve: np.ndarray, free: np.ndarray, squared: bool = False) -> np.ndarray:
     """The change that minimises the quadratic model plus the absolute weights (but those
-    that are ``free``), one coordinate after the other."""
+    that are ``free``), one coordinate after the other; with ``squared`` plus half their squares,
+    by one solution."""
+    if squared:
+        own = (~free).astype(float)
+        return np.linalg.solve(curve + np.diag(own + 1e-9 * max(1.0, np.diag(curve).max())), -(grad + own * w))
     d = np.zeros(len(w))
     curve = curve + np.diag(np.full(len(w), 1e-9 * max(1.0, np.diag(curve).max())))
     slope = grad.copy()
@@ -261,23 +288,26 @@ class Descent:
         return s[:size] + s[-3] * s[size : 2 * size]
 
     @staticmethod
-    def follow(state, sums, free: np.ndarray) -> list:
+    def follow(state, sums, free: np.ndarray, squared: bool = False) -> list:
         """The next state: a step that lowered the objective is taken, others are halved."""
         s, size = np.asarray(state, float), (len(state) - 3) // 2
         w, d, length, best = s[:size], s[size : 2 * size], s[-3], s[-2]
         now = w + length * d
-        value = sums[0] + np.abs(now[~free]).sum()
+        value = sums[0] + (0.5 * (now[~free] ** 2).sum() if squared else np.abs(now[~free]).sum())
         if value > best + 1e-12 * abs(best) and length > 1e-6:
             return [*w.tolist(), *d.tolist(), length / 2, best, 0.0]
-        step = newton_step(now, np.asarray(sums[1 : 1 + size]), np.asarray(sums[1 + size :]).reshape(size, size), free)
+        step = newton_step(now, np.asarray(sums[1 : 1 + size]), np.asarray(sums[1 + size :]).reshape(size, size), free, squared)
         done = float(np.abs(step).max() < 1e-9 or length <= 1e-6)
         return [*now.tolist(), *(step * (1 - done)).tolist(), 1.0, value, done]
 
 
-def penalised(f: Features, binary: bool, c: float = 1.0, most_passes: int = 100) -> DataFrame:
-    """Stored (_g, fold, sums, medians, w): balanced L1 logistic models of all groups and folds,
+def penalised(f: Features, binary: bool, c: float = 1.0, penalty: str = "l1", most_passes: int = 100) -> DataFrame:
+    """Stored (_g, fold, medians, w): balanced logistic models with an ``l1`` or ``l2`` penalty of all groups and folds,
     null where training rows of a single class are left. The proximal Newton steps of all
     models go forward together, one pass over the rows each."""
+    if penalty not in ("l1", "l2"):
+        raise ValueError(f"unknown penalty: {penalty}")
+    squared = penalty == "l2"
     p, classes, columns, targets = len(f.columns), f.n_targets, f.columns, f.targets
     width = 1 if binary else classes
     size = (p + 1) * width
@@ -309,7 +339,7 @@ def penalised(f: Features, binary: bool, c: float = 1.0, most_passes: int = 100)
 
     @F.pandas_udf("array<double>")
     def follow(state: pd.Series, sums: pd.Series) -> pd.Series:
-        return pd.Series([s if z is None or s[-1] else Descent.follow(s, np.array(z, float), free) for s, z in zip(state, sums)], dtype=object)
+        return pd.Series([s if z is None or s[-1] else Descent.follow(s, np.array(z, float), free, squared) for s, z in zip(state, sums)], dtype=object)
 
     state = scales.select("_g", "fold", F.array(*map(F.lit, Descent.start(size))).alias("state"))
     for _ in range(most_passes):
@@ -351,9 +381,9 @@ def _logit(f: Features, first: int) -> Column:
     return value
 
 
-def _out_of_fold_binary(df: DataFrame, group: str, key: str, y: str, columns: list[str]) -> DataFrame:
+def _out_of_fold_binary(df: DataFrame, group: str, key: str, y: str, columns: list[str], penalty: str) -> DataFrame:
     f = Features(df.where(F.col(y).isNotNull()), group, columns, [(F.col(y) == 0).cast("double"), (F.col(y) == 1).cast("double")], [key])
-    met = f.rows.join(penalised(f, True), ["_g", "fold"], "left")
+    met = f.rows.join(penalised(f, True, penalty=penalty), ["_g", "fold"], "left")
     out = met.withColumn("oof_proba_pos", 1 / (1 + F.exp(-_logit(f, 0))))
     return out.select(group, key, F.col("t1").alias("y_true"), (F.col("oof_proba_pos") >= 0.5).cast("double").alias("oof_pred"), "fold", "oof_proba_pos")
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.statistics import numbered
+
 
 def canonical(df: DataFrame, synonyms: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
     """Columns under their canonical names: the canonical name wins where it is present,
@@ -37,11 +39,23 @@ def availability(files: DataFrame, unit: str, source: str, sources: list[str]) -
     return files.groupBy(unit).agg(*(F.max((F.col(source) == s).cast("int")).alias(s) for s in sources))
 
 
-def pair_by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], part_a: str, part_b: str) -> DataFrame:
-    """Rows of two frames paired by rank inside each part."""
-    ra = a.withColumn("_rn", F.row_number().over(Window.partitionBy(part_a).orderBy(*order_a)))
-    rb = b.withColumn("_rn", F.row_number().over(Window.partitionBy(part_b).orderBy(*order_b)))
-    return ra.join(rb, (ra[part_a] == rb[part_b]) & (ra["_rn"] == rb["_rn"])).drop(rb["_rn"])
+def drop_columns(df: DataFrame, *names: str) -> DataFrame:
+    """Without the named columns; those that are not there are no error."""
+    return df.drop(*names)
+
+
+def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, found with partial results of every task."""
+    return df.orderBy(*order).limit(n)
+
+
+def pair_by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], part_a: str | None = None, part_b: str | None = None) -> DataFrame:
+    """Rows of two frames paired by rank inside each part, or, without parts, in the whole
+    frames."""
+    ra = numbered(a, [part_a] if part_a else [], order_a, "_rn")
+    rb = numbered(b, [part_b] if part_b else [], order_b, "_rn")
+    same = ra["_rn"] == rb["_rn"]
+    return ra.join(rb, (ra[part_a] == rb[part_b]) & same if part_a else same).drop(rb["_rn"])
 
 
 def combine(base: DataFrame, tables: list[DataFrame], keys: list[str], required: list[str]) -> DataFrame:

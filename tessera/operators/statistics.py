@@ -117,6 +117,13 @@ def with_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFram
     return df.withColumn("_own", own).join(ranks, "_own", "left").drop("_own")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the number (from 1) of each row in its group by ``order``; equal rows are
+    numbered as they come. Without keys the whole frame is numbered, over all tasks."""
+    own = positions_of(df.withColumns({"n": F.lit(1), "_order": F.struct(*order)}), keys, "_order")
+    return own.withColumn(out, F.col("before") + 1).select(*df.columns, out)
+
+
 def quantiles_of(placed: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """(keys, q, n): exact quantiles with linear interpolation, as an array, of ``positions``."""
     at = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]

@@ -169,11 +169,12 @@ def errors_between(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array(alignment.error_counts(refs, hyps)[:, 1:].sum(axis=1))
 
 
-def synthesise(refs: DataFrame, tables: dict[str, DataFrame], targets=TARGETS, reps: int = 5, attempts: int = ATTEMPTS, seed: int = 0) -> DataFrame:
+def synthesise(refs: DataFrame, tables: dict[str, DataFrame], targets=TARGETS, reps: int = 5, attempts: int = ATTEMPTS, seed: int = 0, schedule=dropout_share) -> DataFrame:
     """(srcID, pID, target, rep, text, wer) for (pID, tokens) references: of all attempts the
     first that is within ``NEAR_ENOUGH`` of the target, else the nearest. Every transcript is
     expanded by the small list of targets and repetitions in place; seeds are hashed from
-    its keys and tokens, so results do not depend on partitions."""
+    its keys and tokens, so results do not depend on partitions. ``schedule`` gives the share of a
+    target's errors that is lost in whole stretches."""
     tables = {k: stored(v, f"profile-{k}") for k, v in tables.items()}
     slots, places, lengths = lines(tables)
     with_ = Settings(tables, lengths)
@@ -187,7 +188,7 @@ def synthesise(refs: DataFrame, tables: dict[str, DataFrame], targets=TARGETS, r
     known = own.join(packed, "doc").select("doc", "pID", F.col("w.sub_lo").alias("sub_lo"), F.col("w.subs").alias("subs"), F.col("w.dels").alias("dels"), F.posexplode(grid).alias("cell", "g"), F.xxhash64("tokens").alias("said"))
     n_cells = len(targets) * reps
     rows = known.select(
-        (F.col("doc") * n_cells + F.col("cell")).alias("id"), F.xxhash64(F.lit(seed), "g.target", "g.rep", F.col("pID").cast("string"), "said").alias("seed"), "g.target", dropout_share(F.col("g.target")).alias("loss"), "sub_lo", "subs", "dels",
+        (F.col("doc") * n_cells + F.col("cell")).alias("id"), F.xxhash64(F.lit(seed), "g.target", "g.rep", F.col("pID").cast("string"), "said").alias("seed"), "g.target", schedule(F.col("g.target")).alias("loss"), "sub_lo", "subs", "dels",
     )
     parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plans = stored(planned(rows.repartition(parts, "id"), with_, attempts), "synth-plans")

@@ -109,8 +109,21 @@ def source_order(spark, sf_dir):
 @query("""WITH a AS (SELECT n_nationkey, n_regionkey, row_number() OVER (ORDER BY n_name) AS i FROM nation), b AS (SELECT n_nationkey, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation)
 SELECT count(*) AS mismatches FROM a JOIN b ON a.i = b.i WHERE a.n_regionkey IS DISTINCT FROM b.n_regionkey""")
 def mismatch_count(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lit(1).alias("g"), "n_name", "n_nationkey", "n_regionkey")
-    a = n.select(F.col("g").alias("ga"), "n_name", F.col("n_regionkey").alias("ra"))
-    b = n.select(F.col("g").alias("gb"), "n_nationkey", F.col("n_regionkey").alias("rb"))
-    p = relational.pair_by_position(a, b, ["n_name"], ["n_nationkey"], "ga", "gb")
+    n = table(spark, sf_dir, "nation")
+    a = n.select("n_name", F.col("n_regionkey").alias("ra"))
+    b = n.select("n_nationkey", F.col("n_regionkey").alias("rb"))
+    p = relational.pair_by_position(a, b, ["n_name"], ["n_nationkey"])
     return p.where(~F.col("ra").eqNullSafe(F.col("rb"))).agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def longest_documents(spark, sf_dir):
+    """A report of the ten longest documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return relational.first_rows(d, [F.desc("n_chars"), "doc_id"], 10)
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def without_columns(spark, sf_dir):
+    """Columns that are not wanted go, whether they are there or not."""
+    return relational.drop_columns(table(spark, sf_dir, "documents"), "text", "source", "age", "sex")

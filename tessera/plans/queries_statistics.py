@@ -222,6 +222,19 @@ def oof_regression_by_fold(spark, sf_dir):
     return m.select("lang", "fold", *(r6(F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "r")))
 
 
+@query()
+def oof_model_choice(spark, sf_dir):
+    """Errors of three regressions on the same folds."""
+    inputs.start(spark)
+    b = models.leave_groups_out(_base(spark, sf_dir).withColumn("y", F.col("mmse")), "srcID").withColumn("all", F.lit("all"))
+    out = None
+    for kind in sorted(models.REGRESSIONS):
+        one = models.out_of_fold(b, "all", "pID", "y", ["gc", "pd", "n_chars"], kind, (0.0, 30.0))
+        one = statistics.regression_metrics(one, "y_true", "oof_pred").select(F.lit(kind).alias("model"), *(r6(F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "r")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def oof_class_metrics(spark, sf_dir):
     """Accuracy, F1 and AUC of the out-of-fold probabilities themselves, per language and fold."""

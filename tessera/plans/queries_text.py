@@ -8,8 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.numeric import r6
-from tessera.operators import alignment, coherence, grammar, language_model, statistics, synthesis, utterances
+from tessera.functions.numeric import r6, safe_corr
+from tessera.operators import alignment, coherence, grammar, language_model, relational, statistics, synthesis, utterances
 from tessera.plans import inputs
 from tessera.plans.inputs import PAIRS_SQL
 from tessera.session import table
@@ -483,6 +483,58 @@ def grammar_syllables(spark, sf_dir):
     return f.select("pID", "avg_sentence_length", r6(F.col("avg_word_syllables")).alias("avg_word_syllables"), r4("flesch_kincaid_grade_level"), r4("flesch_kincaid_reading_ease"))
 
 
+@query(f"SELECT * FROM ({ORACLES['grammar_pos']}) JOIN ({ORACLES['grammar_lexical']}) USING (pID) JOIN ({ORACLES['grammar_reps']}) USING (pID) JOIN ({ORACLES['grammar_syllables']}) USING (pID)")
+def grammar_all(spark, sf_dir):
+    """The features of every utterance in one row, computed together."""
+    f = grammar.features(_tagged(spark, sf_dir), ["pID"])
+    fours = {"honores_statistic", "flesch_kincaid_grade_level", "flesch_kincaid_reading_ease"}
+    names = [*POS_COLUMNS, "avg_word_length", "type_token_ratio", "mattr", "honores_statistic", "brunets_index", "immediate_reps", "nearby_reps_k3", "nearby_reps_k5", "avg_sentence_length", "avg_word_syllables", "flesch_kincaid_grade_level", "flesch_kincaid_reading_ease"]
+    return f.select("pID", *((F.round(c, 4) + 0.0 if c in fours else r6(F.col(c))).alias(c) for c in names))
+
+
+@query()
+def grammar_of_sources(spark, sf_dir):
+    """From texts to all features: cleaned, cut into Treebank words, contractions written out,
+    tagged, for every utterance of more than one word."""
+    u = utterances.keep_long(inputs.utterances(spark, sf_dir), "full_text")
+    closed = text.close_sentence(F.col("full_text"))
+    words = text.expand_contractions(text.treebank_tokens(text.normalize_text(closed)))
+    return grammar.features(u.select("pID", "utt_pos", "speaker", grammar.tagged(words).alias("tagged")), ["pID", "utt_pos", "speaker"])
+
+
+_STOP_SQL = ", ".join("'{}'".format(w.replace("'", "''")) for w in text.STOP_WORDS)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s]+', '', 'g')), '\\s+'), lambda x: x <> '') AS t FROM conversations)
+SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_filter(t, lambda x: x NOT IN ({_STOP_SQL}))) AS INTEGER) AS n_content FROM t""")
+def content_tokens(spark, sf_dir):
+    """Tokens of a turn, with and without stop words."""
+    stop = F.array(*map(F.lit, text.STOP_WORDS))
+    x = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.coherence_tokens(x)).alias("n_tokens"), F.size(text.coherence_tokens(x, stop)).alias("n_content"))
+
+
+def _r_sql(x: str, y: str) -> str:
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+@query(f"""WITH {PAIRS_SQL}, f AS (SELECT srcID, len(ref)::DOUBLE AS score, len(hyp)::DOUBLE AS n_words, len(array_to_string(hyp, ''))::DOUBLE / nullif(len(hyp), 0) AS word_length, len(list_distinct(hyp))::DOUBLE / nullif(len(hyp), 0) AS types FROM pairs),
+l AS (UNPIVOT f ON n_words, word_length, types INTO NAME metric VALUE v),
+o AS (SELECT srcID, row_number() OVER (ORDER BY avg(wer), srcID) AS place FROM wer GROUP BY srcID)
+SELECT o.place, l.srcID, metric, count(*) AS n, round({_r_sql('v', 'score')}, 6) + 0 AS r FROM l JOIN o ON l.srcID = o.srcID WHERE v IS NOT NULL GROUP BY o.place, l.srcID, metric HAVING count(*) > 2 ORDER BY o.place, metric""")
+def heatmap_rows(spark, sf_dir):
+    """Signed correlations of every measure with a turn's true length, for sources in the
+    order of their word error rate; only measures known for more than two turns."""
+    pairs = inputs.hypotheses(inputs.references(spark, sf_dir))
+    size = F.size("hyp").cast("double")
+    per = lambda x: F.when(size > 0, x.cast("double") / size)
+    f = pairs.select("srcID", F.size("ref").cast("double").alias("score"), size.alias("n_words"), per(F.length(F.array_join("hyp", ""))).alias("word_length"), per(F.size(F.array_distinct("hyp"))).alias("types"))
+    long = statistics.long_form(f, ["srcID", "score"], ["n_words", "word_length", "types"], "metric", "v").where("v is not null")
+    r = long.groupBy("srcID", "metric").agg(F.count(F.lit(1)).alias("n"), r6(safe_corr(F.col("v"), F.col("score"))).alias("r")).where("n > 2")
+    order = relational.order_by_mean(_wer(spark, sf_dir), "srcID", "wer").select("srcID", F.col("place").cast("long").alias("place"))
+    return order.join(r, "srcID").select("place", "srcID", "metric", "n", "r").orderBy("place", "metric")
+
+
 @query()
 def coherence_scores(spark, sf_dir):
     inputs.start(spark)

@@ -1,5 +1,7 @@
 """Hand-computed cases and properties."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings

@@ -279,6 +279,39 @@ def test_classes(table):
         assert all(got[k].oof_pred == "pqr"[int(np.argmax(got[k].oof_proba))] for k in test.key)
 
 
+def test_model_choice(table):
+    pdf, df = table
+    got = {kind: {r.key: r.oof_pred for r in models.out_of_fold(df, "g", "key", "y", COLUMNS, kind, alpha=0.3).collect()} for kind in ("ridge", "lasso")}
+    for train, test, a, b in each_fold(pdf):
+        y = train.y.to_numpy()
+        ridge = np.linalg.solve(a.T @ a + 0.3 * np.eye(4), a.T @ (y - y.mean()))
+        assert np.allclose([got["ridge"][k] for k in test.key], y.mean() + b @ ridge, atol=1e-7)
+        lasso = np.zeros(4)
+        for _ in range(3000):
+            for j in range(3):
+                rest = y - y.mean() - a @ lasso + a[:, j] * lasso[j]
+                rho = a[:, j] @ rest / len(a)
+                lasso[j] = np.sign(rho) * max(abs(rho) - 0.3, 0) / (a[:, j] @ a[:, j] / len(a))
+        assert np.allclose([got["lasso"][k] for k in test.key], y.mean() + b @ lasso, atol=1e-6)
+    with pytest.raises(ValueError):
+        models.out_of_fold(df, "g", "key", "y", COLUMNS, "forest")
+
+
+def test_squared_penalty(table):
+    pdf, df = table
+    middle = float(pdf.y.median())
+    got = {r.key: r.oof_proba_pos for r in models.out_of_fold(df.withColumn("c", (F.col("y") > middle).cast("double")), "g", "key", "c", COLUMNS, "logistic", penalty="l2").collect()}
+    for train, test, a, b in each_fold(pdf):
+        y = (train.y > middle).to_numpy().astype(float)
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        x, w = np.column_stack([np.ones(len(a)), a]), np.zeros(5)
+        own = np.array([0, 1, 1, 1, 1.0])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(own), x.T @ (weight * (p - y)) + own * w)
+        assert np.allclose([got[k] for k in test.key], 1 / (1 + np.exp(-(w[0] + b @ w[1:]))), atol=1e-6)
+
+
 def test_models_that_cannot_be_trained(spark):
     """One fold only, one class only, a class that the training rows lack, unknown targets."""
     rows = [("one", 0, 0, 1.0, 2.0, "a"), ("one", 1, 0, 2.0, 3.0, "b"), ("same", 2, 0, 1.0, 1.0, "a"), ("same", 3, 1, 2.0, 1.0, "a"), ("same", 4, 1, 3.0, None, "a"), (None, 5, 0, 1.0, 5.0, "a"), (None, 6, 1, None, 7.0, "b"), (None, 7, 1, 3.0, 7.0, "a")]
@@ -298,3 +331,12 @@ def test_folds(spark):
     for label in "xy":
         n = np.bincount([r.fold for r in set(got) if r.label == label], minlength=5)
         assert n.max() - n.min() <= 1
+
+
+def test_numbered(spark):
+    rows = [(g, v) for g in ("a", "b", None) for v in (3, 1, 2, 2)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    got = statistics.numbered(df, ["g"], ["v"], "i").collect()
+    assert sorted(map(repr, ((r.g, r.v, r.i) for r in got))) == sorted(map(repr, ((g, v, i) for g in ("a", "b", None) for v, i in ((1, 1), (2, 2), (2, 3), (3, 4)))))
+    whole = statistics.numbered(df, [], ["v"], "i").collect()
+    assert sorted(r.i for r in whole) == list(range(1, 13)) and all((r.v == 1) == (r.i <= 3) for r in whole)

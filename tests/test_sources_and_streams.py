@@ -65,3 +65,52 @@ def test_trailing_windows(spark, tmp_path):
     q.awaitTermination(300)
     want = streams.trailing_windows(spark.createDataFrame(rows, schema), 4)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_label_catalogue(spark, tmp_path):
+    """Sources are labelled against the first one, in one run that can be repeated and goes on
+    with what is new."""
+    from tessera.operators import labelling
+
+    def write(source, name, lines):
+        (tmp_path / source).mkdir(exist_ok=True)
+        (tmp_path / source / f"{name}.csv").write_text("\n".join(lines) + "\n")
+
+    hand = ["speaker,text,t0,t1,uID", "PAR,the,0.0,,u1", "PAR,cat,,2.0,u1", "INV,yes,2.0,3.0,u2", "PAR,sat,3.0,4.0,u3"]
+    for p in ("p1", "p2", "skipped"):
+        write("hand", p, hand)
+    for p in ("p1", "p2", "skipped", "unknown"):
+        write("asr", p, ["word,start,end", "The,0.0,1.0", "hat,1.0,2.0", "yes,2.0,3.0", "uh,2.1,2.9", "sat,3.0,4.0"])
+    write("late", "p1", ["content,start,end", "cat,0,1"])
+    sources = [transcripts.Source(n, str(tmp_path / n), "csv") for n in ("hand", "asr", "late")]
+    out = str(tmp_path / "out")
+    first = labelling.label_catalogue(spark, sources[:2], out, skip=("skipped",))
+    want = [(0, "The", "equal", "the"), (1, "hat", "sub", "cat"), (4, "sat", "equal", "sat")]
+    got = sorted(tuple(r) for r in first.select("srcID", "pID", "pos", "word", "align_op", "truth_word").collect())
+    assert got == [("asr", p, *w) for p in ("p1", "p2") for w in want]
+    assert {r.speaker_id for r in spark.read.parquet(out).collect()} == {"PAR"}
+    again = labelling.label_catalogue(spark, sources, out, skip=("skipped",))
+    assert [(r.srcID, r.pID, r.word) for r in again.collect()] == [("late", "p1", "cat")]
+    assert spark.read.parquet(out).count() == 7
+    assert labelling.label_catalogue(spark, sources, out, skip=("skipped",)).count() == 0
+
+
+def test_lexical_readers(spark, tmp_path):
+    from tessera.operators import coherence
+
+    (tmp_path / "v.csv").write_text(",0,1\ncat,0.5,1\ndog,1e-3,x\n")
+    (tmp_path / "e.csv").write_text(",entropy\ncat,0.25\n")
+    (tmp_path / "s.tsv").write_text("the\t1\n a \t2\n\nthe\t3\n")
+    v = {r.token: r.vec for r in transcripts.read_vectors(spark, str(tmp_path / "v.csv")).collect()}
+    assert v == {"cat": [0.5, 1.0], "dog": [0.001, None]}
+    assert [tuple(r) for r in transcripts.read_entropy(spark, str(tmp_path / "e.csv")).collect()] == [("cat", 0.25)]
+    stop = transcripts.read_stop_words(spark, str(tmp_path / "s.tsv"))
+    assert sorted(r.token for r in stop.collect()) == ["a", "the"]
+    tokens = spark.createDataFrame([(1, 0, "the"), (1, 1, "cat")], "pID int, pos int, token string")
+    assert [r.token for r in coherence.without_stop_words(tokens, stop).collect()] == ["cat"]
+    with pytest.raises(ValueError):
+        coherence.checked(transcripts.read_vectors(spark, str(tmp_path / "v.csv")))
+    fine = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("b", 2, [1.0])], "token string, id long, vec array<double>")
+    assert coherence.checked(fine.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        coherence.checked(fine)
