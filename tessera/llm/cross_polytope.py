@@ -230,26 +230,74 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-#: Linked pairs whose buckets are compared at a time.
-PAIRS = 1 << 16
-
-
-def _block_links(bucket: int, alike: bool, part: np.ndarray, unit: np.ndarray, tables: Tables, how: CrossPolytope) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs (places in the block) that meet here first."""
-    if alike:
-        a, b = np.nonzero(unit @ unit.T >= how.cosine)
-        a, b = a[a < b], b[a < b]
-    else:
-        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
-        a, b = np.nonzero(unit[left] @ unit[right].T >= how.cosine)
-        a, b = left[a], right[b]
-    if not len(a):
-        return a, b
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    mine = tables(unit[used])
-    x, y = at[: len(a)], at[len(a) :]
-    first = np.concatenate([meeting(mine[x[k : k + PAIRS]], mine[y[k : k + PAIRS]])[1] for k in range(0, len(x), PAIRS)])
-    return a[first == bucket], b[first == bucket]
+#: Linked pairs that are held, and whose buckets are compared at a time.
+HELD_PAIRS, PAIRS = 1 << 20, 1 << 16
+
+
+class BlockLinks:
+    """Links of the classes of some blocks: vectors and buckets once per class."""
+
+    def __init__(self, number: np.ndarray, weight: np.ndarray, lists: pa.Array, tables, how: CrossPolytope):
+        self.number, first, self.of_row = np.unique(number, return_index=True, return_inverse=True)
+        self.weight, self.how = weight[first], how
+        flat, offs = _vectors(lists)
+        self.length = np.diff(offs)[first]
+        self.units, self.place, self.buckets, self.tables = {}, np.empty(len(first), np.int64), {}, {}
+        for n in np.unique(self.length).tolist():
+            of = np.flatnonzero(self.length == n)
+            self.units[n], self.place[of] = _units(flat, offs, first[of]), np.arange(len(of))
+            self.tables[n], self.buckets[n] = tables(n), [np.zeros(len(of), bool), None]
+        self.held: dict[int, list] = {n: [] for n in self.units}
+        self.out: list[list] = [[], [], []]
+
+    def add(self, lo: int, hi: int, bucket: int, part: np.ndarray, alike: bool) -> None:
+        """The linked pairs of the rows lo .. hi - 1, which are a block."""
+        rows = self.of_row[lo:hi]
+        for n in [int(self.length[rows[0]])] if (self.length[rows] == self.length[rows[0]]).all() else np.unique(self.length[rows]).tolist():
+            of = np.flatnonzero(self.length[rows] == n)
+            unit = self.units[n][self.place[rows[of]]]
+            left, right = (of, of) if alike else (of[part[lo:hi][of] == part[lo]], of[part[lo:hi][of] != part[lo]])
+            a, b = np.nonzero(unit @ unit.T >= self.how.cosine) if alike else np.nonzero(self.units[n][self.place[rows[left]]] @ self.units[n][self.place[rows[right]]].T >= self.how.cosine)
+            if alike:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                self.held[n].append((rows[left[a]], rows[right[b]], np.full(len(a), bucket)))
+            if sum(len(x[0]) for x in self.held[n]) > HELD_PAIRS:
+                self.settle(n)
+
+    def settle(self, n: int) -> None:
+        """Pairs count in the first bucket in which they meet; the links of a class are added
+        up, and a forest stands for the links."""
+        if not self.held[n]:
+            return
+        a, b, bucket = (np.concatenate(x) for x in zip(*self.held[n]))
+        self.held[n] = []
+        have, _ = self.buckets[n]
+        need = np.unique(np.concatenate([self.place[a], self.place[b]]))
+        need = need[~have[need]]
+        for some in np.array_split(need, -(-len(need) // 4096)) if len(need) else []:
+            found = self.tables[n](self.units[n][some])
+            if self.buckets[n][1] is None:
+                self.buckets[n][1] = np.empty((len(have), *found.shape[1:]), np.int64)
+            self.buckets[n][1][some] = found
+        have[need] = True
+        x, y, own = self.place[a], self.place[b], self.buckets[n][1]
+        first = np.concatenate([meeting(own[x[k : k + PAIRS]], own[y[k : k + PAIRS]])[1] for k in range(0, len(x), PAIRS)])
+        a, b = a[first == bucket], b[first == bucket]
+        size = len(self.number)
+        links = np.zeros(size, np.int64)
+        np.add.at(links, a, self.weight[b])
+        np.add.at(links, b, self.weight[a])
+        some, label = np.flatnonzero(links), forest(a, b, size)
+        moved = np.flatnonzero(label != np.arange(size))
+        for out, values in zip(self.out, ((some, moved), (np.full(len(some), -1), self.number[label[moved]]), (links[some], np.zeros(len(moved), np.int64)))):
+            out.append(np.concatenate([self.number[v] if out is self.out[0] else v for v in values]))
+
+    def result(self) -> pa.RecordBatch:
+        for n in self.held:
+            self.settle(n)
+        u, v, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in self.out)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=v < 0), pa.array(n)], ["u", "v", "n"])
 
 
 def linked(met: DataFrame, classes: DataFrame, vectors: int, how: CrossPolytope) -> DataFrame:
@@ -262,34 +310,13 @@ def linked(met: DataFrame, classes: DataFrame, vectors: int, how: CrossPolytope)
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         bucket, i, j, part, number, weight = (t.column(c).to_numpy() for c in (*keys, "part", "class", "n"))
-        lists = t.column("vec").combine_chunks()
-        flat, offs = _vectors(lists)
-        length = np.diff(offs)
+        links = BlockLinks(number, weight, t.column("vec").combine_chunks(), lambda n: tables_for(n, vectors, how), how)
         cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        us, vs, ns = [], [], []
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-            # A class can stand in a bucket once only; a length has buckets of its own, but for
-            # equal hash values.
-            for n in {int(length[lo])} if (length[lo:hi] == length[lo]).all() else set(length[lo:hi].tolist()):
-                at = lo + np.flatnonzero(length[lo:hi] == n)
-                if len(at) < 2:
-                    continue
-                a, b = _block_links(bucket[lo], i[lo] == j[lo], part[at], _units(flat, offs, at), tables_for(n, vectors, how), how)
-                if not len(a):
-                    continue
-                links = np.bincount(a, weight[at][b], len(at)) + np.bincount(b, weight[at][a], len(at))
-                some = np.flatnonzero(links)
-                us.append(number[at][some])
-                vs.append(np.full(len(some), -1))
-                ns.append(links[some].astype(np.int64))
-                label = forest(a, b, len(at))
-                moved = np.flatnonzero(label != np.arange(len(at)))
-                us.append(number[at][moved])
-                vs.append(number[at][label[moved]])
-                ns.append(np.zeros(len(moved), np.int64))
-        none = np.zeros(0, np.int64)
-        u, v, n = (np.concatenate([none, *x]) for x in (us, vs, ns))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=v < 0), pa.array(n)], ["u", "v", "n"])
+            # A class stands in a bucket once.
+            if hi - lo > 1:
+                links.add(lo, hi, bucket[lo], part, i[lo] == j[lo])
+        return links.result()
 
     def work(batches):
         held: list[pa.RecordBatch] = []
