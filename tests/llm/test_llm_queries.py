@@ -178,6 +178,75 @@ def test_op8_scores(spark, odd):
     assert sorted(map(repr, (r[:5] for r in kept.collect()))) == sorted(repr(r) for r in map(tuple, odd_rows()) if naive_score(model, r[1] or "")[0] < 0.5)
 
 
+def naive_model(rows, how):
+    """Entries, exceptions and curve by plain counting over (text, toxic)."""
+    size, bad = len(rows), sum(y for _, y in rows)
+    n, hits = Counter(), Counter()
+    for text, y in rows:
+        words = set(fold(text or "").split())
+        got = {f" {w} " for w in words} | {" " + w[:k] for w in words for k in range(how.shortest_prefix, how.longest_prefix + 1) if len(w) > k}
+        n.update(got)
+        hits.update(got if y else ())
+    p = bad / size
+
+    def gain(e):
+        t, m = hits[e], n[e]
+        if t <= m * p:
+            return 0.0
+        return 2 * (t * math.log(t / (m * p)) + ((m - t) * math.log((m - t) / (m * (1 - p))) if m > t else 0))
+
+    often = [e for e in n if n[e] >= how.least_rows]
+    limit = 2 * math.log(20 * len(often))
+    weights = {e: round(math.log((hits[e] + 0.5) / (bad + 1)) - math.log((n[e] - hits[e] + 0.5) / (size - bad + 1)), 6) for e in often if gain(e) > limit}
+    seen, seen_bad = Counter(), Counter()
+    for text, y in rows:
+        t, got = fold(text or ""), set()
+        at = [i for i, c in enumerate(t[:-1]) if c == " "]
+        for k, i in enumerate(at):
+            if any(t.startswith(e, i) and w > 0 for e, w in weights.items()):
+                if k:
+                    got.add(t[at[k - 1] : t.index(" ", i + 1) + 1])
+                if k + 1 < len(at):
+                    got.add(t[i : t.index(" ", at[k + 1] + 1) + 1])
+        seen.update(got)
+        seen_bad.update(got if y else ())
+    exceptions = sorted(e for e in seen if seen[e] - seen_bad[e] >= how.least_clean and seen_bad[e] <= seen[e] * p)
+    return weights, exceptions
+
+
+def test_op8_learning(spark):
+    """The learned lexicon and exceptions against plain counting; the curve is at the least of
+    its penalised loss."""
+    rng = random.Random(13)
+    plain = [f"{a}{b}" for a in "bcdfg" for b in ("ala", "ero", "inu", "oso", "ume", "arti", "elon", "idor")]
+    rows = []
+    for i in range(400):
+        words, y = [rng.choice(plain) for _ in range(rng.randrange(5, 40))], int(rng.random() < 0.3)
+        if y:
+            words[rng.randrange(len(words))] = rng.choice(["vileone", "vileones", "nastyish", "N4sty1sh"])
+        elif rng.random() < 0.3:
+            at = rng.randrange(len(words) - 1)
+            words[at : at + 2] = ["not", "vileone"]
+        rows.append((i + 1, " ".join(words), y))
+    how = toxicity.Training()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, how)
+    train = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    weights, exceptions = naive_model(train, how)
+    assert model.weights == weights and model.exceptions == exceptions and " not vileone " in exceptions
+    found = [toxicity.Matcher(model).features(t)[:2] for t, _ in train]
+    x = toxicity.inputs(*(np.array(v, float) for v in zip(*found)))
+    y = np.array([v for _, v in train])
+
+    def loss(b):
+        z = b[0] + x @ b[1:]
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (b[1:] ** 2).sum()
+
+    best = np.array([model.bias, *model.slopes])
+    assert all(loss(best) <= loss(best + d) for d in np.vstack([np.eye(3), -np.eye(3)]) * 1e-3)
+
+
 def test_op5_odd(spark, odd):
     """Copies of the odd rows against an inversion by hand; own columns stay as they are."""
     rows = odd_rows()
