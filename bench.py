@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera.plans.catalogue import QUERIES  # noqa: E402
-from tessera.session import build_session  # noqa: E402
+from tessera.session import build_session, drop_stored  # noqa: E402
 
 HEADLINE = (
     "wer_by_source", "wer_components", "wer_summary", "perplexity_diff", "grammar_pos", "grammar_lexical", "coherence_scores",
@@ -28,6 +28,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        drop_stored(spark)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 

@@ -12,7 +12,7 @@ def test_against_sql(name, spark, duck, same):
     same(QUERIES[name](spark, SF), duck.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"synthetic_transcripts"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark):
     assert QUERIES[name](spark, SF).count() > 0
 
