@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.session import stored
 
 
 def ngram_rows(tokens: DataFrame, keys: list[str], column: str = "tokens", n: int = 3) -> DataFrame:
@@ -38,14 +39,17 @@ def perplexity(grams: DataFrame, unit: list[str], meta: DataFrame, conditions: t
     ``meta`` has (unit's last key, dx); ``within`` are keys that models are kept apart
     by (sources)."""
     within = within or []
-    own = grams.groupBy(*unit, "ctx", "nxt").agg(F.count(F.lit(1)).alias("own")).join(meta, unit[-1], "left")
+    # Counted once, for the model, the totals and the scores.
+    own = stored(grams.groupBy(*unit, "ctx", "nxt").agg(F.count(F.lit(1)).alias("own")).join(meta, unit[-1], "left"), "ngram-counts")
     names = dict(zip(("a", "b"), conditions))
     # Both conditions' counts side by side: one aggregation, one join each for n-grams and
     # contexts.
     pooled = lambda k: F.sum(F.when(F.col("dx") == names[k], F.col("own")).otherwise(0))
-    model = own.where(F.col("dx").isin(*conditions)).groupBy(*within, "ctx", "nxt").agg(pooled("a").alias("cnt_a"), pooled("b").alias("cnt_b"))
+    model = own.groupBy(*within, "ctx", "nxt").agg(pooled("a").alias("cnt_a"), pooled("b").alias("cnt_b"))
     totals = model.groupBy(*within, "ctx").agg(F.sum("cnt_a").alias("total_a"), F.sum("cnt_b").alias("total_b"))
-    met = own.join(model, [*within, "ctx", "nxt"], "left").join(totals, [*within, "ctx"], "left").na.fill(0, ["cnt_a", "cnt_b", "total_a", "total_b"])
+    # Totals meet the distinct n-grams, so the counts of transcripts are joined once.
+    model = model.join(totals, [*within, "ctx"])
+    met = own.join(model, [*within, "ctx", "nxt"], "left").na.fill(0, ["cnt_a", "cnt_b", "total_a", "total_b"])
     if leave_one_out:
         met = met.join(own.groupBy(*unit, "ctx").agg(F.sum("own").alias("own_total")), [*unit, "ctx"])
     scores = []
