@@ -12,9 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,33 @@ def steady_entropy(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("k", F.lit(1)).join(one, "k").withColumn("entropy", value).drop("k", "m", "sd", "odd")
 
 
-def score_tokens(vectors: list, factors: np.ndarray, ids: np.ndarray, how: Coherence) -> float:
+#: Windows that are embedded together.
+CHUNK = 512
+
+
+def window_vectors(m: np.ndarray, factors: np.ndarray, ids: np.ndarray, how: Coherence) -> np.ndarray:
+    """The vectors of all valid trailing windows, in order. Counts of a window's tokens are
+    differences of running counts, for some windows and the tokens that they touch at a time."""
+    out = [np.zeros((0, m.shape[1]))]
+    for first in range(0, len(ids), CHUNK):
+        begin = max(0, first - how.window + 1)
+        seen, place = np.unique(ids[begin : first + CHUNK], return_inverse=True)
+        running = np.zeros((len(place) + 1, len(seen)), np.int32)
+        running[np.arange(1, len(place) + 1), place] = 1
+        np.cumsum(running, axis=0, out=running)
+        ends = np.arange(first, min(first + CHUNK, len(ids))) + 1 - begin
+        counts = running[ends] - running[np.maximum(ends - how.window, 0)]
+        counts, seen = counts[:, seen >= 0], seen[seen >= 0]
+        base = np.log10(counts + 1.0) if how.weighting == "logfreq" else counts.astype(float) if how.weighting == "freq" else (counts > 0).astype(float)
+        weight = base * factors[seen]
+        total = weight.sum(axis=1)
+        valid = (counts.sum(axis=1) >= how.least_tokens) & (total != 0)
+        e = weight[valid] @ m[seen] / total[valid, None]
+        out.append(e[np.linalg.norm(e, axis=1) > 0])
+    return np.concatenate(out)
+
+
+def score_tokens(vectors, factors: np.ndarray, ids: np.ndarray, how: Coherence) -> float:
     """One transcript: ids per token (-1: not in the vocabulary), vectors and entropy
     factors per id."""
     if not len(ids) or not len(vectors):
@@ -55,23 +82,10 @@ def score_tokens(vectors: list, factors: np.ndarray, ids: np.ndarray, how: Coher
     if how.normalize:
         norm = np.linalg.norm(m, axis=1)
         m = m / np.where(norm == 0, 1, norm)[:, None]
-    windows = []
-    for end in range(1, len(ids) + 1):
-        inside = ids[max(0, end - how.window) : end]
-        inside = inside[inside >= 0]
-        if len(inside) < how.least_tokens:
-            continue
-        u, n = np.unique(inside, return_counts=True)
-        base = np.log10(n + 1.0) if how.weighting == "logfreq" else n.astype(float) if how.weighting == "freq" else np.ones(len(n))
-        weight = base * factors[u]
-        if weight.sum() == 0:
-            continue
-        e = weight @ m[u] / weight.sum()
-        if np.linalg.norm(e) > 0:
-            windows.append(e)
+    windows = window_vectors(m, np.asarray(factors, float), np.asarray(ids), how)
     if len(windows) < 2:
         return 0.0
-    e = np.array(windows)
+    e = windows
     others = (e.sum(axis=0) - e) / (len(e) - 1)
     size = np.linalg.norm(e, axis=1) * np.linalg.norm(others, axis=1)
     cos = np.divide((e * others).sum(axis=1), size, out=np.zeros(len(e)), where=size > 0)
@@ -80,7 +94,8 @@ def score_tokens(vectors: list, factors: np.ndarray, ids: np.ndarray, how: Coher
     if how.aggregation == "mean" or not 0 < how.trim < 0.5 or len(cos) < 3:
         return float(cos.mean())
     lo, hi = np.quantile(cos, [how.trim, 1 - how.trim])
-    kept = cos[(cos >= lo) & (cos <= hi)]
+    # Both ends are inside, whatever the last digit of an interpolated end or of equal windows is.
+    kept = cos[(cos >= lo - 1e-12) & (cos <= hi + 1e-12)]
     return float((kept if len(kept) else cos).mean())
 
 
@@ -113,16 +128,21 @@ def coherence(tokens: DataFrame, vocab: DataFrame, keys: list[str], how: Coheren
     words = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "vec", "factor"))).alias("words"))
     packed = places.join(words, keys, "left")
 
-    @F.pandas_udf("double")
-    def solve(ids: pd.Series, known: pd.Series, vecs: pd.Series, factors: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def solve(ids: pa.Array, known: pa.Array, vecs: pa.Array, factors: pa.Array) -> pa.Array:
         out = []
         for i, k, v, f in zip(ids, known, vecs, factors):
-            if k is None or not len(k):
+            n = len(k) if k.is_valid else 0
+            if not n:
                 out.append(0.0)
                 continue
-            at = {x: n for n, x in enumerate(k)}
-            out.append(score_tokens([list(x) for x in v], np.asarray(f, float), np.array([at.get(x, -1) for x in i]), how))
-        return pd.Series(out)
+            flat = lambda x: x.values.to_numpy(zero_copy_only=False)
+            m = v.values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            have = flat(k)
+            place = np.searchsorted(have, flat(i))
+            place = np.where((place < n) & (have[np.minimum(place, n - 1)] == flat(i)), place, -1)
+            out.append(score_tokens(m, flat(f), place, how))
+        return pa.array(out, pa.float64())
 
     part = lambda name: F.transform("words", lambda x: x[name])
     return packed.select(*keys, solve("ids", part("id"), part("vec"), part("factor")).alias("gc"))

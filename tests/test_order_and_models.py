@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import alignment, models, statistics, utterances
+from tessera.operators import alignment, coherence, models, statistics, utterances
 
 
 @pytest.fixture(scope="module")
@@ -340,3 +340,25 @@ def test_numbered(spark):
     assert sorted(map(repr, ((r.g, r.v, r.i) for r in got))) == sorted(map(repr, ((g, v, i) for g in ("a", "b", None) for v, i in ((1, 1), (2, 2), (2, 3), (3, 4)))))
     whole = statistics.numbered(df, [], ["v"], "i").collect()
     assert sorted(r.i for r in whole) == list(range(1, 13)) and all((r.v == 1) == (r.i <= 3) for r in whole)
+
+
+def naive_windows(vectors, factors, ids, how):
+    out = []
+    for end in range(1, len(ids) + 1):
+        inside = [i for i in ids[max(0, end - how.window) : end] if i >= 0]
+        weight = {i: {"logfreq": np.log10(inside.count(i) + 1.0), "freq": inside.count(i), "none": 1.0}[how.weighting] * factors[i] for i in set(inside)}
+        if len(inside) >= how.least_tokens and sum(weight.values()):
+            e = sum(w * vectors[i] for i, w in weight.items()) / sum(weight.values())
+            if np.linalg.norm(e) > 0:
+                out.append(e)
+    return np.array(out).reshape(-1, vectors.shape[1])
+
+
+def test_window_vectors(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(coherence, "CHUNK", 7)
+    for k in range(60):
+        u, n = rng.integers(1, 12), rng.integers(0, 50)
+        v, f, ids = rng.normal(size=(u, 5)), rng.random(u) * (rng.random(u) > 0.2), rng.integers(-1, u, n)
+        how = coherence.Coherence(window=int(rng.integers(1, 9)), least_tokens=int(rng.integers(1, 4)), weighting=("logfreq", "freq", "none")[k % 3])
+        assert np.allclose(coherence.window_vectors(v, f, ids, how), naive_windows(v, f, ids, how))
