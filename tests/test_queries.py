@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables; those without SQL must run."""
 
+import duckdb
 import pytest
 
 from tests.conftest import SF
@@ -7,11 +8,25 @@ from tests.conftest import SF
 from tessera.plans.catalogue import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+#: On the smallest tables some languages have fewer rows than a regression has weights, and
+#: the SQL, which solves by determinants, has no answer there; the library takes the least one.
+DETERMINED = {"oof_regression", "oof_metrics", "oof_regression_by_fold"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - DETERMINED))
 def test_against_sql(name, spark, duck, same):
     same(QUERIES[name](spark, SF), duck.sql(ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", sorted(DETERMINED))
+def test_regressions_against_sql(name, spark, same):
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    same(QUERIES[name](spark, folder), c.sql(ORACLES[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark):
     assert QUERIES[name](spark, SF).count() > 0
