@@ -345,8 +345,8 @@ def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFr
     Rows without words are all kept. Only what goes is joined back, by key."""
     found = shared.stored(near_duplicates(docs, how).select("doc_id", "mark", "n_shingles", "root", "component_id"), "near-found")
     linked = found.where("n_shingles > 0 and doc_id is not null")
-    first = linked.where("doc_id = component_id").groupBy("root").agg(F.min("mark").alias("stays"))
-    gone = linked.join(first, "root").where("doc_id <> component_id or mark <> stays").select(F.col("doc_id").alias("gone_doc"), F.col("mark").alias("gone_mark")).distinct()
+    first = linked.groupBy("root").agg(F.min(F.when(F.expr("doc_id = component_id"), F.col("mark"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = shared.with_groups(linked, shared.stored(first, "near-first"), "root").where("doc_id <> component_id or mark <> stays").select(F.col("doc_id").alias("gone_doc"), F.col("mark").alias("gone_mark")).distinct()
     text = shared.whole_text()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("mark"))
     rows = rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("mark") == F.col("gone_mark")), "left_anti")

@@ -96,16 +96,17 @@ def with_small(big: DataFrame, small: DataFrame, on: str, how: str = "left", mos
 HOT_SHARE = 1000
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, on: str | list[str]) -> DataFrame:
     """``rows`` with the columns of their group, by the stored ``groups`` (on, n, others), n
-    being the group's rows. Groups with over 1 / ``HOT_SHARE`` of all rows are fewer than
-    ``HOT_SHARE`` at any size: those are broadcast, so no task gets a whole hot group; the
-    others meet by a shuffle."""
+    being the group's rows; rows without a group go. Groups with over 1 / ``HOT_SHARE`` of all
+    rows are fewer than ``HOT_SHARE`` at any size: those are broadcast, so no task gets a whole
+    hot group; the others meet by a shuffle."""
+    keys = [on] if isinstance(on, str) else on
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
     large = F.broadcast(groups.where(hot).drop("n"))
     small = groups.where(~hot).drop("n")
-    return rows.join(large, on).unionByName(rows.join(large.select(on), on, "left_anti").join(small, on))
+    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(small, keys))
 
 
 def prepare(spark: SparkSession) -> None:

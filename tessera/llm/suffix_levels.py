@@ -69,7 +69,7 @@ def byte_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> Da
     """Stored (doc, mark, a, b) byte spans (may overlap) of the strings that stand twice."""
     one = F.min(F.struct(*repeats.ROW, *repeats.RUN)).alias("one")
     contexts = shared.stored(again.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), one), "byte-contexts")
-    found = repeats.spans(again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi"), how.width)
+    found = repeats.spans(shared.with_groups(again, contexts.where("n > 1").select("key", "context", "n"), ["key", "context"]), how.width)
     open_ = contexts.join(repeats.with_many_contexts(contexts), "key", "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
     # The same with blocks of windows: keys that stand once can hold no repeated string.
     parts = repeats.blocks(touched, open_, how, BLOCK, "byte")

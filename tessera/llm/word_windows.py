@@ -54,8 +54,8 @@ def words(width: int = WIDTH, gram: int = GRAM) -> repeats.Symbols:
 def word_spans(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> DataFrame:
     """Stored (doc, mark, a, b) word spans (may overlap) of the windows that also start in
     a document with a smaller doc_id."""
-    contexts = shared.stored(again.groupBy("key", "context").agg(F.min("doc").alias("first")), "word-contexts")
-    judged = shared.stored(again.join(contexts, ["key", "context"]), "word-judged")
+    contexts = shared.stored(again.groupBy("key", "context").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "word-contexts")
+    judged = shared.stored(shared.with_groups(again, contexts, ["key", "context"]), "word-judged")
     whole = repeats.spans(judged.where("first < doc"), how.width)
     # Entries in the first document of their context may still repeat window by window.
     open_ = judged.where("first = doc").join(repeats.with_many_contexts(contexts), "key", "left_semi").select(*repeats.ROW, "start", "count", F.lit(True).alias("alone"))
@@ -131,9 +131,9 @@ def passages(touched: DataFrame, again: DataFrame, how: repeats.Symbols) -> Data
     """Stored (doc, mark, a, b) word spans (may overlap) of the windows that stand in
     several documents, in all of these. Rows of one doc_id and text are one document."""
     place = F.struct("doc", "mark")
-    contexts = again.groupBy("key", "context").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("doc", "mark", "start", "count")).alias("one"))
-    contexts = shared.stored(contexts.select("key", "context", "one", (F.col("first") == F.col("last")).alias("alone")), "passage-contexts")
-    judged = shared.stored(again.join(contexts.select("key", "context", "alone"), ["key", "context"]), "passage-judged")
+    contexts = again.groupBy("key", "context").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("doc", "mark", "start", "count")).alias("one"), F.count(F.lit(1)).alias("n"))
+    contexts = shared.stored(contexts.select("key", "context", "one", "n", (F.col("first") == F.col("last")).alias("alone")), "passage-contexts")
+    judged = shared.stored(shared.with_groups(again, contexts.select("key", "context", "alone", "n"), ["key", "context"]), "passage-judged")
     whole = repeats.spans(judged.where("not alone"), how.width)
     # All entries of a context in one document only; one entry stands for any other context.
     several = repeats.with_many_contexts(contexts)
