@@ -209,6 +209,10 @@ def _lane(salt: int, lane: int) -> tuple[int, int, np.ndarray]:
     return base, pow(base, -1, PRIME), 1 + seed[:256] % np.uint64(PRIME - 1)
 
 
+#: Symbols that are hashed at a time.
+STEP = 1 << 16
+
+
 class Rolling:
     """Hashes of any stretch of a symbol array (bytes, or 64-bit hashes) from prefix sums:
     in each of two lanes a polynomial in a base modulo a prime, divided by the power of
@@ -222,19 +226,29 @@ class Rolling:
         self.lanes = []
         for lane in (0, 1):
             base, inverse, table = _lane(salt, lane)
-            values = table[symbols] if symbols.dtype == np.uint8 else (symbols >> np.uint64(31 * lane)) & _PRIME
+            ways = kept_powers(base, n)
             prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_folded(values * kept_powers(base, n)), out=prefix[1:])
+            # Some symbols at a time, so that what is computed on the way stays small.
+            for lo in range(0, n, STEP):
+                part = symbols[lo : lo + STEP]
+                values = table[part] if part.dtype == np.uint8 else (part >> np.uint64(31 * lane)) & _PRIME
+                upto = prefix[lo + 1 : lo + 1 + len(part)]
+                np.cumsum(_folded(values * ways[lo : lo + len(part)]), out=upto)
+                upto += prefix[lo]
             self.lanes.append((prefix, kept_powers(inverse, n + 1)))
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for lane, (prefix, inverse) in enumerate(self.lanes):
-            x = _folded(_folded(prefix[b] - prefix[a])) * inverse[a]
-            x = _folded(_folded(x))
-            x[x >= _PRIME] -= _PRIME
-            out ^= x << np.uint64(32 * lane)
-        return mix64(out)
+        out = np.empty(len(a), np.uint64)
+        for lo in range(0, len(a), STEP):
+            x, y = a[lo : lo + STEP], b[lo : lo + STEP]
+            hashed = (y - x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for lane, (prefix, inverse) in enumerate(self.lanes):
+                h = _folded(_folded(prefix[y] - prefix[x])) * inverse[x]
+                h = _folded(_folded(h))
+                h[h >= _PRIME] -= _PRIME
+                hashed ^= h << np.uint64(32 * lane)
+            out[lo : lo + STEP] = mix64(hashed)
+        return out
 
 
 _IS_SPACE = np.zeros(256, bool)

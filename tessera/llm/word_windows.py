@@ -32,7 +32,7 @@ def _read(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offs = shared.utf8(col)
     begin, end, firsts = shared.word_bounds(raw, offs)
     # Two independent hashes of a word: windows that differ in one word differ in both.
-    return np.stack([shared.word_hashes(raw, begin, end, salt=k) for k in (3, 4)], axis=1), firsts
+    return np.stack([shared.word_hashes(raw, begin, end, salt=k) for k in (1, 2)], axis=1), firsts
 
 
 def _fingerprints(symbols: np.ndarray, e: windows.Entries, width: int, gram: int) -> list[pa.Array]:
