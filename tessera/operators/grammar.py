@@ -9,6 +9,7 @@ weights instead, and ``syllable_counts`` takes an injected table of pronunciatio
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,15 +127,19 @@ def syllable_counts(words: DataFrame, pronunciations: DataFrame, word: str = "wo
     return words.withColumn("_w", F.lower(word)).join(counted, "_w", "left").drop("_w")
 
 
-def word_features(tokens: Column, i: Column) -> Column:
-    """Names of the features of token ``i`` that its neighbourhood alone gives."""
-    w = lambda k: F.coalesce(F.get(tokens, i + k), F.when(F.lit(k) < 0, F.lit("-START-")).otherwise(F.lit("-END-")))
-    end = lambda x: F.substring(x, -3, 3)
-    named = lambda name, x: F.concat(F.lit(name + " "), x)
-    return F.array(
-        F.lit("bias"), named("i suffix", end(w(0))), named("i pref1", F.substring(w(0), 1, 1)), named("i word", w(0)), named("i-1 word", w(-1)), named("i-1 suffix", end(w(-1))),
-        named("i-2 word", w(-2)), named("i+1 word", w(1)), named("i+1 suffix", end(w(1))), named("i+2 word", w(2)),
-    )
+#: Features of a token that a word near it gives: the word's distance, and their names by
+#: what of the word they take.
+WORD_FEATURES = (
+    (0, ("suffix", "pref1", "word")), (-1, ("word", "suffix")), (-2, ("word",)), (1, ("word", "suffix")), (2, ("word",)),
+)
+
+
+def word_features(word: Column) -> Column:
+    """(role, feature) of everything that a word gives the tokens around it; roles are places
+    in ``WORD_FEATURES``."""
+    take = {"word": word, "suffix": F.substring(word, -3, 3), "pref1": F.substring(word, 1, 1)}
+    named = lambda k, what: F.concat(F.lit(f"i{k:+d} {what} " if k else f"i {what} "), take[what])
+    return F.array(*(F.struct(F.lit(r).alias("role"), named(k, x).alias("feature")) for r, (k, parts) in enumerate(WORD_FEATURES) for x in parts))
 
 
 def decode(scores: list[dict], with_word: list[dict], tags: list[str], one: dict, two: dict, both: dict) -> list[str]:
@@ -153,50 +158,144 @@ def decode(scores: list[dict], with_word: list[dict], tags: list[str], one: dict
     return out
 
 
+#: What tokens stand for before and after a transcript, and bytes of an Arrow batch.
+BEFORE, BEHIND, BATCH_BYTES = "-START-", "-END-", 4 << 20
+
+
+class Tagger:
+    """Tags many rows at once, a place of all of them after the other. Sums are those of
+    ``decode``; tags go by their number in sorted order."""
+
+    def __init__(self, tags: list[str], links: list[tuple[str, str, float]], bias: np.ndarray, edges: dict):
+        self.tags, self.bias, self.edges = np.array(tags, object), bias, edges
+        n = len(tags)
+        number = {t: k for k, t in enumerate(tags)}
+        # Numbers of earlier tags; those of the places before a row come last.
+        last, second = number | {BEFORE: n}, number | {"-START2-": n, BEFORE: n + 1}
+        self.one, self.two, self.both = np.zeros((n + 1, n)), np.zeros((n + 2, n)), {}
+        for feature, tag, weight in links:
+            if feature.startswith("i tag+i-2 tag "):
+                x, y, *more = [*feature[len("i tag+i-2 tag ") :].split(" "), ""]
+                if x in last and y in second and more == [""]:
+                    self.both.setdefault(last[x] * (n + 2) + second[y], np.zeros(n))[number[tag]] = weight
+                continue
+            name = feature[len("i-1 tag ") :]
+            if feature.startswith("i-1") and name in last:
+                self.one[last[name], number[tag]] = weight
+            elif feature.startswith("i-2") and name in second:
+                self.two[second[name], number[tag]] = weight
+        self.last, self.pairs = last, _Rows(self.both, n)
+
+    def scores(self, at, x) -> np.ndarray:
+        """A word's sums by role and tag."""
+        out = np.zeros(len(WORD_FEATURES) * len(self.tags))
+        np.add.at(out, at, x)
+        return out.reshape(len(WORD_FEATURES), -1)
+
+    def batch(self, tokens: list, words: list) -> list:
+        n, known, with_last, places = len(self.tags), [], {}, {}
+        for role, of in self.edges.items():
+            places[role] = len(known)
+            known.append(of)
+        for row in words:
+            for w in row or ():
+                if w["word"] not in places:
+                    places[w["word"]] = len(known)
+                    known.append(self.scores(w["at"], w["x"]) if w["at"] else np.zeros((len(WORD_FEATURES), n)))
+                    for e in w["links"] or ():
+                        if e["last"] in self.last:
+                            with_last.setdefault(places[w["word"]] * (n + 1) + self.last[e["last"]], np.zeros(n))[e["tag"]] = e["weight"]
+        known, linked, none = np.stack(known), _Rows(with_last, n), places[None]
+        length = np.array([len(t) for t in tokens])
+        order = np.argsort(-length, kind="stable")
+        # The words' places, with two before and behind every row; missing ones stand as those do.
+        code = np.full((len(tokens), int(length.max(initial=0)) + 4), none)
+        for k, row in enumerate(order):
+            code[k, 2 : 2 + length[row]] = [places.get(w, none) for w in tokens[row]]
+        first, second = np.full(len(tokens), n), np.full(len(tokens), n)
+        found = np.zeros((len(tokens), code.shape[1]), np.int64)
+        for i in range(code.shape[1] - 4):
+            live = int(np.searchsorted(-length[order], -i, "left"))
+            total = np.tile(self.bias, (live, 1))
+            for role, (k, _) in enumerate(WORD_FEATURES):
+                of = code[:live, i + 2 + k]
+                total += known[np.where(of == none, places[BEFORE] if k < 0 else places[BEHIND], of), role]
+            total += self.one[first[:live]] + 0.0
+            total += self.two[second[:live]]
+            self.pairs.add(total, first[:live] * (n + 2) + second[:live])
+            linked.add(total, code[:live, i + 2] * (n + 1) + first[:live])
+            # Of equal sums the tag that sorts last.
+            best = n - 1 - np.argmax(total[:, ::-1], axis=1)
+            found[:live, i] = best
+            second[:live] = np.where(first[:live] == n, n + 1, first[:live])
+            first[:live] = best
+        out: list = [None] * len(tokens)
+        for k, row in enumerate(order):
+            out[row] = self.tags[found[k, : length[row]]].tolist()
+        return out
+
+
+class _Rows:
+    """Few rows of weights by number, added where the numbers occur."""
+
+    def __init__(self, rows: dict, n: int):
+        self.keys = np.array(sorted(rows), np.int64)
+        self.rows = np.stack([rows[k] for k in self.keys.tolist()]) if rows else np.zeros((0, n))
+
+    def add(self, total: np.ndarray, keys: np.ndarray) -> None:
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            total[hit] += self.rows[at[hit]]
+
+
 def tag_by_weights(df: DataFrame, keys: list[str], weights: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``keys`` and ``tagged`` (an array of (w, t)) of token arrays, by an injected table of
-    weights (feature, tag, weight). Features that words give are joined and added up per
-    token and tag; those of earlier tags ("i-1 tag x", "i-2 tag x", "i tag+i-2 tag x y") are as
-    many as tags allow and go along; "i-1 tag+i word x w" comes by the word."""
+    weights (feature, tag, weight). Features that words give are joined and added up once per
+    distinct word, and a transcript is joined to its distinct words; those of earlier tags
+    ("i-1 tag x", "i-2 tag x", "i tag+i-2 tag x y") are as many as tags allow and go along;
+    "i-1 tag+i word x w" comes by the word."""
+    weights = stored(weights, "tag-weights")
     kind = F.regexp_extract("feature", r"^(i-1 tag|i-2 tag|i tag\+i-2 tag) ", 1)
     # At most a square and a cube of the number of tags.
-    links = weights.where(kind != "").select("feature", "tag", "weight").collect()
+    links = [(r.feature, r.tag, r.weight) for r in weights.where(kind != "").select("feature", "tag", "weight").collect()]
     tags = sorted(r.tag for r in weights.select("tag").distinct().collect())
-    one, two, both = {}, {}, {}
-    for r in links:
-        if r.feature.startswith("i tag+i-2 tag "):
-            both.setdefault(tuple(r.feature[len("i tag+i-2 tag ") :].split(" ")), {})[r.tag] = r.weight
-        else:
-            (one if r.feature.startswith("i-1") else two).setdefault(r.feature[len("i-1 tag ") :], {})[r.tag] = r.weight
-    row = df.select(*keys, F.col(tokens).alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
-    row = stored(row, "tag-rows")
-    each = row.select("_row", "_tokens", F.posexplode("_tokens").alias("_i", "_w"))
-    features = each.select("_row", "_i", F.explode(word_features(F.col("_tokens"), F.col("_i"))).alias("feature"))
-    own = features.join(weights, "feature").groupBy("_row", "_i", "tag").agg(F.sum("weight").alias("x"))
-    own = own.groupBy("_row", "_i").agg(F.map_from_entries(F.collect_list(F.struct("tag", "x"))).alias("own"))
-    pair = weights.where("feature like 'i-1 tag+i word %'").select(F.split(F.substring("feature", 16, 1 << 20), " ", 2).alias("p"), "tag", "weight")
-    by_word = pair.groupBy(F.col("p")[1].alias("_w")).agg(F.collect_list(F.struct(F.col("p")[0].alias("last"), "tag", "weight")).alias("word"))
-    met = each.select("_row", "_i", "_w").join(own, ["_row", "_i"], "left").join(by_word, "_w", "left")
-    packed = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce(F.to_json("own"), F.lit("{}")).alias("own"), F.coalesce(F.to_json("word"), F.lit("[]")).alias("word")))).alias("x"))
-
-    @F.arrow_udf("array<string>")
-    def best(own: pa.Array, word: pa.Array) -> pa.Array:
-        import json
-
-        out = []
-        for a, b in zip(own.to_pylist(), word.to_pylist()):
-            words = []
-            for x in b:
-                by_last: dict = {}
-                for w in json.loads(x):
-                    by_last.setdefault(w["last"], {})[w["tag"]] = w["weight"]
-                words.append(by_last)
-            out.append(decode([json.loads(x) for x in a], words, tags, one, two, both))
-        return pa.array(out, pa.list_(pa.string()))
-
-    found = packed.select("_row", best(F.col("x.own"), F.col("x.word")).alias("t"))
-    joined = row.join(found, "_row", "left")
-    return joined.select(*keys, F.coalesce(F.zip_with("_tokens", "t", lambda w, t: F.struct(w.alias("w"), t.alias("t"))), F.array().cast("array<struct<w:string,t:string>>")).alias("tagged"))
+    number = F.array_position(F.array(*map(F.lit, tags)).cast("array<string>"), F.col("tag")).cast("int") - 1
+    row = stored(df.select(*keys, F.col(tokens).alias("_tokens")).withColumn("_row", F.monotonically_increasing_id()), "tag-rows")
+    each = row.select("_row", F.explode(F.array_distinct("_tokens")).alias("_w")).where("_w is not null")
+    ends = df.sparkSession.createDataFrame([(BEFORE,), (BEHIND,)], "_w string")
+    near = each.select("_w").unionByName(ends).distinct().select("_w", F.explode(word_features(F.col("_w"))).alias("f")).select("_w", "f.role", "f.feature")
+    at = (F.col("role") * len(tags) + number).alias("at")
+    own = near.join(weights, "feature").groupBy("_w").agg(F.array_sort(F.collect_list(F.struct(at, F.col("weight").alias("x")))).alias("o"))
+    pair = weights.where("feature like 'i-1 tag+i word %'").select(F.split(F.substring("feature", 16, 1 << 20), " ", 2).alias("p"), number.alias("tag"), "weight")
+    by_word = pair.groupBy(F.col("p")[1].alias("_w")).agg(F.collect_list(F.struct(F.col("p")[0].alias("last"), "tag", "weight")).alias("links"))
+    scored = stored(own.join(by_word, "_w", "full").select("_w", F.col("o.at").alias("at"), F.col("o.x").alias("x"), "links"), "tag-words")
+    packed = each.join(scored, "_w").groupBy("_row").agg(F.collect_list(F.struct(F.col("_w").alias("word"), "at", "x", "links")).alias("words"))
+
+    bias = np.zeros(len(tags))
+    for r in weights.where("feature = 'bias'").select("tag", "weight").collect():
+        bias[tags.index(r.tag)] += r.weight
+    # The places before and behind a row, and one without a word.
+    empty = np.zeros((len(WORD_FEATURES), len(tags)))
+    edges = {BEFORE: empty, BEHIND: empty, None: empty}
+    tagger = Tagger(tags, links, bias, edges)
+    for r in scored.where(F.col("_w").isin(BEFORE, BEHIND) & F.col("at").isNotNull()).collect():
+        edges[r["_w"]] = tagger.scores(r["at"], r["x"])
+
+    def work(batches):
+        for batch in batches:
+            said = batch.column("_tokens").to_pylist()
+            if tags:
+                found = tagger.batch([t or [] for t in said], batch.column("words").to_pylist())
+            else:
+                found = [[None] * len(t or []) for t in said]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.string()))], ["_row", "t"])
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    joined = row.select("_row", "_tokens").join(packed, "_row", "left")
+    found = joined.mapInArrow(work, "_row long, t array<string>")
+    out = row.join(found, "_row", "left")
+    return out.select(*keys, F.coalesce(F.zip_with("_tokens", "t", lambda w, t: F.struct(w.alias("w"), t.alias("t"))), F.array().cast("array<struct<w:string,t:string>>")).alias("tagged"))
 
 
 def tagged(tokens: Column) -> Column:

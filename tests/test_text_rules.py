@@ -63,3 +63,36 @@ def test_tagged_features(spark):
     df = grammar.tag_by_weights(spark.createDataFrame([(1, ["the", "cat"])], "id int, tokens array<string>"), ["id"], w)
     f = grammar.features(df, ["id"]).first()
     assert (f.noun_ratio, f.determiner_ratio) == (0.5, 0.5)
+
+
+def test_many_rows_equal_plain_decoding(spark):
+    """Rows tagged together come out as each one decoded by itself."""
+    import random
+
+    rng = random.Random(3)
+    words, tags = ["the", "a", "dog", "dogs", "runs", "-START-"], ["DT", "NN", "VB"]
+    names = ["bias", *(f"{k} {w}" for k in ("i word", "i-1 word", "i-2 word", "i+1 word", "i+2 word") for w in words[:5]), "i suffix ogs", "i pref1 d", "i-1 suffix ogs", "i+1 suffix uns", "i-1 word -START-", "i+2 word -END-", "i+1 suffix ND-"]
+    links = [*(f"{k} {t}" for k in ("i-1 tag", "i-2 tag") for t in (*tags, "-START-")), "i-2 tag -START2-", "i tag+i-2 tag DT NN", "i tag+i-2 tag NN -START-", "i-1 tag+i word DT dog", "i-1 tag+i word -START- runs"]
+    table = [(f, t, rng.randrange(-64, 64) / 64) for f in names + links for t in tags]
+    of: dict = {}
+    for f, t, x in table:
+        of.setdefault(f, {})[t] = x
+    rows = [(k, [rng.choice([*words, None]) for _ in range(rng.randrange(9))]) for k in range(60)]
+    want = {}
+    for k, said in rows:
+        at = lambda i, d: said[i + d] if 0 <= i + d < len(said) and said[i + d] is not None else "-START-" if d < 0 else "-END-"  # noqa: B023, E731
+        own, by_word = [], []
+        for i, w in enumerate(said):
+            total = dict(of["bias"])
+            for d, parts in grammar.WORD_FEATURES:
+                for part in parts:
+                    x = at(i, d)
+                    for t, y in of.get(f"i{f'{d:+d}' if d else ''} {part} " + {"word": x, "suffix": x[-3:], "pref1": x[0]}[part], {}).items():
+                        total[t] += y
+            own.append(total)
+            by_word.append({last: of[f"i-1 tag+i word {last} {w}"] for last in ("DT", "-START-") if f"i-1 tag+i word {last} {w}" in of})
+        kind = lambda p: {f[len(p) :]: x for f, x in of.items() if f.startswith(p)}
+        want[k] = grammar.decode(own, by_word, tags, kind("i-1 tag "), kind("i-2 tag "), {tuple(f.split(" ")): x for f, x in kind("i tag+i-2 tag ").items()})
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    got = {r.id: [x.t for x in r.tagged] for r in grammar.tag_by_weights(df, ["id"], spark.createDataFrame(table, "feature string, tag string, weight double")).collect()}
+    assert got == want
