@@ -198,6 +198,22 @@ def test_plans_keep_the_rule():
     assert len(synthesis.plan_attempt(rng, 7, 1.0, 1.0, zero[:7], zero[:7], zero[:7], s)[0]) == 0
 
 
+def test_attempts_end_early(spark, monkeypatch):
+    """Without words to draw one attempt at a target is planned and nothing is stored but the
+    profile; with them, only targets that are not met as nearly as can be go on."""
+    tags, wide = [], synthesis.planned
+    monkeypatch.setattr(synthesis, "stored", lambda df, tag, f=synthesis.stored: (tags.append(tag), f(df, tag))[1])
+    monkeypatch.setattr(synthesis, "planned", lambda *a: (tags.append(list(a[3])), wide(*a))[1])
+    refs = spark.createDataFrame([(1, list("abcdefghij")), (2, [])], "pID int, tokens array<string>")
+    got = synthesis.synthesise(refs, profile(spark, ops=[("hit", 9), ("del", 1)], dels=[("a", 3)]), (0.2, 0.55), 2).collect()
+    assert sorted((r.pID, r.target, r.wer) for r in got) == sorted([(1, 0.2, 0.2)] * 2 + [(1, 0.55, 0.6)] * 2 + [(2, t, 0.0) for t in (0.2, 0.2, 0.55, 0.55)])
+    assert [0] in tags and not {"synth-plans", "synth-judged", "synth-rows"} & {t for t in tags if isinstance(t, str)}
+    tags.clear()
+    # Words that stand nowhere in the text: the first attempt is as near as any.
+    synthesis.synthesise(refs, profile(spark, ops=[("sub", 1)], vocab=[("z", 1)]), (0.2, 0.5), 1).collect()
+    assert [t for t in tags if isinstance(t, list)] == [[0]]
+
+
 def test_profile_lines(spark):
     """Every entry has its place on a line and in a bounded number of slots, however uneven
     the counts are."""
