@@ -77,7 +77,7 @@ def _summed(rows: DataFrame, partial, length: int) -> DataFrame:
         yield _frame(held)
 
     def _frame(held):
-        return pd.DataFrame({"_g": [g for g, _ in held], "fold": pd.array([k for _, k in held], "int32"), "sums": [s.tolist() for s in held.values()]})
+        return pd.DataFrame({"_g": [g for g, _ in held], "fold": pd.array([k for _, k in held], "int32"), "sums": pd.Series([s.tolist() for s in held.values()], dtype=object)})
 
     parts = rows.mapInPandas(work, "_g string, fold int, sums array<double>")
     each = parts.select("_g", "fold", F.posexplode("sums").alias("i", "x")).groupBy("_g", "fold", "i").agg(F.sum("x").alias("x"))
@@ -301,6 +301,49 @@ class Descent:
         return [*now.tolist(), *(step * (1 - done)).tolist(), 1.0, value, done]
 
 
+#: Rows of a group that go through the passes as one.
+BLOCK_ROWS = 4096
+
+
+def blocks(f: Features) -> DataFrame:
+    """Stored (_g, n, x, fold, hot): up to ``BLOCK_ROWS`` rows of a group, written once, so that a
+    pass joins a model to a block instead of to every row."""
+    columns, targets = f.columns, f.targets
+
+    def work(frames):
+        held: dict = {}
+
+        def packed(g):
+            parts, held[g] = held[g], []
+            x, k, hot = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            return {"_g": g, "n": len(k), "x": x.tobytes(), "fold": k.tobytes(), "hot": hot.tobytes()}
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["_g", "n", "x", "fold", "hot"])
+
+        for pdf in frames:
+            out = []
+            for g, part in pdf.groupby("_g", sort=False):
+                for at in range(0, len(part), BLOCK_ROWS):
+                    some = part.iloc[at : at + BLOCK_ROWS]
+                    held.setdefault(g, []).append((some[columns].to_numpy(float), some["fold"].to_numpy(np.int32), some[targets].to_numpy(float)))
+                    if sum(len(p[1]) for p in held[g]) >= BLOCK_ROWS:
+                        out.append(packed(g))
+            # Many small groups are not held until the end.
+            if sum(len(p) for p in held.values()) > BLOCK_ROWS:
+                out += [packed(g) for g in list(held) if held[g]]
+                held.clear()
+            if out:
+                yield frame(out)
+        rest = [packed(g) for g in list(held) if held[g]]
+        if rest:
+            yield frame(rest)
+
+    # Blocks are large, so few go to Python at once.
+    f.rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    return stored(f.rows.select("_g", "fold", *columns, *targets).mapInPandas(work, "_g string, n int, x binary, fold binary, hot binary"), "model-blocks")
+
+
 def penalised(f: Features, binary: bool, c: float = 1.0, penalty: str = "l1", most_passes: int = 100) -> DataFrame:
     """Stored (_g, fold, medians, w): balanced logistic models with an ``l1`` or ``l2`` penalty of all groups and folds,
     null where training rows of a single class are left. The proximal Newton steps of all
@@ -322,9 +365,14 @@ def penalised(f: Features, binary: bool, c: float = 1.0, penalty: str = "l1", mo
         return np.where(seen, c * s.n / (max(seen.sum(), 1) * np.where(seen, s.targets, 1)), 0)
 
     def partial(part):
-        x, fold_, hot = part[columns].to_numpy(float), part["fold"].to_numpy(), part[targets].to_numpy(float)
+        for k in range(len(part)):
+            yield from of_block(part.iloc[k])
+
+    def of_block(part):
+        x = np.frombuffer(part["x"], float).reshape(part["n"], -1)
+        fold_, hot = np.frombuffer(part["fold"], np.int32), np.frombuffer(part["hot"], float).reshape(part["n"], -1)
         gone = np.isnan(x)
-        for m in part["models"].iloc[0]:
+        for m in part["models"]:
             if m["state"][-1]:
                 continue
             s = _of(m["sums"], m["medians"], classes)
@@ -341,9 +389,10 @@ def penalised(f: Features, binary: bool, c: float = 1.0, penalty: str = "l1", mo
     def follow(state: pd.Series, sums: pd.Series) -> pd.Series:
         return pd.Series([s if z is None or s[-1] else Descent.follow(s, np.array(z, float), free, squared) for s, z in zip(state, sums)], dtype=object)
 
+    packed_rows = blocks(f)
     state = scales.select("_g", "fold", F.array(*map(F.lit, Descent.start(size))).alias("state"))
     for _ in range(most_passes):
-        rows = f.rows.select("_g", "fold", *columns, *targets).join(packed(state), "_g")
+        rows = packed_rows.join(packed(state), "_g")
         sums = _summed(rows, partial, 1 + size + size * size).withColumnRenamed("sums", "terms")
         state = stored(state.join(sums, ["_g", "fold"], "left").select("_g", "fold", follow("state", "terms").alias("state"), F.col("terms").isNotNull().alias("moved")), "model-state")
         if state.where("moved and state[size(state) - 1] = 0").isEmpty():

@@ -362,3 +362,19 @@ def test_window_vectors(monkeypatch):
         v, f, ids = rng.normal(size=(u, 5)), rng.random(u) * (rng.random(u) > 0.2), rng.integers(-1, u, n)
         how = coherence.Coherence(window=int(rng.integers(1, 9)), least_tokens=int(rng.integers(1, 4)), weighting=("logfreq", "freq", "none")[k % 3])
         assert np.allclose(coherence.window_vectors(v, f, ids, how), naive_windows(v, f, ids, how))
+
+
+def test_model_rows_go_in_blocks(spark):
+    """A pass meets blocks, not rows, and they hold every row of their group."""
+    n = models.BLOCK_ROWS + 500
+    df = spark.range(n, numPartitions=1).selectExpr("id", "if(id % 10 = 0, 'b', null) AS g", "int(id % 5) AS fold", "double(id) AS u", "if(id % 7 = 0, null, double(id % 3)) AS v", "double(id % 2) AS y")
+    f = models.Features(df, "g", ["u", "v"], [F.col("y")], ["id"])
+    got = models.blocks(f).collect()
+    assert len(got) < n / 100 and sum(r.n for r in got) == n
+    own = {g: sorted(map(str, ((round(r.x0 + f.shift[0]), r.fold, r.t0) for r in rows))) for g, rows in ((g, f.rows.where(F.col("_g") == g).collect()) for g in {r["_g"] for r in got})}
+    for g, want in own.items():
+        have = []
+        for r in (r for r in got if r["_g"] == g):
+            x, k, hot = np.frombuffer(r.x, float).reshape(r.n, -1), np.frombuffer(r.fold, np.int32), np.frombuffer(r.hot, float)
+            have += [(round(a + f.shift[0]), int(b), float(c)) for a, b, c in zip(x[:, 0], k, hot)]
+        assert sorted(map(str, have)) == want
