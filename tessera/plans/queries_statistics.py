@@ -9,7 +9,7 @@ from tessera.functions.numeric import clamp, r6, safe_corr, stars
 from tessera.operators import models, statistics
 from tessera.plans import inputs
 from tessera.plans.inputs import META_SQL, PAIRS_SQL
-from tessera.session import table
+from tessera.session import stored, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -313,7 +313,8 @@ format('{{:.1f}} $\\pm$ {{:.1f}}', avg(CASE WHEN ad = 1 THEN wer END), stddev_sa
 round(sum(CASE WHEN ad = 1 THEN rk END) - sum(ad) * (sum(ad) + 1) / 2.0, 6) + 0 AS u, CAST(sum(ad) AS BIGINT) AS n1, CAST(sum(1 - ad) AS BIGINT) AS n0, any_value(tie_term) AS tie_term, round({_r('wer', 'CAST(pID % 31 AS DOUBLE)')}, 6) + 0 AS r
 FROM k JOIN t ON k.srcID = t.srcID GROUP BY k.srcID""")
 def wer_table_cells(spark, sf_dir):
-    w = _wer_flagged(spark, sf_dir)
+    # Distances are computed once for the cells, the rank sums and the correlation.
+    w = stored(_wer_flagged(spark, sf_dir), "wer-flagged")
     r = w.groupBy("srcID").agg(r6(safe_corr(100 * F.col("wer"), (F.col("pID") % 31).cast("double"))).alias("r"))
     c = statistics.group_cells(w, "srcID", "ad", "wer").join(r, "srcID")
     return c.withColumns({"delta": r6(F.col("delta")), "u": r6(F.col("u"))})

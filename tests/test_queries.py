@@ -37,3 +37,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 4
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_word_error_tables_compute_distances_once(spark):
+    """Cells, rank sums and correlation read stored distances; none works them out again."""
+    plan = QUERIES["wer_table_cells"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan.lower()
