@@ -133,6 +133,28 @@ def test_leave_one_out_is_a_rebuild(spark):
         assert fast[p] == pytest.approx(slow.ppl_a)
 
 
+@pytest.mark.parametrize("leave_one_out", [False, True])
+def test_perplexity_shuffles_all_ngrams_once(spark, monkeypatch, leave_one_out):
+    """Rare contexts are counted where one shuffle puts them, frequent ones by joins, with equal
+    results; plain rows cross the cluster once, and sums per transcript once more."""
+    rng = random.Random(2)
+    rows = [(s, p, "AB-"[p % 3], rng.choice("abc"), rng.choice("xyz")) for s in "uv" for p in range(6) for _ in range(15)]
+    grams = spark.createDataFrame(rows, "srcID string, pID int, dx string, ctx string, nxt string")
+    found = []
+    for hot in (lambda g, by: [], language_model.frequent_contexts, lambda g, by: [r.h for r in g.where("ctx = 'a'").select(F.xxhash64(*by, "ctx").alias("h")).distinct().collect()]):
+        monkeypatch.setattr(language_model, "frequent_contexts", hot)
+        out = language_model.perplexity(grams, ["srcID", "pID"], None, ("A", "B"), 9, leave_one_out=leave_one_out, within=["srcID"])
+        if not found:
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        found.append({(r.srcID, r.pID): (r.ppl_a, r.ppl_b) for r in out.collect()})
+    for s, p in found[0]:
+        own = [r for r in rows if r[:2] == (s, p)]
+        for k, dx in enumerate("AB"):
+            model = [r for r in rows if r[0] == s and r[2] == dx and not (leave_one_out and r[1] == p)]
+            ln = [np.log((sum(m[3:] == r[3:] for m in model) + 10) / (sum(m[3] == r[3] for m in model) + 90)) for r in own]
+            assert all(f[s, p][k] == pytest.approx(np.exp(-np.mean(ln))) for f in found)
+
+
 def test_coherence(spark):
     import numpy as np
 
