@@ -310,13 +310,17 @@ def features(df: DataFrame, keys: list[str], tags: str = "tagged", window: int =
     """keys + 35 columns of rows whose ``tags`` holds (w, t) structs. Rows without a word
     that has a letter or digit are left out."""
     # The arrays that several features share are materialised by their own projection.
-    base = df.select(
-        *keys, F.col(tags).alias("a"),
-        F.transform(tags, lambda x: x["t"]).alias("pos"),
-        F.filter(F.transform(tags, lambda x: x["w"]), lambda w: text.has_alnum(w)).alias("raw"),
+    # Behind explode, so that the filter on words below is not pushed down, which would work out
+    # the tags twice.
+    base = df.select(*keys, F.explode(F.array(tags)).alias("a")).select(
+        *keys, "a",
+        F.transform("a", lambda x: x["t"]).alias("pos"),
+        F.filter(F.transform("a", lambda x: x["w"]), lambda w: text.has_alnum(w)).alias("raw"),
     )
     base = base.select(*keys, "a", "pos", F.transform("raw", lambda w: F.lower(w)).alias("w")).withColumn("n", F.size("w").cast("double")).where("n > 0")
-    a, pos, w, n = F.col("a"), F.col("pos"), F.col("w"), F.col("n")
+    # The sorted words too: in a lambda they would be sorted again for every word.
+    base = base.withColumn("ordered", F.sort_array("w"))
+    a, pos, w, n, ordered = F.col("a"), F.col("pos"), F.col("w"), F.col("n"), F.col("ordered")
     size = F.size(w)
     tag = lambda *names: _count(a, lambda x: x["t"].isin(*names))
     near = F.filter(
@@ -325,7 +329,6 @@ def features(df: DataFrame, keys: list[str], tags: str = "tagged", window: int =
     )
     types = F.array_distinct(w)
     # Sorted, a word stands once where both neighbours differ.
-    ordered = F.array_sort(w)
     once = F.size(F.filter(F.transform(ordered, lambda t, i: ((i == 0) | (F.get(ordered, i - 1) != t)) & ((i == size - 1) | (F.get(ordered, i + 1) != t))), lambda alone: alone)).cast("double")
     v = F.size(types).cast("double")
     mattr_starts = F.when(size > window, F.sequence(F.lit(1), size - window))

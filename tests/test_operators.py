@@ -117,6 +117,17 @@ def test_grammar(spark):
     assert features(spark, [("!", ".")]) is None
 
 
+def test_features_sort_and_tag_once(spark):
+    """Words are sorted once a row and not once a word, and tags are worked out once although
+    rows without words are left out."""
+    df = spark.createDataFrame([(1, "b a b c a d"), (2, "! ?")], "pID int, x string")
+    f = grammar.features(df.select("pID", grammar.tagged(F.split(F.regexp_replace("x", "q", "u"), " ")).alias("tagged")), ["pID"])
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") + plan.count("sort_array") == 1 and plan.count("regexp_replace") == 1
+    (r,) = f.collect()
+    assert r.honores_statistic == pytest.approx(100 * np.log(6) / (1 - 2 / 4)) and r.type_token_ratio == pytest.approx(4 / 6)
+
+
 def test_language_model(spark):
     p = spark.range(1).select(F.exp(language_model.log_probability(F.lit(1), F.lit(1), 4, 1.0)).alias("p"), language_model.log_probability(F.lit(0), F.lit(5), 4, smoothing=False).alias("z")).first()
     assert p.p == pytest.approx(0.4) and p.z == 0.0
