@@ -96,6 +96,33 @@ def test_label_speakers(spark):
     assert [got[i].speaker_true for i in range(3)] == ["PAR", "INV", "INV"]
 
 
+def test_label_speakers_aligns_once(spark):
+    """Words are aligned once, and take what they were aligned to without joins of all words;
+    those without a counterpart take the speaker with the largest overlap."""
+    rng = random.Random(4)
+    refs = [(s, p, i, rng.choice("abcd"), float(i), i + 0.9, rng.choice(["PAR", "INV", None])) for s in "uv" for p in range(3) for i in range(12)]
+    heard = [(s, p, i, rng.choice("abcde"), f"w{i}", i * 0.7, i * 0.7 + 0.5) for s in "uv" for p in range(1, 4) for i in range(17)]
+    ref = spark.createDataFrame(refs, "srcID string, pID int, pos int, word string, s double, e double, speaker string").repartition(3)
+    asr = spark.createDataFrame(heard, "srcID string, pID int, pos int, word string, uttID string, s double, e double").repartition(3)
+    out = alignment.label_speakers(ref, asr, ["srcID", "pID"])
+    assert out.columns == [*asr.columns, "speaker_true", "align_op", "truth_word", "truth_word_idx"]
+    assert "word_ops" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for s in "uv":
+        for p in (1, 2):
+            r, h = ([x for x in xs if x[:2] == (s, p)] for xs in (refs, heard))
+            for op, i, j in alignment.align([x[3] for x in r], [x[3] for x in h]):
+                if op == "del":
+                    continue
+                said = None if i is None else r[i][6]
+                if said is None:
+                    a, b = h[j][5:]
+                    over = lambda x: max(0.0, min(b, x[5]) - max(a, x[4]))
+                    said = min(r, key=lambda x: (-over(x), 0 if over(x) else abs((a + b) / 2 - (x[4] + x[5]) / 2), x[2]))[6]
+                want.append((*h[j], said, {"hit": "equal"}.get(op, op), None if i is None else r[i][3], i))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in out.collect())
+
+
 def features(spark, pairs):
     df = spark.createDataFrame([(1, pairs)], "pID int, tagged array<struct<w: string, t: string>>")
     return grammar.features(df, ["pID"]).first()
