@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bitplane, components, cross_polytope, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, toxicity, windows, word_windows
+from tessera.llm import bitplane, components, cross_polytope, media, mixing, near_dup, packing, repeats, runs, shared, suffix_levels, tokens, toxicity, windows, word_windows
 
 
 @settings(max_examples=50, deadline=None)
@@ -39,6 +39,32 @@ def test_shards(bits):
         bitplane.ShardReader(io.BytesIO(b"something else entirely"))
 
 
+def test_units_that_return_stay_known():
+    import public_tokenizers
+
+    enc, sent = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most_units=40), []
+    inner = enc._encode
+    enc._encode = lambda texts: sent.extend(texts) or inner(texts)
+    for k in range(5):
+        enc(pa.array([f"over under between {' '.join(f'n{k}x{i}' for i in range(12))}"]))
+    assert sum("under" in t for t in sent) == 1 and sum("n4x7" in t for t in sent) == 1
+
+
+@pytest.mark.parametrize("most", [0, 30, 800_000])
+def test_ids_of_odd_texts(most):
+    import public_tokenizers
+
+    enc, rng = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most), random.Random(24)
+    parts = ["the", "'s", "don't", "É", "\u0301", "日本", "🙂", "|", "$$$", ".", ",", "42", "<|", "<|endoftext|>", "Ġ", "Ċ", "\t", "\r\n", "\n\n", "", *["\n", " "] * 6]
+    for k in range(40):
+        rows = [None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(20)]
+        if k % 2:
+            rows = ["\n".join(" ".join(x.split()) for x in (r or "").split("\n") if x.strip()) for r in rows]
+        ids, lens = enc(pa.array(rows, pa.string()))
+        want = [enc.tokenizer.encode(r or "", add_special_tokens=False).ids for r in rows]
+        assert lens.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 9), min_size=1, max_size=8))
 def test_plan(hist):
